@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+from marlstone.plans import facts, risk, service, text
+
+_MODULES = (facts, risk, text, service)
 
-def queries() -> dict:
-    from marlstone.plans import facts
 
-    return {**facts.QUERIES}
+def queries() -> dict:
+    return {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    from marlstone.plans import facts
-
-    return {**facts.SQL}
+    return {k: v for m in _MODULES for k, v in m.SQL.items()}
