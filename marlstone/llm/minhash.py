@@ -5,12 +5,13 @@ A-Z are lower-cased, words are runs of `[^\\x20\\x09-\\x0D]`, and a document's s
 classes are what is compared. Two are linked if 100 * |intersection| >= percent * |union|.
 
 1. sketch   One pass over the texts: size and digest of the set, ROWS * BANDS minimum hashes, a bucket per band.
-2. stars    A bucket's classes are compared with one of them, its centre, never all with all.
+2. stars    A bucket's classes are compared with its centre only, the class that meets most others over all of its buckets.
 3. verify   Candidates are compared signature batch by batch; one is dropped once the posterior probability (uniform prior)
             of a similarity at the threshold falls below MISS. Survivors are decided exactly, on their full sets.
-4. rest     Links are contracted to components. Buckets that still hold several components get another centre while that
-            pays; then the pairs of classes from different components that share a bucket, and were not compared yet, are
-            verified. Pairs inside one component need no comparison: they cannot change it.
+4. rest     Links are contracted to components. In buckets that still hold several, signatures of different components are
+            compared where they lie, block by block (a bucket of more than BLOCK classes is dealt to several tasks); only
+            pairs that are not dropped leave the task, and are decided exactly. Pairs inside one component need no
+            comparison: they cannot change it.
 
 A pair at the threshold of 0.8 shares no bucket with probability 3e-6, and is dropped in step 3 with probability MISS at most.
 
@@ -40,7 +41,8 @@ SEED = 20240607
 VOCABULARY = 400_000
 SEEN = 200_000
 BROADCAST_IDS = 1_000_000
-STAR_ROUNDS = 4
+BLOCK = 1500
+PAIRS_KEPT = 200_000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MULTIPLIERS = np.random.default_rng(SEED).integers(0, 1 << 31, ROWS * BANDS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -152,22 +154,89 @@ def least_matches(n: int, percent: int = PERCENT, miss: float = MISS) -> int:
     return n
 
 
+def _steps(percent: int, miss: float) -> list[tuple[int, int]]:
+    return [(n, least_matches(n, percent, miss)) for n in range(BATCH, ROWS * BANDS + 1, BATCH)]
+
+
+def _survivors(a: np.ndarray, b: np.ndarray, steps: list[tuple[int, int]]) -> np.ndarray:
+    """Rows of two arrays of signatures (one may have a single row) that sequential comparison doesn't drop."""
+    live, matches = np.arange(max(len(a), len(b))), np.zeros(max(len(a), len(b)), np.int64)
+    for n, least in steps:
+        x, y = (s[:, n - BATCH : n] if len(s) == 1 else s[live, n - BATCH : n] for s in (a, b))
+        matches[live] += (x == y).sum(1)
+        live = live[matches[live] >= least]
+        if not len(live):
+            break
+    return live
+
+
+def _signatures(raw: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(raw), np.uint32).reshape(-1, ROWS * BANDS)
+
+
 def _likely(pairs: DataFrame, percent: int, miss: float) -> DataFrame:
     """Of pairs (u, v, sig_u, sig_v) those that sequential comparison doesn't drop."""
-    steps = [(n, least_matches(n, percent, miss)) for n in range(BATCH, ROWS * BANDS + 1, BATCH)]
+    steps = _steps(percent, miss)
 
     def run(batches):
         for b in batches:
-            a, c = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint32).reshape(-1, ROWS * BANDS) for i in (2, 3))
-            live, matches = np.arange(len(a)), np.zeros(len(a), np.int64)
-            for n, least in steps:
-                matches[live] += (a[live, n - BATCH : n] == c[live, n - BATCH : n]).sum(1)
-                live = live[matches[live] >= least]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(live)), b.column(1).take(pa.array(live))], ["u", "v"])
+            live = pa.array(_survivors(*(_signatures(b.column(i).to_pylist()) for i in (2, 3)), steps))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(live), b.column(1).take(live)], ["u", "v"])
 
     return pairs.select("u", "v", "sig_u", "sig_v").mapInArrow(run, "u binary, v binary")
 
 
+def _across(open_: DataFrame, percent: int, miss: float) -> DataFrame:
+    """Pairs (u, v) of different components that share a bucket and aren't dropped, from (bucket, key, comp, m, n, sig); m is the
+    number of classes in the bucket. Blocks of a large bucket meet two by two."""
+    steps = _steps(percent, miss)
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("key"), blocks).cast("int")
+    dealt = open_.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select(F.col("bucket"), F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "key", "comp", "n", "sig")
+
+    def compare(a: int, b: int, rows: list) -> set:
+        own, keys, comps, n, sig = ([r[i] for r in rows] for i in range(5))
+        own, n, sig, comp = np.array(own), np.array(n), _signatures(sig), np.unique(np.array(comps, object), return_inverse=True)[1]
+        size = np.bincount(comp)
+        found = set()
+        for i in np.flatnonzero(comp != size.argmax()):  # against all others; two outside the largest component meet once
+            ok = (comp != comp[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+            ok &= (comp == size.argmax()) | (np.arange(len(n)) > i)
+            if a != b:
+                ok &= own != own[i]
+            at = np.flatnonzero(ok)
+            if len(at):
+                found.update((min(keys[i], keys[j]), max(keys[i], keys[j])) for j in at[_survivors(sig[i : i + 1], sig[at], steps)])
+        return found
+
+    def run(batches):
+        sent: set = set()
+        group, rows = None, []
+
+        def flush(rows):
+            if len({r[2] for r in rows}) < 2:
+                return None
+            new = compare(group[1], group[2], rows) - sent
+            if len(sent) > PAIRS_KEPT:
+                sent.clear()
+            sent.update(new)
+            new = sorted(new)
+            return pa.RecordBatch.from_arrays([pa.array([u for u, _ in new], pa.binary()), pa.array([v for _, v in new], pa.binary())], ["u", "v"]) if new else None
+
+        for batch in batches:
+            for *at, own, key, comp, n, sig in zip(*(c.to_pylist() for c in batch.columns)):
+                if at != group:
+                    if rows and (out := flush(rows)):
+                        yield out
+                    group, rows = at, []
+                rows.append((own, key, comp, n, sig))
+        if rows and (out := flush(rows)):
+            yield out
+
+    return dealt.repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b").mapInArrow(run, "u binary, v binary")
+
+
 class _Verifier:
     """Compares pairs of classes."""
 
@@ -180,9 +249,10 @@ class _Verifier:
         spark = self.docs.sparkSession
         common.small_batches(spark)
         shingle = self.shingle
-        ids = self.classes.join(keys, "key", "left_semi").select(F.col("rep").alias("_id")).distinct()
-        if keys.count() <= BROADCAST_IDS:
-            ids = F.broadcast(ids)
+        few = keys.count() <= BROADCAST_IDS
+        keys = F.broadcast(keys) if few else keys
+        ids = self.classes.join(keys, "key", "left_semi").select(F.col("rep").alias("_id"))
+        ids = F.broadcast(ids) if few else ids
         texts = self.docs.select(F.col(self.id_col).cast("long").alias("_id"), F.col(self.text_col).cast("string").alias("_text")).join(ids, "_id", "left_semi")
 
         def run(batches):
@@ -192,16 +262,19 @@ class _Verifier:
                 sets = [shingle_set(t, shingle).tobytes() for t in b.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], ["key", "set"])
 
-        got = texts.select("_text").mapInArrow(run, "key binary, set binary").join(F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys, "key", "left_semi")
+        got = texts.select("_text").mapInArrow(run, "key binary, set binary").join(keys, "key", "left_semi")
         return got.dropDuplicates(["key"])
 
-    def __call__(self, pairs: DataFrame) -> DataFrame:
-        """Of distinct pairs (u, v) of keys those that are linked, as a table."""
+    def __call__(self, pairs: DataFrame, compared: bool = False) -> DataFrame:
+        """Of distinct pairs (u, v) of keys those that are linked, as a table; compared: by signature already."""
         self.calls += 1
         at, percent = f"{self.work}/verify{self.calls}", self.percent
-        side = lambda x: self.classes.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
-        both = pairs.join(side("u"), "u").join(side("v"), "v").where(F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * percent)
-        likely = common.saved(_likely(both, percent, MISS), f"{at}/likely")
+        if compared:
+            likely = common.saved(pairs, f"{at}/likely")
+        else:
+            side = lambda x: self.classes.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
+            both = pairs.join(side("u"), "u").join(side("v"), "v").where(F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * percent)
+            likely = common.saved(_likely(both, percent, MISS), f"{at}/likely")
         keys = common.saved(likely.select(F.explode(F.array("u", "v")).alias("key")).distinct(), f"{at}/keys")
         sets = common.saved(self.sets(keys), f"{at}/sets")
         whole = likely.join(sets.select(F.col("key").alias("u"), F.col("set").alias("set_u")), "u").join(sets.select(F.col("key").alias("v"), F.col("set").alias("set_v")), "v")
@@ -231,7 +304,7 @@ def components(edges: DataFrame, work: str) -> DataFrame:
     while True:
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.where("m < u").select("u", F.col("m").alias("v"))).distinct()
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.where("m < u").select("u", F.col("m").alias("v")))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         e = common.saved(small, f"{work}/stars{turn}")
@@ -252,32 +325,19 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     # a class's signature comes from any row that has it; the smallest id stands for the class
     classes = common.saved(known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig", ignorenulls=True).alias("sig"), F.first("buckets", ignorenulls=True).alias("buckets")).where(F.col("rep").isNotNull()), f"{work}/classes")
     member = classes.select("key", F.explode("buckets").alias("bucket"))
-    shared = member.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("bucket")
-    members = common.saved(member.join(shared, "bucket"), f"{work}/members")
+    shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    members = common.saved(member.join(shared, "bucket").select("bucket", "key", "m"), f"{work}/members")
+    meets = members.groupBy("key").agg(F.sum("m").alias("meets"))
+    centre = members.join(meets, "key").groupBy("bucket").agg(F.max(F.struct("meets", "key"))["key"].alias("centre"))
+    star = members.join(centre, "bucket").where("key <> centre").select(F.least("key", "centre").alias("u"), F.greatest("key", "centre").alias("v")).distinct()
     verify = _Verifier(docs, classes, work, shingle, percent, id_col, text_col)
-    links = tested = roots = None
-    for turn in range(STAR_ROUNDS + 1):
-        now = members.withColumn("comp", F.col("key")) if roots is None else members.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("bucket", "key", F.coalesce("root", "key").alias("comp"))
-        spot = F.struct(F.xxhash64("key", F.lit(turn)).alias("h"), "key", "comp")
-        centres = now.groupBy("bucket").agg(F.min(spot).alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
-        if roots is not None:
-            open_ = common.saved(now.join(centres.select("bucket"), "bucket"), f"{work}/open{turn}")
-            per = open_.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("sq"))
-            n, pairs = per.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("sq")) / 2)).collect()[0]
-            if not n:
-                break
-            now = open_
-            if pairs <= 8 * n or turn == STAR_ROUNDS:
-                a, b = (now.select("bucket", F.col("key").alias(k), F.col("comp").alias(f"comp_{k}")) for k in "uv")
-                found = a.join(b, "bucket").where("comp_u < comp_v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(tested, ["u", "v"], "left_anti")
-                links = links.unionByName(verify(common.saved(found, f"{work}/pairs")))
-                roots = components(links, f"{work}/cc_last")
-                break
-        star = now.join(centres.select("bucket", "c"), "bucket").where("comp <> c.comp").select(F.least("key", "c.key").alias("u"), F.greatest("key", "c.key").alias("v")).distinct()
-        found = common.saved(star if tested is None else star.join(tested, ["u", "v"], "left_anti"), f"{work}/star{turn}")
-        got = verify(found)
-        links, tested = (got, found) if links is None else (links.unionByName(got), tested.unionByName(found))
-        roots = components(links, f"{work}/cc{turn}")
+    links = verify(star)
+    roots = components(links, f"{work}/first")
+    now = members.join(roots.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", "m", F.coalesce("root", "key").alias("comp"))
+    several = now.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("bucket")
+    open_ = now.join(several, "bucket").join(classes.select("key", "n", "sig"), "key")
+    more = verify(_across(open_, percent, MISS).distinct(), compared=True)
+    roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more), f"{work}/second")
     label = classes.select("key", "rep").join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("key", "rep", F.coalesce("root", "key").alias("root"))
     least = label.groupBy("root").agg(F.min("rep").alias("component"))
     label = common.saved(label.join(least, "root").select("key", "component"), f"{work}/labels")
