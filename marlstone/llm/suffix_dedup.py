@@ -29,8 +29,8 @@ from . import common, induced
 LENGTH = 400
 GRAM = 32
 SPAN = 200
-SHARD_BYTES = 8 << 20
-HOT_BYTES = 6 << 20
+SHARD_BYTES = 5 << 19
+HOT_BYTES = 5 << 19
 MAX_SHARDS = 100_000
 BROADCAST_ROWS = 400_000
 
