@@ -145,8 +145,7 @@ def _sort_shards(pieces: DataFrame, length: int) -> DataFrame:
 def _pick(rows: DataFrame, wanted: DataFrame, kind: str, length: int) -> DataFrame:
     """The wanted contexts (rid, lo, hi, key, once) with their bytes, or with kind "digest" a digest of each of their strings."""
     per = wanted.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi", "key", "once")).alias("want"))  # a document's own anchors
-    per = F.broadcast(per) if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else per
-    both = rows.join(per, "rid").select("rid", "text", "want")
+    both = rows.join(per.hint("merge"), "rid").select("rid", "text", "want")  # per follows the corpus: never broadcast
     schema = "rid long, lo int, n int, key long, once boolean, bytes binary" if kind == "bytes" else "rid long, lo int, digest binary"
 
     def run(batches):
