@@ -13,6 +13,8 @@ ordered by their ids; an empty table gives an empty file. Other columns of the i
 from __future__ import annotations
 
 import os
+import string
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ _SPLIT_ONLY_BY_PYTHON = "\x1c\x1d\x1e\x1f"
 
 
 def _tokenizer(json_text: str):
-    """The tokenizer and its cache of words, one of each per worker."""
+    """The tokenizer, which ids end a word, and the cache of words, one of each per worker."""
     key = hash(json_text)
     if key not in _tokenizers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -43,24 +45,59 @@ def _tokenizer(json_text: str):
         tok = Tokenizer.from_str(json_text)
         tok.encode_special_tokens = True  # their strings in a text are ordinary text
         _tokenizers.clear()
-        _tokenizers[key] = (tok, {})
+        ends = np.zeros(tok.get_vocab_size(), bool)
+        ends[[i for t, i in tok.get_vocab().items() if t.endswith("</w>")]] = True
+        _tokenizers[key] = (tok, ends, {})
     return _tokenizers[key]
 
 
+def _whole(tok, word: str, dtype: str) -> bytes:
+    return np.array(tok.encode_batch_fast([word], add_special_tokens=False)[0].ids, dtype).tobytes()
+
+
+def _learn(tok, ends: np.ndarray, cache: dict[str, bytes], new: list[str], dtype: str) -> None:
+    """Put the ids of new words into the cache. The tokenizer ends a piece where letters and marks meet, so the letters of a
+    word and the marks after it have ids of their own; runs of letters go to the library many at a time, with blanks between."""
+    parts, letters = [], set()
+    for w in new:
+        base = w.rstrip(string.punctuation)
+        base = base.lower() if base.isascii() else unicodedata.normalize("NFC", base)
+        if not base.lower().isalpha():
+            cache[w] = _whole(tok, w, dtype)
+            continue
+        tail = w[len(w.rstrip(string.punctuation)) :]
+        if tail and tail not in cache:
+            cache[tail] = _whole(tok, tail, dtype)
+        if base not in cache:
+            letters.add(base)
+        parts.append((w, base, tail))
+    letters = list(letters)
+    for i in range(0, len(letters), 2000):
+        some = letters[i : i + 2000]
+        ids = np.array(tok.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype)
+        stops = np.flatnonzero(ends[ids]) + 1
+        if len(stops) == len(some):
+            raw, at = ids.tobytes(), [0, *(stops * ids.itemsize).tolist()]
+            cache.update(zip(some, map(raw.__getitem__, map(slice, at, at[1:]))))
+        else:
+            cache.update((w, _whole(tok, w, dtype)) for w in some)
+    for w, base, tail in parts:
+        cache[w] = cache[base] + cache[tail] if tail else cache[base]
+
+
 def encode_texts(texts: list[str], json_text: str, dtype: str, end: bytes) -> list[bytes]:
     """Ids of each text as the library gives them. This vocabulary drops white space before its merges, so a text's ids are
     those of its words in turn, and each distinct word goes to the library once per worker."""
-    tok, cache = _tokenizer(json_text)
+    tok, ends, cache = _tokenizer(json_text)
     if len(cache) > CACHE_WORDS:
         cache.clear()
     words = [t.split() for t in texts]
-    new = [w for w in set().union(*words) if w not in cache]
-    if new:
-        cache.update((w, np.array(e.ids, dtype).tobytes()) for w, e in zip(new, tok.encode_batch(new, add_special_tokens=False)))
+    if new := [w for w in set().union(*words) if w not in cache]:
+        _learn(tok, ends, cache, new, dtype)
     out = []
     for text, ws in zip(texts, words):
         if any(c in text for c in _SPLIT_ONLY_BY_PYTHON):  # white space for str.split, but not for the tokenizer
-            out.append(np.array(tok.encode(text, add_special_tokens=False).ids, dtype).tobytes() + end)
+            out.append(_whole(tok, text, dtype) + end)
         else:
             ws = list(map(cache.__getitem__, ws))
             ws.append(end)
