@@ -53,9 +53,9 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    ids = bpe.encode(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN)
+    ids = bpe.encode(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN, back=True)
     same = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return bpe.decode(ids, path).select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
+    return ids.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 
 
 STAGES = [("quality", quality_filter), ("line_dedup", line_filter), ("near_dedup", near_duplicate_filter), ("decontaminate", decontaminate), ("encode", encode)]

@@ -174,22 +174,36 @@ def _model(ranks: dict[bytes, int], pattern: str) -> Model:
     return _models[key]
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text") -> DataFrame:
-    """docs with the column ids: the ids of each whole text as little-endian unsigned 32-bit integers."""
+def _parts(ranks: dict[bytes, int]) -> list[bytes]:
+    parts = [b""] * (max(ranks.values()) + 1)
+    for k, v in ranks.items():
+        parts[v] = k
+    return parts
+
+
+def _decoded(ids: list[bytes], parts: list[bytes]) -> list[bytes]:
+    return [b"".join(map(parts.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in ids]
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", back: bool = False) -> DataFrame:
+    """docs with the column ids: the ids of each whole text as little-endian unsigned 32-bit integers. With back also decoded, the
+    bytes that decode() gives for them, from the same pass (and the same Python worker, which holds the caches only once)."""
     spark = docs.sparkSession
     common.small_batches(spark)
     sent = spark.sparkContext.broadcast(load_ranks(ranks_path))
-    kept = docs.drop("ids")
+    added = ["ids", "decoded"] if back else ["ids"]
+    kept = docs.drop(*added)
     at = kept.columns.index(text_col)
 
     def run(batches):
-        model = None
+        model = parts = None
         for b in batches:
-            model = model or _model(sent.value, pattern)
+            model, parts = model or _model(sent.value, pattern), parts or _parts(sent.value)
             ids = [model.encode(t or "") for t in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.binary())], [*b.schema.names, "ids"])
+            new = [ids, _decoded(ids, parts)] if back else [ids]
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x, pa.binary()) for x in new)], [*b.schema.names, *added])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("ids", T.BinaryType())]))
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *(T.StructField(x, T.BinaryType()) for x in added)]))
 
 
 def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
@@ -201,12 +215,8 @@ def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
     def run(batches):
         parts = None
         for b in batches:
-            if parts is None:
-                parts = [b""] * (max(sent.value.values()) + 1)
-                for k, v in sent.value.items():
-                    parts[v] = k
-            texts = [b"".join(map(parts.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.binary())], [*b.schema.names, "decoded"])
+            parts = parts or _parts(sent.value)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_decoded(b.column(at).to_pylist(), parts), pa.binary())], [*b.schema.names, "decoded"])
 
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("decoded", T.BinaryType())]))
 
@@ -217,8 +227,7 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = common.table(spark, sf_dir, "documents").select("doc_id", common.text_of(None).alias("text"))
-    ids = encode(docs, path, public_tokenizers.PATTERN).select("doc_id", "ids")
-    return decode(ids, path).select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return encode(docs, path, public_tokenizers.PATTERN, back=True).select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 QUERIES = {"op2_byte_bpe": op2_byte_bpe}
