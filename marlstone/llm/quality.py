@@ -21,7 +21,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window
 
 from . import common
 
@@ -91,12 +90,17 @@ def _build(pieces: list[bytes]) -> bytes:
         return b"".join(pieces)[-DICT_BYTES:]
 
 
+def _least(df: DataFrame, n: int, *order) -> DataFrame:
+    """The n rows of either label that come first: each task keeps its own n, so that no label meets whole in one task."""
+    a, b = (df.where(F.col("_label") == q).orderBy(*order).limit(n) for q in (0, 1))
+    return a.unionByName(b)
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_pieces: int = PIECES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """Learn from the rows of docs that are not held out and have a label."""
     spark = docs.sparkSession
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).where(~held_out("_id") & F.col("_label").isin(0, 1)).groupBy("_id").agg(F.min("_label").alias("_label"))
-    by_hash = Window.partitionBy("_label").orderBy(F.xxhash64("_id"), "_id")
-    chosen = known.withColumn("_rank", F.row_number().over(by_hash)).where(F.col("_rank") <= sample).select("_id", "_label", (F.col("_rank") % 2).alias("_half"))
+    chosen = _least(known, sample, F.xxhash64("_id"), F.col("_id")).select("_id", "_label", F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(2)).alias("_half"))
     texts = docs.select(F.col(id_col).alias("_id"), common.text_of(docs, text_col).alias("_text")).join(F.broadcast(chosen), "_id")  # 2 * sample rows at most
     sampled = common.saved(texts, f"{common.workspace(spark)}/labelled")
     n = {r["_label"]: r["n"] for r in sampled.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -105,15 +109,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_pieces: int
         return model
     raw = F.encode("_text", "utf-8")
     cut = sampled.where("_half = 0").select("_label", F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.octet_length(raw) - 1, F.lit(0)), F.lit(PIECE)), lambda i: F.substring(raw, i + 1, F.lit(PIECE)))).alias("_piece"))
-    spot = Window.partitionBy("_label").orderBy(F.xxhash64("_piece"), "_piece")
-    got = cut.where(F.octet_length("_piece") > 0).withColumn("_rank", F.row_number().over(spot)).where(F.col("_rank") <= n_pieces).select("_label", "_piece").collect()  # 2 * n_pieces pieces of PIECE bytes at most
+    got = _least(cut.where(F.octet_length("_piece") > 0), n_pieces, F.xxhash64("_piece"), F.col("_piece")).collect()  # 2 * n_pieces pieces of PIECE bytes at most
     pieces = {q: sorted(bytes(r["_piece"]) for r in got if r["_label"] == q) for q in (0, 1)}
     if not (pieces[0] and pieces[1]):
         return model
     model.bad, model.good = _build(pieces[0]), _build(pieces[1])
     to_arrays = lambda x: pa.array(list(x), pa.list_(pa.float64()))
-    spot = Window.partitionBy("_label").orderBy(F.xxhash64("_id", "_text"))
-    rest = sampled.where("_half = 1").withColumn("_rank", F.row_number().over(spot)).where(F.col("_rank") <= sample)
+    rest = _least(sampled.where("_half = 1"), sample, F.xxhash64("_id", "_text"), F.col("_text"))
     got = _map_features(rest.select("_label", "_text"), model, "_text", to_arrays, "_x", T.ArrayType(T.DoubleType())).select("_label", "_x").collect()  # 2 * sample rows of three numbers at most
     got = sorted((r["_label"], *r["_x"]) for r in got)
     if len({r[0] for r in got}) < 2:
