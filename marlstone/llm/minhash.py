@@ -10,8 +10,9 @@ classes are what is compared. Two are linked if 100 * |intersection| >= percent
             of a similarity at the threshold falls below MISS. Survivors are decided exactly, on their full sets.
 4. rest     Links are contracted to components. In buckets that still hold several, signatures of different components are
             compared where they lie, block by block (a bucket of more than BLOCK classes is dealt to several tasks); only
-            pairs that are not dropped leave the task, and are decided exactly. Pairs inside one component need no
-            comparison: they cannot change it.
+            pairs that are not dropped leave the task, and are decided exactly: at first each class's BEST likeliest ones,
+            and once those are contracted, all that are left. Pairs inside one component need no comparison: they cannot
+            change it.
 
 A pair at the threshold of 0.8 shares no bucket with probability 3e-6, and is dropped in step 3 with probability MISS at most.
 
@@ -43,6 +44,7 @@ SEEN = 200_000
 BROADCAST_IDS = 1_000_000
 BLOCK = 1500
 PAIRS_KEPT = 200_000
+BEST = 4
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MULTIPLIERS = np.random.default_rng(SEED).integers(0, 1 << 31, ROWS * BANDS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -158,8 +160,9 @@ def _steps(percent: int, miss: float) -> list[tuple[int, int]]:
     return [(n, least_matches(n, percent, miss)) for n in range(BATCH, ROWS * BANDS + 1, BATCH)]
 
 
-def _survivors(a: np.ndarray, b: np.ndarray, steps: list[tuple[int, int]]) -> np.ndarray:
-    """Rows of two arrays of signatures (one may have a single row) that sequential comparison doesn't drop."""
+def _survivors(a: np.ndarray, b: np.ndarray, steps: list[tuple[int, int]], best: int | None = None) -> np.ndarray:
+    """Rows of two arrays of signatures (one may have a single row) that sequential comparison doesn't drop; with best, only that
+    many of them, those with most matches."""
     live, matches = np.arange(max(len(a), len(b))), np.zeros(max(len(a), len(b)), np.int64)
     for n, least in steps:
         x, y = (s[:, n - BATCH : n] if len(s) == 1 else s[live, n - BATCH : n] for s in (a, b))
@@ -167,7 +170,7 @@ def _survivors(a: np.ndarray, b: np.ndarray, steps: list[tuple[int, int]]) -> np
         live = live[matches[live] >= least]
         if not len(live):
             break
-    return live
+    return live if best is None or len(live) <= best else live[np.argpartition(-matches[live], best)[:best]]
 
 
 def _signatures(raw: list[bytes]) -> np.ndarray:
@@ -186,9 +189,9 @@ def _likely(pairs: DataFrame, percent: int, miss: float) -> DataFrame:
     return pairs.select("u", "v", "sig_u", "sig_v").mapInArrow(run, "u binary, v binary")
 
 
-def _across(open_: DataFrame, percent: int, miss: float) -> DataFrame:
+def _across(open_: DataFrame, percent: int, miss: float, best: int | None = None) -> DataFrame:
     """Pairs (u, v) of different components that share a bucket and aren't dropped, from (bucket, key, comp, m, n, sig); m is the
-    number of classes in the bucket. Blocks of a large bucket meet two by two."""
+    number of classes in the bucket. Blocks of a large bucket meet two by two. With best, only so many of each class and block."""
     steps = _steps(percent, miss)
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("key"), blocks).cast("int")
@@ -207,7 +210,7 @@ def _across(open_: DataFrame, percent: int, miss: float) -> DataFrame:
                 ok &= own != own[i]
             at = np.flatnonzero(ok)
             if len(at):
-                found.update((min(keys[i], keys[j]), max(keys[i], keys[j])) for j in at[_survivors(sig[i : i + 1], sig[at], steps)])
+                found.update((min(keys[i], keys[j]), max(keys[i], keys[j])) for j in at[_survivors(sig[i : i + 1], sig[at], steps, best)])
         return found
 
     def run(batches):
@@ -333,11 +336,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     verify = _Verifier(docs, classes, work, shingle, percent, id_col, text_col)
     links = verify(star)
     roots = components(links, f"{work}/first")
-    now = members.join(roots.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", "m", F.coalesce("root", "key").alias("comp"))
-    several = now.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("bucket")
-    open_ = now.join(several, "bucket").join(classes.select("key", "n", "sig"), "key")
-    more = verify(_across(open_, percent, MISS).distinct(), compared=True)
-    roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more), f"{work}/second")
+    for turn, best in enumerate((BEST, None)):  # the likeliest partners join most of what belongs together; then all that is left
+        now = members.join(roots.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", "m", F.coalesce("root", "key").alias("comp"))
+        several = now.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("bucket")
+        open_ = now.join(several, "bucket").join(classes.select("key", "n", "sig"), "key")
+        more = verify(_across(open_, percent, MISS, best).distinct(), compared=True)
+        roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more), f"{work}/rest{turn}")
     label = classes.select("key", "rep").join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("key", "rep", F.coalesce("root", "key").alias("root"))
     least = label.groupBy("root").agg(F.min("rep").alias("component"))
     label = common.saved(label.join(least, "root").select("key", "component"), f"{work}/labels")
