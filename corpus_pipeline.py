@@ -31,8 +31,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the boilerplate lines of their source."""
-    return _like(docs, line_dedup.drop_lines(docs))
+    """All documents, without the boilerplate lines of their source; exact copies, which are still there, count as one page."""
+    return _like(docs, line_dedup.drop_lines(docs, once=True))
 
 
 def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,12 +1,13 @@
 """Boilerplate lines by their frequency within a site, in DataFrame operations only.
 
 Pages are grouped by host; a line that stands on more than `ratio` of its host's pages, and on `least` pages at least, is
-boilerplate there and leaves every page of that host. Lines are split at \\n and compared as they are; blank lines (spaces
+boilerplate there and leaves every page of that host. With `once`, rows of a host with equal texts count as one page, so that
+copies of a text do not make boilerplate of its own lines. Lines are split at \\n and compared as they are; blank lines (spaces
 only) are never boilerplate. Only 64-bit hashes of lines move, counted before they move; a host's boilerplate has at most
 (lines per page) / ratio entries.
 
-Defined results: null text stays null, with no lines; a null host counts as the host ''; every row is a page, repeated rows
-and equal ids too; an empty table gives an empty result. Columns of the input stay, but for those added.
+Defined results: null text stays null, with no lines; a null host counts as the host ''; without `once` every row is a page,
+repeated rows and equal ids too; an empty table gives an empty result. Columns of the input stay, but for those added.
 """
 
 from __future__ import annotations
@@ -30,20 +31,23 @@ def _lines(text):
     return F.split(text, "\n", -1)
 
 
-def boilerplate(pages: DataFrame, text, host, ratio: float = RATIO, least: int = LEAST) -> DataFrame:
+def boilerplate(pages: DataFrame, text, host, ratio: float = RATIO, least: int = LEAST, once: bool = False) -> DataFrame:
     """(_host, _hashes): hashes of each host's boilerplate lines."""
     rows = pages.select(F.coalesce(host.cast("string"), F.lit("")).alias("_host"), text.alias("_text"))
-    total = rows.groupBy("_host").agg(F.count(F.lit(1)).alias("_pages"))
     own = F.array_distinct(F.transform(F.filter(_lines(F.col("_text")), lambda x: F.trim(x) != ""), lambda x: F.xxhash64(x)))
-    seen = rows.select("_host", F.explode(own).alias("_hash")).groupBy("_host", "_hash").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
+    rows = rows.select("_host", F.md5(F.col("_text").cast("binary")).alias("_digest"), own.alias("_own"))
+    if once:
+        rows = rows.groupBy("_host", "_digest").agg(F.first("_own").alias("_own"))
+    total = rows.groupBy("_host").agg(F.count(F.lit(1)).alias("_pages"))
+    seen = rows.select("_host", F.explode("_own").alias("_hash")).groupBy("_host", "_hash").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
     return seen.join(total, "_host").where(F.col("_n") > F.lit(ratio) * F.col("_pages")).groupBy("_host").agg(F.collect_list("_hash").alias("_hashes"))
 
 
-def drop_lines(pages: DataFrame, text_col: str = "text", host=None, ratio: float = RATIO, least: int = LEAST) -> DataFrame:
+def drop_lines(pages: DataFrame, text_col: str = "text", host=None, ratio: float = RATIO, least: int = LEAST, once: bool = False) -> DataFrame:
     """pages with boilerplate lines taken out of text_col, and n_lines (before) and n_dropped."""
     spark = pages.sparkSession
     host = F.col("source") if host is None else host
-    found = common.saved(boilerplate(pages, F.col(text_col), host, ratio, least), f"{common.workspace(spark)}/boilerplate")
+    found = common.saved(boilerplate(pages, F.col(text_col), host, ratio, least, once), f"{common.workspace(spark)}/boilerplate")
     size = found.agg(F.sum(F.size("_hashes"))).collect()[0][0] or 0
     found = F.broadcast(found) if size <= BROADCAST_HASHES else found
     marked = pages.drop("n_lines", "n_dropped").withColumn("_host", F.coalesce(host.cast("string"), F.lit(""))).join(found, "_host", "left")

@@ -269,6 +269,18 @@ def test_line_dedup(spark):
     assert [r[0] for r in urls.select(line_dedup.host_of(F.col("u"))).collect()] == ["example.org", ""]
 
 
+def test_copies_are_no_boilerplate(spark):
+    import corpus_pipeline
+
+    copied = "\n".join(["footer", *(words(900 + k, 12, 500) for k in range(5))])
+    own = [f"footer\n{words(1000 + i, 40, 500)}" for i in range(200)]
+    df = docs(spark, [copied] * 100 + own, source="h", n_chars=0)
+    lines = corpus_pipeline.line_filter(spark, df, None)
+    assert {r["doc_id"]: r["text"] for r in lines.collect()} == {i: t.removeprefix("footer\n") for i, t in enumerate([copied] * 100 + own)}
+    left = {r["doc_id"]: r["text"] for r in corpus_pipeline.near_duplicate_filter(spark, lines, None).collect()}
+    assert sorted(left) == [0, *range(100, 300)] and left[0] == copied.removeprefix("footer\n")
+
+
 # 9 ------------------------------------------------------------------------------------------------------------------------
 def test_licenses(spark):
     model = licenses.train([words(i, 12) for i in range(200)])
