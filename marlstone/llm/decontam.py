@@ -9,7 +9,8 @@ backwards at once, each step two rank queries per level. Occurrences are located
 suffix position, and the spans of words that they cover are merged by document.
 
 The benchmark goes to the executors in blocks of at most BLOCK_BYTES of text, one pass of the documents for each block;
-what a document gathers (spans, items) goes along with its row, so no block needs a shuffle.
+what a document gathers (spans, items) goes along with its row, so no block needs a shuffle. To clean, all blocks search the
+same text, then it is cut, and cut texts go through all blocks again until nothing is found: borders of blocks do not matter.
 
 Defined results: null texts have no words and no hits, and null items no phrases; an empty benchmark hits nothing; equal
 phrases of several items count for each. Repeated rows get equal results. Columns of the input stay, but for those added.
@@ -241,10 +242,9 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, bound: int):
 _ADDED = [T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("items", T.ArrayType(T.StringType()))]
 
 
-def _scan(docs: DataFrame, items: list, text_col: str, window: int, clean: bool) -> DataFrame:
-    """One pass: n_words, spans and items of each document, joined to those it brings along. With clean, the text loses its
-    spans, and what is left is searched again until nothing is found."""
-    sent = docs.sparkSession.sparkContext.broadcast(items)
+def _scan(docs: DataFrame, sent, text_col: str, window: int, clean: bool) -> DataFrame:
+    """One pass of a block: n_words, spans and items of each document, joined to those it brings along. With clean, for a
+    benchmark of one block, the text loses its spans, and what is left is searched again until nothing is found."""
     names = docs.columns
     at, more = names.index(text_col), "spans" in names
     base = [f for f in docs.schema.fields if f.name not in ("n_words", "spans", "items")]
@@ -295,15 +295,45 @@ def _scan(docs: DataFrame, items: list, text_col: str, window: int, clean: bool)
     return docs.mapInArrow(run, T.StructType([*base, *_ADDED]))
 
 
+def _cut(docs: DataFrame, text_col: str) -> DataFrame:
+    """Texts without the words of their spans."""
+    at, spans_at = docs.columns.index(text_col), docs.columns.index("spans")
+
+    def run(batches):
+        for b in batches:
+            texts = [without(t, np.array(s, np.int64)) for t, s in zip(b.column(at).to_pylist(), b.column(spans_at).to_pylist())]
+            yield b.set_column(at, b.schema.names[at], pa.array(texts, b.column(at).type))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _rounds(docs: DataFrame, search, text_col: str) -> DataFrame:
+    """Texts that all blocks hit are cut and searched by all blocks again; each round holds only what the one before has cut."""
+    added = [f.name for f in _ADDED]
+    work = common.workspace(docs.sparkSession)
+    now = common.saved(search(docs).withColumn("_first", F.struct(*added)), f"{work}/0")
+    done, i = now, 0
+    while not (hit := now.where(F.size("spans") > 0)).isEmpty():
+        i += 1
+        now = common.saved(search(_cut(hit, text_col).drop(*added)), f"{work}/{i}")
+        done = done.where(F.size("spans") == 0).unionByName(now)
+    return done.select(*docs.columns, *[F.col("_first")[c].alias(c) for c in added])
+
+
 def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, clean: bool = False) -> DataFrame:
     """docs with n_words, spans (array of [from, to) in words) and items (sorted ids as strings) of what the benchmark hits.
 
-    With clean, text has lost what is hit; spans are those of the text each pass began with."""
+    With clean, text has lost what is hit; n_words, spans and items are those of the text before."""
     common.small_batches(docs.sparkSession)
-    out = docs.drop("n_words", "spans", "items")
-    for block in _blocks(benchmark, item_col, item_text, block_bytes):
-        out = _scan(out, block, text_col, window, clean)
-    return out
+    docs = docs.drop("n_words", "spans", "items")
+    sent = [docs.sparkSession.sparkContext.broadcast(block) for block in _blocks(benchmark, item_col, item_text, block_bytes)]
+
+    def search(out):
+        for block in sent:
+            out = _scan(out, block, text_col, window, clean and len(sent) == 1)
+        return out
+
+    return _rounds(docs, search, text_col) if clean and len(sent) > 1 else search(docs)
 
 
 def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:

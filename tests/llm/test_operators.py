@@ -158,6 +158,18 @@ def test_decontamination(spark, block):
     assert decontam.find(df.where("false"), bench).count() == 0
 
 
+def test_cleaning_by_blocks(spark):
+    w = [f"w{i}" for i in range(1, 20)]
+    items = [(1, " ".join(w[:12])), (2, " ".join(w[7:])), (3, "left right"), (4, "short item")]
+    texts = [" ".join(w), f"left {' '.join(w[:12])} right", f"a left {' '.join(w)} right b", "short left short item right item c", None, "", "nothing here"]
+    df, bench = docs(spark, texts), spark.createDataFrame(items, "item_id long, text string").coalesce(1)
+    whole = sorted(map(str, decontam.find(df, bench, clean=True).collect()))
+    for block in (60, 1):
+        got = decontam.find(df, bench, block_bytes=block, clean=True).collect()
+        assert {r["doc_id"]: r["text"] and r["text"].split() for r in got} == {0: "", 1: "", 2: ["a", "b"], 3: ["c"], 4: None, 5: "", 6: ["nothing", "here"]}
+        assert sorted(map(str, got)) == whole
+
+
 # 6 ------------------------------------------------------------------------------------------------------------------------
 def test_induced_sorting_equals_plain_sorting():
     r = random.Random(1)
