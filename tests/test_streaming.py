@@ -24,3 +24,13 @@ def test_dead_letters(spark):
     assert [(r["id"], r["attempts"]) for r in retry.collect()] == [(2, 1)]
     got = dead.collect()
     assert [r["id"] for r in got] == [3] and len(got[0]["error"]) == 500
+
+
+def test_all_facts_reach_the_snapshot(spark, sf):
+    from marlstone.plans import service
+    from marlstone.sources.tables import facts
+
+    store, key = service.upserted(spark, sf), ("ticker", "metric", "fiscal_year", "fiscal_period", "accession")
+    want, got = facts(spark, sf).select(*key, "value"), store.read().select(*key, "value")
+    assert want.where("fiscal_year > 1997").count() > 0
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0 and store.state()["version"] == 2
