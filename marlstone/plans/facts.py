@@ -40,8 +40,8 @@ FROM ids a JOIN ids b ON a.ticker = b.ticker AND b.fiscal_year = a.fiscal_year -
 def upsert_latest(spark, sf_dir):
     """The first half of the facts, then all of them with changed values, written over it."""
     f = facts(spark, sf_dir).withColumn("value", F.round("value", 2))
-    old = f.where(F.col("filed") < F.lit("1995-01-01").cast("date"))
-    batch = f.where(F.col("filed") >= F.lit("1994-01-01").cast("date")).withColumn("value", F.col("value") + 1.0).withColumn("ord", F.col("accession"))
+    old = f.where(F.col("filed") < F.lit("1998-07-01").cast("date"))
+    batch = f.withColumn("value", F.col("value") + 1.0).withColumn("ord", F.col("accession"))
     return pit.upsert(old, batch).groupBy("ticker", "metric").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 

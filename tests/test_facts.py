@@ -98,3 +98,13 @@ def test_submissions(spark):
 def test_evidence_merge_keeps_last_write_and_first_place(spark):
     df = spark.createDataFrame([("a", 1, 1.0), ("b", 2, 2.0), ("a", 3, 3.0)], "id string, seq int, value double")
     assert [tuple(r) for r in evidence.merge(df).orderBy("seq").collect()] == [("a", 1, 3.0), ("b", 2, 2.0)]
+
+
+def test_upsert_latest_replaces_rows(spark, sf, monkeypatch):
+    from marlstone.plans import facts as plans
+    from marlstone.sources.tables import facts
+
+    seen, upsert = [], pit.upsert
+    monkeypatch.setattr(pit, "upsert", lambda old, batch: seen.extend((old.count(), batch.count())) or upsert(old, batch))
+    n = plans.upsert_latest(spark, sf).agg(F.sum("n")).collect()[0][0]
+    assert 0 < seen[0] < seen[1] == n == facts(spark, sf).count()
