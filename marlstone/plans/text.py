@@ -82,7 +82,7 @@ def verify_claims(s, d):
     """Statements about each customer's balance, right and slightly wrong, against the balance itself."""
     money = text.format_value(F.col("c_acctbal") * 1e6, F.lit("USD"))
     wrong = text.format_value(F.col("c_acctbal") * 1.05e6, F.lit("USD"))
-    rows = table(s, d, "customer").where("abs(c_acctbal) > 10").select("c_custkey", F.explode(F.array(F.struct(F.lit(True).alias("right"), F.concat(F.lit("The balance was "), money, F.lit(" in FY2024.")).alias("answer")), F.struct(F.lit(False).alias("right"), F.concat(F.lit("The balance was "), wrong).alias("answer")))).alias("a"), F.array(F.col("c_acctbal") * 1e6).alias("values"))
+    rows = table(s, d, "customer").select("c_custkey", F.explode(F.array(F.struct(F.lit(True).alias("right"), F.concat(F.lit("The balance was "), money, F.lit(" in FY2024.")).alias("answer")), F.struct(F.lit(False).alias("right"), F.concat(F.lit("The balance was "), wrong).alias("answer")))).alias("a"), F.array(F.col("c_acctbal") * 1e6).alias("values"))
     out = rows.select("a.right", language.verify(language.claims_udf("a.answer"), F.col("values")).alias("v"))
     return out.groupBy("right", F.col("v.status").alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
