@@ -34,3 +34,16 @@ def test_all_facts_reach_the_snapshot(spark, sf):
     want, got = facts(spark, sf).select(*key, "value"), store.read().select(*key, "value")
     assert want.where("fiscal_year > 1997").count() > 0
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0 and store.state()["version"] == 2
+
+
+def test_late_events_are_published_once(spark, tmp_path):
+    import os
+
+    # late events are told by the watermark of the batch before: the third file is older than the first two, the fourth repeats an id
+    for i, rows in enumerate(([(20, 20), (21, 30)], [(22, 40)], [(1, 1), (2, 2)], [(20, 60), (40, 61)])):
+        df = spark.createDataFrame(rows, "event_id long, day int").select("event_id", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(day)").alias("ts"), F.lit(1).cast("long").alias("user_id"), F.lit("a").alias("event_type"), F.lit(1.0).alias("value"), F.lit("{}").alias("props"))
+        df.coalesce(1).write.parquet(f"{tmp_path}/f{i}")
+        for name in os.listdir(f"{tmp_path}/f{i}"):
+            os.utime(f"{tmp_path}/f{i}/{name}", (1_700_000_000 + i * 100,) * 2)
+    ingest.run(ingest.publish_once(ingest.events_stream(spark, f"{tmp_path}/f*")), lambda b, i: b.select("event_id").write.mode("append").parquet(f"{tmp_path}/out"), f"{tmp_path}/checkpoint")
+    assert sorted(r["event_id"] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [1, 2, 20, 21, 22, 40]
