@@ -1,7 +1,7 @@
 """Byte-level BPE with a rank queue made of hierarchical bitmaps.
 
 Each pre-token is a doubly linked list of its parts. A bucket per merge rank holds the positions at which that merge is
-possible; three levels of 64-bit words mark the buckets that are not empty, and find-first-set from the top down picks the
+possible; two levels of 256-bit words mark the buckets that are not empty, and find-first-set from the top down picks the
 next rank. A merge changes two neighbouring pairs; their old entries stay in their buckets and are skipped as stale when
 they come up. A pre-token of n bytes takes O(n log n) steps at worst, so very long ones do not matter.
 
@@ -24,9 +24,12 @@ from pyspark.sql import types as T
 
 from . import common
 
-CACHE_ENTRIES = 500_000
+#: Entries of each of a task's two large caches (about 200 bytes an entry), and characters of the longest key they hold.
+REMEMBERED, LONGEST = 300_000, 64
+
+# Fixed value: the pattern whose matches never hold a blank but as their first character, unless they are blank altogether.
+BLANKS_FIRST = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-_models: dict = {}
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
 
 
@@ -36,144 +39,123 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class RankQueue:
-    """Buckets of positions by rank; pop() gives the leftmost position of the lowest rank."""
+    """Buckets of positions by rank under two levels of bitmaps: a leaf word of 256 bits marks the ranks with entries, a bit of
+    the top word marks a leaf that isn't 0. The lowest rank is found by find-first-set in the top word and in its leaf."""
 
-    def __init__(self, n_ranks: int):
-        self.leaf = [0] * ((n_ranks >> 6) + 1)
-        self.mid = [0] * ((n_ranks >> 12) + 1)
-        self.top = 0
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks, self.leaf = ranks, [0] * ((max(ranks.values()) >> 8) + 1)
+        self.two = {(*k,): v for k, v in ranks.items() if len(k) == 2}
         self.buckets: dict[int, list[int]] = {}
 
-    def mark(self, rank: int) -> None:
-        """Mark the upper levels for a bucket whose leaf bit is set."""
-        self.mid[rank >> 12] |= 1 << (rank >> 6 & 63)
-        self.top |= 1 << (rank >> 12)
-
-    def push(self, rank: int, pos: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [pos]
-            self.leaf[rank >> 6] |= 1 << (rank & 63)
-            self.mark(rank)
-        else:
-            heappush(bucket, pos)
-
-    def pop(self) -> tuple[int, int]:
-        t = (self.top & -self.top).bit_length() - 1
-        m = self.mid[t]
-        i = t << 6 | (m & -m).bit_length() - 1
-        w = self.leaf[i]
-        rank = i << 6 | (w & -w).bit_length() - 1
-        bucket = self.buckets[rank]
-        if len(bucket) > 1:
-            return rank, heappop(bucket)
-        pos = self.buckets.pop(rank)[0]
-        self.leaf[i] = w = w & (w - 1)
-        if not w:
-            self.mid[t] = m = m & (m - 1)
-            if not m:
-                self.top &= self.top - 1
-        return rank, pos
-
-
-class Model:
-    """Ranks, the queue and the caches of one worker."""
-
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks = ranks
-        self.find = regex.compile(pattern).findall
-        self.queue = RankQueue(max(ranks.values()) + 1)
-        self.tokens: dict[str, bytes] = {}
-        self.opening: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
-
     def merge(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token."""
-        ranks, queue, n = self.ranks, self.queue, len(piece)
-        if (whole := ranks.get(piece)) is not None:
-            return [whole]
+        """Ids of one pre-token. The queue is empty before and after."""
+        n, leaf, buckets, ranks, get, top = len(piece), self.leaf, self.buckets, self.ranks, self.ranks.get, 0
         nxt, prv = list(range(1, n + 2)), list(range(-1, n))
-        pair = [-1] * (n + 1)  # the rank of merging the part at a position with the next one; -1: none, or no part here
-        get, buckets, leaf, pop, mark = ranks.get, queue.buckets, queue.leaf, queue.pop, queue.mark
-        for i in range(n - 1):
-            if (r := get(piece[i : i + 2])) is not None:
-                pair[i] = r
+        pair = list(map(self.two.get, zip(piece, piece[1:])))  # the rank of merging the part at a position with the next one, if any
+        pair += (None, None)
+        for i, r in enumerate(pair):
+            if r is not None:
                 if r in buckets:
                     buckets[r].append(i)  # positions only grow here: still a heap
                 else:
                     buckets[r] = [i]
-                    leaf[r >> 6] |= 1 << (r & 63)
-                    mark(r)
-        while queue.top:
-            rank, i = pop()
+                    leaf[r >> 8] |= 1 << (r & 255)
+                    top |= 1 << (r >> 8)
+        while top:
+            t = (top & -top).bit_length() - 1
+            w = leaf[t]
+            rank = t << 8 | (w & -w).bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
+                del buckets[rank]
+                leaf[t] = w = w & (w - 1)
+                if not w:
+                    top &= top - 1
             if pair[i] != rank:
                 continue  # stale
             j = nxt[i]
             k = nxt[i] = nxt[j]
             prv[k] = i
-            pair[i] = pair[j] = -1
-            if k < n and (r := get(piece[i : nxt[k]])) is not None:
-                pair[i] = r
-                queue.push(r, i)
+            pair[j] = None
+            pair[i] = r = get(piece[i : nxt[k]]) if k < n else None
+            if r is not None:
+                if r in buckets:
+                    heappush(buckets[r], i)
+                else:
+                    buckets[r] = [i]
+                    leaf[r >> 8] |= 1 << (r & 255)
+                    top |= 1 << (r >> 8)
             if i:
                 h = prv[i]
-                if (r := get(piece[h:k])) is None:
-                    pair[h] = -1
-                else:
-                    pair[h] = r
-                    queue.push(r, h)
+                pair[h] = r = get(piece[h:k])
+                if r is not None:
+                    if r in buckets:
+                        heappush(buckets[r], h)
+                    else:
+                        buckets[r] = [h]
+                        leaf[r >> 8] |= 1 << (r & 255)
+                        top |= 1 << (r >> 8)
         out, i = [], 0
         while i < n:
             out.append(ranks[piece[i : nxt[i]]])
             i = nxt[i]
         return out
 
+
+class Blank(Exception):
+    """A stretch is empty, or begins or ends with white space."""
+
+
+class Model:
+    """Ranks, the queue and the caches of one task."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = REMEMBERED):
+        self.ranks, self.queue = ranks, RankQueue(ranks)
+        self.find = regex.compile(pattern).findall
+        self.tokens = common.Cache(self._token, remembered, LONGEST)
+        self.opening = common.Cache(self._stretch, remembered // 8, LONGEST)
+        self.spaced = common.Cache(lambda w: self._stretch(w, " "), remembered, LONGEST)
+        self.by_stretch = pattern == BLANKS_FIRST
+
+    def merge(self, piece: bytes) -> list[int]:
+        """Ids of one pre-token."""
+        whole = self.ranks.get(piece)
+        return self.queue.merge(piece) if whole is None else [whole]
+
+    def _token(self, piece: str) -> bytes:
+        ids = self.merge(piece.encode("utf-8"))
+        return _PACK[len(ids)](*ids) if len(ids) < 64 else np.array(ids, "<u4").tobytes()
+
+    def _stretch(self, w: str, before: str = "") -> bytes:
+        if not w or w[0].isspace() or w[-1].isspace():
+            raise Blank
+        return self.by_pattern(before + w)
+
     def by_pattern(self, text: str) -> bytes:
-        tokens, out = self.tokens, []
-        for p in self.find(text):
-            got = tokens.get(p)
-            if got is None:
-                if len(tokens) > CACHE_ENTRIES:
-                    tokens.clear()
-                got = tokens[p] = _PACK[len(ids)](*ids) if len(ids := self.merge(p.encode("utf-8"))) < 64 else np.array(ids, "<u4").tobytes()
-            out.append(got)
-        return b"".join(out)
+        return b"".join(map(self.tokens.__getitem__, self.find(text)))
 
     def encode(self, text: str) -> bytes:
-        """Ids of a text. Where single spaces and line ends stand between other characters, the pattern always begins a new
-        match, so the stretches between them are encoded one by one through caches; any other text goes through the pattern."""
-        lines = [line.split(" ") for line in text.split("\n")]
-        opening, spaced = self.opening, self.spaced
-        new_first = {x[0] for x in lines if x[0] not in opening}
-        new_rest = {w for x in lines for w in x[1:] if w not in spaced}
-        for w in (*new_first, *new_rest):
-            if not w or w[0].isspace() or w[-1].isspace():
-                return self.by_pattern(text)
-        if len(opening) + len(spaced) > CACHE_ENTRIES:
-            opening.clear()
-            spaced.clear()
-            new_first, new_rest = {x[0] for x in lines}, {w for x in lines for w in x[1:]}
-        for w in new_first:
-            opening[w] = self.by_pattern(w)
-        for w in new_rest:
-            spaced[w] = self.by_pattern(" " + w)
-        out, line_end = [], self.by_pattern("\n")
-        for words in lines:
-            out.append(opening[words[0]])
-            out.extend(map(spaced.__getitem__, words[1:]))
-            out.append(line_end)
+        """Ids of a text. Where single spaces and line ends stand between other characters, BLANKS_FIRST always begins a new
+        match, so the stretches between them are encoded one by one through caches; any other text or pattern goes whole."""
+        if not self.by_stretch:
+            return self.by_pattern(text)
+        opening, spaced, line_end = self.opening, self.spaced.__getitem__, self.by_pattern("\n")
+        out: list[bytes] = []
+        try:
+            for line in text.split("\n"):
+                words = iter(line.split(" "))
+                out.append(opening[next(words)])
+                out.extend(map(spaced, words))
+                out.append(line_end)
+        except Blank:
+            return self.by_pattern(text)
         out.pop()
         return b"".join(out)
 
 
-def _model(ranks: dict[bytes, int], pattern: str) -> Model:
-    key = (len(ranks), pattern, hash(frozenset(ranks)))
-    if key not in _models:
-        _models.clear()
-        _models[key] = Model(ranks, pattern)
-    return _models[key]
-
-
 def _parts(ranks: dict[bytes, int]) -> list[bytes]:
     parts = [b""] * (max(ranks.values()) + 1)
     for k, v in ranks.items():
@@ -185,25 +167,34 @@ def _decoded(ids: list[bytes], parts: list[bytes]) -> list[bytes]:
     return [b"".join(map(parts.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in ids]
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", back: bool = False) -> DataFrame:
-    """docs with the column ids: the ids of each whole text as little-endian unsigned 32-bit integers. With back also decoded, the
-    bytes that decode() gives for them, from the same pass (and the same Python worker, which holds the caches only once)."""
+#: What encode() can add besides the ids: the bytes that decode() gives for them, or whether those are the text.
+BACK = {"": (), "decoded": (("decoded", T.BinaryType(), pa.binary()),), "round_trip": (("round_trip", T.BooleanType(), pa.bool_()),)}
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", back: str = "", remembered: int = REMEMBERED) -> DataFrame:
+    """docs with the column ids: the ids of each whole text as little-endian unsigned 32-bit integers. With back ("decoded" or
+    "round_trip") also a column of that name, from the same pass; caches live as long as their task
+    and hold `remembered` entries each at most, which changes speed only."""
     spark = docs.sparkSession
     common.small_batches(spark)
     sent = spark.sparkContext.broadcast(load_ranks(ranks_path))
-    added = ["ids", "decoded"] if back else ["ids"]
-    kept = docs.drop(*added)
+    added = (("ids", T.BinaryType(), pa.binary()), *BACK[back])
+    kept = docs.drop(*(name for name, _, _ in added))
     at = kept.columns.index(text_col)
 
     def run(batches):
-        model = parts = None
+        model, parts = Model(sent.value, pattern, remembered), _parts(sent.value)
         for b in batches:
-            model, parts = model or _model(sent.value, pattern), parts or _parts(sent.value)
-            ids = [model.encode(t or "") for t in b.column(at).to_pylist()]
-            new = [ids, _decoded(ids, parts)] if back else [ids]
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x, pa.binary()) for x in new)], [*b.schema.names, *added])
+            texts = b.column(at).to_pylist()
+            new = [[model.encode(t or "") for t in texts]]
+            if back == "decoded":
+                new.append(_decoded(new[0], parts))
+            elif back:
+                new.append([_decoded([x], parts)[0] == (t or "").encode("utf-8") for x, t in zip(new[0], texts)])
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x, kind) for x, (_, _, kind) in zip(new, added))], [*b.schema.names, *(name for name, _, _ in added)])
+            del b, texts, new
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *(T.StructField(x, T.BinaryType()) for x in added)]))
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *(T.StructField(name, kind) for name, kind, _ in added)]))
 
 
 def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
@@ -227,7 +218,7 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = common.table(spark, sf_dir, "documents").select("doc_id", common.text_of(None).alias("text"))
-    return encode(docs, path, public_tokenizers.PATTERN, back=True).select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return encode(docs, path, public_tokenizers.PATTERN, back="decoded").select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 QUERIES = {"op2_byte_bpe": op2_byte_bpe}

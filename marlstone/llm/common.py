@@ -9,6 +9,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+class Cache(dict):
+    """learn(key) by key. At most `most` entries, those met again and the newest; keys longer than `longest` are learnt each time."""
+
+    def __init__(self, learn, most: int, longest: int = 1 << 30):
+        super().__init__()
+        self.learn, self.half, self.longest, self.old = learn, most // 2, longest, {}
+
+    def __missing__(self, key):
+        got = self.old.get(key)
+        if got is None:
+            got = self.learn(key)
+            if len(key) > self.longest:
+                return got
+        if len(self) >= self.half:
+            self.old = dict(self)
+            self.clear()
+        self[key] = got
+        return got
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a temporary one is made only where that is unset (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

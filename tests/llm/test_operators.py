@@ -85,17 +85,38 @@ def test_bpe_equals_tiktoken(spark):
     for row in df.collect():
         text = texts[row["doc_id"]] or ""
         assert np.frombuffer(row["ids"], "<u4").tolist() == enc.encode_ordinary(text) and bytes(row["decoded"]) == text.encode()
-    same = bpe.encode(docs(spark, texts), BYTE, P.PATTERN, back=True).select("doc_id", "ids", "decoded")
+    same = bpe.encode(docs(spark, texts), BYTE, P.PATTERN, back="decoded", remembered=50).select("doc_id", "ids", "decoded")
     assert same.exceptAll(df.select("doc_id", "ids", "decoded")).count() == 0
     assert bpe.encode(docs(spark, ["x"]).where("false"), BYTE, P.PATTERN).count() == 0
 
 
-def test_rank_queue_order():
-    q, r = bpe.RankQueue(50_256), random.Random(1)
-    items = [(r.randrange(50_256), r.randrange(1000)) for _ in range(2000)]
-    for x in items:
-        q.push(*x)
-    assert [q.pop() for _ in items] == sorted(items) and q.top == 0 and not any(q.leaf) and not any(q.mid)
+def test_rank_queue_merges_in_order_and_ends_empty():
+    ranks, r = bpe.load_ranks(BYTE), random.Random(1)
+    q = bpe.RankQueue(ranks)
+
+    def plain(piece):
+        parts = [piece[i : i + 1] for i in range(len(piece))]
+        while True:
+            got = [(ranks.get(a + b, 1 << 30), i) for i, (a, b) in enumerate(zip(parts, parts[1:]))]
+            if not got or min(got)[0] == 1 << 30:
+                return [ranks[x] for x in parts]
+            i = min(got)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+    for _ in range(500):
+        piece = bytes(r.choice(b"abethe ning\xc3\xa9") for _ in range(r.randrange(1, 40)))
+        assert q.merge(piece) == plain(piece) and not q.buckets and not any(q.leaf)
+
+
+def test_another_pattern_goes_whole_and_caches_stay_small(spark):
+    got = bpe.Model(bpe.load_ranks(BYTE), r"\s+|\S", 20)
+    text = " ".join(words(i, 30) for i in range(20))
+    assert got.encode(text) == got.by_pattern(text) and not got.by_stretch
+    own = bpe.Model(bpe.load_ranks(BYTE), P.PATTERN, 20)
+    assert own.by_stretch and own.encode(text) == own.by_pattern(text)
+    assert max(len(c) + len(c.old) for c in (own.tokens, own.spaced)) <= 21
+    flags = bpe.encode(docs(spark, TEXTS), BYTE, P.PATTERN, back="round_trip").select("round_trip").distinct().collect()
+    assert [x[0] for x in flags] == [True]
 
 
 # 3 and 5 ------------------------------------------------------------------------------------------------------------------
