@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from marlstone.llm import bpe, common, decontam, line_dedup, minhash, quality
 
 BROADCAST_IDS = 1_000_000
+#: Entries of the encoder's caches: the stages before leave less memory than the encoder has alone.
+REMEMBERED = 150_000
 
 #: SQL has no compression, no MinHash and no BPE: the stages are tested one by one against plain Python instead.
 ORACLE_SQL = None
@@ -53,9 +55,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    ids = bpe.encode(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN, back=True)
-    same = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return ids.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
+    ids = bpe.encode(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN, back="round_trip", remembered=REMEMBERED)
+    return ids.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "round_trip")
 
 
 STAGES = [("quality", quality_filter), ("line_dedup", line_filter), ("near_dedup", near_duplicate_filter), ("decontaminate", decontaminate), ("encode", encode)]
