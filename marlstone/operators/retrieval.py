@@ -1,42 +1,73 @@
-"""Retrieval over passages (scope, doc, text): BM25, cosine, reciprocal rank fusion, removal of repeats.
+"""Retrieval over passages (scope, doc, text): BM25, cosine, reciprocal rank fusion, removal of repeats, searches with evidence.
 
-Statistics are per scope. Queries are (query, scope, text); all of them are answered in one job: their terms are joined to the
-postings, so only postings of terms that are asked for are read into the score. Scores are rounded to 9 places before ranking,
-which makes ties independent of the order of sums; ties go to the smaller doc.
+The index is a table with a row per passage: its length and its distinct terms with their counts, made in one pass without a
+shuffle. get_index() keeps it in a folder, so that searches read it and tokenise only the query. Statistics are per scope. Queries
+are (query, scope, text); all of them are answered in one job. Scores are rounded to 9 places before ranking, which makes ties
+independent of the order of sums; ties go to the smaller doc.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marlstone.functions.text import analyze, fold
+from marlstone.functions.language import claims_udf
+from marlstone.functions.text import analyze, excerpt, first_sentence, fold
 
 K1, B = 1.5, 0.75
+#: Terms that are asked for are sent to all tasks up to so many; beyond, they are joined by a shuffle.
+BROADCAST_TERMS = 1_000_000
+#: Bytes of query vectors that a task holds at once.
+QUERY_BYTES = 32 << 20
 
 
-def index(passages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Postings (scope, term, doc, tf, dl) and scopes (scope, n, avgdl)."""
-    docs = passages.select("scope", "doc", analyze(F.col("text")).alias("terms")).withColumn("dl", F.size("terms"))
-    post = docs.select("scope", "doc", "dl", F.explode("terms").alias("term")).groupBy("scope", "term", "doc").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-    scopes = docs.groupBy("scope").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    return post, scopes
+def index(passages: DataFrame) -> DataFrame:
+    """(scope, doc, dl, terms): the number of a passage's terms, and each distinct one with its count."""
+    words = passages.select("scope", "doc", F.array_sort(analyze(F.col("text"))).alias("w")).withColumn("dl", F.size("w"))
+    first = F.filter(F.sequence(F.lit(0), F.col("dl") - 1), lambda i: (i == 0) | (F.get("w", i) != F.get("w", i - 1)))
+    starts = words.withColumn("s", F.when(F.col("dl") > 0, first).otherwise(F.array().cast("array<int>")))
+    runs = F.transform("s", lambda at, j: F.struct(F.get("w", at).alias("term"), (F.coalesce(F.get("s", j + 1), F.col("dl")) - at).alias("tf")))
+    return starts.select("scope", "doc", "dl", runs.alias("terms"))
 
 
-def idf(post: DataFrame, scopes: DataFrame) -> DataFrame:
+def get_index(passages: DataFrame, path: str) -> DataFrame:
+    """The index kept at path, made from passages where there is none."""
+    spark = passages.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        index(passages).write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return spark.read.parquet(path)
+
+
+def scopes(idx: DataFrame) -> DataFrame:
+    """(scope, n, avgdl)."""
+    return idx.groupBy("scope").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+
+
+def postings(idx: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """(scope, term, doc, tf, dl), of the terms (scope, term) that are asked for, if any are given."""
+    post = idx.select("scope", "doc", "dl", F.inline("terms"))
+    return post if asked is None else post.join(asked, ["scope", "term"], "left_semi")
+
+
+def idf(post: DataFrame, per_scope: DataFrame) -> DataFrame:
     """(scope, term, df, idf)."""
     df = post.groupBy("scope", "term").agg(F.count(F.lit(1)).alias("df"))
-    return df.join(F.broadcast(scopes), "scope").select("scope", "term", "df", F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    return df.join(per_scope, "scope").select("scope", "term", "df", F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
-def bm25(passages: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def bm25(idx: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query, doc, score, rank) of the k best passages of each query's scope, scores above 0 only."""
-    post, scopes = index(passages)
     asked = queries.select("query", "scope", F.explode(F.array_distinct(analyze(F.col("text")))).alias("term"))
-    wanted = post.join(asked.select("scope", "term").distinct(), ["scope", "term"], "left_semi")
+    terms = asked.select("scope", "term").distinct()
+    few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    post, per_scope = postings(idx, F.broadcast(terms) if few else terms), scopes(idx)
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.greatest(F.col("avgdl"), F.lit(1e-12))))
-    weighed = wanted.join(idf(wanted, scopes), ["scope", "term"]).join(F.broadcast(scopes.select("scope", "avgdl")), "scope").select("scope", "term", "doc", weight.alias("w"))
-    scored = asked.join(weighed, ["scope", "term"]).groupBy("query", "doc").agg(F.round(F.sum("w"), 9).alias("score")).where("score > 0")
+    known = idf(post, per_scope).join(per_scope.select("scope", "avgdl"), "scope")  # a row per term that is asked for
+    both = asked.join(known, ["scope", "term"])
+    scored = post.join(F.broadcast(both) if few else both, ["scope", "term"]).groupBy("query", "doc").agg(F.round(F.sum(weight), 9).alias("score")).where("score > 0")
     return top(scored, k)
 
 
@@ -45,23 +76,46 @@ def top(scored: DataFrame, k: int, by: str = "query") -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def unit(vector):
-    """A vector divided by its length; zero vectors stay."""
-    v = F.transform(vector, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(v, lambda x: x / F.when(norm == 0, 1.0).otherwise(norm))
-
-
-def dot(a, b):
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
 def dense(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query, doc, score, rank) of the k nearest of vectors (doc, v) to each of queries (query, v): a stated query set against all
-    rows. The queries go to every task as one array per row, so no pair of rows is built and each row is read once."""
-    q = queries.select("query", unit(F.col("v")).alias("qv")).agg(F.collect_list(F.struct("query", "qv")).alias("qs"))  # the caller's queries
-    each = vectors.select("doc", unit(F.col("v")).alias("dv")).join(F.broadcast(q)).select("doc", F.explode(F.transform("qs", lambda x: F.struct(x["query"].alias("query"), F.round(dot(x["qv"], F.col("dv")), 9).alias("score")))).alias("s"))
-    return top(each.select("s.query", "doc", "s.score"), k)
+    """(query, doc, score, rank) of the k rows of vectors (doc, v) nearest by cosine to each of queries (query, v): a stated query set
+    against all rows, in blocks of QUERY_BYTES. A block goes to every task; there it meets each Arrow batch in one matrix product,
+    and k rows per query leave the task. Zero vectors are at 0 from all; null vectors are left out."""
+    spark = vectors.sparkSession
+    asked = queries.where(F.col("v").isNotNull()).select(F.col("query").cast("long").alias("query"), F.col("v").cast("array<double>").alias("v"))
+    n, dim = asked.agg(F.count(F.lit(1)), F.max(F.size("v"))).collect()[0]
+    blocks = max(1, -(-(n * (dim or 1) * 8) // QUERY_BYTES))
+    numbered = asked.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)))
+    rows = vectors.where(F.col("v").isNotNull()).select(F.col("doc").cast("long").alias("doc"), F.col("v").cast("array<double>").alias("v"))
+
+    def nearest(part: DataFrame) -> DataFrame:
+        got = part.collect()  # QUERY_BYTES at most
+        sent = spark.sparkContext.broadcast((np.array([r["query"] for r in got], np.int64), unit(np.array([r["v"] for r in got], float).reshape(len(got), -1))))
+
+        def run(batches):
+            names, q = sent.value
+            score, doc = np.zeros((len(names), 0)), np.zeros((len(names), 0), np.int64)
+            for b in batches:
+                if not (b.num_rows and len(names)):
+                    continue
+                v = unit(b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1))
+                score = np.hstack([score, np.round(q @ v.T, 9) + 0.0])
+                doc = np.hstack([doc, np.broadcast_to(b.column(0).to_numpy(), (len(names), b.num_rows))])
+                best = np.lexsort((doc, -score), axis=-1)[:, :k]
+                score, doc = np.take_along_axis(score, best, 1), np.take_along_axis(doc, best, 1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, doc.shape[1])), pa.array(doc.ravel()), pa.array(score.ravel())], ["query", "doc", "score"])
+
+        return rows.mapInArrow(run, "query long, doc long, score double")
+
+    found = nearest(numbered.where("block = 0").drop("block"))
+    for i in range(1, blocks):
+        found = found.unionByName(nearest(numbered.where(F.col("block") == i).drop("block")))
+    return top(found, k)
+
+
+def unit(rows: np.ndarray) -> np.ndarray:
+    """Rows divided by their lengths; zero rows stay."""
+    length = np.sqrt((rows * rows).sum(1, keepdims=True))
+    return rows / np.where(length == 0, 1.0, length)
 
 
 def fuse(rankings: list[DataFrame], k: int = 60) -> DataFrame:
@@ -74,16 +128,28 @@ def fuse(rankings: list[DataFrame], k: int = 60) -> DataFrame:
 
 def dedupe(ranked: DataFrame, passages: DataFrame, k: int) -> DataFrame:
     """The first of each query's hits with equal folded text, cut to k and ranked anew."""
-    text = ranked.join(passages.select("doc", "text"), "doc")
-    first = text.withColumn("_n", F.row_number().over(Window.partitionBy("query", F.xxhash64(fold(F.col("text"))), fold(F.col("text"))).orderBy("rank"))).where("_n = 1")
+    text = ranked.join(passages.select("doc", F.sha2(fold(F.col("text")).cast("binary"), 256).alias("_text")), "doc")
+    first = text.withColumn("_n", F.row_number().over(Window.partitionBy("query", "_text").orderBy("rank"))).where("_n = 1")
     return first.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("rank"))).where(F.col("rank") <= k).select("query", "doc", "score", "rank")
 
 
-def search(passages: DataFrame, queries: DataFrame, k: int, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None) -> DataFrame:
-    """Hybrid search: lists of depth max(8k, 20), fused, repeats dropped, cut to k. Without vectors BM25 alone is fused."""
+def search(passages: DataFrame, idx: DataFrame, queries: DataFrame, k: int, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None) -> DataFrame:
+    """Hybrid search: lists of depth max(8k, 20), fused, repeats dropped, cut to k. Without vectors BM25 alone is fused; vectors know
+    no scopes, so their hits may come from any."""
     depth = max(8 * k, 20)
-    lists = [bm25(passages, queries, depth)]
+    lists = [bm25(idx, queries, depth)]
     if vectors is not None:
         lists.append(dense(vectors, query_vectors, depth))
     fused = fuse(lists).where(F.col("rank") <= 2 * k)
     return dedupe(fused, passages, k)
+
+
+def filing_search(passages: DataFrame, idx: DataFrame, questions: DataFrame, k: int = 3) -> DataFrame:
+    """(question, scope, doc, rank, excerpt, finding, quoted): for questions (question, scopes, text), k passages of the one scope a
+    question names, or k - 1 (one at least) of each of several; quoted are the numbers in an excerpt, the evidence's values."""
+    each = questions.select("question", F.size("scopes").alias("n"), F.explode("scopes").alias("scope"), "text").withColumn("query", F.concat_ws("|", F.col("question").cast("string"), "scope"))
+    hits = search(passages, idx, each.select("query", "scope", "text"), k)
+    most = F.when(F.col("n") > 1, F.greatest(F.lit(1), F.lit(k - 1))).otherwise(k)
+    kept = hits.join(each, "query").where(F.col("rank") <= most).join(passages.select("doc", F.col("text").alias("passage")), "doc")
+    shown = kept.select("question", "scope", "doc", "rank", excerpt(F.col("passage"), F.col("text")).alias("excerpt"))
+    return shown.select("*", first_sentence(F.col("excerpt")).alias("finding"), F.transform(claims_udf("excerpt"), lambda c: c["value"]).alias("quoted"))

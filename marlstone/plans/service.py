@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
 from marlstone.operators import evidence, metrics, pit
 from marlstone.plans.facts import _LATEST
-from marlstone.sources.tables import facts, facts_sql, table
+from marlstone.sources.tables import facts, facts_sql, shared_dir, table
 from marlstone.streaming import ingest
 
 BOUNDS = [10.0, 25.0, 50.0, 75.0, 100.0, 150.0, 250.0]
@@ -21,12 +21,7 @@ def _events(s, d):
 
 def _work(spark) -> str:
     """A new folder in the shared one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if root:
-        import uuid
-
-        return f"{root.rstrip('/')}/streams/{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="marlstone-streams-")
+    return f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
 
 
 def stream_window_counts(s, d):

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from marlstone.functions import language, text
 from marlstone.operators import retrieval
-from marlstone.sources.tables import passages, table
+from marlstone.sources.tables import passages, shared_dir, table
 
 K = 5
 
@@ -26,11 +28,22 @@ def _terms(col: str) -> str:
 _FOLD = "trim(regexp_replace(lower({}), '\\s+', ' ', 'g'))"
 
 
+LANGUAGES = ["en", "fr", "de", "es"]
+
+
 def _queries(s, d):
-    """Benchmark texts as questions, each to the scope of one language."""
-    langs = ["en", "fr", "de", "es"]
-    scope = F.array(*map(F.lit, langs))[(F.col("item_id") % 4).cast("int")]
-    return table(s, d, "benchmark").select(F.col("item_id").alias("query"), scope.alias("scope"), "text")
+    """Benchmark texts as questions, each to the scope of every language."""
+    each = table(s, d, "benchmark").select("item_id", F.explode(F.array(*map(F.lit, LANGUAGES))).alias("scope"), "text")
+    return each.select(F.concat_ws("|", F.col("item_id").cast("string"), "scope").alias("query"), "scope", "text")
+
+
+def _index(s, d):
+    """The index of the passages, kept in the shared folder for as long as the application runs."""
+    return retrieval.get_index(passages(s, d), f"{shared_dir(s)}/index/{s.sparkContext.applicationId}/{hashlib.sha256(d.encode()).hexdigest()[:16]}")
+
+
+def _ranked(df):
+    return df.select("query", "doc", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 _INDEX = f"""docs AS (SELECT doc_id AS doc, lang AS scope, {_terms('text')} AS terms FROM documents),
@@ -38,7 +51,9 @@ len AS (SELECT doc, scope, len(terms) AS dl FROM docs),
 scopes AS (SELECT scope, count(*) AS n, avg(dl) AS avgdl FROM len GROUP BY scope),
 post AS (SELECT scope, term, doc, count(*) AS tf FROM (SELECT scope, doc, unnest(terms) AS term FROM docs) GROUP BY ALL),
 idf AS (SELECT scope, term, count(*) AS df, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM post JOIN scopes USING (scope) GROUP BY scope, term)"""
-_ASKED = f"""asked AS (SELECT DISTINCT item_id AS query, ['en', 'fr', 'de', 'es'][item_id % 4 + 1] AS scope, unnest({_terms('text')}) AS term FROM benchmark),
+_EACH = f"""each AS (SELECT item_id, item_id || '|' || scope AS query, scope, text FROM benchmark, (SELECT unnest({_sql_list(LANGUAGES)}) AS scope))"""
+_ASKED = f"""{_EACH},
+asked AS (SELECT DISTINCT query, scope, unnest({_terms('text')}) AS term FROM each),
 scored AS (SELECT query, doc, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) AS score
   FROM asked JOIN idf USING (scope, term) JOIN post USING (scope, term) JOIN len USING (doc, scope) JOIN scopes USING (scope) GROUP BY query, doc),
 bm25 AS (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM scored WHERE score > 0)"""
@@ -58,15 +73,57 @@ nearest AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC,
 
 
 def rrf_hybrid(s, d):
-    """Two rankings of each query, by BM25 and by length of the passage, fused."""
-    a = retrieval.bm25(passages(s, d), _queries(s, d), 20)
-    b = a.join(passages(s, d).select("doc", F.length("text").alias("n")), "doc").select("query", "doc", (-F.col("n")).cast("double").alias("score"))
-    return retrieval.fuse([a, retrieval.top(b, 20)]).where(F.col("rank") <= K)
+    """Two rankings of each question fused: by its terms, and by those of its first ten words."""
+    short = _queries(s, d).withColumn("text", F.array_join(F.slice(F.split("text", " "), 1, 10), " "))
+    idx = _index(s, d)
+    return retrieval.fuse([retrieval.bm25(idx, _queries(s, d), 20), retrieval.bm25(idx, short, 20)]).where(F.col("rank") <= K)
 
 
 def hybrid_search(s, d):
     """BM25 search of the whole pipeline: depth, fusion, removal of repeats."""
-    return retrieval.search(passages(s, d), _queries(s, d), 3)
+    return retrieval.search(passages(s, d), _index(s, d), _queries(s, d), 3)
+
+
+def _vector_texts(s, d):
+    """Every hundredth vector's document as a question by text and by vector; documents beside their vectors by id."""
+    asked = table(s, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("v"))
+    texts = table(s, d, "documents").join(asked, F.col("doc_id") == F.col("query")).select("query", F.col("lang").alias("scope"), "text")
+    return texts, asked
+
+
+def hybrid_dense(s, d):
+    """Terms and vectors fused: documents that stand in embeddings under their id, asked for by every hundredth of them."""
+    texts, asked = _vector_texts(s, d)
+    return retrieval.search(passages(s, d), _index(s, d), texts, 3, _vectors(s, d), asked)
+
+
+def _questions(s, d):
+    """Benchmark texts: odd ones ask English passages, even ones those of all languages."""
+    many = F.array(*map(F.lit, LANGUAGES))
+    return table(s, d, "benchmark").select(F.col("item_id").alias("question"), F.when(F.col("item_id") % 2 == 1, F.array(F.lit("en"))).otherwise(many).alias("scopes"), "text")
+
+
+def filing_search(s, d):
+    got = retrieval.filing_search(passages(s, d), _index(s, d), _questions(s, d))
+    return got.select("question", "scope", "doc", F.col("rank").cast("long").alias("rank"), "excerpt", "finding")
+
+
+def filing_evidence(s, d):
+    """What the excerpts of filing_search quote."""
+    return retrieval.filing_search(passages(s, d), _index(s, d), _questions(s, d)).select("question", "scope", "doc", F.explode_outer("quoted").alias("value"))
+
+
+_SCORED = _ASKED[_ASKED.index("(SELECT DISTINCT query") :]
+_FOLDED = f"""r AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS k FROM f),
+o AS (SELECT query, doc, k, row_number() OVER (PARTITION BY query, {_FOLD.format('text')} ORDER BY k) AS same FROM r JOIN documents ON doc = doc_id WHERE k <= 6),
+o2 AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY k) AS rank FROM o WHERE same = 1)"""
+_EXCERPT = f"""squeezed AS (SELECT *, trim(regexp_replace(p, '\\s+', ' ', 'g')) AS whole FROM hits),
+parts AS (SELECT *, string_split(regexp_replace(whole, '([.;:]) ', '\\1' || chr(1), 'g'), chr(1)) AS ps, list_distinct({_terms('q')}) AS wanted FROM squeezed),
+counted AS (SELECT *, list_transform(ps, lambda p1: len(list_intersect(list_distinct({_terms('p1')}), wanted))) AS shared FROM parts),
+placed AS (SELECT *, list_position(shared, list_max(shared)) AS best FROM counted),
+led AS (SELECT *, array_to_string(ps[best:], ' ') AS rest, CASE WHEN best > 1 THEN '...' ELSE '' END AS lead FROM placed),
+cut AS (SELECT *, CASE WHEN length(whole) <= 600 THEN whole WHEN length(rest) <= 600 - length(lead) THEN lead || rest ELSE lead || regexp_replace(rest[1:597 - length(lead)], ' [^ ]*$', '') || '...' END AS excerpt FROM led)"""
+_FIRST = "regexp_replace(string_split(regexp_replace(excerpt, '^\\.\\.\\.', ''), '. ')[1], '\\.+$', '')"
 
 
 def _turns(s, d):
@@ -78,6 +135,26 @@ def chunk_documents(s, d):
     return got.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.max(F.length("chunk")).alias("longest"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "chunk"))), lambda x: x["chunk"]), "\n").cast("binary")).alias("md5"))
 
 
+# Invented names for shares: the regions, two of which go by another name.
+REGIONS, ALIASES = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"], {"new world": "AMERICA", "old world": "EUROPE"}
+
+
+def _orders(s, d):
+    """A sentence per customer with shares of its own region and of another."""
+    where = table(s, d, "nation").join(table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
+    k = F.col("c_custkey")
+    words = F.concat(F.lit("Put "), (k % 90 + 5).cast("string"), F.lit("% in "), F.col("r_name"), F.lit(", "), (k % 7).cast("string"), F.lit(".5 % of the New World, 1% of what is LASIA, and then 10% "), F.col("r_name"))
+    return table(s, d, "customer").join(F.broadcast(where), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", words.alias("q"))
+
+
+def extract_claims(s, d):
+    """The numbers in a sentence about each order, between others that are no claims."""
+    price = F.col("o_totalprice")
+    told = F.concat(F.lit("FY2024 order [o:1] of 1996-01-02 came to $"), F.format_number(price, 2), F.lit(", -"), F.format_string("%.1f", price / 1000), F.lit("k or "), F.format_string("%.0f", price / 100), F.lit("% (Item 7, 10-K), 2.5x of Q3.")).alias("t")
+    got = table(s, d, "orders").select("o_orderkey", language.claims_udf(told).alias("c")).select("o_orderkey", F.posexplode("c").alias("pos", "c"))
+    return got.select("o_orderkey", F.col("pos").cast("long").alias("pos"), "c.kind", F.round("c.value", 4).alias("value"), F.round("c.tolerance", 6).alias("tolerance"))
+
+
 def verify_claims(s, d):
     """Statements about each customer's balance, right and slightly wrong, against the balance itself."""
     money = text.format_value(F.col("c_acctbal") * 1e6, F.lit("USD"))
@@ -110,15 +187,21 @@ def _m(p: str) -> str:
 QUERIES = {
     "analyze_terms": lambda s, d: table(s, d, "documents").select("doc_id", text.analyze(F.col("text")).alias("t")).select("doc_id", F.size("t").cast("long").alias("n_terms"), F.md5(F.array_join("t", " ").cast("binary")).alias("md5")),
     "fold_distinct": lambda s, d: table(s, d, "documents").groupBy("lang").agg(F.countDistinct(text.fold(F.col("text"))).alias("n")),
-    "bm25_idf": lambda s, d: retrieval.idf(*retrieval.index(passages(s, d))).select("scope", "term", "df", F.round("idf", 6).alias("idf")),
-    "bm25_topk": lambda s, d: retrieval.bm25(passages(s, d), _queries(s, d), K).select("query", "doc", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank")),
-    "dense_topk": lambda s, d: retrieval.dense(_vectors(s, d), _query_vectors(s, d), K).select("query", "doc", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank")),
-    "rrf_hybrid": lambda s, d: rrf_hybrid(s, d).select("query", "doc", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank")),
+    "bm25_idf": lambda s, d: retrieval.idf(retrieval.postings(_index(s, d)), retrieval.scopes(_index(s, d))).select("scope", "term", "df", F.round("idf", 6).alias("idf")),
+    "bm25_topk": lambda s, d: _ranked(retrieval.bm25(_index(s, d), _queries(s, d), K)),
+    "dense_topk": lambda s, d: _ranked(retrieval.dense(_vectors(s, d), _query_vectors(s, d), K)),
+    "rrf_hybrid": lambda s, d: _ranked(rrf_hybrid(s, d)),
     "hybrid_search": lambda s, d: hybrid_search(s, d).select("query", "doc", F.col("rank").cast("long").alias("rank")),
     "dedupe_passages": lambda s, d: table(s, d, "documents").groupBy("lang", F.md5(text.fold(F.col("text")).cast("binary")).alias("folded")).agg(F.min("doc_id").alias("doc_id")).select("lang", "doc_id"),
     "chunk_documents": chunk_documents,
     "html_to_text": lambda s, d: table(s, d, "pages").select("page_id", text.html_to_text_udf("html").alias("text")),
-    "excerpt_best_sentence": lambda s, d: retrieval.bm25(passages(s, d), _queries(s, d), 1).join(passages(s, d).select("doc", F.col("text").alias("p")), "doc").join(_queries(s, d).select("query", "text"), "query").select("query", "doc", text.excerpt_udf("p", "text").alias("excerpt")).withColumn("first_sentence", text.first_sentence(F.col("excerpt"))),
+    "excerpt_best_sentence": lambda s, d: retrieval.bm25(_index(s, d), _queries(s, d), 1).join(passages(s, d).select("doc", F.col("text").alias("p")), "doc").join(_queries(s, d).select("query", "text"), "query").select("query", "doc", text.excerpt(F.col("p"), F.col("text")).alias("excerpt")).withColumn("first_sentence", text.first_sentence(F.col("excerpt"))),
+    "hybrid_dense": lambda s, d: hybrid_dense(s, d).select("query", "doc", F.col("rank").cast("long").alias("rank")),
+    "filing_search": filing_search,
+    "filing_evidence": filing_evidence,
+    "extract_tickers": lambda s, d: _orders(s, d).select("c_custkey", F.array_join(language.tickers_in(F.col("q"), REGIONS, ALIASES), ",").alias("tickers")),
+    "extract_weights": lambda s, d: _orders(s, d).select("c_custkey", F.explode(language.weights_in(F.col("q"), REGIONS, ALIASES)).alias("ticker", "weight")),
+    "extract_claims": extract_claims,
     "extract_metrics": lambda s, d: _turns(s, d).select("conv_id", "turn", F.array_join(language.metrics_in(F.col("text")), ",").alias("metrics")),
     "extract_fiscal_year": lambda s, d: _turns(s, d).select("conv_id", "turn", language.fiscal_year_in(F.col("text")).alias("fiscal_year")),
     "route_questions": route_questions,
@@ -137,13 +220,38 @@ SQL = {
     "bm25_topk": f"WITH {_INDEX}, {_ASKED} SELECT query, doc, round(score, 6) AS score, rank FROM bm25 WHERE rank <= {K}",
     "dense_topk": f"WITH {_DENSE} SELECT query, doc, round(score, 6) AS score, rank FROM nearest WHERE rank <= {K}",
     "rrf_hybrid": f"""WITH {_INDEX}, {_ASKED}, a AS (SELECT query, doc, rank FROM bm25 WHERE rank <= 20),
-b AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY length(text), doc) AS rank FROM a JOIN documents ON doc = doc_id),
+asked2 AS (SELECT DISTINCT query, scope, unnest({_terms("array_to_string(string_split(text, ' ')[1:10], ' ')")}) AS term FROM each),
+scored2 AS (SELECT query, doc, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) AS score
+  FROM asked2 JOIN idf USING (scope, term) JOIN post USING (scope, term) JOIN len USING (doc, scope) JOIN scopes USING (scope) GROUP BY query, doc),
+b AS (SELECT query, doc, rank FROM (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM scored2 WHERE score > 0) WHERE rank <= 20),
 f AS (SELECT query, doc, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT query, doc, rank FROM a UNION ALL SELECT query, doc, rank FROM b) GROUP BY 1, 2)
 SELECT query, doc, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM f) WHERE rank <= {K}""",
     "hybrid_search": f"""WITH {_INDEX}, {_ASKED}, f AS (SELECT query, doc, round(1.0::DOUBLE / (60 + rank), 9) AS score FROM bm25 WHERE rank <= 24),
-r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS k FROM f),
-o AS (SELECT query, doc, k, row_number() OVER (PARTITION BY query, {_FOLD.format('text')} ORDER BY k) AS same FROM r JOIN documents ON doc = doc_id WHERE k <= 6)
-SELECT query, doc, rank FROM (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY k) AS rank FROM o WHERE same = 1) WHERE rank <= 3""",
+{_FOLDED}
+SELECT query, doc, rank FROM o2 WHERE rank <= 3""",
+    "hybrid_dense": f"""WITH {_INDEX}, each AS (SELECT vec_id AS query, lang AS scope, text FROM embeddings JOIN documents ON doc_id = vec_id WHERE vec_id % 100 = 0),
+asked AS {_SCORED}, {_DENSE},
+f AS (SELECT query, doc, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT query, doc, rank FROM bm25 WHERE rank <= 24 UNION ALL SELECT query, doc, rank FROM nearest WHERE rank <= 24) GROUP BY 1, 2),
+{_FOLDED}
+SELECT query, doc, rank FROM o2 WHERE rank <= 3""",
+    "filing_search": f"""WITH {_INDEX}, {_EACH.replace("benchmark, (", "benchmark JOIN (").replace("AS scope))", "AS scope) ON scope = 'en' OR item_id % 2 = 0)")},
+asked AS {_SCORED}, f AS (SELECT query, doc, round(1.0::DOUBLE / (60 + rank), 9) AS score FROM bm25 WHERE rank <= 24),
+{_FOLDED},
+hits AS (SELECT item_id AS question, scope, doc, rank, documents.text AS p, each.text AS q FROM o2 JOIN each USING (query) JOIN documents ON doc = doc_id WHERE rank <= CASE WHEN item_id % 2 = 1 THEN 3 ELSE 2 END),
+{_EXCERPT}
+SELECT question, scope, doc, rank, excerpt, {_FIRST} AS finding FROM cut""",
+    "excerpt_best_sentence": f"""WITH {_INDEX}, {_ASKED},
+hits AS (SELECT query, doc, documents.text AS p, each.text AS q FROM bm25 JOIN each USING (query) JOIN documents ON doc = doc_id WHERE rank <= 1),
+{_EXCERPT}
+SELECT query, doc, excerpt, {_FIRST} AS first_sentence FROM cut""",
+    "extract_tickers": "SELECT c_custkey, CASE WHEN r_name = 'AMERICA' THEN r_name ELSE r_name || ',AMERICA' END AS tickers FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
+    "extract_weights": """WITH c AS (SELECT c_custkey, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+SELECT c_custkey, r_name AS ticker, (c_custkey % 90 + 5) / 100.0::DOUBLE AS weight FROM c UNION ALL SELECT c_custkey, 'AMERICA', (c_custkey % 7 + 0.5::DOUBLE) / 100.0::DOUBLE FROM c WHERE r_name <> 'AMERICA'""",
+    "extract_claims": """WITH t AS (SELECT o_orderkey, o_totalprice AS p FROM orders),
+u AS (SELECT o_orderkey, [{'pos': 0, 'kind': 'usd', 'value': format('{:.2f}', p)::DOUBLE, 'tolerance': 0.005::DOUBLE}, {'pos': 1, 'kind': 'usd', 'value': -1000 * format('{:.1f}', p / 1000)::DOUBLE, 'tolerance': 50.0::DOUBLE},
+  {'pos': 2, 'kind': 'pct', 'value': format('{:.0f}', p / 100)::DOUBLE / 100, 'tolerance': 0.005::DOUBLE}, {'pos': 3, 'kind': 'multiple', 'value': 2.5::DOUBLE, 'tolerance': 0.05::DOUBLE}] AS cs FROM t),
+e AS (SELECT o_orderkey, unnest(cs) AS c FROM u)
+SELECT o_orderkey, c.pos::BIGINT AS pos, c.kind AS kind, round(c.value, 4) AS value, round(c.tolerance, 6) AS tolerance FROM e""",
     "dedupe_passages": f"SELECT lang, min(doc_id) AS doc_id FROM documents GROUP BY lang, {_FOLD.format('text')}",
     "extract_metrics": f"SELECT conv_id, turn, array_to_string(CASE WHEN {_m(language.GROWTH_PHRASE)} THEN list_filter(m, lambda x: x <> 'revenue') ELSE m END, ',') AS metrics FROM (SELECT *, {_SQL_METRICS} AS m FROM conversations WHERE role = 'user')",
     "extract_fiscal_year": f"SELECT conv_id, turn, list_max(list_transform(regexp_extract_all(text, '(?i){language.YEAR_PHRASE}', 1), lambda y: y::INT)) AS fiscal_year FROM conversations WHERE role = 'user'",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,18 @@ from pyspark.sql import functions as F
 METRIC_OF = {"1-URGENT": "revenue", "2-HIGH": "net_income", "3-MEDIUM": "operating_income", "4-NOT SPECIFIED": "operating_cash_flow", "5-LOW": "capex"}
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir, which all executors see. Where that is unset one is made in local mode, as in tests;
+    on a cluster it must be set."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        at = tempfile.mkdtemp(prefix="marlstone-")
+        spark.sparkContext.setCheckpointDir(at)
+    return at.rstrip("/")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
