@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.sources.tables import shared_dir
+
 
 class Cache(dict):
     """learn(key) by key. At most `most` entries, those met again and the newest; keys longer than `longest` are learnt each time."""
@@ -29,15 +30,6 @@ class Cache(dict):
         return got
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one is made only where that is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = tempfile.mkdtemp(prefix="marlstone-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
 def workspace(spark: SparkSession) -> str:
     """A new folder for the working tables of one call. They belong to the returned DataFrame; drop them with forget()."""
     return f"{shared_dir(spark)}/marlstone/{uuid.uuid4().hex}"

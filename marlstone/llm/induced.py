@@ -17,8 +17,10 @@ import tempfile
 
 import numpy as np
 
-CAP = 1 << 12
-MEMORY = 64 << 20
+#: Common prefixes are counted so far at least, and up to LONGEST where longer ones are wanted (they are held in 16 bits).
+CAP, LONGEST = 1 << 12, (1 << 15) - 64
+#: What queues hold in memory; the rest of them is in a file of the task. Less than a shard of suffix_dedup needs.
+MEMORY = 4 << 20
 
 
 class Queue:
@@ -72,16 +74,16 @@ class Store:
             self.file.close()
 
 
-def _between(lcp: np.ndarray, at: np.ndarray, first: int) -> np.ndarray:
+def _between(lcp: np.ndarray, at: np.ndarray, first: int, cap: int) -> np.ndarray:
     """Common prefixes of what is induced from the entries `at` of one queue; `first` for the first of them."""
     out = np.empty(len(at), np.int16)
     out[0] = first
     if len(at) > 1:
-        out[1:] = np.minimum(np.minimum.reduceat(lcp[: at[-1] + 1], at[:-1] + 1) + 1, CAP)
+        out[1:] = np.minimum(np.minimum.reduceat(lcp[: at[-1] + 1], at[:-1] + 1) + 1, cap)
     return out
 
 
-def _waves(t: np.ndarray, c: int, pos: np.ndarray, lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _waves(t: np.ndarray, cap: int, c: int, pos: np.ndarray, lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All suffixes of one kind that begin with c: those that other symbols induced, then those that these induce, and so on."""
     seq, prefix = [pos], [lcp]
     last, turn = 0, 0
@@ -89,15 +91,15 @@ def _waves(t: np.ndarray, c: int, pos: np.ndarray, lcp: np.ndarray) -> tuple[np.
         at = np.flatnonzero((pos > 0) & (t[pos - 1] == c))
         if not len(at):
             break
-        first = 1 if not turn else min(int(prefix[-2][last + 1 :].min(initial=CAP)), int(lcp[: at[0] + 1].min())) + 1
-        pos, lcp, last = pos[at] - np.int32(1), _between(lcp, at, min(first, CAP)), int(at[-1])
+        first = 1 if not turn else min(int(prefix[-2][last + 1 :].min(initial=cap)), int(lcp[: at[0] + 1].min())) + 1
+        pos, lcp, last = pos[at] - np.int32(1), _between(lcp, at, min(first, cap), cap), int(at[-1])
         seq.append(pos)
         prefix.append(lcp)
         turn += 1
     return np.concatenate(seq), np.concatenate(prefix)
 
 
-def _deal(t: np.ndarray, pos: np.ndarray, lcp: np.ndarray, queues: list[Queue], wanted) -> None:
+def _deal(t: np.ndarray, cap: int, pos: np.ndarray, lcp: np.ndarray, queues: list[Queue], wanted) -> None:
     """Push the predecessors of these entries whose symbol is wanted to the queues of their symbols."""
     at = np.flatnonzero(pos > 0)
     symbol = t[pos[at] - 1]
@@ -109,34 +111,34 @@ def _deal(t: np.ndarray, pos: np.ndarray, lcp: np.ndarray, queues: list[Queue],
     symbol = symbol[order]
     cuts = np.flatnonzero(np.diff(symbol)) + 1
     for group, d in zip(np.split(at[order], cuts), symbol[np.concatenate([[0], cuts])].tolist()):
-        queues[d].push(pos[group] - np.int32(1), _between(lcp, group, 1))
+        queues[d].push(pos[group] - np.int32(1), _between(lcp, group, 1, cap))
 
 
-def induce(t: np.ndarray, run: np.ndarray, seeds: np.ndarray, seed_lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def induce(t: np.ndarray, cap: int, run: np.ndarray, seeds: np.ndarray, seed_lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Suffix array and common prefixes, from the S* suffixes in order."""
     n, store = len(t), Store()
     queues = [Queue(store) for _ in range(256)]
     queues[t[n - 1]].push(np.array([n - 1], np.int32), np.zeros(1, np.int16))
     cuts = np.searchsorted(t[seeds], np.arange(257)) if len(seeds) else np.zeros(257, np.int64)
     down = []
-    meet = lambda a, b: min(int(run[a]), int(run[b]), CAP)
+    meet = lambda a, b: min(int(run[a]), int(run[b]), cap)
     for c in range(256):
-        pos, lcp = _waves(t, c, *queues[c].drain())
+        pos, lcp = _waves(t, cap, c, *queues[c].drain())
         down.append((pos, lcp))
         s, p = seeds[cuts[c] : cuts[c + 1]], seed_lcp[cuts[c] : cuts[c + 1]].copy()
         if len(s):
             p[0] = meet(pos[-1], s[0]) if len(pos) else 0
-        _deal(t, np.concatenate([pos, s]), np.concatenate([lcp, p]), queues, lambda x: x > c)  # noqa: B023
+        _deal(t, cap, np.concatenate([pos, s]), np.concatenate([lcp, p]), queues, lambda x: x > c)  # noqa: B023
     parts: list = [None] * 256
     for c in reversed(range(256)):
-        pos, lcp = _waves(t, c, *queues[c].drain())  # in descending order
+        pos, lcp = _waves(t, cap, c, *queues[c].drain())  # in descending order
         low, low_lcp = down[c]
         border = meet(low[-1], pos[-1]) if len(low) and len(pos) else 0
         up_lcp = np.concatenate([[border], lcp[:0:-1]]).astype(np.int16) if len(pos) else lcp
         parts[c] = (np.concatenate([low, pos[::-1]]), np.concatenate([low_lcp, up_lcp]))
         down[c] = None
         back = np.concatenate([[border], low_lcp[:0:-1]]).astype(np.int16) if len(low) else low_lcp
-        _deal(t, np.concatenate([pos, low[::-1]]), np.concatenate([lcp, back]), queues, lambda x: x < c)  # noqa: B023
+        _deal(t, cap, np.concatenate([pos, low[::-1]]), np.concatenate([lcp, back]), queues, lambda x: x < c)  # noqa: B023
     store.close()
     return np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
 
@@ -173,9 +175,12 @@ def common_prefix(words: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndar
     return np.minimum(out, most)
 
 
-def suffix_array(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array of symbols 0..255 and each suffix's common prefix with the one before, CAP at most."""
-    n = len(t)
+def suffix_array(t: np.ndarray, wanted: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix array of symbols 0..255 and each suffix's common prefix with the one before, counted
+    up to CAP or `wanted` (LONGEST at most), whichever is more."""
+    if wanted > LONGEST:
+        raise ValueError(f"common prefixes are counted up to {LONGEST} only")
+    n, cap = len(t), max(CAP, wanted + 8)
     if n < 2:
         return np.arange(n, dtype=np.int32), np.zeros(n, np.int16)
     edge = np.append(np.flatnonzero(t[1:] != t[:-1]), n - 1)  # last place of each run
@@ -183,16 +188,14 @@ def suffix_array(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     run = np.repeat(edge, length) - np.arange(n) + 1
     ascending = np.repeat(np.append(t[edge[:-1] + 1] > t[edge[:-1]], False), length)
     star = (np.flatnonzero(ascending[1:] & ~ascending[:-1]) + 1).astype(np.int32)
-    run = np.minimum(run, CAP).astype(np.int16)
+    run = np.minimum(run, cap).astype(np.int16)
     if not len(star):
-        return induce(t, run, star, np.zeros(0, np.int16))
-    padded = np.zeros(n + CAP + 16, np.uint8)
+        return induce(t, cap, run, star, np.zeros(0, np.int16))
+    padded = np.zeros(n + cap + 16, np.uint8)
     padded[:n] = t
-    words = padded[: n + CAP + 8].astype(np.uint64)
-    for k in range(1, 8):
-        words |= padded[k : n + CAP + 8 + k].astype(np.uint64) << np.uint64(8 * k)
+    words = np.ndarray(n + cap + 8, "<u8", padded, strides=(1,))  # the eight symbols from each place on, without a copy
     rough = star[np.argsort(t[star], kind="stable")]
-    order, _ = induce(t, run, rough, np.zeros(len(rough), np.int16))
+    order, _ = induce(t, cap, run, rough, np.zeros(len(rough), np.int16))
     is_star = np.zeros(n, bool)
     is_star[star] = True
     order = order[is_star[order]]
@@ -209,8 +212,8 @@ def suffix_array(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     names = names[star]
     ranked = star[_doubling(names)] if names.max() < len(names) - 1 else order
     lcp = np.zeros(len(ranked), np.int16)
-    lcp[1:] = common_prefix(words, ranked[:-1], ranked[1:], np.minimum(np.minimum(n - ranked[:-1], n - ranked[1:]), CAP - 8))
-    return induce(t, run, ranked, lcp)
+    lcp[1:] = common_prefix(words, ranked[:-1], ranked[1:], np.minimum(np.minimum(n - ranked[:-1], n - ranked[1:]), cap - 8))
+    return induce(t, cap, run, ranked, lcp)
 
 
 def _equal(words: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:

@@ -104,7 +104,7 @@ def repeats_in_shard(contexts: list[bytes], owned: list[int], length: int = LENG
     np.add.at(mine, starts, 1)
     np.add.at(mine, starts + np.array(owned), -1)
     mine = np.cumsum(mine[:-1], dtype=np.int8).astype(bool)
-    order, lcp = induced.suffix_array(t)
+    order, lcp = induced.suffix_array(t, length)
     at = np.flatnonzero(mine[order])
     hit = np.zeros(len(t), bool)
     if len(at) > 1:
@@ -169,15 +169,18 @@ def repeated_starts(rows: DataFrame, work: str, length: int = LENGTH, span: int
     """(rid, lo, hi): ranges of starts of repeated strings, over (rid, text)."""
     spark = rows.sparkSession
     found = common.saved(find_anchors(rows, length, span), f"{work}/anchors")
-    twice = common.saved(found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), f"{work}/twice")
-    again = common.saved(found.join(twice, "key"), f"{work}/again")
+    # joins by merge at every size: what they join follows the corpus, so a broadcast of it would hold on small inputs only
+    twice = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    again = common.saved(found.join(twice.hint("merge"), "key"), f"{work}/again")
     common.forget(spark, f"{work}/anchors")
     kinds = again.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "lo", "hi")).alias("one"))
     kinds = common.saved(kinds.select("key", "ctx", "n", "one.*"), f"{work}/kinds")
-    whole = again.join(kinds.where("n > 1").select("key", "ctx"), ["key", "ctx"]).select("rid", "lo", "hi")
+    whole = common.saved(again.join(kinds.where("n > 1").select("key", "ctx").hint("merge"), ["key", "ctx"]).select("rid", "lo", "hi"), f"{work}/whole")
+    common.forget(spark, f"{work}/again")
     size = F.col("hi") - F.col("lo") + length
     several = common.saved(kinds.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.sum(size).alias("size"), F.min("n").alias("least")).where("k > 1 and least = 1").select("key", (F.col("size") > hot_bytes).alias("hot"), "size"), f"{work}/several")
-    wanted = common.saved(kinds.join(several.select("key", "hot"), "key").select("rid", "lo", "hi", "key", (F.col("n") == 1).alias("once"), "hot"), f"{work}/wanted")
+    wanted = common.saved(kinds.join(several.select("key", "hot").hint("merge"), "key").select("rid", "lo", "hi", "key", (F.col("n") == 1).alias("once"), "hot"), f"{work}/wanted")
+    common.forget(spark, f"{work}/kinds")
     total, hot = several.agg(F.sum(F.when(~F.col("hot"), F.col("size"))), F.count_if("hot")).collect()[0]
     n_shards = int(min(MAX_SHARDS, max(common.spread(spark), -(-(total or 0) // shard_bytes))))
     pieces = _pick(rows, wanted.where("not hot"), "bytes", length).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(n_shards)).cast("int"))
@@ -186,12 +189,16 @@ def repeated_starts(rows: DataFrame, work: str, length: int = LENGTH, span: int
     if hot:
         one = common.saved(_pick(rows, wanted.where("hot"), "digest", length), f"{work}/digests")
         met = one.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
-        out = out.unionByName(one.join(met, "digest").select("rid", "lo", F.col("lo").alias("hi")))
+        out = out.unionByName(one.join(met.hint("merge"), "digest").select("rid", "lo", F.col("lo").alias("hi")))
+    for done in ("several", "wanted"):
+        common.forget(spark, f"{work}/{done}")
     return out
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, span: int = SPAN, hot_bytes: int = HOT_BYTES, shard_bytes: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, spans, kept): the removed spans of bytes [from, to) and what is left, as bytes."""
+    """(doc_id, text, spans, kept): the removed spans of bytes [from, to) and what is left, as bytes. length: induced.LONGEST at most."""
+    if not span < length <= induced.LONGEST:
+        raise ValueError(f"length must be above {span} and at most {induced.LONGEST}")
     spark = docs.sparkSession
     common.small_batches(spark)
     work = common.workspace(spark)
@@ -209,6 +216,8 @@ def dedup(docs: DataFrame, length: int = LENGTH, span: int = SPAN, hot_bytes: in
         return F.when(touch, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(wider))).otherwise(F.concat(done, F.array(x)))
 
     spans = common.saved(starts.groupBy("rid").agg(spot.alias("r")).select("rid", F.aggregate("r", empty, join).alias("spans")), f"{work}/spans")
+    for done in ("whole", "sorted", "digests"):
+        common.forget(spark, f"{work}/{done}")
     size = spans.agg(F.sum(F.size("spans") + 2)).collect()[0][0] or 0
     spans = F.broadcast(spans) if size <= BROADCAST_ROWS else spans
     both = rows.join(spans, "rid", "left").select("doc_id", "text", "spans")
@@ -228,10 +237,12 @@ def dedup(docs: DataFrame, length: int = LENGTH, span: int = SPAN, hot_bytes: in
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document of `documents` without its repeated strings of 400 bytes."""
+    """Every document of `documents` without its repeated strings of 400 bytes; text is what is left, where a cut went through a
+    character with U+FFFD in its place."""
     found = dedup(common.table(spark, sf_dir, "documents"))
     n = F.octet_length("text").cast("long")
-    return found.select("doc_id", n.alias("n_bytes"), (n - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    removed = n - F.octet_length("kept")
+    return found.select("doc_id", n.alias("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.when(removed == 0, F.col("text")).otherwise(F.make_valid_utf8(F.col("kept").cast("string"))).alias("text"))
 
 
 QUERIES = {"op6_suffix_dedup": op6_suffix_dedup}
