@@ -1,7 +1,7 @@
 """Retrieval over passages (scope, doc, text): BM25, cosine, reciprocal rank fusion, removal of repeats, searches with evidence.
 
 The index is a table with a row per passage: its length and its distinct terms with their counts, made in one pass without a
-shuffle. get_index() keeps it in a folder, so that searches read it and tokenise only the query. Statistics are per scope. Queries
+shuffle. Kept as a table, it serves all searches, which tokenise only the query. Statistics are per scope. Queries
 are (query, scope, text); all of them are answered in one job. Scores are rounded to 9 places before ranking, which makes ties
 independent of the order of sums; ties go to the smaller doc.
 """
@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.language import claims_udf
@@ -32,15 +32,6 @@ def index(passages: DataFrame) -> DataFrame:
     return starts.select("scope", "doc", "dl", runs.alias("terms"))
 
 
-def get_index(passages: DataFrame, path: str) -> DataFrame:
-    """The index kept at path, made from passages where there is none."""
-    spark = passages.sparkSession
-    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
-        index(passages).write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return spark.read.parquet(path)
-
-
 def scopes(idx: DataFrame) -> DataFrame:
     """(scope, n, avgdl)."""
     return idx.groupBy("scope").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))

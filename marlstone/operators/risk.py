@@ -6,6 +6,8 @@ tail statistics sort each portfolio's P&L once.
 
 from __future__ import annotations
 
+import hashlib
+import json
 import math
 from statistics import NormalDist
 
@@ -13,18 +15,25 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TRADING_DAYS = 252
 
 
-def log_returns(prices: DataFrame, tickers: list[str] | None = None) -> DataFrame:
-    """(date, ticker, ret) on dates where every ticker has a return. The calendar holds every date of any ticker; a missing price
-    takes away its own date and the next one and is never bridged."""
+def require_prices(prices: DataFrame, tickers: list[str]) -> None:
+    """KeyError if there is no price at all of some of the request's own tickers."""
+    known = {r[0] for r in prices.where(F.col("ticker").isin(tickers)).select("ticker").distinct().collect()}  # as many as asked for
+    if missing := sorted(set(tickers) - known):
+        raise KeyError(f"no prices for {missing}")
+
+
+def log_returns(prices: DataFrame, tickers: list[str] | None = None, as_of: str | None = None) -> DataFrame:
+    """(date, ticker, ret) on dates where every ticker has a return, up to the day as_of. The calendar holds every date of any ticker; a
+    missing price takes away its own date and the next one and is never bridged."""
     if tickers is not None:
-        missing = set(tickers) - {r[0] for r in prices.where(F.col("ticker").isin(tickers)).select("ticker").distinct().collect()}
-        if missing:
-            raise KeyError(f"no prices for {sorted(missing)}")
         prices = prices.where(F.col("ticker").isin(tickers))
+    if as_of is not None:
+        prices = prices.where(F.col("date") < F.date_add(F.lit(as_of).cast("date"), 1).cast("timestamp_ntz"))
     # no cross product of dates and tickers: the date before in the calendar must be the ticker's own date before
     calendar = prices.select("date").distinct().withColumn("before", F.lag("date").over(Window.orderBy("date")))  # one row per date
     n = prices.select("ticker").distinct().agg(F.count(F.lit(1)).alias("n_tickers"))
@@ -55,9 +64,12 @@ def tail_count(n: Column, confidence: float) -> Column:
 
 
 def historical_var(pnl: DataFrame, confidence: float = 0.99) -> DataFrame:
-    """(portfolio_id, n, var, es): minus the k-th smallest outcome, minus the mean of the k smallest."""
-    w = Window.partitionBy("portfolio_id")
-    ranked = pnl.withColumn("rn", F.row_number().over(w.orderBy("pnl", "date"))).withColumn("n", F.count(F.lit(1)).over(w))
+    """(portfolio_id, n, var, es): minus the k-th smallest outcome, minus the mean of the k smallest. Only outcomes up to an approximate
+    quantile are sorted: it lies at 2 (1 - confidence) + 0.001 with an error of 0.0001, so the tail is always among them."""
+    share = min(1.0, 2 * (1 - confidence) + 1e-3)
+    cut = pnl.groupBy("portfolio_id").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("pnl", F.lit(share), F.lit(10_000)).alias("top"))
+    low = pnl.join(cut, "portfolio_id").where(F.col("pnl") <= F.col("top"))
+    ranked = low.withColumn("rn", F.row_number().over(Window.partitionBy("portfolio_id").orderBy("pnl", "date")))
     return ranked.where(F.col("rn") <= tail_count(F.col("n"), confidence)).groupBy("portfolio_id").agg(F.max("n").alias("n"), (-F.max("pnl")).alias("var"), (-F.avg("pnl")).alias("es"))
 
 
@@ -70,16 +82,32 @@ def parametric_var(pnl: DataFrame, confidence: float = 0.99) -> DataFrame:
     return per.select("portfolio_id", (-(F.col("m") + F.col("s") * z)).alias("var"), (-F.col("m") + F.col("s") * phi / a).alias("es"))
 
 
+def moments(returns: DataFrame) -> DataFrame:
+    """(ticker, n, mean, vol): vol is the sample deviation of a year."""
+    return returns.groupBy("ticker").agg(F.count("ret").alias("n"), F.avg("ret").alias("mean"), (F.stddev_samp("ret") * math.sqrt(TRADING_DAYS)).alias("vol"))
+
+
+def covariances(returns: DataFrame) -> DataFrame:
+    """(a, b, cov) of each two tickers, a <= b: the returns of a date meet as one array, so each is moved once."""
+    day = returns.groupBy("date").agg(F.array_sort(F.collect_list(F.struct("ticker", "ret"))).alias("r"))  # a row per ticker
+    pairs = day.select(F.explode("r").alias("x"), "r").select("x", F.explode(F.filter("r", lambda y: y["ticker"] >= F.col("x.ticker"))).alias("y"))
+    return pairs.groupBy(F.col("x.ticker").alias("a"), F.col("y.ticker").alias("b")).agg(F.covar_samp("x.ret", "y.ret").alias("cov"))
+
+
 def euler_shares(returns: DataFrame, weights: DataFrame) -> DataFrame:
-    """(portfolio_id, ticker, share): each position's part of the portfolio's deviation, from its covariance with the P&L."""
-    pnl = portfolio_pnl(returns, weights)
-    per = returns.join(weights, "ticker").join(pnl, ["portfolio_id", "date"]).groupBy("portfolio_id", "ticker").agg((F.first("weight") * F.covar_samp("ret", "pnl")).alias("part"))
+    """(portfolio_id, ticker, weight, share): each position's part of the portfolio's deviation, from its covariance with the P&L. A date's
+    positions meet once, and their sum is the P&L beside them."""
+    day = returns.join(weights, "ticker").groupBy("portfolio_id", "date").agg(F.collect_list(F.struct("ticker", "weight", "ret")).alias("p"))  # a row per position
+    pnl = F.aggregate("p", F.lit(0.0), lambda s, x: s + x["weight"] * x["ret"])
+    each = day.select("portfolio_id", pnl.alias("pnl"), F.inline("p"))
+    per = each.groupBy("portfolio_id", "ticker").agg(F.first("weight").alias("weight"), F.covar_samp("ret", "pnl").alias("c")).withColumn("part", F.col("weight") * F.col("c"))
     total = F.sum("part").over(Window.partitionBy("portfolio_id"))
-    return per.select("portfolio_id", "ticker", F.coalesce(F.try_divide("part", total), F.lit(0.0)).alias("share"))
+    return per.select("portfolio_id", "ticker", "weight", F.coalesce(F.try_divide("part", total), F.lit(0.0)).alias("share"))
 
 
-def annualized_vol(pnl: DataFrame) -> DataFrame:
-    return pnl.groupBy("portfolio_id").agg((F.stddev_samp("pnl") * math.sqrt(TRADING_DAYS)).alias("vol"))
+def annualized_vol(returns: DataFrame, weights: DataFrame) -> DataFrame:
+    """(portfolio_id, ticker, vol) of each position."""
+    return weights.join(moments(returns), "ticker").select("portfolio_id", "ticker", "vol")
 
 
 def rolling_var(pnl: DataFrame, window: int = 250, confidence: float = 0.99) -> DataFrame:
@@ -116,38 +144,128 @@ def kupiec_p(lr: float) -> float:
     return math.erfc(math.sqrt(lr / 2))
 
 
-# Pre-trade limits.
+kupiec_p_udf = F.pandas_udf(lambda lr: lr.map(kupiec_p), T.DoubleType())
+
+# Pre-trade limits and what allocations are tested by.
 LIMITS = {"single_name": 0.35, "sector": 0.6, "gross": 1.0, "var": 0.04}
+SIGNIFICANCE = 0.05
+
+
+def _by_sector(positions: DataFrame, limits: dict, restricted: DataFrame | None) -> DataFrame:
+    """(portfolio_id, sector, exposure, names, over, banned) in one aggregate of the positions."""
+    if restricted is not None:
+        positions = positions.join(restricted.select("name", F.lit(True).alias("_banned")).distinct(), "name", "left")
+    banned = F.lit(False) if restricted is None else F.coalesce("_banned", F.lit(False))
+    size = F.abs("weight")
+    return positions.groupBy("portfolio_id", "sector").agg(F.round(F.sum(size), 12).alias("exposure"), F.count(F.lit(1)).alias("names"), F.count_if(size > limits["single_name"]).alias("over"), F.count_if(banned).alias("banned"))
 
 
 def limit_checks(positions: DataFrame, var: DataFrame | None = None, restricted: DataFrame | None = None, limits: dict = LIMITS) -> DataFrame:
     """(portfolio_id, n_checks, n_breaches, n_restricted, decision). Sums are rounded to 12 places before they are compared, so that
-    their order does not matter; only the gross limit has a slack. Names on the restricted list reject but are no breach."""
-    names = positions.groupBy("portfolio_id").agg(F.count(F.lit(1)).alias("c"), F.count_if(F.abs("weight") > limits["single_name"]).alias("b"), F.round(F.sum(F.abs("weight")), 12).alias("g"))
-    names = names.select("portfolio_id", (F.col("c") + 1).alias("c"), (F.col("b") + (F.col("g") > limits["gross"] + 1e-9).cast("int")).alias("b"))
-    sectors = sector_exposure(positions).groupBy("portfolio_id").agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col("exposure") > limits["sector"]).alias("b"))
-    parts = names.unionByName(sectors)
+    their order does not matter; only the gross limit has a slack. Names on the restricted list reject but are no breach. Positions
+    move once, by portfolio and sector."""
+    per = _by_sector(positions, limits, restricted).groupBy("portfolio_id").agg(
+        (F.sum("names") + F.count(F.lit(1)) + 1).alias("n_checks"),
+        (F.sum("over") + F.count_if(F.col("exposure") > limits["sector"]) + (F.round(F.sum("exposure"), 12) > limits["gross"] + 1e-9).cast("long")).alias("n_breaches"),
+        F.sum("banned").alias("n_restricted"),
+    )
     if var is not None:
-        parts = parts.unionByName(var.select("portfolio_id", F.lit(1).alias("c"), (F.col("var") > limits["var"]).cast("int").alias("b")))
-    out = parts.groupBy("portfolio_id").agg(F.sum("c").cast("long").alias("n_checks"), F.sum("b").cast("long").alias("n_breaches"))
-    if restricted is None:
-        out = out.withColumn("n_restricted", F.lit(0).cast("long"))
-    else:
-        hit = positions.join(restricted, "name", "left_semi").groupBy("portfolio_id").agg(F.count(F.lit(1)).alias("n_restricted"))
-        out = out.join(hit, "portfolio_id", "left").fillna(0, ["n_restricted"])
-    return out.withColumn("decision", F.when((F.col("n_breaches") == 0) & (F.col("n_restricted") == 0), "APPROVE").otherwise("REJECT"))
+        per = per.join(var.select("portfolio_id", (F.col("var") > limits["var"]).cast("long").alias("_over")), "portfolio_id", "left")
+        per = per.select("portfolio_id", (F.col("n_checks") + F.col("_over").isNotNull().cast("long")).alias("n_checks"), (F.col("n_breaches") + F.coalesce("_over", F.lit(0))).alias("n_breaches"), "n_restricted")
+    return per.withColumn("decision", F.when((F.col("n_breaches") == 0) & (F.col("n_restricted") == 0), "APPROVE").otherwise("REJECT"))
+
+
+def limit_rows(positions: DataFrame, var: DataFrame | None = None, limits: dict = LIMITS) -> DataFrame:
+    """(portfolio_id, name, observed, limit, passed): a row per check, the evidence of a decision."""
+    row = lambda name, seen, kind, slack=0.0: (name.alias("name"), seen.alias("observed"), F.lit(limits[kind]).alias("limit"), (seen <= limits[kind] + slack).alias("passed"))
+    single = positions.select("portfolio_id", *row(F.concat(F.lit("single-name weight "), F.col("name").cast("string")), F.abs("weight"), "single_name"))
+    sectors = sector_exposure(positions)
+    gross = sectors.groupBy("portfolio_id").agg(F.round(F.sum("exposure"), 12).alias("g")).select("portfolio_id", *row(F.lit("gross exposure"), F.col("g"), "gross", 1e-9))
+    out = single.unionByName(sectors.select("portfolio_id", *row(F.concat(F.lit("sector weight "), "sector"), F.col("exposure"), "sector"))).unionByName(gross)
+    return out if var is None else out.unionByName(var.select("portfolio_id", *row(F.lit("1-day 99% historical VaR"), F.col("var"), "var")))
+
+
+def percent(x: Column, places: int = 1) -> Column:
+    return F.concat(F.format_string(f"%.{places}f", x * 100), F.lit("%"))
+
+
+def limit_findings(rows: DataFrame, decisions: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """(portfolio_id, decision, findings): the decision, a sentence per breach in order of its name, the restricted names
+    (portfolio_id, restricted: array) and, where all passes, how many limits do."""
+    said = F.concat(F.lit("Breach: "), "name", F.lit(" is "), percent(F.col("observed")), F.lit(" against a limit of "), percent(F.col("limit")), F.lit("."))
+    breaches = rows.where("not passed").groupBy("portfolio_id").agg(F.array_sort(F.collect_list(said)).alias("b"))  # one per check
+    out = decisions.join(breaches, "portfolio_id", "left")
+    out = out.withColumn("restricted", F.array().cast("array<string>")) if names is None else out.join(names.select("portfolio_id", "restricted"), "portfolio_id", "left")
+    banned = F.when(F.size("restricted") > 0, F.array(F.concat(F.lit("Restricted list: "), F.array_join("restricted", ", "), F.lit(".")))).otherwise(F.array().cast("array<string>"))
+    passed = F.when(F.col("decision") == "APPROVE", F.array(F.concat(F.lit("All "), F.col("n_checks").cast("string"), F.lit(" limits pass.")))).otherwise(F.array().cast("array<string>"))
+    head = F.array(F.concat(F.lit("Pre-trade decision: "), "decision", F.lit(".")))
+    return out.select("portfolio_id", "decision", F.concat(head, F.coalesce("b", F.array().cast("array<string>")), banned, passed).alias("findings"))
 
 
 def sector_exposure(positions: DataFrame) -> DataFrame:
     return positions.groupBy("portfolio_id", "sector").agg(F.round(F.sum(F.abs("weight")), 12).alias("exposure"))
 
 
+def portfolio_risk(returns: DataFrame, weights: DataFrame, window: int = 500, back: int = 250, confidence: float = 0.99, horizon: int = 10, paths: int = 100_000, seed: int = 7) -> DataFrame:
+    """A row per portfolio: risk_id, as_of, historical, parametric and simulated VaR and ES, the backtest with its p-value, and
+    positions (ticker, weight, vol, share). The returns of the last window + back dates are read; give a table, not a plan. Returns
+    of fewer than window + 30 dates are an error. risk_id names the request: the portfolio's weights and all parameters."""
+    if not 0.5 < confidence < 1 or not 30 <= window <= 2000:
+        raise ValueError("confidence must be in (0.5, 1) and window between 30 and 2000")
+    n, until = returns.agg(F.countDistinct("date"), F.max("date")).collect()[0]
+    if n < window + 30:
+        raise ValueError(f"only {n} dates with all returns, {window + 30} are needed")
+    recent = last_dates(returns, window + back)
+    pnl = portfolio_pnl(recent, weights)
+    newest = last_dates(recent, window)
+    own = portfolio_pnl(newest, weights)
+    test = kupiec(rolling_var(pnl, back, confidence), confidence).select("portfolio_id", "observations", "exceptions", F.round(F.col("observations") * (1 - confidence), 1).alias("expected"), kupiec_p_udf("lr").alias("p_value"))
+    order, mu, cov = estimate(newest)
+    book = {}
+    for r in weights.select("portfolio_id", "ticker", "weight").toLocalIterator():  # the request's positions
+        book.setdefault(r["portfolio_id"], {})[r["ticker"]] = r["weight"]
+    spark = returns.sparkSession
+    ids = sorted(book)
+    simulated = monte_carlo(spark, mu, cov, np.array([[book[p].get(t, 0.0) for t in order] for p in ids]), paths, horizon, 5.0, confidence, seed)
+    named = spark.createDataFrame([(i, p, "risk:" + hashlib.sha256(json.dumps([sorted(book[p].items()), str(until), window, back, confidence, horizon, paths, seed]).encode()).hexdigest()[:12]) for i, p in enumerate(ids)], ["row", "portfolio_id", "risk_id"])
+    kinds = (("hist", historical_var(own, confidence)), ("param", parametric_var(own, confidence)), ("mc", simulated.join(F.broadcast(named), "row")))
+    out = F.broadcast(named.drop("row"))
+    for kind, got in kinds:
+        out = out.join(got.select("portfolio_id", F.col("var").alias(f"{kind}_var"), F.col("es").alias(f"{kind}_es")), "portfolio_id", "left")
+    places = euler_shares(newest, weights).join(annualized_vol(newest, weights), ["portfolio_id", "ticker"]).groupBy("portfolio_id").agg(F.array_sort(F.collect_list(F.struct("ticker", "weight", "vol", "share"))).alias("positions"))
+    out = out.join(test, "portfolio_id", "left").join(places, "portfolio_id", "left")
+    return out.withColumns({"as_of": F.lit(str(until)[:10]), "window": F.lit(window), "confidence": F.lit(confidence), "calibrated": F.col("p_value") >= SIGNIFICANCE})
+
+
+def estimate(returns: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(tickers, mean vector, covariance matrix) of the returns, for simulations: as many numbers as the matrix has cells."""
+    mean = {r["ticker"]: r["mean"] for r in moments(returns).collect()}
+    order = sorted(mean)
+    at, cov = {t: i for i, t in enumerate(order)}, np.zeros((len(order), len(order)))
+    for r in covariances(returns).collect():
+        cov[at[r["a"]], at[r["b"]]] = cov[at[r["b"]], at[r["a"]]] = r["cov"]
+    return order, np.array([mean[t] for t in order]), cov
+
+
+def risk_findings(report: DataFrame) -> DataFrame:
+    """(portfolio_id, findings) in four sentences: VaR, simulated VaR, the top contributor, the backtest."""
+    top = F.array_max(F.transform("positions", lambda p: F.struct(p["share"].alias("share"), p["ticker"].alias("ticker"), p["weight"].alias("weight"))))
+    conf = F.format_string("%.0f%%", F.col("confidence") * 100)
+    return report.withColumn("_top", top).select("portfolio_id", F.array(
+        F.concat(F.lit("As of "), "as_of", F.lit(", the portfolio's 1-day "), conf, F.lit(" historical VaR is "), percent(F.col("hist_var"), 2), F.lit(" of capital (expected shortfall "), percent(F.col("hist_es"), 2), F.lit("), using "), F.col("window").cast("string"), F.lit(" trading days ["), "risk_id", F.lit(":var].")),
+        F.concat(F.lit("With fat-tailed (Student-t) shocks the simulated "), conf, F.lit(" VaR is "), percent(F.col("mc_var"), 2), F.lit(" (expected shortfall "), percent(F.col("mc_es"), 2), F.lit(") ["), "risk_id", F.lit(":var].")),
+        F.concat("_top.ticker", F.lit(" contributes "), percent(F.col("_top.share")), F.lit(" of portfolio VaR at a "), percent(F.col("_top.weight")), F.lit(" weight ["), "risk_id", F.lit(":"), "_top.ticker", F.lit("].")),
+        F.concat(F.lit("Backtest: "), F.col("exceptions").cast("string"), F.lit(" VaR exceptions in "), F.col("observations").cast("string"), F.lit(" days against "), F.col("expected").cast("string"), F.lit(" expected, "), F.when(F.col("calibrated"), "consistent with").otherwise("rejected by"), F.lit(" the Kupiec test at the 5% level ["), "risk_id", F.lit(":backtest].")),
+    ).alias("findings"))
+
+
 def monte_carlo(spark, mu: np.ndarray, cov: np.ndarray, weights: np.ndarray, paths: int = 100_000, horizon: int = 10, dof: float = 5.0, confidence: float = 0.99, seed: int = 0, block: int = 4096, n_partitions: int | None = None) -> DataFrame:
-    """(n, var, es) of simulated P&L. Paths come in blocks with a stream of random numbers each, so the result does not depend on
-    partitions; only the outcomes that can be in the tail leave a block's task. dof 0 is the normal distribution."""
+    """(row, n, var, es) of simulated P&L for each row of weights (a portfolio; one vector is one row). Paths come in blocks with a
+    stream of random numbers each, so the result does not depend on partitions, and all portfolios see the same shocks; only the
+    outcomes that can be in the tail leave a block's task. dof 0 is the normal distribution."""
     if paths <= 0 or horizon <= 0 or not (dof == 0 or dof > 2):
         raise ValueError("paths and horizon must be positive, dof 0 or above 2")
-    chol = np.linalg.cholesky(cov)
+    chol, book = np.linalg.cholesky(cov), np.atleast_2d(np.asarray(weights, float))
     blocks = -(-paths // block)
     k = max(1, min(paths, math.ceil((1 - confidence) * paths - 1e-9)))
 
@@ -156,11 +274,16 @@ def monte_carlo(spark, mu: np.ndarray, cov: np.ndarray, weights: np.ndarray, pat
             for b in pdf["id"]:
                 rng = np.random.default_rng([seed, int(b)])
                 n = min(block, paths - int(b) * block)
-                z = rng.standard_normal((n, horizon, len(mu))) @ chol.T
-                if dof:
-                    z *= math.sqrt((dof - 2) / dof) * np.sqrt(dof / rng.chisquare(dof, (n, horizon, 1)))
-                pnl = np.sort(np.expm1((mu + z).sum(1)) @ weights)[:k]
-                yield pd.DataFrame({"pnl": pnl})
-
-    tail = spark.range(0, blocks, 1, n_partitions or min(blocks, 200)).mapInPandas(run, "pnl double").orderBy("pnl").limit(k)
-    return tail.agg(F.lit(paths).cast("long").alias("n"), (-F.max("pnl")).alias("var"), (-F.avg("pnl")).alias("es"))
+                total = np.zeros((n, len(mu)))
+                for _ in range(horizon):
+                    z = rng.standard_normal((n, len(mu)))
+                    if dof:
+                        z *= np.sqrt((dof - 2) / rng.chisquare(dof, (n, 1)))
+                    total += z
+                pnl = np.expm1(horizon * mu + total @ chol.T) @ book.T
+                low = np.partition(pnl, k - 1, axis=0)[:k] if k < n else pnl
+                yield pd.DataFrame({"row": np.tile(np.arange(len(book)), len(low)), "pnl": low.ravel()})
+
+    tail = spark.range(0, blocks, 1, n_partitions or min(blocks, 200)).mapInPandas(run, "row long, pnl double")
+    ranked = tail.withColumn("rn", F.row_number().over(Window.partitionBy("row").orderBy("pnl"))).where(F.col("rn") <= k)
+    return ranked.groupBy("row").agg(F.lit(paths).cast("long").alias("n"), (-F.max("pnl")).alias("var"), (-F.avg("pnl")).alias("es"))

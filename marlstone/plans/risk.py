@@ -5,12 +5,14 @@ from __future__ import annotations
 from statistics import NormalDist
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marlstone.operators import risk
-from marlstone.sources.tables import POSITIONS_SQL, PRICES_SQL, positions, prices, table
+from marlstone.sources.tables import POSITIONS_SQL, PRICES_SQL, positions, prices, stored, table
 
 WINDOW, BACK, CONF = 300, 250, 0.99
+AS_OF = "2024-01-20"
 #: Three fixed portfolios over the event types, in order of their names.
 WEIGHTS = {1: [0.2, 0.2, 0.2, 0.2, 0.2], 2: [0.5, 0.3, 0.1, 0.1, 0.0], 3: [0.0, 0.0, 0.4, 0.4, 0.2]}
 _VALUES = ", ".join(f"({p}, {i + 1}, {w}::DOUBLE)" for p, ws in WEIGHTS.items() for i, w in enumerate(ws))
@@ -33,33 +35,63 @@ win AS (SELECT portfolio_id, date, pnl, count(*) OVER w AS n, list(pnl) OVER w A
 back AS (SELECT portfolio_id, date, pnl, -list_sort(xs)[{_K}::INT] AS var FROM win WHERE n = {BACK})"""
 
 
+def _returns(s, d):
+    """The aligned returns, worked out once for all queries over the same data."""
+    return stored(s, d, "returns", lambda: risk.log_returns(prices(s, d)))
+
+
 def _weights(spark, sf_dir):
-    names = sorted(r[0] for r in prices(spark, sf_dir).select("ticker").distinct().collect())  # event types
-    rows = [(p, t, w) for p, ws in WEIGHTS.items() for t, w in zip(names, ws)]
-    return F.broadcast(spark.createDataFrame(rows, "portfolio_id int, ticker string, weight double"))
+    rows = [(p, i + 1, w) for p, ws in WEIGHTS.items() for i, w in enumerate(ws)]
+    names = prices(spark, sf_dir).select("ticker").distinct().withColumn("i", F.row_number().over(Window.orderBy("ticker")))  # the event types
+    return F.broadcast(names.join(spark.createDataFrame(rows, "portfolio_id int, i int, weight double"), "i").drop("i"))  # 15 rows
 
 
-def _returns(s, d):
-    return risk.log_returns(prices(s, d))
+def _recent(s, d):
+    return risk.last_dates(_returns(s, d), WINDOW)
 
 
 def _pnl(s, d, window=WINDOW):
-    r = _returns(s, d)
-    return risk.portfolio_pnl(risk.last_dates(r, window) if window else r, _weights(s, d))
+    return risk.portfolio_pnl(_recent(s, d) if window else _returns(s, d), _weights(s, d))
 
 
 def _rounded(df, *cols, places=6):
     return df.withColumns({c: F.round(c, places) for c in cols})
 
 
-def monte_carlo_var(spark, sf_dir):
-    """Ten days of three correlated assets with fat tails."""
-    cov = np.array([[4e-4, 1e-4, 0.0], [1e-4, 2e-4, 5e-5], [0.0, 5e-5, 1e-4]])
-    return risk.monte_carlo(spark, np.array([3e-4, 2e-4, 1e-4]), cov, np.array([0.5, 0.3, 0.2]))
+def monte_carlo_var(s, d):
+    """Ten days of the data's own tickers, with fat tails, for all portfolios."""
+    order, mu, cov = risk.estimate(_recent(s, d))
+    return risk.monte_carlo(s, mu, cov, np.array([WEIGHTS[p] for p in sorted(WEIGHTS)]))
+
+
+def _report(s, d):
+    return risk.portfolio_risk(_returns(s, d), _weights(s, d), WINDOW, BACK, CONF)
+
+
+def portfolio_risk(s, d):
+    """The report without its simulated part."""
+    got = _rounded(_report(s, d), "hist_var", "hist_es", "param_var", "param_es")
+    top = F.array_max(F.transform("positions", lambda p: F.struct(F.round(p["share"], 6).alias("share"), p["ticker"].alias("ticker"))))
+    return got.select("portfolio_id", "as_of", "hist_var", "hist_es", "param_var", "param_es", "observations", "exceptions", "expected", "calibrated", top["ticker"].alias("top"), top["share"].alias("top_share"))
+
+
+def _named(s, d):
+    """The portfolios as positions; each ticker is a sector of its own."""
+    return _weights(s, d).where("weight <> 0").select("portfolio_id", F.col("ticker").alias("name"), "weight", F.col("ticker").alias("sector"))
+
+
+def pretrade_rows(s, d):
+    return _rounded(risk.limit_rows(_named(s, d), risk.historical_var(_pnl(s, d), CONF)), "observed")
+
+
+def pretrade_findings(s, d):
+    var = risk.historical_var(_pnl(s, d), CONF)
+    got = risk.limit_findings(risk.limit_rows(_named(s, d), var), risk.limit_checks(_named(s, d), var))
+    return got.select("portfolio_id", "decision", F.array_join("findings", " ").alias("findings"))
 
 
 def _restricted(s, d):
-    return F.broadcast(table(s, d, "supplier").where("s_acctbal < -900").select(F.col("s_suppkey").alias("name")))
+    return table(s, d, "supplier").where("s_acctbal < -900").select(F.col("s_suppkey").alias("name"))
 
 
 QUERIES = {
@@ -67,8 +99,15 @@ QUERIES = {
     "portfolio_pnl": lambda s, d: _rounded(_pnl(s, d), "pnl"),
     "historical_var_es": lambda s, d: _rounded(risk.historical_var(_pnl(s, d)), "var", "es"),
     "parametric_var_es": lambda s, d: _rounded(risk.parametric_var(_pnl(s, d)), "var", "es"),
-    "euler_component_var": lambda s, d: _rounded(risk.euler_shares(risk.last_dates(_returns(s, d), WINDOW), _weights(s, d)), "share"),
-    "annualized_vol": lambda s, d: _rounded(risk.annualized_vol(_pnl(s, d)), "vol"),
+    "euler_component_var": lambda s, d: _rounded(risk.euler_shares(_recent(s, d), _weights(s, d)).drop("weight"), "share"),
+    "annualized_vol": lambda s, d: _rounded(risk.annualized_vol(_recent(s, d), _weights(s, d)), "vol"),
+    "moments": lambda s, d: _rounded(risk.moments(_recent(s, d)), "mean", "vol", places=8),
+    "covariances": lambda s, d: _rounded(risk.covariances(_recent(s, d)), "cov", places=8),
+    "returns_as_of": lambda s, d: _rounded(risk.log_returns(prices(s, d), as_of=AS_OF), "ret"),
+    "portfolio_risk": portfolio_risk,
+    "risk_findings": lambda s, d: risk.risk_findings(_report(s, d)).select("portfolio_id", F.explode("findings").alias("finding")),
+    "pretrade_rows": pretrade_rows,
+    "pretrade_findings": pretrade_findings,
     "rolling_var_backtest": lambda s, d: _rounded(risk.rolling_var(_pnl(s, d, 0), BACK), "pnl", "var"),
     "kupiec_lr": lambda s, d: _rounded(risk.kupiec(risk.rolling_var(_pnl(s, d, 0), BACK)), "lr"),
     "monte_carlo_var": monte_carlo_var,
@@ -86,7 +125,29 @@ SQL = {
     "historical_var_es": f"WITH {_PNL}, {_HIST} SELECT portfolio_id, max(n) AS n, round(-max(pnl), 6) AS var, round(-avg(pnl), 6) AS es FROM r WHERE rn <= {_K} GROUP BY 1",
     "parametric_var_es": f"WITH {_PNL} SELECT portfolio_id, round(-(avg(pnl) + stddev_samp(pnl) * ({_Z!r}::DOUBLE)), 6) AS var, round(-avg(pnl) + stddev_samp(pnl) * {_PHI!r}::DOUBLE / {1 - CONF!r}::DOUBLE, 6) AS es FROM pnl GROUP BY 1",
     "euler_component_var": f"WITH {_PNL}, c AS (SELECT w.portfolio_id, retw.ticker, any_value(weight) * covar_samp(ret, pnl) AS part FROM retw JOIN weights w USING (ticker) JOIN pnl ON pnl.portfolio_id = w.portfolio_id AND pnl.date = retw.date GROUP BY 1, 2) SELECT portfolio_id, ticker, round(part / sum(part) OVER (PARTITION BY portfolio_id), 6) AS share FROM c",
-    "annualized_vol": f"WITH {_PNL} SELECT portfolio_id, round(stddev_samp(pnl) * sqrt(252), 6) AS vol FROM pnl GROUP BY 1",
+    "annualized_vol": f"WITH {_PNL} SELECT portfolio_id, ticker, round(stddev_samp(ret) * sqrt(252), 6) AS vol FROM retw JOIN weights USING (ticker) GROUP BY 1, 2",
+    "moments": f"WITH {_PNL} SELECT ticker, count(ret) AS n, round(avg(ret), 8) AS mean, round(stddev_samp(ret) * sqrt(252), 8) AS vol FROM retw GROUP BY 1",
+    "covariances": f"WITH {_PNL} SELECT x.ticker AS a, y.ticker AS b, round(covar_samp(x.ret, y.ret), 8) AS cov FROM retw x JOIN retw y ON x.date = y.date AND x.ticker <= y.ticker GROUP BY 1, 2",
+    "returns_as_of": f"WITH {_RET.replace('FROM events WHERE value > 0', f"FROM events WHERE value > 0 AND date_trunc('hour', ts) < DATE '{AS_OF}' + INTERVAL 1 DAY")} SELECT date, ticker, round(ret, 6) AS ret FROM ret",
+    "portfolio_risk": f"""WITH {_BACK}, {_HIST},
+h AS (SELECT portfolio_id, round(-max(pnl), 6) AS hist_var, round(-avg(pnl), 6) AS hist_es FROM r WHERE rn <= {_K} GROUP BY 1),
+p AS (SELECT portfolio_id, round(-(avg(pnl) + stddev_samp(pnl) * ({_Z!r}::DOUBLE)), 6) AS param_var, round(-avg(pnl) + stddev_samp(pnl) * {_PHI!r}::DOUBLE / {1 - CONF!r}::DOUBLE, 6) AS param_es FROM pnl GROUP BY 1),
+recent AS (SELECT DISTINCT date FROM ret ORDER BY date DESC LIMIT {WINDOW + BACK}),
+pnl_r AS (SELECT * FROM pnl_all WHERE date IN (SELECT date FROM recent)),
+win_r AS (SELECT portfolio_id, pnl, count(*) OVER w AS n, list(pnl) OVER w AS xs FROM pnl_r WINDOW w AS (PARTITION BY portfolio_id ORDER BY date ROWS BETWEEN {BACK} PRECEDING AND 1 PRECEDING)),
+k AS (SELECT portfolio_id, count(*) AS n, count(*) FILTER (WHERE pnl < list_sort(xs)[{_K}::INT]) AS x FROM win_r WHERE n = {BACK} GROUP BY 1),
+c AS (SELECT w.portfolio_id, retw.ticker, any_value(weight) * covar_samp(ret, pnl) AS part FROM retw JOIN weights w USING (ticker) JOIN pnl ON pnl.portfolio_id = w.portfolio_id AND pnl.date = retw.date GROUP BY 1, 2),
+e AS (SELECT portfolio_id, ticker, round(part / sum(part) OVER (PARTITION BY portfolio_id), 6) AS share FROM c),
+t AS (SELECT portfolio_id, ticker AS top, share AS top_share FROM (SELECT *, row_number() OVER (PARTITION BY portfolio_id ORDER BY share DESC, ticker DESC) AS i FROM e) WHERE i = 1)
+SELECT h.portfolio_id, (SELECT max(date)::DATE::VARCHAR FROM ret) AS as_of, hist_var, hist_es, param_var, param_es, n AS observations, x AS exceptions, round(n * {1 - CONF!r}::DOUBLE, 1) AS expected,
+  greatest(0.0, -2 * ((n - x) * ln({CONF}::DOUBLE) + x * ln({1 - CONF!r}::DOUBLE) - (CASE WHEN n = x THEN 0 ELSE (n - x) * ln(CASE WHEN n = x THEN 1 ELSE 1 - x / n END) END) - (CASE WHEN x = 0 THEN 0 ELSE x * ln(CASE WHEN x = 0 THEN 1 ELSE x / n END) END))) <= 3.841458820694124 AS calibrated, top, top_share
+FROM h JOIN p USING (portfolio_id) JOIN k USING (portfolio_id) JOIN t USING (portfolio_id)""",
+    "pretrade_rows": f"""WITH {_PNL}, {_HIST}, w AS (SELECT * FROM weights WHERE weight <> 0),
+o AS (SELECT portfolio_id, 'single-name weight ' || ticker AS name, abs(weight) AS observed, 0.35::DOUBLE AS "limit" FROM w
+  UNION ALL SELECT portfolio_id, 'sector weight ' || ticker, abs(weight), 0.6::DOUBLE FROM w
+  UNION ALL SELECT portfolio_id, 'gross exposure', round(sum(abs(weight)), 12), 1.0::DOUBLE FROM w GROUP BY 1
+  UNION ALL SELECT portfolio_id, '1-day 99% historical VaR', -max(pnl), 0.04::DOUBLE FROM r WHERE rn <= {_K} GROUP BY 1)
+SELECT portfolio_id, name, round(observed, 6) AS observed, "limit", observed <= "limit" + CASE WHEN name = 'gross exposure' THEN 1e-9 ELSE 0 END AS passed FROM o""",
     "rolling_var_backtest": f"WITH {_BACK} SELECT portfolio_id, date, round(pnl, 6) AS pnl, round(var, 6) AS var FROM back",
     "kupiec_lr": f"""WITH {_BACK}, k AS (SELECT portfolio_id, count(*) AS n, count(*) FILTER (WHERE pnl < -var) AS x FROM back GROUP BY 1)
 SELECT portfolio_id, n AS observations, x AS exceptions, round(greatest(0.0, -2 * ((n - x) * ln({CONF}::DOUBLE) + x * ln({1 - CONF!r}::DOUBLE)

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import functions as F
 
 from marlstone.functions import language, text
 from marlstone.operators import retrieval
-from marlstone.sources.tables import passages, shared_dir, table
+from marlstone.sources.tables import passages, stored, table
 
 K = 5
 
@@ -38,8 +36,7 @@ def _queries(s, d):
 
 
 def _index(s, d):
-    """The index of the passages, kept in the shared folder for as long as the application runs."""
-    return retrieval.get_index(passages(s, d), f"{shared_dir(s)}/index/{s.sparkContext.applicationId}/{hashlib.sha256(d.encode()).hexdigest()[:16]}")
+    return stored(s, d, "index", lambda: retrieval.index(passages(s, d)))
 
 
 def _ranked(df):

@@ -35,7 +35,7 @@ def test_gap_takes_two_dates(spark):
     got = risk.log_returns(spark.createDataFrame(rows, "date timestamp, ticker string, adj_close double")).select("date").distinct().orderBy("date").collect()
     assert [(r["date"] - DAY).days for r in got] == [1, 4, 5]
     with pytest.raises(KeyError):
-        risk.log_returns(spark.createDataFrame(rows, "date timestamp, ticker string, adj_close double"), ["X", "Z"])
+        risk.require_prices(spark.createDataFrame(rows, "date timestamp, ticker string, adj_close double"), ["X", "Z"])
 
 
 def test_rolling_matches_numpy(spark):
@@ -68,3 +68,60 @@ def test_limits(spark):
     rows = [(1, i, 0.2, f"s{i % 2}") for i in range(5)] + [(2, 1, 1.0, "s1")] + [(3, i, 0.2, "s0") for i in range(3)] + [(3, 9, 0.2, "s1")]
     got = {r["portfolio_id"]: r["decision"] for r in risk.limit_checks(spark.createDataFrame(rows, "portfolio_id int, name int, weight double, sector string")).collect()}
     assert got == {1: "APPROVE", 2: "REJECT", 3: "APPROVE"}
+
+
+def market(spark, days=700, seed=3):
+    r = np.random.default_rng(seed)
+    x = r.multivariate_normal([0, 0, 0], [[1e-4, 5e-5, 0], [5e-5, 2e-4, 0], [0, 0, 5e-5]], days)
+    rows = [(DAY + dt.timedelta(i), t, float(x[i, j])) for i in range(days) for j, t in enumerate("ABC")]
+    return x, spark.createDataFrame(rows, "date timestamp_ntz, ticker string, ret double").cache()
+
+
+def test_report_of_two_portfolios(spark):
+    x, returns = market(spark)
+    w = {1: np.array([0.5, 0.3, 0.2]), 2: np.array([0.0, -0.5, 1.5])}
+    weights = spark.createDataFrame([(p, t, float(v)) for p, ws in w.items() for t, v in zip("ABC", ws)], "portfolio_id int, ticker string, weight double")
+    got = {r["portfolio_id"]: r for r in risk.portfolio_risk(returns, weights, paths=20_000).collect()}
+    est = x[-500:]
+    for p, ws in w.items():
+        pnl, r = est @ ws, got[p]
+        assert r["hist_var"] == pytest.approx(-np.sort(pnl)[4]) and r["hist_es"] == pytest.approx(-np.sort(pnl)[:5].mean())
+        assert r["param_var"] == pytest.approx(2.3263478740408408 * pnl.std(ddof=1) - pnl.mean())
+        part = ws * (np.cov(est, rowvar=False) @ ws)
+        assert [q["share"] for q in r["positions"]] == pytest.approx(list(part / part.sum()))
+        assert [q["vol"] for q in r["positions"]] == pytest.approx(list(est.std(axis=0, ddof=1) * math.sqrt(252)))
+        assert r["observations"] == 450 and r["risk_id"].startswith("risk:") and r["calibrated"] == (r["p_value"] >= 0.05)
+        assert 2 * r["hist_var"] < r["mc_var"] < 5 * r["hist_var"]  # ten days
+    assert got[1]["risk_id"] != got[2]["risk_id"]
+    said = {r["portfolio_id"]: r["findings"] for r in risk.risk_findings(risk.portfolio_risk(returns, weights, paths=5000)).collect()}
+    assert len(said[1]) == 4 and said[1][2].startswith("A contributes 53.5%") and said[2][0].startswith("As of 2025-11-30, the portfolio's 1-day 99% historical VaR")
+    with pytest.raises(ValueError):
+        risk.portfolio_risk(returns, weights, window=680)
+    with pytest.raises(ValueError):
+        risk.portfolio_risk(returns, weights, confidence=0.4)
+
+
+def test_covariances_and_moments(spark):
+    x, returns = market(spark, 60)
+    order, mu, cov = risk.estimate(returns)
+    assert order == list("ABC") and np.allclose(mu, x.mean(0)) and np.allclose(cov, np.cov(x, rowvar=False))
+
+
+def test_the_tail_of_many_outcomes(spark):
+    x = np.random.default_rng(5).standard_normal(60_000).round(2)  # many ties
+    r = risk.historical_var(pnl(spark, x), 0.995).first()
+    assert (r["n"], r["var"], r["es"]) == (60_000, pytest.approx(-np.sort(x)[299]), pytest.approx(-np.sort(x)[:300].mean()))
+
+
+def test_var_limit_rows_and_findings(spark):
+    positions = spark.createDataFrame([(1, "A", 0.3, "s"), (1, "B", 0.3, "t"), (2, "A", 0.8, "s"), (2, "C", -0.3, "s")], "portfolio_id int, name string, weight double, sector string")
+    var = spark.createDataFrame([(1, 0.01), (2, 0.05)], "portfolio_id int, var double")
+    banned = spark.createDataFrame([("C",)], "name string")
+    checks = {r["portfolio_id"]: tuple(r)[1:] for r in risk.limit_checks(positions, var, banned).collect()}
+    assert checks == {1: (6, 0, 0, "APPROVE"), 2: (5, 4, 1, "REJECT")}
+    rows = risk.limit_rows(positions, var)
+    assert {(r["portfolio_id"], r["name"]) for r in rows.where("not passed").collect()} == {(2, "single-name weight A"), (2, "sector weight s"), (2, "gross exposure"), (2, "1-day 99% historical VaR")}
+    names = spark.createDataFrame([(2, ["C"])], "portfolio_id int, restricted array<string>")
+    said = {r["portfolio_id"]: r["findings"] for r in risk.limit_findings(rows, risk.limit_checks(positions, var, banned), names).collect()}
+    assert said[1] == ["Pre-trade decision: APPROVE.", "All 6 limits pass."]
+    assert said[2][0] == "Pre-trade decision: REJECT." and said[2][1] == "Breach: 1-day 99% historical VaR is 5.0% against a limit of 4.0%." and said[2][-1] == "Restricted list: C." and len(said[2]) == 6
