@@ -42,19 +42,67 @@ def rate_limit(events: DataFrame, key: str, limit: int, every: str) -> DataFrame
 
 
 def nearest_rank(df: DataFrame, by: str, value: str, q: float) -> DataFrame:
-    """(by, p): the value at place min(n - 1, int(q * n)) in ascending order, from 0."""
-    w = Window.partitionBy(by)
-    rows = df.select(by, value).withColumn("n", F.count(F.lit(1)).over(w)).withColumn("k", F.row_number().over(w.orderBy(value)) - 1)
-    return rows.where(F.col("k") == F.least(F.col("n") - 1, F.floor(q * F.col("n")))).select(by, F.col(value).alias("p"))
+    """(by, p): the value at place min(n - 1, int(q * n)) in ascending order, from 0. Equal values are counted before they are ordered,
+    and only a band of values around two approximate quantiles is: what lies below it is a number."""
+    per = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("c"))
+    ends = F.array(F.lit(max(0.0, q - 1e-3)), F.lit(min(1.0, q + 1e-3)))
+    cut = df.groupBy(by).agg(F.count(value).alias("n"), F.percentile_approx(value, ends, F.lit(10_000)).alias("e"))
+    marked = per.join(cut, by)
+    top = q + 1e-3 >= 1
+    below = marked.groupBy(by).agg(F.sum(F.when(F.col(value) < F.col("e")[0], F.col("c")).otherwise(0)).alias("below"))
+    band = marked.where((F.col(value) >= F.col("e")[0]) & (F.lit(top) | (F.col(value) <= F.col("e")[1]))).join(below, by)
+    upto = F.sum("c").over(Window.partitionBy(by).orderBy(value)) + F.col("below")
+    place = F.least(F.col("n") - 1, F.floor(q * F.col("n")))
+    return band.withColumn("u", upto).where((F.col("u") > place) & (F.col("u") - F.col("c") <= place)).select(by, F.col(value).alias("p"))
+
+
+def increase(samples: DataFrame, label: str, every: str) -> DataFrame:
+    """(window, label, increase, rate): growth of a counter (ts, label, value) within each window, and per second. A value below the one
+    before is a restart and counts whole; the first sample of a window grows from the one before it, if there is one."""
+    w = Window.partitionBy(label).orderBy("ts")
+    before = F.lag("value").over(w)
+    step = F.when(before.isNull(), 0.0).when(F.col("value") < before, F.col("value")).otherwise(F.col("value") - before)
+    win = F.window(F.col("ts").cast("timestamp"), every)
+    out = samples.withColumn("_d", step).groupBy(win.alias("w"), label).agg(F.sum("_d").alias("increase"))
+    seconds = (F.unix_micros("w.end") - F.unix_micros("w.start")) / 1e6
+    return out.select(F.col("w.start").cast("timestamp_ntz").alias("window"), label, "increase", (F.col("increase") / seconds).alias("rate"))
+
+
+def divergence(samples: DataFrame, every: str) -> DataFrame:
+    """(window, divergence): the largest value of a window less its smallest."""
+    return samples.groupBy(F.window(F.col("ts").cast("timestamp"), every)["start"].cast("timestamp_ntz").alias("window")).agg((F.max("value") - F.min("value")).alias("divergence"))
+
+
+def series(events: DataFrame, every: str, *labels: str) -> DataFrame:
+    """(window, labels, n, rate): events of a window and per second, for a dashboard's lines."""
+    win = F.window(F.col("ts").cast("timestamp"), every)
+    out = events.groupBy(win.alias("w"), *labels).agg(F.count(F.lit(1)).alias("n"))
+    seconds = (F.unix_micros("w.end") - F.unix_micros("w.start")) / 1e6
+    return out.select(F.col("w.start").cast("timestamp_ntz").alias("window"), *labels, "n", (F.col("n") / seconds).alias("rate"))
+
+
+def span_metrics(spans: DataFrame, bounds: list[float], every: str, probes: list[str]) -> DataFrame:
+    """Cumulative counts of span durations (ts, label = status code, value = duration, name), without the names of probes."""
+    return histogram(spans.where(~F.col("name").isin(probes)), bounds, every, "label")
+
+
+def outcomes(results: DataFrame, flags: list[str], latency: str, q: float = 0.95) -> DataFrame:
+    """One row: the share of true ones of each flag, the median latency and its nearest rank at q."""
+    one = results.withColumn("_all", F.lit(1))
+    p = nearest_rank(one, "_all", latency, q).select(F.col("p").alias(f"p{round(100 * q)}"))
+    return one.agg(*[F.avg(F.col(c).cast("int")).alias(c) for c in flags], F.median(latency).alias("median")).crossJoin(p)  # one row each
 
 
 def cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
-    """(model, usd) from (model, tokens_in, tokens_out) and prices per million tokens (model, price_in, price_out)."""
-    both = usage.join(F.broadcast(prices), "model")
-    return both.groupBy("model").agg((F.sum(F.col("tokens_in") * F.col("price_in") + F.col("tokens_out") * F.col("price_out")) / 1e6).alias("usd"))
+    """(model, usd) from (model, tokens_in, tokens_out) and prices per million tokens (model, price_in, price_out): tokens are summed
+    before they meet prices."""
+    used = usage.groupBy("model").agg(F.sum("tokens_in").alias("i"), F.sum("tokens_out").alias("o"))
+    return used.join(prices, "model").select("model", ((F.col("i") * F.col("price_in") + F.col("o") * F.col("price_out")) / 1e6).alias("usd"))
 
 
 def lag_seconds(accepted, published):
-    """Seconds from an ISO timestamp (naive: UTC) to another, never below 0; null for what is no timestamp."""
-    at = F.try_to_timestamp(F.regexp_replace(accepted, "Z$", ""))
-    return F.greatest(F.lit(0.0), (F.unix_micros(published.cast("timestamp")) - F.unix_micros(at)) / 1e6)
+    """Seconds from an ISO timestamp (naive: UTC) to another, never below 0; null for what is no timestamp. The session's zone does
+    not matter: a text without a zone gets one."""
+    zoned = F.when(accepted.rlike(r"(Z|[+-]\d{2}:?\d{2})$"), accepted).otherwise(F.concat(accepted, F.lit("+00:00")))
+    at = F.try_to_timestamp(zoned)
+    return F.when(at.isNotNull(), F.greatest(F.lit(0.0), (F.unix_micros(published.cast("timestamp")) - F.unix_micros(at)) / 1e6))

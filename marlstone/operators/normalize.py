@@ -24,6 +24,7 @@ METRICS = {
     "long_term_debt": ("USD", ["LongTermDebt", "LongTermDebtNoncurrent"]),
     "eps_diluted": ("USD/shares", ["EarningsPerShareDiluted"]),
 }
+# How answers name the metrics.
 LABELS = {
     "revenue": "Revenue", "net_income": "Net income", "operating_income": "Operating income", "gross_profit": "Gross profit", "operating_cash_flow": "Operating cash flow",
     "capex": "Capital expenditures", "total_assets": "Total assets", "total_liabilities": "Total liabilities", "stockholders_equity": "Stockholders' equity",

@@ -24,8 +24,8 @@ def _flat(df):
     return df.select("ticker", "name", "fiscal_year", "fiscal_period", F.round("value", _R).alias("value"), "unit", "formula", F.array_join("inputs", "|").alias("inputs"))
 
 
-def _pair_sql(name: str, a: str, b: str, value: str, unit: str, formula: str) -> str:
-    return f"""{_with()}
+def _pair_sql(name: str, a: str, b: str, value: str, unit: str, formula: str, first: str | None = None) -> str:
+    return f"""{first or _with()}
 SELECT a.ticker, '{name}' AS name, a.fiscal_year, 'FY' AS fiscal_period, round({value}, {_R}) AS value, '{unit}' AS unit, '{formula}' AS formula, a.id || '|' || b.id AS inputs
 FROM ids a JOIN ids b ON a.ticker = b.ticker AND a.fiscal_year = b.fiscal_year AND a.metric = '{a}' AND b.metric = '{b}'"""
 
@@ -37,11 +37,23 @@ SELECT a.ticker, '{metric}_growth_yoy' AS name, a.fiscal_year, 'FY' AS fiscal_pe
 FROM ids a JOIN ids b ON a.ticker = b.ticker AND b.fiscal_year = a.fiscal_year - 1 AND a.metric = '{metric}' AND b.metric = '{metric}' WHERE b.value <> 0"""
 
 
+#: The stand-in has neither gross profit nor a balance sheet: other metrics play them.
+OTHER = {"operating_income": "gross_profit", "operating_cash_flow": "long_term_debt", "capex": "stockholders_equity"}
+
+
+def _others(s, d):
+    return facts(s, d).replace(OTHER, subset="metric")
+
+
+_OTHER_SQL = _with().replace("facts AS (", "stand_in AS (", 1).replace("latest AS (", f"""facts AS (SELECT * REPLACE (CASE metric {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in OTHER.items())} ELSE metric END AS metric) FROM stand_in),
+latest AS (""", 1)
+
+
 def upsert_latest(spark, sf_dir):
-    """The first half of the facts, then all of them with changed values, written over it."""
+    """The facts filed before mid-1998, then those filed from 1997 on with changed values, written over them."""
     f = facts(spark, sf_dir).withColumn("value", F.round("value", 2))
     old = f.where(F.col("filed") < F.lit("1998-07-01").cast("date"))
-    batch = f.withColumn("value", F.col("value") + 1.0).withColumn("ord", F.col("accession"))
+    batch = f.where(F.col("filed") >= F.lit("1997-01-01").cast("date")).withColumn("value", F.col("value") + 1.0).withColumn("ord", F.col("accession"))
     return pit.upsert(old, batch).groupBy("ticker", "metric").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
@@ -58,6 +70,8 @@ QUERIES = {
     "latest_fiscal_year": lambda s, d: pit.latest_fiscal_year(facts(s, d), AS_OF),
     "derived_net_margin": lambda s, d: _flat(pit.ratio(facts(s, d), "net_margin")),
     "derived_operating_margin": lambda s, d: _flat(pit.ratio(facts(s, d), "operating_margin")),
+    "derived_gross_margin": lambda s, d: _flat(pit.ratio(_others(s, d), "gross_margin")),
+    "derived_debt_to_equity": lambda s, d: _flat(pit.ratio(_others(s, d), "debt_to_equity")),
     "yoy_growth_revenue": lambda s, d: _flat(pit.growth(facts(s, d), "revenue")),
     "yoy_growth_net_income": lambda s, d: _flat(pit.growth(facts(s, d), "net_income")),
     "free_cash_flow": lambda s, d: _flat(pit.free_cash_flow(facts(s, d))),
@@ -86,6 +100,8 @@ FROM latest l LEFT JOIN p ON p.ticker = l.ticker AND p.metric = l.metric AND p.f
 SELECT ticker, coalesce(max(fiscal_year) FILTER (WHERE metric = 'revenue'), max(fiscal_year) FILTER (WHERE metric = 'net_income')) AS fiscal_year FROM facts WHERE filed <= DATE '{AS_OF}' GROUP BY ticker""",
     "derived_net_margin": _pair_sql("net_margin", "net_income", "revenue", "a.value / b.value", "ratio", "net_income / revenue"),
     "derived_operating_margin": _pair_sql("operating_margin", "operating_income", "revenue", "a.value / b.value", "ratio", "operating_income / revenue"),
+    "derived_gross_margin": _pair_sql("gross_margin", "gross_profit", "revenue", "a.value / b.value", "ratio", "gross_profit / revenue", _OTHER_SQL),
+    "derived_debt_to_equity": _pair_sql("debt_to_equity", "long_term_debt", "stockholders_equity", "a.value / b.value", "ratio", "long_term_debt / stockholders_equity", _OTHER_SQL),
     "yoy_growth_revenue": _growth_sql("revenue"),
     "yoy_growth_net_income": _growth_sql("net_income"),
     "free_cash_flow": _pair_sql("free_cash_flow", "operating_cash_flow", "capex", "a.value - b.value", "USD", "operating_cash_flow - capex"),
@@ -95,6 +111,6 @@ SELECT ticker, metric || '_q4' AS name, fiscal_year, 'Q4' AS fiscal_period, roun
   CASE WHEN vQ4 IS NOT NULL THEN 'reported' ELSE 'FY - Q1 - Q2 - Q3' END AS formula, CASE WHEN vQ4 IS NOT NULL THEN iQ4 ELSE iFY || '|' || iQ1 || '|' || iQ2 || '|' || iQ3 END AS inputs
 FROM w WHERE vQ4 IS NOT NULL OR (vFY IS NOT NULL AND vQ1 IS NOT NULL AND vQ2 IS NOT NULL AND vQ3 IS NOT NULL)""",
     "upsert_latest": f"""WITH {facts_sql()},
-u AS (SELECT ticker, metric, round(value, 2) AS value FROM facts WHERE filed < DATE '1994-01-01' UNION ALL SELECT ticker, metric, round(value, 2) + 1.0 AS value FROM facts WHERE filed >= DATE '1994-01-01')
+u AS (SELECT ticker, metric, round(value, 2) AS value FROM facts WHERE filed < DATE '1997-01-01' UNION ALL SELECT ticker, metric, round(value, 2) + 1.0 AS value FROM facts WHERE filed >= DATE '1997-01-01')
 SELECT ticker, metric, count(*) AS n, round(sum(value), 2) AS total FROM u GROUP BY 1, 2""",
 }

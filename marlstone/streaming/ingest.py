@@ -11,11 +11,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marlstone.operators import pit
 
 EVENT = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 MAX_DELIVERIES = 5
+BUCKETS = 64
+STALE_AFTER = 60
 
 
 def events_stream(spark: SparkSession, path: str, per_trigger: int = 1) -> DataFrame:
@@ -38,9 +41,23 @@ def run(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: s
     stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(each).start().awaitTermination()
 
 
+class Sink:
+    """A table that grows by batches, a folder for each: a batch that runs twice writes its folder again."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def write(self, batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+
+    def read(self) -> DataFrame:
+        return self.spark.read.parquet(self.path).drop("batch")
+
+
 class Snapshots:
-    """A table as a folder of versions and a pointer to the current one. A version is written beside the one that is read and the
-    pointer moves last; a batch id that was applied is not applied again."""
+    """A table in BUCKETS parts by ticker. A batch rewrites the parts that it touches beside those that are read; a pointer file with a
+    larger number then names all current parts. The pointer with the largest number counts, so there is one at any time, also after
+    a crash between two steps. A batch id that was applied is not applied again."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -50,35 +67,41 @@ class Snapshots:
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
     def state(self) -> dict:
-        fs, p = self._fs("current.json")
-        if not fs.exists(p):
-            return {"version": 0, "batch": -1, "folder": None}
-        return json.loads(self.spark.read.text(f"{self.path}/current.json", wholetext=True).collect()[0][0])  # one small file
-
-    def read(self) -> DataFrame | None:
-        folder = self.state()["folder"]
-        return self.spark.read.parquet(f"{self.path}/{folder}") if folder else None
+        fs, p = self._fs("pointers")
+        names = sorted(f.getPath().getName() for f in fs.listStatus(p)) if fs.exists(p) else []
+        whole = [n for n in names if n.endswith(".json") and not n.startswith((".", "_"))]
+        if not whole:
+            return {"number": 0, "version": 0, "batch": -1, "parts": {}}
+        return json.loads(self.spark.read.text(f"{self.path}/pointers/{whole[-1]}", wholetext=True).collect()[0][0])  # one small file
+
+    def read(self, parts: list[int] | None = None) -> DataFrame | None:
+        """The table, or these parts of it."""
+        now = self.state()["parts"]
+        folders = [f for k, f in now.items() if parts is None or int(k) in parts]
+        return self.spark.read.parquet(*[f"{self.path}/{f}" for f in folders]) if folders else None
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
         """Upsert a batch; the version grows only if the batch has rows."""
         now = self.state()
         if batch_id <= now["batch"]:
             return
-        if batch.isEmpty():
-            self._point(now | {"batch": batch_id})
-            return
-        folder = f"v{now['version'] + 1}-{uuid.uuid4().hex[:8]}"
-        pit.upsert(self.read(), batch).write.parquet(f"{self.path}/{folder}")
-        self._point({"version": now["version"] + 1, "batch": batch_id, "folder": folder})
+        part = F.pmod(F.xxhash64("ticker"), F.lit(BUCKETS)).cast("int")
+        touched = [r[0] for r in batch.select(part).distinct().collect()]  # BUCKETS at most
+        after = now | {"number": now["number"] + 1, "batch": batch_id}
+        if touched:
+            folder = f"data/{after['number']:012d}-{uuid.uuid4().hex[:8]}"
+            pit.upsert(self.read(touched), batch).withColumn("_part", part).repartition("_part").write.partitionBy("_part").parquet(f"{self.path}/{folder}")
+            after |= {"version": now["version"] + 1, "parts": now["parts"] | {str(k): f"{folder}/_part={k}" for k in touched}}
+        self._point(after)
 
     def _point(self, state: dict) -> None:
-        fs, new = self._fs(f"current-{uuid.uuid4().hex[:8]}.json")
+        fs, new = self._fs(f"pointers/.new-{uuid.uuid4().hex[:8]}")
         out = fs.create(new)
         out.write(bytearray(json.dumps(state).encode()))
         out.close()
-        _, p = self._fs("current.json")
-        fs.delete(p, False)
-        fs.rename(new, p)
+        _, p = self._fs(f"pointers/{state['number']:012d}.json")
+        if not fs.rename(new, p):
+            raise RuntimeError(f"pointer {p} is there already: two writers")
 
 
 def split(messages: DataFrame, good, error) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -88,6 +111,65 @@ def split(messages: DataFrame, good, error) -> tuple[DataFrame, DataFrame, DataF
     return rows.where("_ok").drop("_ok"), bad.where(F.col("attempts") < MAX_DELIVERIES).drop("_ok"), bad.where(F.col("attempts") >= MAX_DELIVERIES).drop("_ok")
 
 
+def deliver(stream: DataFrame, good, error, work: str) -> tuple[DataFrame, DataFrame]:
+    """(ok, dead) of a stream of messages: every delivery is a streaming query of its own, and what it can't handle is the source of the
+    next one, up to MAX_DELIVERIES."""
+    spark, schema = stream.sparkSession, stream.schema
+    ok, dead = Sink(spark, f"{work}/ok"), Sink(spark, f"{work}/dead")
+    for n in range(MAX_DELIVERIES):
+        again = Sink(spark, f"{work}/retry{n}")
+
+        def each(batch, i, n=n, again=again):
+            batch = batch.persist()
+            for got, to in zip(split(batch, good, error), (ok, again, dead)):
+                got = got.drop("error") if to is again else got
+                to.write(got, n * 1_000_000 + i)
+            batch.unpersist()
+
+        run(stream, each, f"{work}/checkpoint{n}")
+        fs = spark._jvm.org.apache.hadoop.fs.Path(again.path).getFileSystem(spark._jsc.hadoopConfiguration())
+        if not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(again.path)):
+            break
+        stream = spark.readStream.schema(schema).parquet(f"{again.path}/batch=*")
+    return ok.read(), dead.read()
+
+
 def enrich(events: DataFrame, facts: DataFrame) -> DataFrame:
-    """Events with the facts of their accession, as the message that replicas apply."""
+    """Events with the facts of their accession: a static table beside a stream, or two tables."""
     return events.join(facts, "accession")
+
+
+def messages(facts: DataFrame) -> DataFrame:
+    """(value): a JSON message per accession with its facts, as replicas read them."""
+    row = F.struct(*sorted(c for c in facts.columns if c != "accession"))
+    return facts.groupBy("accession").agg(F.sort_array(F.collect_list(row)).alias("facts")).select(F.to_json(F.struct("accession", "facts")).alias("value"))  # one filing's facts
+
+
+def decode(log: DataFrame, schema: T.StructType) -> DataFrame:
+    """Facts of messages(), from (value); schema is that of the facts. What is no message is left out."""
+    row = T.StructType([schema[c] for c in sorted(schema.names) if c != "accession"])
+    whole = T.StructType([T.StructField("accession", T.StringType()), T.StructField("facts", T.ArrayType(row))])
+    parsed = log.select(F.from_json("value", whole).alias("m")).where(F.col("m.accession").isNotNull() & F.col("m.facts").isNotNull())
+    return parsed.select("m.accession", F.inline("m.facts"))
+
+
+def replicate(spark: SparkSession, log_path: str, schema: T.StructType, store: Snapshots, checkpoint: str) -> None:
+    """A replica: reads the log of messages from its start, or from where its checkpoint stands, and applies it to a store."""
+    log = spark.readStream.text(log_path)
+    run(log, lambda b, i: store.apply(decode(b, schema).withColumn("ord", F.lit(0)), i), checkpoint)
+
+
+def health(seen: DataFrame, by: str, now, stale_after: int = STALE_AFTER) -> DataFrame:
+    """(by, lag_s, healthy): seconds since each replica last applied something (ts)."""
+    lag = (F.unix_micros(F.lit(now) if isinstance(now, str) else now) - F.unix_micros(F.max(F.col("ts").cast("timestamp")))) / 1e6
+    return seen.groupBy(by).agg(F.greatest(F.lit(0.0), lag).alias("lag_s")).withColumn("healthy", F.col("lag_s") <= stale_after)
+
+
+def backoff(failures):
+    """Seconds to wait after so many failures in a row: 1, 2, 4 ... 30."""
+    return F.least(F.lit(30.0), F.pow(F.lit(2.0), F.greatest(failures, F.lit(1)) - 1))
+
+
+def retained(log: DataFrame, n: int, *newest) -> DataFrame:
+    """The newest n entries of a log."""
+    return log.orderBy(*newest).limit(n)

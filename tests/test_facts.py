@@ -124,4 +124,5 @@ def test_upsert_latest_replaces_rows(spark, sf, monkeypatch):
     seen, upsert = [], pit.upsert
     monkeypatch.setattr(pit, "upsert", lambda old, batch: seen.extend((old.count(), batch.count())) or upsert(old, batch))
     n = plans.upsert_latest(spark, sf).agg(F.sum("n")).collect()[0][0]
-    assert 0 < seen[0] < seen[1] == n == facts(spark, sf).count()
+    total = facts(spark, sf).count()
+    assert 0 < seen[0] < total and 0 < seen[1] < total and sum(seen) > total == n

@@ -47,3 +47,69 @@ def test_late_events_are_published_once(spark, tmp_path):
             os.utime(f"{tmp_path}/f{i}/{name}", (1_700_000_000 + i * 100,) * 2)
     ingest.run(ingest.publish_once(ingest.events_stream(spark, f"{tmp_path}/f*")), lambda b, i: b.select("event_id").write.mode("append").parquet(f"{tmp_path}/out"), f"{tmp_path}/checkpoint")
     assert sorted(r["event_id"] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [1, 2, 20, 21, 22, 40]
+
+
+FACTS = "ticker string, metric string, fiscal_year int, fiscal_period string, accession string, value double, ord int"
+
+
+def fact(i, value):
+    return (f"T{i}", "revenue", 2020, "FY", "a", float(value), 0)
+
+
+def test_a_crash_before_the_pointer_moves_loses_nothing(spark, tmp_path, monkeypatch):
+    store = ingest.Snapshots(spark, str(tmp_path / "facts"))
+    store.apply(spark.createDataFrame([fact(i, i) for i in range(5)], FACTS), 0)
+    with monkeypatch.context() as m:
+        m.setattr(ingest.Snapshots, "_point", lambda self, state: 1 / 0)
+        try:
+            store.apply(spark.createDataFrame([fact(1, 100)], FACTS), 1)
+        except ZeroDivisionError:
+            pass
+    (tmp_path / "facts/pointers/.new-dead").write_text("{")  # a pointer that was not finished
+    assert store.state()["version"] == 1 and sorted(r["value"] for r in store.read().collect()) == [0, 1, 2, 3, 4]
+    store.apply(spark.createDataFrame([fact(1, 100)], FACTS), 1)
+    assert store.state()["version"] == 2 and sorted(r["value"] for r in store.read().collect()) == [0, 2, 3, 4, 100]
+    parts = store.state()["parts"]
+    assert len(set(parts.values())) == len(parts) > 1 and sum("000000000002" in f for f in parts.values()) == 1  # only what was touched
+
+
+def test_a_replayed_batch_is_written_once(spark, tmp_path):
+    sink = ingest.Sink(spark, str(tmp_path / "out"))
+    for i, rows in ((0, [1, 2]), (1, [3]), (1, [3])):
+        sink.write(spark.createDataFrame([(r,) for r in rows], "id int"), i)
+    assert sorted(r["id"] for r in sink.read().collect()) == [1, 2, 3]
+
+
+def test_malformed_messages_do_not_stop_a_replica(spark, tmp_path):
+    rows = spark.createDataFrame([("T", "revenue", 2020, "FY", "a", 1.0), ("T", "cash", 2020, "FY", "b", None)], "ticker string, metric string, fiscal_year int, fiscal_period string, accession string, value double")
+    (tmp_path / "log").mkdir()
+    lines = [r[0] for r in ingest.messages(rows).collect()]
+    (tmp_path / "log/0.txt").write_text("\n".join(["no json", lines[0], '{"accession": null}', "", lines[1][:-5], lines[1]]))
+    store = ingest.Snapshots(spark, str(tmp_path / "replica"))
+    ingest.replicate(spark, str(tmp_path / "log"), rows.schema, store, str(tmp_path / "c"))
+    assert sorted((r["accession"], r["value"]) for r in store.read().collect()) == [("a", 1.0), ("b", None)]
+
+
+def test_lag_does_not_depend_on_the_zone_of_the_session(spark):
+    from marlstone.operators import metrics
+
+    df = spark.createDataFrame([("2024-03-10T07:00:00Z",), ("2024-03-10T07:00:00",), ("2024-03-10T08:00:00+01:00",), ("2024-03-10T09:30:00",), ("garbage",), (None,)], "a string")
+    try:
+        for zone in ("UTC", "America/New_York", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            got = [r[0] for r in df.select(metrics.lag_seconds(F.col("a"), F.timestamp_micros(F.lit(1_710_054_060_000_000)))).collect()]
+            assert got == [60.0, 60.0, 60.0, 0.0, None, None], zone
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_backoff_and_counters(spark):
+    from marlstone.operators import metrics
+
+    assert [r[0] for r in spark.range(8).select(ingest.backoff(F.col("id"))).collect()] == [1, 1, 2, 4, 8, 16, 30, 30]
+    rows = [(f"2024-01-01 00:0{i}:00", "a", float(v)) for i, v in enumerate((5, 8, 2, 2, 7))]
+    df = spark.createDataFrame(rows, "ts string, label string, value double").withColumn("ts", F.to_timestamp("ts"))
+    assert [r["increase"] for r in metrics.increase(df, "label", "1 hour").collect()] == [3 + 2 + 0 + 5]
+    many = spark.range(100_000).select(F.lit("x").alias("k"), (F.col("id") % 97).cast("double").alias("v"))
+    assert metrics.nearest_rank(many, "k", "v", 0.95).first()["p"] == sorted(i % 97 for i in range(100_000))[95_000]
+    assert metrics.nearest_rank(many.limit(3), "k", "v", 1.0).first()["p"] == 2.0
