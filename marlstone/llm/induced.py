@@ -20,7 +20,7 @@ import numpy as np
 #: Common prefixes are counted so far at least, and up to LONGEST where longer ones are wanted (they are held in 16 bits).
 CAP, LONGEST = 1 << 12, (1 << 15) - 64
 #: What queues hold in memory; the rest of them is in a file of the task. Less than a shard of suffix_dedup needs.
-MEMORY = 4 << 20
+MEMORY = 1 << 20
 
 
 class Queue:

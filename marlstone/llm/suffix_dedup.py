@@ -142,27 +142,32 @@ def _sort_shards(pieces: DataFrame, length: int) -> DataFrame:
     return pieces.mapInArrow(run, "rid long, lo int, hi int")
 
 
-def _pick(rows: DataFrame, wanted: DataFrame, kind: str, length: int) -> DataFrame:
-    """The wanted contexts (rid, lo, hi, key, once) with their bytes, or with kind "digest" a digest of each of their strings."""
-    per = wanted.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi", "key", "once")).alias("want"))  # a document's own anchors
+_PICKED = "rid long, lo int, n int, key long, once boolean, hot boolean, bytes binary"
+
+
+def _pick(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """The wanted contexts (rid, lo, hi, key, once, hot) from one exchange of the texts: a row with the bytes of each, or of a hot one a
+    row per start with a digest of its string."""
+    per = wanted.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi", "key", "once", "hot")).alias("want"))  # a document's own anchors
     both = rows.join(per.hint("merge"), "rid").select("rid", "text", "want")  # per follows the corpus: never broadcast
-    schema = "rid long, lo int, n int, key long, once boolean, bytes binary" if kind == "bytes" else "rid long, lo int, digest binary"
+    names = [f.split()[0] for f in _PICKED.split(", ")]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()]
 
     def run(batches):
         import xxhash
 
         for b in batches:
             for r, text, want in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                raw = text.encode("utf-8", "surrogatepass")
-                if kind == "bytes":
-                    cols = [[r] * len(want), [w["lo"] for w in want], [w["hi"] - w["lo"] + 1 for w in want], [w["key"] for w in want], [w["once"] for w in want], [raw[w["lo"] : w["hi"] + length] for w in want]]
-                    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
-                else:
-                    at = [p for w in want for p in range(w["lo"], w["hi"] + 1)]
-                    cols, types = [[r] * len(at), at, [xxhash.xxh3_128_digest(raw[p : p + length]) for p in at]], [pa.int64(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], [f.split()[0] for f in schema.split(", ")])
+                raw, out = text.encode("utf-8", "surrogatepass"), []
+                for w in want:
+                    lo, hi = w["lo"], w["hi"]
+                    if w["hot"]:
+                        out.extend((r, p, 1, w["key"], w["once"], True, xxhash.xxh3_128_digest(raw[p : p + length])) for p in range(lo, hi + 1))
+                    else:
+                        out.append((r, lo, hi - lo + 1, w["key"], w["once"], False, raw[lo : hi + length]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
-    return both.mapInArrow(run, schema)
+    return both.mapInArrow(run, _PICKED)
 
 
 def repeated_starts(rows: DataFrame, work: str, length: int = LENGTH, span: int = SPAN, hot_bytes: int = HOT_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -183,13 +188,15 @@ def repeated_starts(rows: DataFrame, work: str, length: int = LENGTH, span: int
     common.forget(spark, f"{work}/kinds")
     total, hot = several.agg(F.sum(F.when(~F.col("hot"), F.col("size"))), F.count_if("hot")).collect()[0]
     n_shards = int(min(MAX_SHARDS, max(common.spread(spark), -(-(total or 0) // shard_bytes))))
-    pieces = _pick(rows, wanted.where("not hot"), "bytes", length).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(n_shards)).cast("int"))
+    picked = common.saved(_pick(rows, wanted, length), f"{work}/picked")
+    pieces = picked.where("not hot").withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(n_shards)).cast("int"))
     sorted_ = _sort_shards(pieces.repartitionById(n_shards, F.col("shard")).select("rid", "lo", "n", "once", "bytes"), length)
     out = whole.unionByName(common.saved(sorted_, f"{work}/sorted"))
     if hot:
-        one = common.saved(_pick(rows, wanted.where("hot"), "digest", length), f"{work}/digests")
-        met = one.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
-        out = out.unionByName(one.join(met.hint("merge"), "digest").select("rid", "lo", F.col("lo").alias("hi")))
+        one = picked.where("hot")
+        met = one.groupBy("bytes").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bytes")
+        out = out.unionByName(common.saved(one.join(met.hint("merge"), "bytes").select("rid", "lo", F.col("lo").alias("hi")), f"{work}/digests"))
+    common.forget(spark, f"{work}/picked")
     for done in ("several", "wanted"):
         common.forget(spark, f"{work}/{done}")
     return out

@@ -210,6 +210,30 @@ def test_queues_on_disk(monkeypatch):
     assert all((a == b).all() for a, b in zip(whole, induced.suffix_array(s)))
 
 
+def test_a_shard_of_usual_size_uses_the_file(monkeypatch):
+    import tempfile
+
+    made, make = [], tempfile.mkstemp
+    monkeypatch.setattr(tempfile, "mkstemp", lambda *a, **b: made.append(1) or make(*a, **b))
+    s = np.random.default_rng(1).integers(97, 123, suffix_dedup.SHARD_BYTES, dtype=np.uint8)
+    order, lcp = induced.suffix_array(s)
+    assert made and (np.bincount(order, minlength=len(s)) == 1).all()
+    at = np.random.default_rng(2).integers(1, len(s), 2000)
+    raw = s.tobytes()
+    for a, b, k in zip(order[at - 1].tolist(), order[at].tolist(), lcp[at].tolist()):
+        assert raw[a : a + k] == raw[b : b + k] and raw[a + k : a + k + 1] < raw[b + k : b + k + 1]
+
+
+@pytest.mark.parametrize("length", [401, 5000])
+def test_long_lengths_are_counted_whole(spark, length):
+    shared = words(70, 2000)[:6000]
+    texts = ["a " + shared + " b", "c " + shared, "x" * 9000, words(71, 20_000)]
+    got = {r["doc_id"]: bytes(r["kept"]) for r in suffix_dedup.dedup(docs(spark, texts), length=length).collect()}
+    assert [got[i] for i in range(4)] == [b"a b", b"c", b"", texts[3].encode()]
+    with pytest.raises(ValueError):
+        suffix_dedup.dedup(docs(spark, texts), length=40_000)
+
+
 def brute_cut(raws, length):
     from collections import Counter
 
