@@ -53,6 +53,16 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """These names with underscores before them, as many as keep them apart from those taken, in any case of letters."""
+    known, out = {x.lower() for x in taken}, []
+    for name in names:
+        while name.lower() in known or not name.startswith("_"):
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

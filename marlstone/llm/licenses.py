@@ -2,10 +2,12 @@
 
 A paragraph is a line, or each window of PARAGRAPH words (half of them shared with the next) of a longer one. Its features are
 the word 1-grams and 2-grams that training has met, counted and divided by the root of its number of words. Multinomial logistic
-regression over them gives the probabilities of the licence families and of `none`. It is trained on the templates below, each
-varied in wording, and on a bounded sample of the corpus's own lines as `none`. The probabilities are calibrated by a temperature
-fitted on variations left out of training; below UNKNOWN a paragraph that is not `none` is of family `unknown`. A prediction is
-confirmed if CONFIRM of the word pairs of one of the family's templates stand in the paragraph in order of the template.
+regression over them gives the probabilities of the licence families, of `unknown` (a licence of no known family) and of `none`.
+It is trained on the templates below, each varied in wording, for `unknown` on notices of other licences, and for `none` on a
+bounded sample of the corpus's own lines. Two things are calibrated on what training left out: a temperature on variations of the
+templates, and the least probability of a family, below which a licence is `unknown`, on those and on notices of licences that
+training never saw. A prediction is confirmed if CONFIRM of the word pairs of one of the family's templates stand in the paragraph
+in order of the template; `unknown` never is.
 
 Defined results: null and wordless texts have no paragraphs and no hits. Repeated rows get equal results; an empty table gives
 an empty result (the sample of `none` is then empty too, and the built-in negatives remain). Columns of the input stay, but for
@@ -27,7 +29,6 @@ from . import common
 
 PARAGRAPH = 64
 SAMPLE = 3000
-UNKNOWN = 0.6
 CONFIRM = 0.6
 
 # Families of licences and how notices name them.
@@ -45,6 +46,14 @@ TEMPLATES = {
     "mpl": ["this source code form is subject to the terms of the mozilla public license v 2.0", "licensed under the mozilla public license version 2.0"],
     "proprietary": ["all rights reserved no part may be reproduced without written permission", "copyright all rights reserved"],
 }
+# Invented and lesser-known licences: the first UNKNOWN_TRAINED teach `unknown`, the others calibrate it.
+OTHERS = [
+    "licensed under the eclipse public license version 2.0", "released under the zlib license", "this work is licensed under the european union public licence 1.2",
+    "distributed under the boost software license version 1.0", "licensed under the harbour loom community license", "released under the terms of the artistic license 2.0",
+    "licensed under the open font license 1.1", "released under the isc license", "this work is licensed under the meadow shared source license version 4",
+    "distributed under the terms of the python software foundation license", "licensed under the fernworks public license 7", "released under the microsoft reciprocal license",
+]
+UNKNOWN_TRAINED = 8
 NEGATIVES = [
     "the driver lost his license after the accident", "general public access is free of charge", "the terms of the agreement were subject to discussion", "a new version was released under pressure",
     "the fishing license is issued by the county", "students may obtain a copy of the report at the office", "public health and general conditions are met", "the apache people of the south west",
@@ -75,6 +84,7 @@ class Model:
     pairs: np.ndarray  # sorted codes of known pairs
     weights: np.ndarray  # (1 + words + pairs) x families; row 0 is the bias
     temperature: float = 1.0
+    least: float = 0.6  # probability of a family, below which a licence is unknown
 
     def rows(self, batch: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(paragraph, feature, value) of a batch of paragraphs' features."""
@@ -120,12 +130,15 @@ def train(lines: list[str], seed: int = 11, each: int = 40, steps: int = 250) ->
     plain = [words_of(x)[:PARAGRAPH] for x in lines]
     plain = [ws for ws in plain if ws and template_match(ws, None)[1] < 0.5]
     filler = sorted({w for ws in plain for w in ws})[:2000]
-    families = [*TEMPLATES, "none"]
+    families = [*TEMPLATES, "unknown", "none"]
     data = [(k, ws) for k, family in enumerate(TEMPLATES) for t in TEMPLATES[family] for ws in variations(rng, t, filler, each)]
-    data += [(len(TEMPLATES), ws) for t in NEGATIVES for ws in variations(rng, t, filler, each)] + [(len(TEMPLATES), ws) for ws in plain]
-    known = sorted({w for t in [*sum(TEMPLATES.values(), []), *NEGATIVES] for w in words_of(t)})
+    unknown, none = len(TEMPLATES), len(TEMPLATES) + 1
+    data += [(unknown, ws) for t in OTHERS[:UNKNOWN_TRAINED] for ws in variations(rng, t, filler, each)]
+    data += [(none, ws) for t in NEGATIVES for ws in variations(rng, t, filler, each)] + [(none, ws) for ws in plain]
+    told = [*sum(TEMPLATES.values(), []), *OTHERS[:UNKNOWN_TRAINED], *NEGATIVES]
+    known = sorted({w for t in told for w in words_of(t)})
     words = {w: i + 1 for i, w in enumerate(known)}
-    pairs = np.array(sorted({words[a] * (len(words) + 1) + words[b] for t in [*sum(TEMPLATES.values(), []), *NEGATIVES] for a, b in zip(words_of(t), words_of(t)[1:])}), np.int64)
+    pairs = np.array(sorted({words[a] * (len(words) + 1) + words[b] for t in told for a, b in zip(words_of(t), words_of(t)[1:])}), np.int64)
     model = Model(families, words, pairs, np.zeros((1 + len(words) + len(pairs), len(families))))
     order = rng.permutation(len(data))
     held = order[: len(order) // 5]
@@ -147,6 +160,11 @@ def train(lines: list[str], seed: int = 11, each: int = 40, steps: int = 250) ->
     scores, grid = x[held] @ model.weights, np.geomspace(0.25, 4, 25)
     losses = [-np.log(_softmax(scores / t)[np.arange(len(held)), y[held]] + 1e-12).mean() for t in grid]
     model.temperature = float(grid[int(np.argmin(losses))])
+    strange = _softmax(model.logits([ws for t in OTHERS[UNKNOWN_TRAINED:] for ws in variations(rng, t, filler, each)]))[:, :unknown].max(1)
+    sure = _softmax(scores / model.temperature)[y[held] < unknown, :unknown].max(1)
+    cuts = np.arange(0.3, 0.96, 0.01)
+    right = [(strange < c).mean() + (sure >= c).mean() for c in cuts]  # either error weighs the same
+    model.least = float(cuts[int(np.argmax(right))])
     return model
 
 
@@ -191,8 +209,8 @@ def scan(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                     i, line = where[k]
                     best = int(p[k].argmax())
                     family, score = m.families[best], float(p[k, best])
-                    likeness = template_match(batch[k], family)[1]
-                    hits[i].append({"line": line, "family": family if score >= UNKNOWN else "unknown", "score": score, "similarity": likeness, "confirmed": score >= UNKNOWN and likeness >= CONFIRM})
+                    likeness = template_match(batch[k], family)[1] if family in TEMPLATES else 0.0
+                    hits[i].append({"line": line, "family": family if score >= m.least else "unknown", "score": score, "similarity": likeness, "confirmed": score >= m.least and likeness >= CONFIRM})
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64()), pa.array(hits, hit)], [*b.schema.names, "n_paragraphs", "licences"])
 
     schema = T.StructType([*kept.schema.fields, T.StructField("n_paragraphs", T.LongType())]).add("licences", T._parse_datatype_string(_HIT))
@@ -200,9 +218,13 @@ def scan(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
 
 def sample_lines(docs: DataFrame, n: int = SAMPLE, text_col: str = "text") -> list[str]:
-    """The corpus's own lines for `none`: the first line of the n documents with the smallest hashes, 400 characters of each."""
-    line = F.substring(F.split(F.col(text_col), "\n", 2)[0], 1, 400)
-    rows = docs.where(F.col(text_col).isNotNull()).select(line.alias("line")).orderBy(F.xxhash64("line"), "line").limit(n).collect()  # n lines at most
+    """The corpus's own lines for `none`: at most n distinct whole lines from any place of any text, those with the smallest hashes.
+    A share of all hashes is taken first, so that what a task sends on is bounded by n and not by its lines."""
+    lines = F.split(F.col(text_col), "\n")
+    total = docs.agg(F.sum(F.size(lines).cast("long"))).collect()[0][0] or 0
+    bound = int(-(2**63) + min(1.0, 4 * n / max(total, 1)) * (2**64 - 2**11))
+    some = F.filter(F.array_distinct(lines), lambda x: (F.xxhash64(x) <= bound) & (F.trim(x) != ""))
+    rows = docs.select(F.explode(some).alias("line")).distinct().orderBy(F.xxhash64("line"), "line").limit(n).collect()  # n lines at most
     return [r["line"] for r in rows]
 
 

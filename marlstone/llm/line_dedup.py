@@ -49,13 +49,16 @@ def drop_lines(pages: DataFrame, text_col: str = "text", host=None, ratio: float
     host = F.col("source") if host is None else host
     found = common.saved(boilerplate(pages, F.col(text_col), host, ratio, least, once), f"{common.workspace(spark)}/boilerplate")
     size = found.agg(F.sum(F.size("_hashes"))).collect()[0][0] or 0
+    at, hashes, lines, kept = common.fresh(pages.columns, "host", "hashes", "lines", "kept")
+    found = found.select(F.col("_host").alias(at), F.col("_hashes").alias(hashes))
     found = F.broadcast(found) if size <= BROADCAST_HASHES else found
-    marked = pages.drop("n_lines", "n_dropped").withColumn("_host", F.coalesce(host.cast("string"), F.lit(""))).join(found, "_host", "left")
-    kept = F.when(F.col("_hashes").isNull(), _lines(F.col(text_col))).otherwise(F.filter(_lines(F.col(text_col)), lambda x: ~F.array_contains("_hashes", F.xxhash64(x))))
-    n = F.coalesce(F.size(_lines(F.col(text_col))), F.lit(0)).cast("long")
-    out = marked.withColumn("_kept", kept).withColumns({"n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(n).cast("long")})
-    out = out.withColumn("n_dropped", F.when(F.col(text_col).isNull(), 0).otherwise(F.col("n_lines") - F.size("_kept")).cast("long"))
-    return out.withColumn(text_col, F.when(F.col(text_col).isNotNull(), F.array_join("_kept", "\n"))).select(*[c for c in pages.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
+    names = [c for c in pages.columns if c.lower() not in ("n_lines", "n_dropped")]
+    marked = pages.select(*names, F.coalesce(host.cast("string"), F.lit("")).alias(at)).join(found, at, "left").withColumn(lines, _lines(F.col(text_col)))
+    left = F.when(F.col(hashes).isNull(), F.col(lines)).otherwise(F.filter(lines, lambda x: ~F.array_contains(hashes, F.xxhash64(x))))
+    n = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
+    some = F.col(text_col).isNotNull()
+    out = marked.withColumn(kept, left).withColumn("n_lines", F.when(some, n(lines)).otherwise(0)).withColumn("n_dropped", F.when(some, F.col("n_lines") - n(kept)).otherwise(0))
+    return out.withColumn(text_col, F.when(some, F.array_join(kept, "\n"))).select(*names, "n_lines", "n_dropped")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

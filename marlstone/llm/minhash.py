@@ -40,7 +40,7 @@ BANDS = 32
 BATCH = 32
 MISS = 1e-7
 SEED = 20240607
-VOCABULARY = 100_000
+VOCABULARY = 250_000
 SEEN = 100_000
 BROADCAST_IDS = 1_000_000
 BLOCK = 1000
@@ -354,10 +354,11 @@ def components(edges: DataFrame, work: str) -> DataFrame:
         before, turn = now, turn + 1
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of docs."""
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", work: str | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of docs. The result reads two tables in the folder work; once it is no
+    longer needed, forget() deletes them."""
     spark = docs.sparkSession
-    work = common.workspace(spark)
+    work = work or common.workspace(spark)
     rows = common.saved(sketch(docs, shingle, id_col, text_col), f"{work}/sketch")
     known = rows.where(F.col("key").isNotNull())
     # a class's signature comes from any row that has it; the smallest id stands for the class
@@ -391,11 +392,19 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     label = classes.select("key", "rep").join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("key", "rep", F.coalesce("root", "key").alias("root"))
     least = label.groupBy("root").agg(F.min("rep").alias("component"))
     label = common.saved(label.join(least, "root").select("key", "component"), f"{work}/labels")
+    for done in ("classes", "members", "first", "likeliest", "rest", "left", "sets", *(f"verify{i}" for i in range(1, verify.calls + 1))):
+        common.forget(spark, f"{work}/{done}")
     out = rows.select("doc_id", "n_shingles", "key").join(label, "key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
+def forget(spark: SparkSession, work: str) -> None:
+    """Delete what a result of near_duplicates() reads."""
+    for done in ("sketch", "labels"):
+        common.forget(spark, f"{work}/{done}")
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of `documents` on two-word shingles."""
     return near_duplicates(common.table(spark, sf_dir, "documents"), shingle=2)

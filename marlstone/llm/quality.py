@@ -5,7 +5,8 @@ difference of the two compressed sizes divided by their sum, and either size per
 labelled texts that built no dictionary turns them into a probability of label 1.
 
 What is learned from is a bounded sample: per label the `sample` documents with the smallest hashes of their ids, half for
-dictionaries (at most `pieces` pieces), half for calibration. Rows that are held out are never learned from.
+dictionaries (at most `n_pieces` pieces), half for calibration. Rows that are held out are never learned from. Where there are
+too few pieces for the dictionary builder, their own bytes are the (raw) dictionary.
 
 Defined results: null text is empty; empty texts get a score like any other (all features 0, their size 1). Rows whose
 doc_id is null are held out. Without texts of both labels every score is the share of label 1 (0.5 without any). Repeated
@@ -90,32 +91,52 @@ def _build(pieces: list[bytes]) -> bytes:
         return b"".join(pieces)[-DICT_BYTES:]
 
 
-def _least(df: DataFrame, n: int, *order) -> DataFrame:
-    """The n rows of either label that come first: each task keeps its own n, so that no label meets whole in one task."""
-    a, b = (df.where(F.col("_label") == q).orderBy(*order).limit(n) for q in (0, 1))
-    return a.unionByName(b)
+def _least(df: DataFrame, n: int, total: dict[int, int], place, *ties) -> DataFrame:
+    """Of either label the n rows of smallest hash (`place`): first a share of all hashes that holds about as many, with room, so
+    that what tasks send on is bounded by n and not by their number."""
+    parts = []
+    for q in (0, 1):
+        share = min(1.0, (n + 6 * n**0.5 + 10) / max(total.get(q, 0), 1))
+        some = df.where((F.col("_label") == q) & (place <= int(-(2**63) + share * (2**64 - 2**11))))
+        parts.append(some.orderBy(place, *ties).limit(n))
+    return parts[0].unionByName(parts[1])
+
+
+def _totals(df: DataFrame) -> dict[int, int]:
+    return {r["_label"]: r["n"] for r in df.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_pieces: int = PIECES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """Learn from the rows of docs that are not held out and have a label."""
     spark = docs.sparkSession
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).where(~held_out("_id") & F.col("_label").isin(0, 1)).groupBy("_id").agg(F.min("_label").alias("_label"))
-    chosen = _least(known, sample, F.xxhash64("_id"), F.col("_id")).select("_id", "_label", F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(2)).alias("_half"))
+    true = _totals(known)
+    chosen = _least(known, sample, true, F.xxhash64("_id"), F.col("_id")).select("_id", "_label", F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(2)).alias("_half"))
     texts = docs.select(F.col(id_col).alias("_id"), common.text_of(docs, text_col).alias("_text")).join(F.broadcast(chosen), "_id")  # 2 * sample rows at most
-    sampled = common.saved(texts, f"{common.workspace(spark)}/labelled")
-    n = {r["_label"]: r["n"] for r in sampled.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    work = common.workspace(spark)
+    sampled = common.saved(texts, f"{work}/labelled")
+    try:
+        return _learn(sampled, true, sample, n_pieces)
+    finally:
+        common.forget(spark, work)
+
+
+def _learn(sampled: DataFrame, true: dict[int, int], sample: int, n_pieces: int) -> Model:
+    """The model from sampled rows (_id, _label, _half, _text); true: how many rows have either label."""
+    n = _totals(sampled)
     model = Model(prior=n.get(1, 0) / sum(n.values()) if n else 0.5)
     if len(n) < 2:
         return model
     raw = F.encode("_text", "utf-8")
     cut = sampled.where("_half = 0").select("_label", F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.octet_length(raw) - 1, F.lit(0)), F.lit(PIECE)), lambda i: F.substring(raw, i + 1, F.lit(PIECE)))).alias("_piece"))
-    got = _least(cut.where(F.octet_length("_piece") > 0), n_pieces, F.xxhash64("_piece"), F.col("_piece")).collect()  # 2 * n_pieces pieces of PIECE bytes at most
+    cut = cut.where(F.octet_length("_piece") > 0)
+    got = _least(cut, n_pieces, _totals(cut), F.xxhash64("_piece"), F.col("_piece")).collect()  # 2 * n_pieces pieces of PIECE bytes at most
     pieces = {q: sorted(bytes(r["_piece"]) for r in got if r["_label"] == q) for q in (0, 1)}
     if not (pieces[0] and pieces[1]):
         return model
     model.bad, model.good = _build(pieces[0]), _build(pieces[1])
     to_arrays = lambda x: pa.array(list(x), pa.list_(pa.float64()))
-    rest = _least(sampled.where("_half = 1"), sample, F.xxhash64("_id", "_text"), F.col("_text"))
+    rest = _least(sampled.where("_half = 1"), sample, n, F.xxhash64("_id", "_text"), F.col("_text"))
     got = _map_features(rest.select("_label", "_text"), model, "_text", to_arrays, "_x", T.ArrayType(T.DoubleType())).select("_label", "_x").collect()  # 2 * sample rows of three numbers at most
     got = sorted((r["_label"], *r["_x"]) for r in got)
     if len({r[0] for r in got}) < 2:
@@ -123,7 +144,6 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_pieces: int
     y, x = np.array([r[0] for r in got], float), np.array([r[1:] for r in got])
     share = model.prior * (1 - model.prior)
     if share and sample:  # the halves hold as many rows of either label as there are, up to the bound: weigh them as the labels are
-        true = {r["_label"]: r["n"] for r in known.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}
         weight = np.where(y == 1, true[1] / max((y == 1).sum(), 1), true[0] / max((y == 0).sum(), 1))
         weight *= len(y) / weight.sum()
     else:

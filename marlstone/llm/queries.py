@@ -3,24 +3,26 @@
 from __future__ import annotations
 
 import importlib
-import importlib.util
 
 MODULES = ("token_ids", "bpe", "quality", "decontam", "langid", "suffix_dedup", "minhash", "line_dedup", "licenses", "winnowing")
 
 
 def _modules():
-    return [importlib.import_module(f"{__package__}.{m}") for m in MODULES if importlib.util.find_spec(f"{__package__}.{m}")]
+    return [importlib.import_module(f"{__package__}.{m}") for m in MODULES]
+
+
+MODULES_NOW = _modules()  # imported with this module: one that can't be is told at once
 
 
 def queries() -> dict:
     out: dict = {}
-    for m in _modules():
+    for m in MODULES_NOW:
         out |= m.QUERIES
     return out
 
 
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
-    for m in _modules():
+    for m in MODULES_NOW:
         out |= m.SQL
     return out

@@ -12,6 +12,7 @@ ordered by their ids; an empty table gives an empty file. Other columns of the i
 
 from __future__ import annotations
 
+import json
 import os
 import string
 import unicodedata
@@ -32,22 +33,39 @@ MAX_PARTS = 20_000
 CACHE_WORDS = 700_000
 
 _tokenizers: dict = {}
+# Fixed value: the pre-tokenizer's pattern for which words can be encoded one by one.
+LETTERS_APART = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _SPLIT_ONLY_BY_PYTHON = "\x1c\x1d\x1e\x1f"
 
 
+def _words_apart(spec: dict) -> bool:
+    """Whether a text's ids are those of its words in turn, as _learn() takes it: white space leaves before the merges, runs of
+    letters are pieces of their own, in lower case and NFC, and a piece's last id says that it is the last."""
+    steps = (spec.get("normalizer") or {}).get("normalizers") or []
+    first = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    return (
+        [x.get("type") for x in steps] == ["NFC", "Replace", "Lowercase"]
+        and steps[1].get("content") == " "
+        and (first.get("type"), first.get("behavior"), first.get("invert")) == ("Split", "Removed", True)
+        and (first.get("pattern") or {}).get("Regex") == LETTERS_APART
+        and spec["model"].get("end_of_word_suffix") == "</w>"
+        and not spec.get("post_processor")
+    )
+
+
 def _tokenizer(json_text: str):
-    """The tokenizer, which ids end a word, and the cache of words, one of each per worker."""
+    """The tokenizer, which ids end a word, the cache of words and the strings that are special, one of each per worker."""
     key = hash(json_text)
     if key not in _tokenizers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_str(json_text)
-        tok.encode_special_tokens = True  # their strings in a text are ordinary text
         _tokenizers.clear()
         ends = np.zeros(tok.get_vocab_size(), bool)
         ends[[i for t, i in tok.get_vocab().items() if t.endswith("</w>")]] = True
-        _tokenizers[key] = (tok, ends, {})
+        special = [t.content for t in tok.get_added_tokens_decoder().values()]
+        _tokenizers[key] = (tok, ends, {}, [*special, *_SPLIT_ONLY_BY_PYTHON], _words_apart(json.loads(json_text)))
     return _tokenizers[key]
 
 
@@ -55,22 +73,23 @@ def _whole(tok, word: str, dtype: str) -> bytes:
     return np.array(tok.encode_batch_fast([word], add_special_tokens=False)[0].ids, dtype).tobytes()
 
 
-def _learn(tok, ends: np.ndarray, cache: dict[str, bytes], new: list[str], dtype: str) -> None:
+def _learn(tok, ends: np.ndarray, cache: dict[str, bytes], new: set[str], dtype: str) -> None:
     """Put the ids of new words into the cache. The tokenizer ends a piece where letters and marks meet, so the letters of a
     word and the marks after it have ids of their own; runs of letters go to the library many at a time, with blanks between."""
     parts, letters = [], set()
     for w in new:
-        base = w.rstrip(string.punctuation)
-        base = base.lower() if base.isascii() else unicodedata.normalize("NFC", base)
+        word = w if w.isalpha() else w.rstrip(string.punctuation)
+        base = word.lower() if word.isascii() else unicodedata.normalize("NFC", word)
         if not base.lower().isalpha():
             cache[w] = _whole(tok, w, dtype)
             continue
-        tail = w[len(w.rstrip(string.punctuation)) :]
+        tail = w[len(word) :] if word is not w else ""
         if tail and tail not in cache:
             cache[tail] = _whole(tok, tail, dtype)
         if base not in cache:
             letters.add(base)
-        parts.append((w, base, tail))
+        if tail or base != w:
+            parts.append((w, base, tail))
     letters = list(letters)
     for i in range(0, len(letters), 2000):
         some = letters[i : i + 2000]
@@ -88,15 +107,17 @@ def _learn(tok, ends: np.ndarray, cache: dict[str, bytes], new: list[str], dtype
 def encode_texts(texts: list[str], json_text: str, dtype: str, end: bytes) -> list[bytes]:
     """Ids of each text as the library gives them. This vocabulary drops white space before its merges, so a text's ids are
     those of its words in turn, and each distinct word goes to the library once per worker."""
-    tok, ends, cache = _tokenizer(json_text)
+    tok, ends, cache, odd, by_words = _tokenizer(json_text)
+    if not by_words:
+        return [_whole(tok, t, dtype) + end for t in texts]
     if len(cache) > CACHE_WORDS:
         cache.clear()
     words = [t.split() for t in texts]
-    if new := [w for w in set().union(*words) if w not in cache]:
+    if new := set().union(*words).difference(cache):
         _learn(tok, ends, cache, new, dtype)
     out = []
     for text, ws in zip(texts, words):
-        if any(c in text for c in _SPLIT_ONLY_BY_PYTHON):  # white space for str.split, but not for the tokenizer
+        if any(c in text for c in odd):  # a special string, or white space for str.split but not for the tokenizer
             out.append(_whole(tok, text, dtype) + end)
         else:
             ws = list(map(cache.__getitem__, ws))
@@ -194,12 +215,12 @@ def pack(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes
         out[word[first]] += sums
         out[word[first] + 1] += rest
     payload = out.astype(">u4").tobytes()[: (int(ends[-1]) + 7) >> 3] if len(ids) else b""
-    return payload, starts[::SPACING].astype("<u4").tobytes()
+    return payload, starts[::SPACING].astype("<u8").tobytes()
 
 
 def unpack(payload: bytes, checkpoints: bytes, n: int, table_ids: np.ndarray, table_bits: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
     """The n ids of a block."""
-    at = np.frombuffer(checkpoints, "<u4").astype(np.int64)
+    at = np.frombuffer(checkpoints, "<u8").astype(np.int64)
     raw = np.frombuffer(payload + bytes(max_bits // 8 + 12), np.uint8).astype(np.uint32)
     window = raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:]
     out = np.empty((SPACING, len(at)), np.uint32)
