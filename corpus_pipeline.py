@@ -6,6 +6,8 @@ Each stage takes (spark, docs, sf_dir), works on every row that the stage before
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,39 +21,71 @@ REMEMBERED = 150_000
 ORACLE_SQL = None
 
 
-def _like(docs: DataFrame, out: DataFrame) -> DataFrame:
-    """The columns of docs, with n_chars counted again where there is one."""
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+def _apart(docs: DataFrame, *used: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with its columns but `used` packed into one, so that no operator's own columns can meet them; and what unpacks a result
+    to the columns of docs, with n_chars counted again where there is one."""
+    others = [c for c in docs.columns if c not in used]
+    packed = docs.select(*used, *([F.struct(*[F.col(f"`{c}`") for c in others]).alias("kept_apart")] if others else []))
+
+    def back(out: DataFrame) -> DataFrame:
+        cols = {c: F.col(c) if c in used else F.col("kept_apart").getField(c) for c in docs.columns}
+        if "n_chars" in others:
+            cols["n_chars"] = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+        return out.select(*[cols[c].alias(c) for c in docs.columns])
+
+    return packed, back
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject."""
+    """Documents that the classifier does not reject.
+
+    Null and empty texts are scored as empty texts, very long ones piece by piece; null ids are never learned from; rows that tie at
+    the threshold stay; repeated rows get the same decision; an empty table gives an empty one. Without labels of both kinds all
+    rows have one score, so all stay or none."""
     model = quality.fit(docs, common.table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where(F.col("score") >= quality.THRESHOLD).select(*docs.columns)
+    packed, back = _apart(docs, "doc_id", "text")
+    return back(quality.score(packed, model).where(F.col("score") >= quality.THRESHOLD))
 
 
 def line_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the boilerplate lines of their source; exact copies, which are still there, count as one page."""
-    return _like(docs, line_dedup.drop_lines(docs, once=True))
+    """All documents, without the boilerplate lines of their source; exact copies, which are still there, count as one page.
+
+    Null texts stay null and empty ones empty; a text may become empty and stays; a null source is a source of its own; a line whose
+    share ties with the limit stays; repeated rows and ids are copies; an empty table gives an empty one."""
+    packed, back = _apart(docs, "doc_id", "text", "source")
+    return back(line_dedup.drop_lines(packed, once=True))
 
 
 def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity 0.8): the one with the smallest id."""
-    gone = minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    gone = common.saved(gone, f"{common.workspace(spark)}/gone")
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8): the one with the smallest id.
+
+    Rows that repeat an id and a text are one document. Null, empty and wordless texts are in no group and stay; so do rows with a null
+    id, once per text; very long texts are compared whole; pairs of similarity 0.8 exactly belong together; an empty table gives an
+    empty one."""
+    if docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        docs = docs.dropDuplicates(["doc_id", "text"])
+    work = common.workspace(spark)
+    gone = minhash.near_duplicates(docs.select("doc_id", "text"), work=work).where(~F.col("kept")).select("doc_id").distinct()
+    gone = common.saved(gone, f"{work}/gone")
+    minhash.forget(spark, work)
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages of benchmark items they hold."""
-    return _like(docs, decontam.find(docs, common.table(spark, sf_dir, "benchmark"), clean=True))
+    """All documents, without the passages of benchmark items they hold.
+
+    Null texts stay null; a text that is all passage becomes empty and stays; very long texts are searched whole; items that
+    overlap or tie lose one span together; repeated rows are cut alike; an empty table or benchmark changes nothing."""
+    packed, back = _apart(docs, "doc_id", "text")
+    return back(decontam.find(packed, common.table(spark, sf_dir, "benchmark"), clean=True))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its ids, their number, and whether they decode to its text."""
+    """Every document with its ids, their number, and whether they decode to its text.
+
+    Null and empty texts have no ids; very long ones are encoded whole; rows are independent, repeated ones too; an empty table
+    gives an empty one."""
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
