@@ -40,7 +40,7 @@ TEMPLATES = {
     "cc-by-nc": ["licensed under cc by nc 4.0", "this work is licensed under a creative commons attribution noncommercial 4.0 international license"],
     "cc-by-sa": ["licensed under cc by sa 4.0", "this work is licensed under a creative commons attribution sharealike 4.0 international license"],
     "cc0": ["released under cc0 1.0", "dedicated to the public domain under the creative commons zero universal dedication"],
-    "gpl": ["licensed under the gnu general public license version 3", "this work is licensed under the gnu general public license version 2", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"],
+    "gpl": ["released under the gnu general public license", "licensed under the gnu general public license version 3", "this work is licensed under the gnu general public license version 2", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"],
     "lgpl": ["licensed under the gnu lesser general public license", "under the terms of the gnu lesser general public license version 2.1"],
     "mit": ["released under the mit license", "licensed under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"],
     "mpl": ["this source code form is subject to the terms of the mozilla public license v 2.0", "licensed under the mozilla public license version 2.0"],

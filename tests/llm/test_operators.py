@@ -119,6 +119,31 @@ def test_another_pattern_goes_whole_and_caches_stay_small(spark):
     assert [x[0] for x in flags] == [True]
 
 
+def test_special_strings_are_the_librarys_business(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(WORD)
+    texts = ["a <|endoftext|> b", "x<|startoftext|>y z", "<|endoftext|", "plain words"]
+    rows = token_ids.tokenize(docs(spark, texts), WORD, 1).collect()
+    assert [np.frombuffer(r["ids"], "<u2").tolist() for r in sorted(rows)] == [[*tok.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+
+
+def test_another_tokenizer_goes_whole():
+    import json
+
+    with open(WORD) as f:
+        spec = json.load(f)
+    assert token_ids._words_apart(spec)
+    spec["normalizer"]["normalizers"].pop()
+    assert not token_ids._words_apart(spec)
+    text = json.dumps(spec)
+    got = token_ids.encode_texts(["Some Words, Here"], text, "<u4", b"")
+    from tokenizers import Tokenizer
+
+    assert np.frombuffer(got[0], "<u4").tolist() == Tokenizer.from_str(text).encode("Some Words, Here", add_special_tokens=False).ids
+    token_ids._tokenizers.clear()
+
+
 # 3 and 5 ------------------------------------------------------------------------------------------------------------------
 def test_quality_learns_and_survives_odd_input(spark):
     good = [words(i, 60) for i in range(150)]
@@ -136,6 +161,21 @@ def test_quality_learns_and_survives_odd_input(spark):
     assert quality.score(df.where("false"), model).count() == 0
 
 
+def test_long_texts_ties_and_repeated_rows_of_classifiers(spark, monkeypatch):
+    long = " ".join(words(i, 2000) for i in range(30))
+    df = docs(spark, [long, "two words", "two words", long[:5000]])
+    df = df.unionAll(df)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(4)], "doc_id long, quality int, toxic int")
+    rows = quality.score(df, quality.fit(df, labels)).collect()
+    assert len(rows) == 8 and all(len({r["score"] for r in rows if r["text"] == t}) == 1 for t in {r["text"] for r in rows})
+    model = langid.Model(["aa", "bb"], np.zeros((langid.BUCKETS, 2), np.float32), np.zeros(2))
+    assert {(r["lang_pred"], r["score"]) for r in langid.predict(df, model).collect()} == {("aa", 0.5)}
+    logs = np.random.default_rng(1).normal(size=(langid.BUCKETS, 2)).astype(np.float32)
+    whole = langid.log_likelihoods([long, "", "two words", long], logs)
+    monkeypatch.setattr(langid, "SLICE", 100)
+    assert np.allclose(whole, langid.log_likelihoods([long, "", "two words", long], logs)) and len(long) > 100_000
+
+
 def test_langid(spark):
     en, es = ["the cat of thing and that", "el gato que tiene la cosa"]
     rows = [(i, (en if i % 2 else es) + f" {i}", "en" if i % 2 else "es", "s", 0) for i in range(80)] + [(100, None, "en", "s", 0), (101, "123 !!", None, "s", 0), (102, "", "es", "s", 0), (None, en, None, "s", 0)]
@@ -300,6 +340,32 @@ def test_near_duplicates(spark, shingle, block, monkeypatch):
     assert all(got[i]["kept"] == (want[i][1] == i) for i in got)
 
 
+def test_one_large_group_makes_few_pairs(spark, monkeypatch):
+    """5,000 near copies share their buckets: pairs stay in proportion to the copies, not to their square."""
+    n, r = 5000, random.Random(11)
+    base = words(12, 200, 5000).split()
+    texts = []
+    for i in range(n):
+        copy = base[:]
+        copy[r.randrange(200)] = f"z{i}"
+        texts.append(" ".join(copy))
+    made, call = [], minhash._Verifier.__call__
+    monkeypatch.setattr(minhash._Verifier, "__call__", lambda self, pairs, *a, **b: made.append(pairs.count()) or call(self, pairs, *a, **b))
+    got = minhash.near_duplicates(docs(spark, texts), 2)
+    assert got.where("kept").count() == 1 and sum(made) <= 4 * n
+
+
+def test_wide_signatures_bound_similarity():
+    r = np.random.default_rng(3)
+    for share in (0.5, 0.7, 0.8, 0.9):
+        n = 2000
+        both = int(n * 2 * share / (1 + share))
+        x = r.integers(0, 1 << 63, 2 * n - both, dtype=np.uint64)
+        a, b = x[:n], x[n - both :]
+        assert abs(float((minhash.wide_signature(a) == minhash.wide_signature(b)).mean()) - share) < 0.06
+    assert minhash.least_matches(1024, 80, 1e-5) < 0.8 * 1024 and minhash.least_matches(10, 100) == 10
+
+
 def test_near_duplicates_of_odd_rows(spark):
     df = spark.createDataFrame([(None, "a b c"), (3, "a b c"), (2, "a b c"), (2, "a b c"), (9, None)], "doc_id long, text string")
     got = sorted((x["doc_id"] or -1, x["component_id"], x["kept"]) for x in minhash.near_duplicates(df).collect())
@@ -338,6 +404,15 @@ def test_copies_are_no_boilerplate(spark):
     assert sorted(left) == [0, *range(100, 300)] and left[0] == copied.removeprefix("footer\n")
 
 
+def test_line_dedup_of_clashing_names_long_texts_and_one_large_host(spark):
+    long = "\n".join(words(300 + i, 50) for i in range(2000))
+    rows = [(i, f"menu\nown {i}", "h", "a", "b", "c", "d") for i in range(20)] + [(99, long, "h", None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _hashes string, _host string, _kept string, _LINES string")
+    got = {r["doc_id"]: r for r in line_dedup.drop_lines(df, ratio=0.5).collect()}
+    assert got[99]["text"] == long and (got[99]["n_lines"], got[99]["n_dropped"]) == (2000, 0)
+    assert all((got[i]["text"], got[i]["_hashes"], got[i]["_host"], got[i]["_kept"], got[i]["_LINES"]) == (f"own {i}", "a", "b", "c", "d") for i in range(20))
+
+
 # 9 ------------------------------------------------------------------------------------------------------------------------
 def test_licenses(spark):
     model = licenses.train([words(i, 12) for i in range(200)])
@@ -349,6 +424,23 @@ def test_licenses(spark):
     assert licenses.scan(docs(spark, ["x"]).where("false"), model).count() == 0 and licenses.train([]).weights.any()
 
 
+def test_licences_of_no_known_family_and_repeated_rows(spark):
+    plain = [words(i, 12) for i in range(200)]
+    model = licenses.train(plain)
+    texts = ["Licensed under the Foo Public License, version 9", "This work is licensed under the Seaside Commons Licence 3.1", "This work is licensed under the GNU General Public License, version 3", words(3, 40)]
+    df = docs(spark, [*texts, *texts])
+    rows = {r["doc_id"]: [(x["family"], x["confirmed"]) for x in r["licences"]] for r in licenses.scan(df, model).collect()}
+    assert [rows[i] for i in range(4)] == [[("unknown", False)], [("unknown", False)], [("gpl", True)], []] == [rows[i] for i in range(4, 8)]
+    rng, found = np.random.default_rng(5), []
+    for t in licenses.OTHERS[licenses.UNKNOWN_TRAINED :]:  # families that training never saw
+        p = licenses._softmax(model.logits(licenses.variations(rng, t, [], 20)))
+        best = p.argmax(1)
+        found += [model.families[k] == "unknown" or (model.families[k] != "none" and p[i, k] < model.least) for i, k in enumerate(best)]
+    assert sum(found) >= 0.7 * len(found)
+    lines = licenses.sample_lines(docs(spark, ["b\na\n\n", "a\nc" * 2, None, "", *["same line"] * 50]), 10)
+    assert sorted(lines) == ["a", "b", "c", "ca", "same line"] and licenses.sample_lines(docs(spark, ["x"]).where("false")) == []
+
+
 # 10 -----------------------------------------------------------------------------------------------------------------------
 def test_winnowing_matches_brute_force():
     r = random.Random(5)
