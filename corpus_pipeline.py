@@ -21,15 +21,15 @@ REMEMBERED = 150_000
 ORACLE_SQL = None
 
 
-def _apart(docs: DataFrame, *used: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+def _apart(docs: DataFrame, *used: str) -> tuple[DataFrame, Callable[..., DataFrame]]:
     """docs with its columns but `used` packed into one, so that no operator's own columns can meet them; and what unpacks a result
-    to the columns of docs, with n_chars counted again where there is one."""
+    to the columns of docs; with recount, n_chars is counted again where there is one."""
     others = [c for c in docs.columns if c not in used]
     packed = docs.select(*used, *([F.struct(*[F.col(f"`{c}`") for c in others]).alias("kept_apart")] if others else []))
 
-    def back(out: DataFrame) -> DataFrame:
+    def back(out: DataFrame, recount: bool = True) -> DataFrame:
         cols = {c: F.col(c) if c in used else F.col("kept_apart").getField(c) for c in docs.columns}
-        if "n_chars" in others:
+        if recount and "n_chars" in others:
             cols["n_chars"] = F.char_length("text").cast(docs.schema["n_chars"].dataType)
         return out.select(*[cols[c].alias(c) for c in docs.columns])
 
@@ -44,7 +44,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     rows have one score, so all stay or none."""
     model = quality.fit(docs, common.table(spark, sf_dir, "labels"))
     packed, back = _apart(docs, "doc_id", "text")
-    return back(quality.score(packed, model).where(F.col("score") >= quality.THRESHOLD))
+    return back(quality.score(packed, model).where(F.col("score") >= quality.THRESHOLD), recount=False)
 
 
 def line_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
