@@ -33,8 +33,10 @@ def known(facts: DataFrame, as_of: str | None = None) -> DataFrame:
     return facts if as_of is None else facts.where(F.col("filed") <= F.lit(as_of).cast("date"))
 
 
-def latest(facts: DataFrame, as_of: str | None = None) -> DataFrame:
-    """The latest version of each period's value, without a sort: the maximum of (filed, accession) carries its row along."""
+def latest(facts: DataFrame, as_of: str | None = None, fiscal_year: int | None = None) -> DataFrame:
+    """The latest version of each period's value, of one fiscal year if it is given, without a sort: the maximum of (filed, accession)
+    carries its row along."""
+    facts = facts if fiscal_year is None else facts.where(F.col("fiscal_year") == fiscal_year)
     others = [c for c in facts.columns if c not in PERIOD]
     newest = F.max_by(F.struct(*others), F.struct("filed", "accession"))
     return known(facts, as_of).groupBy(*PERIOD).agg(newest.alias("_v")).select(*PERIOD, "_v.*").select(*facts.columns)

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marlstone.operators import pit
-from marlstone.sources.tables import facts, facts_sql
+from marlstone.operators import normalize, pit
+from marlstone.sources.tables import facts, facts_sql, table
 
 AS_OF = "1997-06-30"
 _R = 6
@@ -57,7 +57,52 @@ def upsert_latest(spark, sf_dir):
     return pit.upsert(old, batch).groupBy("ticker", "metric").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
+#: How orders stand in a company's payload, by priority: concept, first day and last day of the year's part, period, form. The fourth
+#: kind is of no wanted form, the fifth a year to date.
+KINDS = {
+    "1-URGENT": ("RevenueFromContractWithCustomerExcludingAssessedTax", "01-01", "12-31", "FY", "10-K"),
+    "2-HIGH": ("Revenues", "01-01", "12-31", "FY", "10-K/A"),
+    "3-MEDIUM": ("NetIncomeLoss", "10-01", "12-31", "FY", "10-K"),
+    "4-NOT SPECIFIED": ("NetIncomeLoss", "01-01", "12-31", "FY", "8-K"),
+    "5-LOW": ("NetIncomeLoss", "04-01", "12-31", "FY", "10-K"),
+}
+
+
+def _orders(s, d):
+    customer = table(s, d, "customer").select("c_custkey", "c_nationkey")
+    nation = F.broadcast(table(s, d, "nation").select("n_nationkey", F.col("n_name").alias("ticker")))  # 25 rows
+    return table(s, d, "orders").join(customer, F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+
+
+def payloads(s, d):
+    """(ticker, json): the orders of a nation as one company's facts."""
+    kind = F.create_map(*[x for k, v in KINDS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])[F.col("o_orderpriority")]
+    year = F.year("o_orderdate").cast("string")
+    row = F.struct(F.concat(year, F.lit("-"), kind[1]).alias("start"), F.concat(year, F.lit("-"), kind[2]).alias("end"), F.col("o_totalprice").alias("val"), F.col("o_orderkey").cast("string").alias("accn"), year.alias("fy"), kind[3].alias("fp"), kind[4].alias("form"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("filed"))
+    rows = _orders(s, d).select("ticker", kind[0].alias("concept"), row.alias("r")).groupBy("ticker", "concept").agg(F.collect_list("r").alias("USD"))
+    gaap = F.map_from_entries(F.collect_list(F.struct("concept", F.struct(F.struct("USD").alias("units")))))
+    return rows.groupBy("ticker").agg(gaap.alias("g")).select("ticker", F.to_json(F.struct(F.struct(F.col("g").alias("us-gaap")).alias("facts"))).alias("json"))
+
+
+def normalize_facts(s, d):
+    got = normalize.normalize(payloads(s, d))
+    return got.select("ticker", "metric", "concept", "unit", "value", "period_type", "period_start", "period_end", "fiscal_year", "fiscal_period", "form", "accession", "filed")
+
+
+def newest_filings(s, d):
+    """The four newest annual and quarterly reports of each company, from parallel arrays of which one is shorter."""
+    listed = _orders(s, d).groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct((-F.col("o_orderkey")).alias("k"), "o_orderdate", "o_orderpriority"))).alias("l"))
+    form = lambda x: F.when(x["o_orderpriority"] == "1-URGENT", "10-K").when(x["o_orderpriority"] == "2-HIGH", "10-Q").otherwise("8-K")
+    day = F.transform("l", lambda x: F.date_format(x["o_orderdate"], "yyyy-MM-dd"))
+    recent = F.struct(F.transform("l", lambda x: (-x["k"]).cast("string")).alias("accessionNumber"), F.transform("l", form).alias("form"), day.alias("filingDate"), day.alias("reportDate"), day.alias("acceptanceDateTime"), F.slice(day, F.lit(1), F.size("l") - 1).alias("primaryDocument"))
+    rows = listed.select("ticker", F.to_json(F.struct(F.struct(recent.alias("recent")).alias("filings"))).alias("json"))
+    return normalize.newest(normalize.recent_filings(rows)).select("ticker", F.col("accessionNumber").alias("accession"), "form", "filingDate")
+
+
 QUERIES = {
+    "normalize_facts": normalize_facts,
+    "newest_filings": newest_filings,
+    "pit_fiscal_year": lambda s, d: pit.latest(facts(s, d), AS_OF, 1996),
     "pit_latest": lambda s, d: pit.latest(facts(s, d)),
     "pit_as_of": lambda s, d: pit.latest(facts(s, d), AS_OF),
     "pit_history": lambda s, d: pit.history(facts(s, d), 3, AS_OF),
@@ -80,7 +125,16 @@ QUERIES = {
 }
 
 _COLS = "ticker, metric, value, fiscal_year, fiscal_period, accession, filed"
+_ORDERS = "o AS (SELECT *, n_name AS ticker, year(o_orderdate)::INT AS y FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"
 SQL = {
+    "normalize_facts": f"""WITH {_ORDERS} SELECT ticker, CASE o_orderpriority WHEN '3-MEDIUM' THEN 'net_income' ELSE 'revenue' END AS metric,
+  CASE o_orderpriority WHEN '1-URGENT' THEN '{KINDS["1-URGENT"][0]}' WHEN '2-HIGH' THEN 'Revenues' ELSE 'NetIncomeLoss' END AS concept, 'USD' AS unit, o_totalprice AS value, 'duration' AS period_type,
+  make_date(y, CASE o_orderpriority WHEN '3-MEDIUM' THEN 10 ELSE 1 END, 1) AS period_start, make_date(y, 12, 31) AS period_end, y AS fiscal_year, CASE o_orderpriority WHEN '3-MEDIUM' THEN 'Q4' ELSE 'FY' END AS fiscal_period,
+  CASE o_orderpriority WHEN '2-HIGH' THEN '10-K/A' ELSE '10-K' END AS form, o_orderkey::VARCHAR AS accession, o_orderdate::DATE AS filed FROM o WHERE o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM')""",
+    "newest_filings": f"""WITH {_ORDERS}, n AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY o_orderkey DESC) AS i, count(*) OVER (PARTITION BY ticker) AS c FROM o),
+f AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY i) AS k FROM n WHERE i < c AND o_orderpriority IN ('1-URGENT', '2-HIGH'))
+SELECT ticker, o_orderkey::VARCHAR AS accession, CASE o_orderpriority WHEN '1-URGENT' THEN '10-K' ELSE '10-Q' END AS form, strftime(o_orderdate, '%Y-%m-%d') AS "filingDate" FROM f WHERE k <= 4""",
+    "pit_fiscal_year": f"{_with(as_of=AS_OF)}\nSELECT {_COLS} FROM latest WHERE fiscal_year = 1996",
     "pit_latest": f"{_with()}\nSELECT {_COLS} FROM latest",
     "pit_as_of": f"{_with(as_of=AS_OF)}\nSELECT {_COLS} FROM latest",
     "pit_history": f"{_with(as_of=AS_OF)}\nSELECT {_COLS} FROM (SELECT *, row_number() OVER (PARTITION BY ticker, metric, fiscal_period ORDER BY fiscal_year DESC) AS k FROM latest) WHERE k <= 3",

@@ -187,6 +187,8 @@ QUERIES = {
     "replica_health": replica_health,
     "fundamentals": fundamentals,
     "evidence_urls": evidence_urls,
+    "evidence_merge": lambda s, d: evidence.merge(_events(s, d).select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), "value", "event_type")),
+    "template_answers": lambda s, d: evidence.answer(table(s, d, "customer").select(F.col("c_nationkey").alias("question"), (F.col("c_custkey") % 3).alias("tool_order"), F.col("c_custkey").alias("position"), F.col("c_name").alias("text"))),
     "question_digests": lambda s, d: table(s, d, "conversations").select("conv_id", "turn", landed.question_digest(F.col("text")).alias("digest")),
     "fact_evidence": lambda s, d: evidence.fact_evidence(facts(s, d)).select("id", "ticker", "label", F.round(F.col("values")["value"], 2).alias("value"), F.round(F.try_element_at("values", F.lit("originally_reported")), 2).alias("originally_reported")),
     "fact_findings": lambda s, d: evidence.fact_evidence(facts(s, d)).select("id", "finding"),
@@ -239,6 +241,8 @@ SELECT "window", event_type, round(CASE WHEN isinf(le) THEN low ELSE low + (le -
     "stream_apply": f"WITH {facts_sql()} SELECT ticker, count(*) AS n, round(sum(value), 2) AS total FROM facts GROUP BY 1",
     "stream_retries": "SELECT event_id, CASE WHEN k % 11 = 0 THEN 'dead_lettered' ELSE 'ok' END AS outcome, CASE WHEN k % 11 = 0 THEN 5 WHEN k % 7 = 0 THEN 3 ELSE 1 END AS attempts FROM (SELECT event_id, (props::JSON->>'$.k')::INT AS k FROM events)",
     "stream_enrich": f"WITH {facts_sql()} SELECT accession, ticker, metric, fiscal_year, value FROM facts",
+    "evidence_merge": "SELECT user_id AS id, min(event_id) AS seq, arg_max(value, event_id) AS value, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1",
+    "template_answers": "SELECT c_nationkey AS question, string_agg(c_name, ' ' ORDER BY c_custkey % 3, c_custkey) AS answer FROM customer GROUP BY 1",
     "stream_retention": "SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 500",
     "replica_health": "SELECT replica, lag_s, lag_s <= 300 AS healthy FROM (SELECT event_type AS replica, greatest(0.0, (epoch_us(TIMESTAMP '2024-01-30 23:50:00') - epoch_us(max(ts))) / 1e6) AS lag_s FROM events GROUP BY 1)",
     "question_digests": "SELECT conv_id, turn, sha256(text) AS digest FROM conversations",

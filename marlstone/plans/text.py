@@ -170,8 +170,10 @@ _EMAIL = r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+(\.[A-Za-z0-9_-]+)+"
 
 
 def route_questions(s, d):
-    got = _turns(s, d).select("conv_id", "turn", F.array_join(language.route(F.col("text"), F.lit(False), F.lit(False)), ",").alias("tools"))
-    return got
+    """Every question four times: with and without a company, with and without a portfolio."""
+    flags = F.explode(F.array(*[F.struct(F.lit(bool(i & 1)).alias("company"), F.lit(bool(i & 2)).alias("portfolio")) for i in range(4)]))
+    got = _turns(s, d).withColumn("f", flags)
+    return got.select("conv_id", "turn", "f.*", F.array_join(language.route(F.col("text"), F.col("f.company"), F.col("f.portfolio")), ",").alias("tools"))
 
 
 _SQL_METRICS = "list_filter([" + ", ".join("CASE WHEN regexp_matches(text, '(?i)" + p.replace("'", "''") + f"') THEN '{m}' END" for p, m in language.METRIC_PHRASES) + "], lambda m: m IS NOT NULL)"
@@ -252,10 +254,14 @@ SELECT o_orderkey, c.pos::BIGINT AS pos, c.kind AS kind, round(c.value, 4) AS va
     "dedupe_passages": f"SELECT lang, min(doc_id) AS doc_id FROM documents GROUP BY lang, {_FOLD.format('text')}",
     "extract_metrics": f"SELECT conv_id, turn, array_to_string(CASE WHEN {_m(language.GROWTH_PHRASE)} THEN list_filter(m, lambda x: x <> 'revenue') ELSE m END, ',') AS metrics FROM (SELECT *, {_SQL_METRICS} AS m FROM conversations WHERE role = 'user')",
     "extract_fiscal_year": f"SELECT conv_id, turn, list_max(list_transform(regexp_extract_all(text, '(?i){language.YEAR_PHRASE}', 1), lambda y: y::INT)) AS fiscal_year FROM conversations WHERE role = 'user'",
-    "route_questions": f"""WITH t AS (SELECT conv_id, turn, len({_SQL_METRICS}) > 0 OR {_m(language.FUNDAMENTAL_PHRASES)} AS fund, {_m(language.FILING_PHRASES)} AS filing, {_m(language.PRETRADE_PHRASES)} AS trade, {_m(language.RISK_PHRASES)} AS r FROM conversations WHERE role = 'user')
-SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN fund THEN 'fundamentals' END, CASE WHEN filing OR NOT (fund OR filing OR trade OR r) THEN 'filing_search' END, CASE WHEN r AND NOT trade THEN 'market_risk' END, CASE WHEN trade THEN 'pretrade_check' END], lambda x: x IS NOT NULL), ',') AS tools FROM t""",
+    "route_questions": f"""WITH t AS (SELECT conv_id, turn, len({_SQL_METRICS}) > 0 OR {_m(language.FUNDAMENTAL_PHRASES)} AS fund, {_m(language.FILING_PHRASES)} AS filing, {_m(language.PRETRADE_PHRASES)} AS trade, {_m(language.RISK_PHRASES)} AS r FROM conversations WHERE role = 'user'),
+u AS (SELECT *, NOT trade AND (r OR (portfolio AND NOT fund AND NOT filing)) AS risk FROM t, (SELECT unnest([false, true]) AS company), (SELECT unnest([false, true]) AS portfolio)),
+w AS (SELECT *, NOT (fund OR filing OR trade OR risk) AS none FROM u)
+SELECT conv_id, turn, company, portfolio, array_to_string(list_filter([CASE WHEN fund OR (none AND company) THEN 'fundamentals' END, CASE WHEN filing OR (none AND NOT company) THEN 'filing_search' END, CASE WHEN risk THEN 'market_risk' END, CASE WHEN trade THEN 'pretrade_check' END], lambda x: x IS NOT NULL), ',') AS tools FROM w""",
     "injection_flags": "SELECT conv_id, turn, coalesce(" + " OR ".join(_m(p) for p in language.INJECTION) + ", false) AS blocked FROM conversations",
     "pii_email_counts": f"SELECT doc_id, len(regexp_extract_all(text, '{_EMAIL}'))::BIGINT AS emails FROM documents",
+    "verify_claims": """SELECT "right", CASE WHEN c_acctbal IS NULL THEN 'no_numeric_claims' WHEN "right" OR c_acctbal = 0 THEN 'verified' ELSE 'failed' END AS status, count(*) AS n
+  FROM customer, (SELECT unnest([true, false]) AS "right") GROUP BY 1, 2""",
     "format_values": """SELECT o_orderkey, CASE WHEN o_totalprice * 1000 >= 1e9 THEN '$' || format('{:,.2f}', o_totalprice * 1000 / 1e9) || ' billion' WHEN o_totalprice * 1000 >= 1e6 THEN '$' || format('{:,.2f}', o_totalprice * 1000 / 1e6) || ' million'
   ELSE '$' || format('{:,.2f}', o_totalprice * 1000) END AS usd FROM orders""",
     "passage_ids": "SELECT doc_id, lang || ':' || source || ':1A:' || CASE WHEN doc_id < 1000 THEN lpad(doc_id::VARCHAR, 3, '0') ELSE doc_id::VARCHAR END || ':' || left(sha256(text), 8) AS passage_id FROM documents",
