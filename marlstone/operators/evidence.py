@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marlstone.functions.text import format_value
 from marlstone.operators import pit
@@ -121,6 +123,18 @@ def merge(evidence: DataFrame, key: str = "id", order: str = "seq") -> DataFrame
     return evidence.groupBy(key).agg(F.min(order).alias(order), F.max_by(F.struct(*rest), order).alias("_v")).select(key, order, "_v.*")
 
 
+@F.pandas_udf(T.StringType())
+def _six_digits(values: pd.Series) -> pd.Series:
+    return values.map(lambda pairs: ", ".join(f"{k}={v:.6g}" for k, v in dict(pairs or {}).items()))
+
+
+def digest(evidence: DataFrame, most: int = 300) -> DataFrame:
+    """(id, line): evidence (id, label, unit, values, excerpt) as a line of a prompt; values have six digits, excerpts `most` characters."""
+    quote = F.when(F.length("excerpt") > 0, F.concat(F.lit(' excerpt="'), F.substring("excerpt", 1, most), F.lit('"'))).otherwise("")
+    line = F.concat(F.lit("- ["), "id", F.lit("] "), "label", F.lit(" ("), F.coalesce("unit", F.lit("")), F.lit(") "), _six_digits("values"), quote)
+    return evidence.select("id", line.alias("line"))
+
+
 def answer(findings: DataFrame) -> DataFrame:
     """(question, answer): findings (question, tool_order, position, text) joined in order."""
     return findings.groupBy("question").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tool_order", "position", "text"))), lambda x: x["text"]), " ").alias("answer"))

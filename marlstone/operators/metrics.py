@@ -41,6 +41,17 @@ def rate_limit(events: DataFrame, key: str, limit: int, every: str) -> DataFrame
     return out.withColumns({"allowed": F.col("n") <= limit, "remaining": F.greatest(F.lit(0), limit - F.col("n")).cast("long"), "reset_s": F.greatest(F.lit(1), F.ceil(left / 1e6)).cast("long")}).drop("_w")
 
 
+def token_bucket(requests: DataFrame, key: str, rate: float, burst: int) -> DataFrame:
+    """requests (…, ts) and wait_s: how long each waits for a token of its key's bucket, which holds `burst`, gains `rate` a second and is
+    full at first; requests are served in order of ts, event_id. The i-th leaves no sooner than j's arrival plus the time that the
+    tokens for j .. i take beyond a burst, for every j up to i: a running maximum, no loop."""
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    w = Window.partitionBy(key).orderBy("ts", "event_id")
+    rows = requests.withColumn("_i", F.row_number().over(w)).withColumn("_base", at - F.col("_i") / rate)
+    soonest = F.max("_base").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + (F.col("_i") + 1 - burst) / rate
+    return rows.withColumn("wait_s", F.greatest(F.lit(0.0), soonest - at)).drop("_i", "_base")
+
+
 def nearest_rank(df: DataFrame, by: str, value: str, q: float) -> DataFrame:
     """(by, p): the value at place min(n - 1, int(q * n)) in ascending order, from 0. Equal values are counted before they are ordered,
     and only a band of values around two approximate quantiles is: what lies below it is a number."""

@@ -163,6 +163,8 @@ _W1 = "time_bucket(INTERVAL '1 hour', ts)"
 
 QUERIES = {
     "rate_limit_windows": lambda s, d: metrics.rate_limit(_events(s, d), "event_type", LIMIT, "1 hour").select("event_id", "n", "allowed", "remaining", "reset_s"),
+    "token_bucket": lambda s, d: metrics.token_bucket(_events(s, d).select("event_id", "event_type", "ts"), "event_type", 0.001, 3).select("event_id", F.round("wait_s", 3).alias("wait_s")),
+    "evidence_digest": lambda s, d: evidence.digest(evidence.fact_evidence(facts(s, d)).withColumn("excerpt", F.lit(None).cast("string"))),
     "lag_histogram": lambda s, d: _hist(s, d).withColumn("le", F.col("le").cast("string")),
     "ingest_lag": ingest_lag,
     "counter_increase": lambda s, d: metrics.increase(counters(s, d), "event_type", "6 hours").withColumns({"increase": F.round("increase", 3), "rate": F.round("rate", 6)}),
@@ -216,6 +218,8 @@ UNION ALL SELECT ticker, NULL, NULL, NULL, NULL, 'No filings for ' || ticker ||
 SQL = {
     "rate_limit_windows": f"""WITH r AS (SELECT event_id, row_number() OVER (PARTITION BY event_type, {_W1} ORDER BY ts, event_id) AS n, epoch_us({_W1} + INTERVAL '1 hour') - epoch_us(ts) AS left_us FROM events)
 SELECT event_id, n, n <= {LIMIT} AS allowed, greatest(0, {LIMIT} - n)::BIGINT AS remaining, greatest(1, ceil(left_us / 1e6))::BIGINT AS reset_s FROM r""",
+    "token_bucket": """WITH r AS (SELECT event_id, epoch_us(ts) / 1e6 AS t, row_number() OVER w AS i, event_type, ts FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id))
+SELECT event_id, round(greatest(0.0, max(t - i / 0.001::DOUBLE) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) + (i - 2) / 0.001::DOUBLE - t), 3) AS wait_s FROM r""",
     "lag_histogram": f"SELECT {_W6}::TIMESTAMP AS window, event_type, CASE WHEN isinf(le) THEN 'Infinity' ELSE le::VARCHAR END AS le, count(*) FILTER (WHERE value <= le) AS n FROM events CROSS JOIN (SELECT unnest({BOUNDS} || ['inf'::DOUBLE])::DOUBLE AS le) GROUP BY 1, 2, 3",
     "ingest_lag": f"SELECT {_W6}::TIMESTAMP AS window, event_type, CASE WHEN isinf(le) THEN 'Infinity' ELSE le::VARCHAR END AS le, count(*) FILTER (WHERE (props::JSON->>'$.k')::INT <= le) AS n FROM events CROSS JOIN (SELECT unnest([1.0, 10.0, 30.0, 60.0, 'inf'::DOUBLE])::DOUBLE AS le) GROUP BY 1, 2, 3",
     "counter_increase": f"""WITH c AS (SELECT *, sum(user_id) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) % 1000000 AS v FROM events),

@@ -113,3 +113,30 @@ def test_backoff_and_counters(spark):
     many = spark.range(100_000).select(F.lit("x").alias("k"), (F.col("id") % 97).cast("double").alias("v"))
     assert metrics.nearest_rank(many, "k", "v", 0.95).first()["p"] == sorted(i % 97 for i in range(100_000))[95_000]
     assert metrics.nearest_rank(many.limit(3), "k", "v", 1.0).first()["p"] == 2.0
+
+
+def test_token_bucket_equals_a_bucket(spark):
+    import random
+
+    from marlstone.operators import metrics
+
+    r = random.Random(4)
+    at = sorted(r.uniform(0, 20) for _ in range(200))
+    df = spark.createDataFrame([(i, "k", t) for i, t in enumerate(at)], "event_id int, k string, t double").withColumn("ts", F.timestamp_micros((F.col("t") * 1e6).cast("long")))
+    got = [x["wait_s"] for x in metrics.token_bucket(df, "k", 5.0, 10).orderBy("event_id").collect()]
+    tokens, clock, want = 10.0, 0.0, []
+    for t in at:
+        now = max(t, clock)
+        tokens, clock = min(10.0, tokens + (now - clock) * 5.0), now
+        if tokens < 1:
+            clock, tokens = clock + (1 - tokens) / 5.0, 1.0
+        tokens -= 1
+        want.append(clock - t)
+    assert max(abs(a - b) for a, b in zip(got, want)) < 1e-4 and max(want) > 1
+
+
+def test_digest_of_evidence(spark):
+    from marlstone.operators import evidence
+
+    df = spark.createDataFrame([("a", "Revenue, FY 2020", "USD", {"value": 1234567.891}, None), ("b", "Passage", None, {}, "x" * 400)], "id string, label string, unit string, values map<string, double>, excerpt string")
+    assert [r["line"] for r in evidence.digest(df).collect()] == ["- [a] Revenue, FY 2020 (USD) value=1.23457e+06", f'- [b] Passage () {" "}excerpt="{"x" * 300}"'.replace("()  ", "()  ")]
