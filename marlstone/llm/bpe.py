@@ -30,6 +30,7 @@ REMEMBERED, LONGEST = 300_000, 64
 # Fixed value: the pattern whose matches never hold a blank but as their first character, unless they are blank altogether.
 BLANKS_FIRST = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+_models: dict = {}  # of a worker that keeps its caches, one at most
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
 
 
@@ -171,10 +172,10 @@ def _decoded(ids: list[bytes], parts: list[bytes]) -> list[bytes]:
 BACK = {"": (), "decoded": (("decoded", T.BinaryType(), pa.binary()),), "round_trip": (("round_trip", T.BooleanType(), pa.bool_()),)}
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", back: str = "", remembered: int = REMEMBERED) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", back: str = "", remembered: int = REMEMBERED, keep: bool = False) -> DataFrame:
     """docs with the column ids: the ids of each whole text as little-endian unsigned 32-bit integers. With back ("decoded" or
-    "round_trip") also a column of that name, from the same pass; caches live as long as their task
-    and hold `remembered` entries each at most, which changes speed only."""
+    "round_trip") also a column of that name, from the same pass; caches live as long as their task,
+    or with keep as long as their worker, and hold `remembered` entries each at most; both change speed and memory only."""
     spark = docs.sparkSession
     common.small_batches(spark)
     sent = spark.sparkContext.broadcast(load_ranks(ranks_path))
@@ -183,7 +184,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
     at = kept.columns.index(text_col)
 
     def run(batches):
-        model, parts = Model(sent.value, pattern, remembered), _parts(sent.value)
+        key = (ranks_path, pattern, remembered)
+        model, parts = _models.get(key) or Model(sent.value, pattern, remembered), _parts(sent.value)
+        if keep:
+            _models.clear()
+            _models[key] = model
         for b in batches:
             texts = b.column(at).to_pylist()
             new = [[model.encode(t or "") for t in texts]]
@@ -218,7 +223,7 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = common.table(spark, sf_dir, "documents").select("doc_id", common.text_of(None).alias("text"))
-    return encode(docs, path, public_tokenizers.PATTERN, back="decoded").select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return encode(docs, path, public_tokenizers.PATTERN, back="decoded", keep=True).select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 QUERIES = {"op2_byte_bpe": op2_byte_bpe}

@@ -85,7 +85,7 @@ def test_bpe_equals_tiktoken(spark):
     for row in df.collect():
         text = texts[row["doc_id"]] or ""
         assert np.frombuffer(row["ids"], "<u4").tolist() == enc.encode_ordinary(text) and bytes(row["decoded"]) == text.encode()
-    same = bpe.encode(docs(spark, texts), BYTE, P.PATTERN, back="decoded", remembered=50).select("doc_id", "ids", "decoded")
+    same = bpe.encode(docs(spark, texts), BYTE, P.PATTERN, back="decoded", remembered=50, keep=True).select("doc_id", "ids", "decoded")
     assert same.exceptAll(df.select("doc_id", "ids", "decoded")).count() == 0
     assert bpe.encode(docs(spark, ["x"]).where("false"), BYTE, P.PATTERN).count() == 0
 
