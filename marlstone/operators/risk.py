@@ -182,26 +182,13 @@ def limit_rows(positions: DataFrame, var: DataFrame | None = None, limits: dict
     sectors = sector_exposure(positions)
     gross = sectors.groupBy("portfolio_id").agg(F.round(F.sum("exposure"), 12).alias("g")).select("portfolio_id", *row(F.lit("gross exposure"), F.col("g"), "gross", 1e-9))
     out = single.unionByName(sectors.select("portfolio_id", *row(F.concat(F.lit("sector weight "), "sector"), F.col("exposure"), "sector"))).unionByName(gross)
-    return out if var is None else out.unionByName(var.select("portfolio_id", *row(F.lit("1-day 99% historical VaR"), F.col("var"), "var")))
+    return out if var is None else out.unionByName(var.select("portfolio_id", *row(F.lit(VAR_CHECK), F.col("var"), "var")))
 
 
 def percent(x: Column, places: int = 1) -> Column:
     return F.concat(F.format_string(f"%.{places}f", x * 100), F.lit("%"))
 
 
-def limit_findings(rows: DataFrame, decisions: DataFrame, names: DataFrame | None = None) -> DataFrame:
-    """(portfolio_id, decision, findings): the decision, a sentence per breach in order of its name, the restricted names
-    (portfolio_id, restricted: array) and, where all passes, how many limits do."""
-    said = F.concat(F.lit("Breach: "), "name", F.lit(" is "), percent(F.col("observed")), F.lit(" against a limit of "), percent(F.col("limit")), F.lit("."))
-    breaches = rows.where("not passed").groupBy("portfolio_id").agg(F.array_sort(F.collect_list(said)).alias("b"))  # one per check
-    out = decisions.join(breaches, "portfolio_id", "left")
-    out = out.withColumn("restricted", F.array().cast("array<string>")) if names is None else out.join(names.select("portfolio_id", "restricted"), "portfolio_id", "left")
-    banned = F.when(F.size("restricted") > 0, F.array(F.concat(F.lit("Restricted list: "), F.array_join("restricted", ", "), F.lit(".")))).otherwise(F.array().cast("array<string>"))
-    passed = F.when(F.col("decision") == "APPROVE", F.array(F.concat(F.lit("All "), F.col("n_checks").cast("string"), F.lit(" limits pass.")))).otherwise(F.array().cast("array<string>"))
-    head = F.array(F.concat(F.lit("Pre-trade decision: "), "decision", F.lit(".")))
-    return out.select("portfolio_id", "decision", F.concat(head, F.coalesce("b", F.array().cast("array<string>")), banned, passed).alias("findings"))
-
-
 def sector_exposure(positions: DataFrame) -> DataFrame:
     return positions.groupBy("portfolio_id", "sector").agg(F.round(F.sum(F.abs("weight")), 12).alias("exposure"))
 
@@ -234,7 +221,7 @@ def portfolio_risk(returns: DataFrame, weights: DataFrame, window: int = 500, ba
         out = out.join(got.select("portfolio_id", F.col("var").alias(f"{kind}_var"), F.col("es").alias(f"{kind}_es")), "portfolio_id", "left")
     places = euler_shares(newest, weights).join(annualized_vol(newest, weights), ["portfolio_id", "ticker"]).groupBy("portfolio_id").agg(F.array_sort(F.collect_list(F.struct("ticker", "weight", "vol", "share"))).alias("positions"))
     out = out.join(test, "portfolio_id", "left").join(places, "portfolio_id", "left")
-    return out.withColumns({"as_of": F.lit(str(until)[:10]), "window": F.lit(window), "confidence": F.lit(confidence), "calibrated": F.col("p_value") >= SIGNIFICANCE})
+    return out.withColumns({"as_of": F.lit(str(until)[:10]), "window": F.lit(window), "horizon": F.lit(horizon), "confidence": F.lit(confidence), "calibrated": F.col("p_value") >= SIGNIFICANCE})
 
 
 def estimate(returns: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -247,16 +234,52 @@ def estimate(returns: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     return order, np.array([mean[t] for t in order]), cov
 
 
+# The sentences of findings.
+RISK_SENTENCES = [
+    "As of %s, the portfolio's 1-day %s historical VaR is %s of capital (expected shortfall %s), using %s trading days [%s:var].",
+    "The %s-day %s Monte Carlo VaR with fat-tailed (Student-t) shocks is %s (expected shortfall %s) [%s:var].",
+    "%s contributes %s of portfolio VaR at a %s weight [%s:%s].",
+    "Backtest: %s VaR exceptions in %s days against %s expected, %s the Kupiec test at the 5%% level [%s:backtest].",
+]
+DECISION_SENTENCES = {
+    "decision": "Pre-trade decision: %s.",
+    "breach": "Breach: %s is %s against a limit of %s [limit:%s].",
+    "restricted": "Restricted list: %s.",
+    "approved": "All %s limits pass, including 1-day 99%% VaR of %s against %s [limit:summary] [limit:1-day_99%%_historical_VaR].",
+    "approved without VaR": "All %s limits pass [limit:summary].",
+}
+VAR_CHECK = "1-day 99% historical VaR"
+
+
 def risk_findings(report: DataFrame) -> DataFrame:
-    """(portfolio_id, findings) in four sentences: VaR, simulated VaR, the top contributor, the backtest."""
+    """(portfolio_id, findings): VaR, simulated VaR, the top contributor, the backtest."""
     top = F.array_max(F.transform("positions", lambda p: F.struct(p["share"].alias("share"), p["ticker"].alias("ticker"), p["weight"].alias("weight"))))
-    conf = F.format_string("%.0f%%", F.col("confidence") * 100)
-    return report.withColumn("_top", top).select("portfolio_id", F.array(
-        F.concat(F.lit("As of "), "as_of", F.lit(", the portfolio's 1-day "), conf, F.lit(" historical VaR is "), percent(F.col("hist_var"), 2), F.lit(" of capital (expected shortfall "), percent(F.col("hist_es"), 2), F.lit("), using "), F.col("window").cast("string"), F.lit(" trading days ["), "risk_id", F.lit(":var].")),
-        F.concat(F.lit("With fat-tailed (Student-t) shocks the simulated "), conf, F.lit(" VaR is "), percent(F.col("mc_var"), 2), F.lit(" (expected shortfall "), percent(F.col("mc_es"), 2), F.lit(") ["), "risk_id", F.lit(":var].")),
-        F.concat("_top.ticker", F.lit(" contributes "), percent(F.col("_top.share")), F.lit(" of portfolio VaR at a "), percent(F.col("_top.weight")), F.lit(" weight ["), "risk_id", F.lit(":"), "_top.ticker", F.lit("].")),
-        F.concat(F.lit("Backtest: "), F.col("exceptions").cast("string"), F.lit(" VaR exceptions in "), F.col("observations").cast("string"), F.lit(" days against "), F.col("expected").cast("string"), F.lit(" expected, "), F.when(F.col("calibrated"), "consistent with").otherwise("rejected by"), F.lit(" the Kupiec test at the 5% level ["), "risk_id", F.lit(":backtest].")),
-    ).alias("findings"))
+    conf, verdict = F.format_string("%.0f%%", F.col("confidence") * 100), F.when(F.col("calibrated"), "consistent with").otherwise("rejected by")
+    rid = F.col("risk_id")
+    filled = [
+        ("as_of", conf, percent(F.col("hist_var"), 2), percent(F.col("hist_es"), 2), F.col("window").cast("string"), rid),
+        (F.col("horizon").cast("string"), conf, percent(F.col("mc_var"), 2), percent(F.col("mc_es"), 2), rid),
+        ("_top.ticker", percent(F.col("_top.share")), percent(F.col("_top.weight")), rid, "_top.ticker"),
+        (F.col("exceptions").cast("string"), F.col("observations").cast("string"), F.col("expected").cast("string"), verdict, rid),
+    ]
+    said = [F.format_string(sentence, *values) for sentence, values in zip(RISK_SENTENCES, filled)]
+    return report.withColumn("_top", top).select("portfolio_id", F.array(*said).alias("findings"))
+
+
+def limit_findings(rows: DataFrame, decisions: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """(portfolio_id, decision, findings): the decision, a sentence per breach in order of its name, the restricted names
+    (portfolio_id, restricted: array) and, where all passes, how many limits do."""
+    breach = F.format_string(DECISION_SENTENCES["breach"], "name", percent(F.col("observed")), percent(F.col("limit")), F.replace("name", F.lit(" "), F.lit("_")))
+    var = F.max(F.when(F.col("name") == VAR_CHECK, F.struct("observed", "limit")))
+    per = rows.groupBy("portfolio_id").agg(F.array_sort(F.collect_list(F.when(~F.col("passed"), breach))).alias("b"), var.alias("v"))  # one per check
+    out = decisions.join(per, "portfolio_id", "left")
+    none = F.array().cast("array<string>")
+    out = out.withColumn("restricted", none) if names is None else out.join(names.select("portfolio_id", "restricted"), "portfolio_id", "left")
+    say = lambda kind, *values: F.array(F.format_string(DECISION_SENTENCES[kind], *values))
+    n = F.col("n_checks").cast("string")
+    passed = F.when(F.col("decision") != "APPROVE", none).when(F.col("v").isNull(), say("approved without VaR", n)).otherwise(say("approved", n, percent(F.col("v.observed"), 2), percent(F.col("v.limit"), 2)))
+    banned = F.when(F.size("restricted") > 0, say("restricted", F.array_join("restricted", ", "))).otherwise(none)
+    return out.select("portfolio_id", "decision", F.concat(say("decision", "decision"), F.coalesce("b", none), banned, passed).alias("findings"))
 
 
 def monte_carlo(spark, mu: np.ndarray, cov: np.ndarray, weights: np.ndarray, paths: int = 100_000, horizon: int = 10, dof: float = 5.0, confidence: float = 0.99, seed: int = 0, block: int = 4096, n_partitions: int | None = None) -> DataFrame:

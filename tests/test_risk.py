@@ -123,5 +123,5 @@ def test_var_limit_rows_and_findings(spark):
     assert {(r["portfolio_id"], r["name"]) for r in rows.where("not passed").collect()} == {(2, "single-name weight A"), (2, "sector weight s"), (2, "gross exposure"), (2, "1-day 99% historical VaR")}
     names = spark.createDataFrame([(2, ["C"])], "portfolio_id int, restricted array<string>")
     said = {r["portfolio_id"]: r["findings"] for r in risk.limit_findings(rows, risk.limit_checks(positions, var, banned), names).collect()}
-    assert said[1] == ["Pre-trade decision: APPROVE.", "All 6 limits pass."]
-    assert said[2][0] == "Pre-trade decision: REJECT." and said[2][1] == "Breach: 1-day 99% historical VaR is 5.0% against a limit of 4.0%." and said[2][-1] == "Restricted list: C." and len(said[2]) == 6
+    assert said[1] == ["Pre-trade decision: APPROVE.", "All 6 limits pass, including 1-day 99% VaR of 1.00% against 4.00% [limit:summary] [limit:1-day_99%_historical_VaR]."]
+    assert said[2][0] == "Pre-trade decision: REJECT." and said[2][1] == "Breach: 1-day 99% historical VaR is 5.0% against a limit of 4.0% [limit:1-day_99%_historical_VaR]." and said[2][-1] == "Restricted list: C." and len(said[2]) == 6
