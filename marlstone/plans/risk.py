@@ -124,7 +124,7 @@ SQL = {
     "portfolio_pnl": f"WITH {_PNL} SELECT portfolio_id, date, round(pnl, 6) AS pnl FROM pnl",
     "historical_var_es": f"WITH {_PNL}, {_HIST} SELECT portfolio_id, max(n) AS n, round(-max(pnl), 6) AS var, round(-avg(pnl), 6) AS es FROM r WHERE rn <= {_K} GROUP BY 1",
     "parametric_var_es": f"WITH {_PNL} SELECT portfolio_id, round(-(avg(pnl) + stddev_samp(pnl) * ({_Z!r}::DOUBLE)), 6) AS var, round(-avg(pnl) + stddev_samp(pnl) * {_PHI!r}::DOUBLE / {1 - CONF!r}::DOUBLE, 6) AS es FROM pnl GROUP BY 1",
-    "euler_component_var": f"WITH {_PNL}, c AS (SELECT w.portfolio_id, retw.ticker, any_value(weight) * covar_samp(ret, pnl) AS part FROM retw JOIN weights w USING (ticker) JOIN pnl ON pnl.portfolio_id = w.portfolio_id AND pnl.date = retw.date GROUP BY 1, 2) SELECT portfolio_id, ticker, round(part / sum(part) OVER (PARTITION BY portfolio_id), 6) AS share FROM c",
+    "euler_component_var": f"WITH {_PNL}, c AS (SELECT w.portfolio_id, retw.ticker, any_value(weight) * covar_samp(ret, pnl) AS part FROM retw JOIN weights w USING (ticker) JOIN pnl ON pnl.portfolio_id = w.portfolio_id AND pnl.date = retw.date GROUP BY 1, 2) SELECT portfolio_id, ticker, round(part / sum(part) OVER (PARTITION BY portfolio_id), 6) + 0.0 AS share FROM c",
     "annualized_vol": f"WITH {_PNL} SELECT portfolio_id, ticker, round(stddev_samp(ret) * sqrt(252), 6) AS vol FROM retw JOIN weights USING (ticker) GROUP BY 1, 2",
     "moments": f"WITH {_PNL} SELECT ticker, count(ret) AS n, round(avg(ret), 8) AS mean, round(stddev_samp(ret) * sqrt(252), 8) AS vol FROM retw GROUP BY 1",
     "covariances": f"WITH {_PNL} SELECT x.ticker AS a, y.ticker AS b, round(covar_samp(x.ret, y.ret), 8) AS cov FROM retw x JOIN retw y ON x.date = y.date AND x.ticker <= y.ticker GROUP BY 1, 2",
@@ -137,7 +137,7 @@ pnl_r AS (SELECT * FROM pnl_all WHERE date IN (SELECT date FROM recent)),
 win_r AS (SELECT portfolio_id, pnl, count(*) OVER w AS n, list(pnl) OVER w AS xs FROM pnl_r WINDOW w AS (PARTITION BY portfolio_id ORDER BY date ROWS BETWEEN {BACK} PRECEDING AND 1 PRECEDING)),
 k AS (SELECT portfolio_id, count(*) AS n, count(*) FILTER (WHERE pnl < list_sort(xs)[{_K}::INT]) AS x FROM win_r WHERE n = {BACK} GROUP BY 1),
 c AS (SELECT w.portfolio_id, retw.ticker, any_value(weight) * covar_samp(ret, pnl) AS part FROM retw JOIN weights w USING (ticker) JOIN pnl ON pnl.portfolio_id = w.portfolio_id AND pnl.date = retw.date GROUP BY 1, 2),
-e AS (SELECT portfolio_id, ticker, round(part / sum(part) OVER (PARTITION BY portfolio_id), 6) AS share FROM c),
+e AS (SELECT portfolio_id, ticker, round(part / sum(part) OVER (PARTITION BY portfolio_id), 6) + 0.0 AS share FROM c),
 t AS (SELECT portfolio_id, ticker AS top, share AS top_share FROM (SELECT *, row_number() OVER (PARTITION BY portfolio_id ORDER BY share DESC, ticker DESC) AS i FROM e) WHERE i = 1)
 SELECT h.portfolio_id, (SELECT max(date)::DATE::VARCHAR FROM ret) AS as_of, hist_var, hist_es, param_var, param_es, n AS observations, x AS exceptions, round(n * {1 - CONF!r}::DOUBLE, 1) AS expected,
   greatest(0.0, -2 * ((n - x) * ln({CONF}::DOUBLE) + x * ln({1 - CONF!r}::DOUBLE) - (CASE WHEN n = x THEN 0 ELSE (n - x) * ln(CASE WHEN n = x THEN 1 ELSE 1 - x / n END) END) - (CASE WHEN x = 0 THEN 0 ELSE x * ln(CASE WHEN x = 0 THEN 1 ELSE x / n END) END))) <= 3.841458820694124 AS calibrated, top, top_share

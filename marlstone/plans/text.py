@@ -145,10 +145,15 @@ def _orders(s, d):
 
 
 def extract_claims(s, d):
-    """The numbers in a sentence about each order, between others that are no claims."""
-    price = F.col("o_totalprice")
-    told = F.concat(F.lit("FY2024 order [o:1] of 1996-01-02 came to $"), F.format_number(price, 2), F.lit(", -"), F.format_string("%.1f", price / 1000), F.lit("k or "), F.format_string("%.0f", price / 100), F.lit("% (Item 7, 10-K), 2.5x of Q3.")).alias("t")
-    got = table(s, d, "orders").select("o_orderkey", language.claims_udf(told).alias("c")).select("o_orderkey", F.posexplode("c").alias("pos", "c"))
+    """The numbers in a sentence about each order, between others that are no claims. Cut, not rounded, from whole cents."""
+    cents = F.round(F.col("o_totalprice") * 100).cast("long")
+    part = lambda n: F.expr(f"c div {n}").cast("string")
+    rows = table(s, d, "orders").select("o_orderkey", cents.alias("c"))
+    told = F.concat(
+        F.lit("FY2024 order [o:1] of 1996-01-02 came to $"), F.regexp_replace(F.format_number(F.expr("c div 100"), 0), "$", "."), F.lpad((F.col("c") % 100).cast("string"), 2, "0"),
+        F.lit(", -"), part(100_000), F.lit("."), (F.expr("c div 10000") % 10).cast("string"), F.lit("k or "), part(10_000), F.lit("% (Item 7, 10-K), 2.5x of Q3."),
+    )
+    got = rows.select("o_orderkey", language.claims_udf(told).alias("c")).select("o_orderkey", F.posexplode("c").alias("pos", "c"))
     return got.select("o_orderkey", F.col("pos").cast("long").alias("pos"), "c.kind", F.round("c.value", 4).alias("value"), F.round("c.tolerance", 6).alias("tolerance"))
 
 
@@ -246,9 +251,9 @@ SELECT query, doc, excerpt, {_FIRST} AS first_sentence FROM cut""",
     "extract_tickers": "SELECT c_custkey, CASE WHEN r_name = 'AMERICA' THEN r_name ELSE r_name || ',AMERICA' END AS tickers FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
     "extract_weights": """WITH c AS (SELECT c_custkey, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
 SELECT c_custkey, r_name AS ticker, (c_custkey % 90 + 5) / 100.0::DOUBLE AS weight FROM c UNION ALL SELECT c_custkey, 'AMERICA', (c_custkey % 7 + 0.5::DOUBLE) / 100.0::DOUBLE FROM c WHERE r_name <> 'AMERICA'""",
-    "extract_claims": """WITH t AS (SELECT o_orderkey, o_totalprice AS p FROM orders),
-u AS (SELECT o_orderkey, [{'pos': 0, 'kind': 'usd', 'value': format('{:.2f}', p)::DOUBLE, 'tolerance': 0.005::DOUBLE}, {'pos': 1, 'kind': 'usd', 'value': -1000 * format('{:.1f}', p / 1000)::DOUBLE, 'tolerance': 50.0::DOUBLE},
-  {'pos': 2, 'kind': 'pct', 'value': format('{:.0f}', p / 100)::DOUBLE / 100, 'tolerance': 0.005::DOUBLE}, {'pos': 3, 'kind': 'multiple', 'value': 2.5::DOUBLE, 'tolerance': 0.05::DOUBLE}] AS cs FROM t),
+    "extract_claims": """WITH t AS (SELECT o_orderkey, round(o_totalprice * 100)::BIGINT AS c FROM orders),
+u AS (SELECT o_orderkey, [{'pos': 0, 'kind': 'usd', 'value': c / 100.0::DOUBLE, 'tolerance': 0.005::DOUBLE}, {'pos': 1, 'kind': 'usd', 'value': -100.0::DOUBLE * (c // 10000), 'tolerance': 50.0::DOUBLE},
+  {'pos': 2, 'kind': 'pct', 'value': (c // 10000) / 100.0::DOUBLE, 'tolerance': 0.005::DOUBLE}, {'pos': 3, 'kind': 'multiple', 'value': 2.5::DOUBLE, 'tolerance': 0.05::DOUBLE}] AS cs FROM t),
 e AS (SELECT o_orderkey, unnest(cs) AS c FROM u)
 SELECT o_orderkey, c.pos::BIGINT AS pos, c.kind AS kind, round(c.value, 4) AS value, round(c.tolerance, 6) AS tolerance FROM e""",
     "dedupe_passages": f"SELECT lang, min(doc_id) AS doc_id FROM documents GROUP BY lang, {_FOLD.format('text')}",
