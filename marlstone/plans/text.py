@@ -107,7 +107,7 @@ def filing_search(s, d):
 
 def filing_evidence(s, d):
     """What the excerpts of filing_search quote."""
-    return retrieval.filing_search(passages(s, d), _index(s, d), _questions(s, d)).select("question", "scope", "doc", F.explode_outer("quoted").alias("value"))
+    return retrieval.filing_search(passages(s, d), _index(s, d), _questions(s, d)).select("question", "scope", "doc", "quoted")
 
 
 _SCORED = _ASKED[_ASKED.index("(SELECT DISTINCT query") :]
