@@ -43,7 +43,6 @@ def test_token_ids_round_trip(spark):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(WORD)
-    tok.encode_special_tokens = True
     texts = [*TEXTS, "<|endoftext|> \x1c x", words(1, 40_000)]
     got = {r["doc_id"]: r for r in ids_file(spark, docs(spark, texts, ids="clash", start=1)).collect()}
     start = 0
