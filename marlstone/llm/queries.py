@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("token_ids", "bpe", "quality", "decontam", "langid", "suffix_dedup", "minhash", "line_dedup", "licenses", "winnowing", "whitening", "media")
+MODULES = ("token_ids", "bpe", "quality", "decontam", "langid", "suffix_dedup", "minhash", "line_dedup", "licenses", "winnowing", "whitening", "media", "collocations")
 
 
 def _modules():
