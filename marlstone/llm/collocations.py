@@ -5,7 +5,8 @@ consecutive words of a piece is counted, overlaps included, in three passes over
 
 1. A sketch. The phrases of each length fall into so many counters that a counter stands for SHARE phrases in the mean; counters are
    dealt in blocks of 65,536 to tasks, as packed positions, and added up there. A counter is never below the count of a phrase in it.
-2. Candidates. A phrase is one where its own counter and both phrases a word shorter reach the least count; different ones are kept.
+2. Candidates. A phrase is one where its own counter and both phrases a word shorter reach the least count; each task sends its
+   different ones in sorted, compressed groups by hash, and a group's repeats from other tasks go.
 3. Counts. Candidates are compiled, with a blank on either side of each word, into Aho-Corasick automata of at most AUTOMATON_BYTES
    of phrases; each automaton reads all texts of its language, counts overlapping matches, and the tasks' counts are added.
 
@@ -33,6 +34,7 @@ SHARE = 8  # words per counter, in the mean, of each length
 LEAST_BITS, MOST_BITS = 16, 28
 BLOCK = 1 << 16
 FLUSH = 2 << 20  # phrases of a length that a task gathers before it sends them
+HELD = 1_000_000  # candidates that a task holds before it sends them
 AUTOMATON_BYTES = 6 << 20
 SCAN_BYTES = 64 << 20  # of texts that a task reads with one automaton
 CHUNK = 4096
@@ -164,10 +166,23 @@ def candidates(texts: DataFrame, table: DataFrame, bits: int, longest: int) -> D
         maps[r["length"] - 1, r["block"] * (BLOCK // 8) : (r["block"] + 1) * (BLOCK // 8)] = np.frombuffer(open_.decompress(bytes(r["data"])), np.uint8)
     sent = spark.sparkContext.broadcast(maps)
 
+    groups = 4 * common.spread(spark)
+
     def find(batches):
-        known, seen = _Hashes(), [np.zeros(0, np.uint64) for _ in range(longest)]
+        import xxhash
+
+        press, known, waiting = zstandard.ZstdCompressor(level=3), _Hashes(), {}
+        seen, held = [np.zeros(0, np.uint64) for _ in range(longest)], 0
+
+        def send():
+            rows = [(lang, group, press.compress(b"\n".join(sorted(phrases)))) for (lang, group), phrases in waiting.items()]
+            waiting.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.binary()))], ["lang", "grp", "data"])
+
         for batch in batches:
-            langs, phrases = [], []
+            if held >= HELD:
+                yield send()
+                held = 0
             for lang, words in _by_language(batch, 0, 1):
                 before = None
                 for k, (h, inside) in enumerate(phrase_hashes(words, lang, known, longest)):
@@ -181,12 +196,22 @@ def candidates(texts: DataFrame, table: DataFrame, bits: int, longest: int) -> D
                     fresh = np.ones(len(new), bool) if not len(seen[k]) else seen[k][np.minimum(spot, len(seen[k]) - 1)] != new
                     if fresh.any():
                         seen[k] = np.insert(seen[k], spot[fresh], new[fresh])
-                        starts = may[first[fresh]].tolist()
-                        langs += [lang] * len(starts)
-                        phrases += [b" ".join(words[i : i + k + 1]) for i in starts]
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(phrases, pa.binary())], ["lang", "phrase"])
+                        held += int(fresh.sum())
+                        for i in may[first[fresh]].tolist():
+                            phrase = b" ".join(words[i : i + k + 1])
+                            waiting.setdefault((lang, xxhash.xxh32_intdigest(phrase) % groups), []).append(phrase)
+        yield send()
+
+    def differ(batches):
+        open_, found = zstandard.ZstdDecompressor(), {}
+        for batch in batches:
+            for lang, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                found.setdefault(lang, set()).update(open_.decompress(data).split(b"\n"))
+        for lang, phrases in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), pa.array(sorted(phrases), pa.binary())], ["lang", "phrase"])
 
-    return texts.mapInArrow(find, "lang string, phrase binary").distinct()
+    packed = texts.mapInArrow(find, "lang string, grp int, data binary")
+    return packed.repartition(common.spread(spark), "lang", "grp").mapInArrow(differ, "lang string, phrase binary")
 
 
 def count(texts: DataFrame, phrases: DataFrame, size: int, least: int, work: str) -> DataFrame:
