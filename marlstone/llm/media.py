@@ -1,14 +1,15 @@
 """Texts as pictures in content-addressed tar shards.
 
 A payload is a text's bytes, filled up with 255 to a positive multiple of 576, and is stored as a grey picture of 8 bits a sample: a
-PNG of 576 columns without filters. Its name is the SHA-256 of the stored form. store() encodes every row, forgets repeats within a
-task, deals the pictures by digest and writes each digest once, in tar shards of about SHARD_BYTES. The index it writes beside them
-says where a digest lies (shard, offset, length), and rows carry that. headers() fills metadata columns by range reads of the first
-HEADER bytes of each picture; features() reads whole pictures and checks them against their digest.
+PNG of 576 columns without filters. Its name is the SHA-256 of the stored form. store() first counts 64-bit hashes of the texts; what
+occurs once is encoded and written where it is read, in tar shards of about SHARD_BYTES, and only what may occur twice (a bitmap of
+SPOTS places, which errs to that side) is dealt by digest, without repeats within a task, so that each digest is written once. The
+index beside the shards says where a digest lies (shard, offset, length), and rows carry that. headers() fills metadata columns by
+range reads of the first HEADER bytes of each picture; features() reads whole pictures and works out what they hold.
 
 Shards are written and read by the tasks through pyarrow.fs, so the folder must be of a kind that it knows (file, hdfs, s3, gs) and
 that all executors see; a task writes a shard under a name of its own, and only those that the index names count, so a task that
-is lost or runs twice leaves a file nobody reads. Bytes move once, compressed; memory is one batch of texts, or one shard's largest
+is lost or runs twice leaves a file nobody reads. Texts that occur once never move; memory is one batch of texts, or one
 picture.
 
 Defined results: null text is empty, and an empty text has one row of 255; equal texts have one picture, also in rows that repeat;
@@ -39,7 +40,8 @@ PIECE = 16 << 20
 LEVEL = 6
 REMEMBERED = 100_000  # digests of a task's own pictures that it does not send again
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
-_PLACE = "digest string, shard string, media_offset long, media_length long"
+SPOTS = 1 << 26  # places of the bitmap of repeated texts
+_PLACE = "text_digest binary, digest binary, shard string, media_offset long, media_length long"
 
 
 def payload_of(raw: bytes) -> bytes:
@@ -130,53 +132,79 @@ class _Shards:
             self.out = None
 
 
+def repeated(docs: DataFrame, spot) -> bytes:
+    """A bit for each of SPOTS places: whether it may hold a text that occurs twice. 8 bytes a row are counted; the bits are put together
+    by the tasks, SPOTS / 8 bytes in all."""
+    twice = docs.groupBy(spot.alias("_h")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select((F.pmod("_h", F.lit(SPOTS)) + 1).alias("_at"))  # buckets begin with 1
+    rows = twice.groupBy(F.bitmap_bucket_number("_at").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("bits"))
+    bits = bytearray(SPOTS // 8)
+    for r in rows.toLocalIterator():
+        at = (r["b"] - 1) * len(r["bits"])
+        bits[at : at + len(r["bits"])] = r["bits"]
+    return bytes(bits)
+
+
 def store(docs: DataFrame, folder: str, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(docs with n_bytes, payload_bytes, text_digest; the index: text_digest, digest, shard, media_offset, media_length). One index row for
-    each different text; text_digest is the SHA-256 of the text itself."""
+    """(docs with n_bytes and text_digest; the index: text_digest, digest, shard, media_offset, media_length). One index row for each
+    different text; text_digest is the SHA-256 of the text itself, digest that of its picture."""
     spark = docs.sparkSession
     common.small_batches(spark)
-    names = [c for c in docs.columns if c.lower() not in ("n_bytes", "payload_bytes", "text_digest")]
+    names = [c for c in docs.columns if c.lower() not in ("n_bytes", "text_digest")]
     text = common.text_of(docs, text_col).cast("binary")
-    n = F.octet_length(text).cast("long")
-    padded = F.greatest(F.lit(WIDTH), F.ceil(n / WIDTH) * WIDTH).cast("long")
-    rows = docs.select(*names, n.alias("n_bytes"), padded.alias("payload_bytes"), F.sha2(text, 256).alias("text_digest"))
+    key = F.unhex(F.sha2(text, 256))
+    rows = docs.select(*names, F.octet_length(text).cast("long").alias("n_bytes"), key.alias("text_digest"))
+    sent = spark.sparkContext.broadcast(repeated(docs, F.xxhash64(text)))
+    spots = docs.select(key.alias("text_digest"), text.alias("raw"), F.pmod(F.xxhash64(text), F.lit(SPOTS)).alias("spot"))
+
+    def chosen(batch, twice: bool):
+        for key, raw, spot in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist()):
+            if (sent.value[spot >> 3] >> (spot & 7) & 1) == twice:
+                yield key.as_py(), raw
+
+    def placed(shards: _Shards, pairs) -> pa.RecordBatch:
+        out = [(key, d := hashlib.sha256(media).digest(), *shards.put(d.hex(), media)) for key, media in pairs]
+        kinds = (pa.binary(), pa.binary(), pa.string(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["text_digest", "digest", "shard", "media_offset", "media_length"])
+
+    def write_once(batches):
+        shards = _Shards(folder)
+        for b in batches:
+            yield placed(shards, ((key, encode(payload_of(raw.as_py()))) for key, raw in chosen(b, False)))
+        shards.close()
 
     def draw(batches):
-        seen: set[str] = set()
+        seen: set[bytes] = set()
         for b in batches:
             out = []
-            for key, raw in zip(b.column(0).to_pylist(), b.column(1)):
+            for key, raw in chosen(b, True):
                 if key not in seen:
                     if len(seen) >= REMEMBERED:
                         seen.clear()
                     seen.add(key)
                     out.append((key, encode(payload_of(raw.as_py()))))
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.string()), pa.array([m for _, m in out], pa.binary())], ["text_digest", "media"])
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.binary()), pa.array([m for _, m in out], pa.binary())], ["text_digest", "media"])
 
-    def write(batches):
+    def write_first(batches):
         shards, seen = _Shards(folder), set()
         for b in batches:
-            keys, digests, places = [], [], []
-            for key, media in zip(b.column(0).to_pylist(), b.column(1)):
-                if key not in seen:
-                    seen.add(key)
-                    keys.append(key)
-                    media = media.as_py()
-                    digests.append(hashlib.sha256(media).hexdigest())
-                    places.append(shards.put(digests[-1], media))
-            cols = [pa.array(keys, pa.string()), pa.array(digests, pa.string()), pa.array([p[0] for p in places], pa.string()), pa.array([p[1] for p in places], pa.int64()), pa.array([p[2] for p in places], pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, ["text_digest", "digest", "shard", "media_offset", "media_length"])
+            new = {key: media.as_py() for key, media in zip(b.column(0).to_pylist(), b.column(1)) if key not in seen}
+            seen.update(new)
+            yield placed(shards, new.items())
         shards.close()
 
-    drawn = docs.select(F.sha2(text, 256).alias("text_digest"), text.alias("raw")).mapInArrow(draw, "text_digest string, media binary")
-    index = drawn.repartition("text_digest").mapInArrow(write, f"text_digest string, {_PLACE}")
-    return rows, common.saved(index, f"{folder}/index")
+    several = spots.mapInArrow(draw, "text_digest binary, media binary").repartition("text_digest").mapInArrow(write_first, _PLACE)
+    return rows, common.saved(spots.mapInArrow(write_once, _PLACE).unionByName(several), f"{folder}/index")
+
+
+def by_place(places: DataFrame) -> DataFrame:
+    """places (…, shard, media_offset, media_length) dealt by stretches of shards, in their order."""
+    return places.repartition(F.col("shard"), F.floor(F.col("media_offset") / F.lit(PIECE))).sortWithinPartitions("shard", "media_offset")
 
 
-def _read(places: DataFrame, folder: str, length, made: list[T.StructField], work) -> DataFrame:
-    """places (…, shard, media_offset, media_length) with what work(bytes) gives, read in the order of shards and offsets."""
-    ordered = places.repartition(F.col("shard"), F.floor(F.col("media_offset") / F.lit(PIECE))).sortWithinPartitions("shard", "media_offset")
+def _read(places: DataFrame, folder: str, length: int | None, made: dict[str, T.DataType], work) -> DataFrame:
+    """places with what work(the first `length` bytes, or all) gives."""
     at = {c: i for i, c in enumerate(places.columns)}
+    kinds = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32(), T.BinaryType(): pa.binary(), T.StringType(): pa.string()}
 
     def run(batches):
         files, base = _files(folder)
@@ -191,26 +219,25 @@ def _read(places: DataFrame, folder: str, length, made: list[T.StructField], wor
                 if len(got) != want:
                     raise OSError(f"{shard} ends before {offset + want}")
                 out.append(work(got))
-            cols = [pa.array([x[f.name] for x in out], pa.int64() if f.dataType == T.LongType() else pa.int32() if f.dataType == T.IntegerType() else pa.string()) for f in made]
-            yield pa.RecordBatch.from_arrays([*b.columns, *cols], [*b.schema.names, *(f.name for f in made)])
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([x[c] for x in out], kinds[t]) for c, t in made.items())], [*b.schema.names, *made])
 
-    return ordered.mapInArrow(run, T.StructType([*places.schema.fields, *made]))
+    return places.mapInArrow(run, T.StructType([*places.schema.fields, *(T.StructField(c, t) for c, t in made.items())]))
 
 
 def headers(places: DataFrame, folder: str) -> DataFrame:
     """places with width, height, bits and channels, from a range read of each picture's first bytes."""
-    return _read(places, folder, HEADER, [T.StructField(c, T.IntegerType()) for c in ("width", "height", "bits", "channels")], header)
+    return _read(places, folder, HEADER, dict.fromkeys(("width", "height", "bits", "channels"), T.IntegerType()), header)
 
 
 def features(places: DataFrame, folder: str) -> DataFrame:
-    """places with payload_sha256, tail_crc32, media_bytes, media_sha256 and feature of the pictures read back."""
+    """places with payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256 and feature of the pictures read back; digests in binary."""
 
     def work(media: bytes) -> dict:
         payload = decode(media)
-        return {"payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-32:]), "read_bytes": len(payload), "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "feature": feature(payload)}
+        return {"payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).digest(), "tail_crc32": zlib.crc32(payload[-32:]), "media_bytes": len(media), "media_sha256": hashlib.sha256(media).digest(), "feature": feature(payload)}
 
-    long = ("tail_crc32", "read_bytes", "media_bytes")
-    return _read(places, folder, None, [T.StructField(c, T.LongType() if c in long else T.StringType()) for c in ("payload_sha256", "tail_crc32", "read_bytes", "media_bytes", "media_sha256", "feature")], work)
+    made = dict.fromkeys(("payload_bytes", "tail_crc32", "media_bytes"), T.LongType()) | dict.fromkeys(("payload_sha256", "media_sha256"), T.BinaryType())
+    return _read(places, folder, None, made | {"feature": T.StringType()}, work)
 
 
 def unpack(spark: SparkSession, folder: str) -> DataFrame:
@@ -230,12 +257,11 @@ def unpack(spark: SparkSession, folder: str) -> DataFrame:
 def op13_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document of `documents` with its picture's place, header and features."""
     folder = f"{common.workspace(spark)}/media"
-    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows, index = store(docs, folder)
-    rows = rows.select("doc_id", "n_bytes", "text_digest")
-    known = features(headers(index, folder), folder)
-    out = rows.join(known, "text_digest")
-    return out.select("doc_id", "n_bytes", F.col("read_bytes").alias("payload_bytes"), "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "digest", "shard", "media_offset", "media_length", "width", "height", "bits", "channels")
+    docs, index = store(common.table(spark, sf_dir, "documents").select("doc_id", "text"), folder)
+    known = features(headers(by_place(index), folder), folder)
+    out = docs.select("doc_id", "n_bytes", "text_digest").join(known, "text_digest")
+    text = lambda c: F.lower(F.hex(c)).alias(c)
+    return out.select("doc_id", "n_bytes", "payload_bytes", text("payload_sha256"), "tail_crc32", "media_bytes", text("media_sha256"), "feature", text("digest"), "shard", "media_offset", "media_length", "width", "height", "bits", "channels")
 
 
 QUERIES = {"op13_media": op13_media}
