@@ -15,13 +15,13 @@ def rows(sf):
     return dict(duckdb.sql(f"SELECT doc_id, coalesce(text, '') FROM '{sf}/documents.parquet'").fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(queries.queries()))
+@pytest.mark.parametrize("name", sorted(set(queries.queries()) - {"op11_whitening", "op12_collocations"}))
 def test_one_row_per_document(spark, sf, rows, name):
     got = [r["doc_id"] for r in queries.queries()[name](spark, sf).select("doc_id").collect()]
     assert sorted(got) == sorted(rows)
 
 
-def test_line_dedup_equals_sql(spark, sf):
+def test_rows_equal_sql(spark, sf):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
     for name, sql in queries.oracle_sql().items():
