@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.functions.language import claims_udf
+from marlstone.functions.language import claims
 from marlstone.functions.text import analyze, excerpt, first_sentence, fold
 
 K1, B = 1.5, 0.75
@@ -143,4 +143,4 @@ def filing_search(passages: DataFrame, idx: DataFrame, questions: DataFrame, k:
     most = F.when(F.col("n") > 1, F.greatest(F.lit(1), F.lit(k - 1))).otherwise(k)
     kept = hits.join(each, "query").where(F.col("rank") <= most).join(passages.select("doc", F.col("text").alias("passage")), "doc")
     shown = kept.select("question", "scope", "doc", "rank", excerpt(F.col("passage"), F.col("text")).alias("excerpt"))
-    return shown.select("*", first_sentence(F.col("excerpt")).alias("finding"), F.transform(claims_udf("excerpt"), lambda c: c["value"]).alias("quoted"))
+    return shown.select("*", first_sentence(F.col("excerpt")).alias("finding"), F.transform(claims(F.col("excerpt")), lambda c: c["value"]).alias("quoted"))

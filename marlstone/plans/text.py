@@ -106,8 +106,21 @@ def filing_search(s, d):
 
 
 def filing_evidence(s, d):
-    """What the excerpts of filing_search quote."""
-    return retrieval.filing_search(passages(s, d), _index(s, d), _questions(s, d)).select("question", "scope", "doc", "quoted")
+    """The numbers that the excerpts of filing_search quote, in order: the values of their evidence."""
+    got = retrieval.filing_search(passages(s, d), _index(s, d), _questions(s, d))
+    return got.select("question", "scope", "doc", F.posexplode_outer("quoted").alias("pos", "value")).select("question", "scope", "doc", F.coalesce(F.col("pos").cast("long"), F.lit(-1)).alias("pos"), "value")
+
+
+def verifier_recall(s, d):
+    """Per kind of error: how many wrong copies of a sentence about each order there are, how many of them the verifier rejects, and the right
+    sentences it accepts. A copy that still matches the order's values as precisely as it is stated is no error and is left out."""
+    cents = F.round(F.col("o_totalprice") * 100).cast("long")
+    rows = table(s, d, "orders").select("o_orderkey", cents.alias("c"))
+    money = F.concat(F.lit("$"), F.format_number(F.expr("c div 100"), 0), F.lit("."), F.lpad((F.col("c") % 100).cast("string"), 2, "0"))
+    answers = rows.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("In FY2024 the order came to "), money, F.lit(" [order].")).alias("answer"), F.array(F.col("c") / 100.0).alias("values"))
+    right = answers.select(F.lit("right").alias("change"), language.verify(language.claims(F.col("answer")), F.col("values"))["status"].alias("status"))
+    wrong = language.perturbed(answers).select("change", language.verify(language.claims(F.col("answer")), F.col("values"))["status"].alias("status"))
+    return right.unionByName(wrong).groupBy("change").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "failed").alias("rejected"), F.count_if(F.col("status") == "verified").alias("accepted"))
 
 
 _SCORED = _ASKED[_ASKED.index("(SELECT DISTINCT query") :]
@@ -123,6 +136,25 @@ cut AS (SELECT *, CASE WHEN length(whole) <= 600 THEN whole WHEN length(rest) <=
 _FIRST = "regexp_replace(string_split(regexp_replace(excerpt, '^\\.\\.\\.', ''), '. ')[1], '\\.+$', '')"
 
 
+# Numbers of an excerpt, with what stands in for the looks ahead and behind of NUMBER and NOT_CLAIMS, which this SQL does not have.
+_UNIT = r"(?i:%|x\b|(?:trillion|billion|million|thousand|tn|bn|mn|mm|[tbmk])\b)"
+_DIGITS = r"(?:\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?)"
+_NO_CLAIMS = "|".join(f"(?i:{p})" if i else f"(?:{p})" for p, i in zip(language.NOT_CLAIMS, language.CASELESS)).replace(r"(?![.,]\d|\s?%|\s?(?:billion|million))", "")
+_NUMBERS = rf"([-−]?\$?\b(?:19|20)\d{{2}}(?:[.]\d+\s?{_UNIT}?|,\d{{3}}(?:\.\d+)?\s?{_UNIT}?|\s?(?:%|(?:billion|million)\b)))|[-−]?\$?(?:{_NO_CLAIMS})|\pL[-−]?\$?{_DIGITS}\s?{_UNIT}?|([-−]?\$?{_DIGITS}\s?{_UNIT}?)"
+_SCALES = "CASE u " + " ".join(f"WHEN '{k}' THEN {v!r}::DOUBLE" for k, v in {**language.SCALES, "%": 0.01}.items()) + " ELSE 1.0::DOUBLE END"
+_QUOTED = rf"""found AS (SELECT question, scope, doc, list_filter(list_transform(list_zip(regexp_extract_all(excerpt, '{_NUMBERS}', 1), regexp_extract_all(excerpt, '{_NUMBERS}', 2)), lambda x: coalesce(x[1], '') || coalesce(x[2], '')), lambda x: x <> '') AS cs FROM cut),
+each_claim AS (SELECT question, scope, doc, unnest(CASE WHEN len(cs) = 0 THEN [-1] ELSE range(len(cs)) END)::BIGINT AS pos, cs FROM found),
+read AS (SELECT question, scope, doc, pos, CASE WHEN pos >= 0 THEN cs[pos + 1] END AS c, lower(regexp_extract(CASE WHEN pos >= 0 THEN cs[pos + 1] END, '[%A-Za-z]+')) AS u FROM each_claim)
+SELECT question, scope, doc, pos, regexp_replace(c, '[^0-9.]', '', 'g')::DOUBLE * {_SCALES} * CASE WHEN regexp_matches(c, '^[-−]') THEN -1 ELSE 1 END AS value FROM read"""
+
+# What a sentence about an order becomes, by change: whole cents, as a fraction of them, half up; a copy counts if it differs by over half a cent.
+_RECALL = """WITH t AS (SELECT round(o_totalprice * 100)::BIGINT AS c FROM orders),
+v AS (SELECT c, change, c * (1 + share) AS x FROM t, (VALUES ('+0.005', 0.005::DOUBLE), ('-0.01', -0.01::DOUBLE), ('+0.05', 0.05::DOUBLE), ('-0.1', -0.1::DOUBLE), ('+0.5', 0.5::DOUBLE)) AS p(change, share)
+UNION ALL SELECT c, 'swap', (s[2] || s[1] || s[3:])::DOUBLE FROM (SELECT c, (c // 100)::VARCHAR || lpad((c % 100)::VARCHAR, 2, '0') AS s FROM t) WHERE s[1] <> s[2]),
+w AS (SELECT change, count(*) AS n FROM v WHERE abs(round(x) - c) > 0.5 + 1e-7 * greatest(1, c / 100) GROUP BY 1)
+SELECT change, n, n AS rejected, 0::BIGINT AS accepted FROM w UNION ALL SELECT 'right', count(*), 0, count(*) FROM t"""
+
+
 def _turns(s, d):
     return table(s, d, "conversations").where("role = 'user'").select("conv_id", "turn", "text")
 
@@ -153,7 +185,7 @@ def extract_claims(s, d):
         F.lit("FY2024 order [o:1] of 1996-01-02 came to $"), F.regexp_replace(F.format_number(F.expr("c div 100"), 0), "$", "."), F.lpad((F.col("c") % 100).cast("string"), 2, "0"),
         F.lit(", -"), part(100_000), F.lit("."), (F.expr("c div 10000") % 10).cast("string"), F.lit("k or "), part(10_000), F.lit("% (Item 7, 10-K), 2.5x of Q3."),
     )
-    got = rows.select("o_orderkey", language.claims_udf(told).alias("c")).select("o_orderkey", F.posexplode("c").alias("pos", "c"))
+    got = rows.select("o_orderkey", language.claims(told).alias("c")).select("o_orderkey", F.posexplode_outer("c").alias("pos", "c")).where("pos is not null")  # explode() would work the array out for a filter, too
     return got.select("o_orderkey", F.col("pos").cast("long").alias("pos"), "c.kind", F.round("c.value", 4).alias("value"), F.round("c.tolerance", 6).alias("tolerance"))
 
 
@@ -162,15 +194,30 @@ def verify_claims(s, d):
     money = text.format_value(F.col("c_acctbal") * 1e6, F.lit("USD"))
     wrong = text.format_value(F.col("c_acctbal") * 1.05e6, F.lit("USD"))
     rows = table(s, d, "customer").select("c_custkey", F.explode(F.array(F.struct(F.lit(True).alias("right"), F.concat(F.lit("The balance was "), money, F.lit(" in FY2024.")).alias("answer")), F.struct(F.lit(False).alias("right"), F.concat(F.lit("The balance was "), wrong).alias("answer")))).alias("a"), F.array(F.col("c_acctbal") * 1e6).alias("values"))
-    out = rows.select("a.right", language.verify(language.claims_udf("a.answer"), F.col("values")).alias("v"))
+    out = rows.select("a.right", language.verify(language.claims(F.col("a.answer")), F.col("values")).alias("v"))
     return out.groupBy("right", F.col("v.status").alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def pii_redaction(s, d):
-    got = table(s, d, "documents").select("doc_id", language.redact_udf("text").alias("r"))
+    got = table(s, d, "documents").select("doc_id", language.redact(F.col("text")).alias("r"))
     return got.select("doc_id", F.md5(F.col("r.text").cast("binary")).alias("md5"), *[F.coalesce(F.col("r.counts")[k], F.lit(0)).cast("long").alias(k) for k, _ in language.PII])
 
 
+def pii_sentences(s, d):
+    """A sentence about each customer with personal data of every kind, a card number with its right check digit and one with a wrong one."""
+    k, digits = F.col("c_custkey"), F.concat((k_ := F.lpad((4000 + F.col("c_custkey") % 1000).cast("string"), 4, "0")), F.lpad((F.col("c_custkey") % 10_000).cast("string"), 4, "0"), F.lit("0000000"))
+    total = F.aggregate(F.sequence(F.lit(0), F.lit(14)), F.lit(0), lambda acc, i: acc + (lambda x: F.when(i % 2 == 0, x * 2 - F.when(x > 4, 9).otherwise(0)).otherwise(x))(F.substring(digits, i + 1, F.lit(1)).cast("int")))
+    rows = table(s, d, "customer").select(k, k_.alias("a"), F.lpad((k % 10_000).cast("string"), 4, "0").alias("b"), ((10 - total % 10) % 10).alias("k"))
+    n = lambda width: F.lpad((k % 10**width).cast("string"), width, "1")
+    card = lambda last: F.concat("a", F.lit(" "), "b", F.lit(" 0000 000"), last.cast("string"))
+    said = F.concat(
+        F.lit("Write to c"), k.cast("string"), F.lit("@shop.example.org or call +34 612 "), n(3), F.lit(" "), n(3), F.lit(". Card "), card(F.col("k")), F.lit(", not "), card((F.col("k") + 1) % 10),
+        F.lit("; SSN 123-45-"), F.lpad((1 + k % 9999).cast("string"), 4, "0"), F.lit(" and 000-12-3456, id "), n(8), F.lit("Z, account GB29 NWBK "), n(4), F.lit(" LTSB QXYZ."),
+    )
+    got = rows.select("c_custkey", language.redact(said).alias("r"))
+    return got.select("c_custkey", "r.text", *[F.coalesce(F.col("r.counts")[kind], F.lit(0)).cast("long").alias(kind) for kind, _ in language.PII])
+
+
 _EMAIL = r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+(\.[A-Za-z0-9_-]+)+"
 
 
@@ -203,6 +250,7 @@ QUERIES = {
     "hybrid_dense": lambda s, d: hybrid_dense(s, d).select("query", "doc", F.col("rank").cast("long").alias("rank")),
     "filing_search": filing_search,
     "filing_evidence": filing_evidence,
+    "verifier_recall": verifier_recall,
     "extract_tickers": lambda s, d: _orders(s, d).select("c_custkey", F.array_join(language.tickers_in(F.col("q"), REGIONS, ALIASES), ",").alias("tickers")),
     "extract_weights": lambda s, d: _orders(s, d).select("c_custkey", F.explode(language.weights_in(F.col("q"), REGIONS, ALIASES)).alias("ticker", "weight")),
     "extract_claims": extract_claims,
@@ -212,6 +260,7 @@ QUERIES = {
     "injection_flags": lambda s, d: table(s, d, "conversations").select("conv_id", "turn", language.injected(F.col("text")).alias("blocked")),
     "pii_email_counts": lambda s, d: table(s, d, "documents").select("doc_id", F.regexp_count("text", F.lit(_EMAIL)).cast("long").alias("emails")),
     "pii_redaction": pii_redaction,
+    "pii_sentences": pii_sentences,
     "verify_claims": verify_claims,
     "format_values": lambda s, d: table(s, d, "orders").select("o_orderkey", text.format_value(F.col("o_totalprice") * 1000, F.lit("USD")).alias("usd")),
     "passage_ids": lambda s, d: table(s, d, "documents").select("doc_id", F.concat_ws(":", "lang", "source", F.lit("1A"), F.format_string("%03d", "doc_id"), F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 8)).alias("passage_id")),
@@ -244,6 +293,11 @@ asked AS {_SCORED}, f AS (SELECT query, doc, round(1.0::DOUBLE / (60 + rank), 9)
 hits AS (SELECT item_id AS question, scope, doc, rank, documents.text AS p, each.text AS q FROM o2 JOIN each USING (query) JOIN documents ON doc = doc_id WHERE rank <= CASE WHEN item_id % 2 = 1 THEN 3 ELSE 2 END),
 {_EXCERPT}
 SELECT question, scope, doc, rank, excerpt, {_FIRST} AS finding FROM cut""",
+    "verifier_recall": _RECALL,
+    "pii_sentences": """SELECT c_custkey, 'Write to [EMAIL] or call [PHONE]. Card [CARD], not ' || lpad((4000 + c_custkey % 1000)::VARCHAR, 4, '0') || ' ' || lpad((c_custkey % 10000)::VARCHAR, 4, '0') || ' 0000 000' || ((k + 1) % 10) || '; SSN [SSN] and [PHONE], id [DNI], account [IBAN].' AS text,
+  1::BIGINT AS email, 1::BIGINT AS card, 1::BIGINT AS ssn, 1::BIGINT AS dni, 1::BIGINT AS iban, 2::BIGINT AS phone
+FROM (SELECT c_custkey, (10 - list_sum(list_transform(range(15), lambda i: CASE WHEN i % 2 = 0 THEN d[i + 1] * 2 - CASE WHEN d[i + 1] > 4 THEN 9 ELSE 0 END ELSE d[i + 1] END)) % 10) % 10 AS k
+  FROM (SELECT c_custkey, list_transform(string_split(lpad((4000 + c_custkey % 1000)::VARCHAR, 4, '0') || lpad((c_custkey % 10000)::VARCHAR, 4, '0') || '0000000', ''), lambda x: x::INT) AS d FROM customer))""",
     "excerpt_best_sentence": f"""WITH {_INDEX}, {_ASKED},
 hits AS (SELECT query, doc, documents.text AS p, each.text AS q FROM bm25 JOIN each USING (query) JOIN documents ON doc = doc_id WHERE rank <= 1),
 {_EXCERPT}
@@ -271,3 +325,5 @@ SELECT conv_id, turn, company, portfolio, array_to_string(list_filter([CASE WHEN
   ELSE '$' || format('{:,.2f}', o_totalprice * 1000) END AS usd FROM orders""",
     "passage_ids": "SELECT doc_id, lang || ':' || source || ':1A:' || CASE WHEN doc_id < 1000 THEN lpad(doc_id::VARCHAR, 3, '0') ELSE doc_id::VARCHAR END || ':' || left(sha256(text), 8) AS passage_id FROM documents",
 }
+
+SQL["filing_evidence"] = SQL["filing_search"][: SQL["filing_search"].rindex("\nSELECT question")] + ",\n" + _QUOTED
