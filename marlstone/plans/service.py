@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marlstone.operators import evidence, metrics, pit
 from marlstone.plans.facts import _LATEST
-from marlstone.sources import landed
+from marlstone.sources import filings, landed
 from marlstone.sources.tables import facts, facts_sql, shared_dir, table
 from marlstone.streaming import ingest
 
@@ -107,6 +107,36 @@ def stream_enrich(s, d):
     return sink.read().select("accession", "ticker", "metric", "fiscal_year", "value")
 
 
+def _landing(s, d):
+    """Pages as filings; the first answers for every seventh are failures that pass."""
+    faults = F.when(F.col("page_id") % 7 == 0, F.array(F.lit(503), F.lit(429))).otherwise(F.array().cast("array<int>"))
+    return table(s, d, "pages").select("page_id", F.lit("PAGE").alias("ticker"), F.col("page_id").cast("string").alias("accession"), "html", faults.alias("faults"))
+
+
+def _filed(df):
+    return df.select(F.col("accession").cast("long").alias("page_id"), "attempts", F.octet_length("html").cast("long").alias("n_bytes"), F.md5(F.col("html").cast("binary")).alias("digest"))
+
+
+def landed_filings(s, d):
+    """Pages landed as files and read through the data source, which retries."""
+    work = _work(s)
+    filings.register(s)
+    filings.land(_landing(s, d), f"{work}/landed")
+    return _filed(s.read.format("landed_filings").option("inject", "true").option("wait", "0.01").load(f"{work}/landed"))
+
+
+def stream_filings(s, d):
+    """The same as a stream that ends after half of the pages and is started again for the rest."""
+    work = _work(s)
+    filings.register(s)
+    sink = ingest.Sink(s, f"{work}/out")
+    for part in (0, 1):
+        filings.land(_landing(s, d).where(F.col("page_id") % 2 == part), f"{work}/landed")
+        stream = s.readStream.format("landed_filings").option("inject", "true").option("wait", "0.01").load(f"{work}/landed")
+        ingest.run(_filed(stream), sink.write, f"{work}/checkpoint")
+    return sink.read()
+
+
 def replica_health(s, d):
     """Event types as replicas, an hour before the first of February 2024."""
     return ingest.health(_events(s, d).select(F.col("event_type").alias("replica"), "ts"), "replica", F.lit("2024-01-30 23:50:00").cast("timestamp_ntz").cast("timestamp"), 300)
@@ -158,6 +188,7 @@ def evidence_urls(s, d):
     return evidence.fact_evidence(facts(s, d), companies=companies).select("id", "url", "restated_from")
 
 
+_FILED = "SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 3 ELSE 1 END AS attempts, octet_length(encode(html))::BIGINT AS n_bytes, md5(html) AS digest FROM pages"
 _W6 = "time_bucket(INTERVAL '6 hours', ts)"
 _W1 = "time_bucket(INTERVAL '1 hour', ts)"
 
@@ -185,6 +216,8 @@ QUERIES = {
     "stream_apply": stream_apply,
     "stream_retries": stream_retries,
     "stream_enrich": stream_enrich,
+    "landed_filings": landed_filings,
+    "stream_filings": stream_filings,
     "stream_retention": lambda s, d: ingest.retained(_events(s, d).select("event_id", "event_type"), 500, F.desc("event_id")),
     "replica_health": replica_health,
     "fundamentals": fundamentals,
@@ -244,6 +277,8 @@ SELECT "window", event_type, round(CASE WHEN isinf(le) THEN low ELSE low + (le -
     "stream_upsert": f"WITH {facts_sql()} SELECT ticker, count(*) AS n, round(sum(value), 2) AS total FROM facts GROUP BY 1",
     "stream_apply": f"WITH {facts_sql()} SELECT ticker, count(*) AS n, round(sum(value), 2) AS total FROM facts GROUP BY 1",
     "stream_retries": "SELECT event_id, CASE WHEN k % 11 = 0 THEN 'dead_lettered' ELSE 'ok' END AS outcome, CASE WHEN k % 11 = 0 THEN 5 WHEN k % 7 = 0 THEN 3 ELSE 1 END AS attempts FROM (SELECT event_id, (props::JSON->>'$.k')::INT AS k FROM events)",
+    "landed_filings": _FILED,
+    "stream_filings": _FILED,
     "stream_enrich": f"WITH {facts_sql()} SELECT accession, ticker, metric, fiscal_year, value FROM facts",
     "evidence_merge": "SELECT user_id AS id, min(event_id) AS seq, arg_max(value, event_id) AS value, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1",
     "template_answers": "SELECT c_nationkey AS question, string_agg(c_name, ' ' ORDER BY c_custkey % 3, c_custkey) AS answer FROM customer GROUP BY 1",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marlstone.functions import language, text
+from marlstone.functions import language, tables, text
 from marlstone.operators import retrieval
 from marlstone.sources.tables import passages, stored, table
 
@@ -164,6 +164,18 @@ def chunk_documents(s, d):
     return got.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.max(F.length("chunk")).alias("longest"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "chunk"))), lambda x: x["chunk"]), "\n").cast("binary")).alias("md5"))
 
 
+def chunk_rows(s, d):
+    """Chunks of all documents by SQL: a table function in a lateral join."""
+    tables.register(s)
+    table(s, d, "documents").createOrReplaceTempView("marlstone_documents")
+    return s.sql("SELECT d.doc_id, CAST(c.position AS BIGINT) AS position, length(c.chunk) AS n_chars, md5(CAST(c.chunk AS BINARY)) AS md5 FROM marlstone_documents d, LATERAL chunk_text(d.text) c")
+
+
+# Packing as a fold of each text's pieces: chr(30) between chunks, a new line within one.
+_CHUNKS = rf"""WITH l AS (SELECT doc_id, list_filter(list_transform(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '(?i){text.FURNITURE.pattern.replace("'", "''")}')), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) > 1) AS ls FROM documents),
+p AS (SELECT doc_id, flatten(list_transform(ls, lambda x: CASE WHEN length(x) > 1800 THEN string_split(regexp_replace(x, '([.;])\s+', '\1' || chr(29), 'g'), chr(29)) ELSE [x] END)) AS ps FROM l),
+f AS (SELECT doc_id, string_split(list_reduce(ps, lambda acc, x: acc || CASE WHEN length(string_split(acc, chr(30))[-1]) + 1 + length(x) <= 1200 THEN chr(10) ELSE chr(30) END || x), chr(30)) AS cs FROM p WHERE len(ps) > 0)"""
+
 # Invented names for shares: the regions, two of which go by another name.
 REGIONS, ALIASES = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"], {"new world": "AMERICA", "old world": "EUROPE"}
 
@@ -245,6 +257,7 @@ QUERIES = {
     "hybrid_search": lambda s, d: hybrid_search(s, d).select("query", "doc", F.col("rank").cast("long").alias("rank")),
     "dedupe_passages": lambda s, d: table(s, d, "documents").groupBy("lang", F.md5(text.fold(F.col("text")).cast("binary")).alias("folded")).agg(F.min("doc_id").alias("doc_id")).select("lang", "doc_id"),
     "chunk_documents": chunk_documents,
+    "chunk_rows": chunk_rows,
     "html_to_text": lambda s, d: table(s, d, "pages").select("page_id", text.html_to_text_udf("html").alias("text")),
     "excerpt_best_sentence": lambda s, d: retrieval.bm25(_index(s, d), _queries(s, d), 1).join(passages(s, d).select("doc", F.col("text").alias("p")), "doc").join(_queries(s, d).select("query", "text"), "query").select("query", "doc", text.excerpt(F.col("p"), F.col("text")).alias("excerpt")).withColumn("first_sentence", text.first_sentence(F.col("excerpt"))),
     "hybrid_dense": lambda s, d: hybrid_dense(s, d).select("query", "doc", F.col("rank").cast("long").alias("rank")),
@@ -294,6 +307,8 @@ hits AS (SELECT item_id AS question, scope, doc, rank, documents.text AS p, each
 {_EXCERPT}
 SELECT question, scope, doc, rank, excerpt, {_FIRST} AS finding FROM cut""",
     "verifier_recall": _RECALL,
+    "chunk_documents": _CHUNKS + " SELECT doc_id, len(cs)::BIGINT AS n_chunks, list_max(list_transform(cs, lambda c: length(c)))::INT AS longest, md5(array_to_string(cs, chr(10))) AS md5 FROM f",
+    "chunk_rows": _CHUNKS + " SELECT doc_id, position, length(chunk)::INT AS n_chars, md5(chunk) AS md5 FROM (SELECT doc_id, unnest(range(len(cs))) AS position, unnest(cs) AS chunk FROM f)",
     "pii_sentences": """SELECT c_custkey, 'Write to [EMAIL] or call [PHONE]. Card [CARD], not ' || lpad((4000 + c_custkey % 1000)::VARCHAR, 4, '0') || ' ' || lpad((c_custkey % 10000)::VARCHAR, 4, '0') || ' 0000 000' || ((k + 1) % 10) || '; SSN [SSN] and [PHONE], id [DNI], account [IBAN].' AS text,
   1::BIGINT AS email, 1::BIGINT AS card, 1::BIGINT AS ssn, 1::BIGINT AS dni, 1::BIGINT AS iban, 2::BIGINT AS phone
 FROM (SELECT c_custkey, (10 - list_sum(list_transform(range(15), lambda i: CASE WHEN i % 2 = 0 THEN d[i + 1] * 2 - CASE WHEN d[i + 1] > 4 THEN 9 ELSE 0 END ELSE d[i + 1] END)) % 10) % 10 AS k
