@@ -253,7 +253,7 @@ VAR_CHECK = "1-day 99% historical VaR"
 
 def risk_findings(report: DataFrame) -> DataFrame:
     """(portfolio_id, findings): VaR, simulated VaR, the top contributor, the backtest."""
-    top = F.array_max(F.transform("positions", lambda p: F.struct(p["share"].alias("share"), p["ticker"].alias("ticker"), p["weight"].alias("weight"))))
+    top = F.array_min(F.transform("positions", lambda p: F.struct((-p["share"]).alias("_less"), p["ticker"].alias("ticker"), p["share"].alias("share"), p["weight"].alias("weight"))))  # the first of equals
     conf, verdict = F.format_string("%.0f%%", F.col("confidence") * 100), F.when(F.col("calibrated"), "consistent with").otherwise("rejected by")
     rid = F.col("risk_id")
     filled = [

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Window
@@ -11,7 +12,7 @@ from marlstone.operators import evidence, metrics, pit
 from marlstone.plans.facts import _LATEST
 from marlstone.sources import filings, landed
 from marlstone.sources.tables import facts, facts_sql, shared_dir, table
-from marlstone.streaming import ingest
+from marlstone.streaming import ingest, keyed
 
 BOUNDS = [10.0, 25.0, 50.0, 75.0, 100.0, 150.0, 250.0]
 LIMIT = 3
@@ -88,13 +89,28 @@ def dlq_split(s, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def _deliver(row, attempt):
+    """Numbers divisible by 7 succeed at the third attempt, those by 11 never."""
+    k = json.loads(row["props"])["k"]
+    return None if k % 11 and (k % 7 or attempt >= 3) else f"bad payload: {row['props']}"
+
+
 def stream_retries(s, d):
-    """A stream whose failures come back: numbers divisible by 7 succeed at the third delivery, those by 11 never."""
-    source = ingest.events_stream(s, f"{d}/events.parquet*").select("event_id", "props", F.lit(0).alias("attempts"))
-    good = (_k() % 11 != 0) & ((_k() % 7 != 0) | (F.col("attempts") >= 3))
-    ok, dead = ingest.deliver(source, good, F.concat(F.lit("bad payload: "), "props"), _work(s))
-    parts = [x.select("event_id", F.lit(n).alias("outcome"), "attempts") for n, x in (("ok", ok), ("dead_lettered", dead))]
-    return parts[0].unionByName(parts[1])
+    """A stream whose failures come back by timers, in one query."""
+    work = _work(s)
+    sink = ingest.Sink(s, f"{work}/out")
+    source = ingest.events_stream(s, f"{d}/events.parquet*").select("event_id", "props")
+    keyed.run_until_quiet(s, keyed.attempts(source, "event_id", _deliver, wait_ms=10), sink.write, f"{work}/checkpoint")
+    return sink.read().select("event_id", "outcome", "attempts")
+
+
+def stream_publish_recent(s, d):
+    """One event of each user in the stream, remembered for an hour."""
+    work = _work(s)
+    sink = ingest.Sink(s, f"{work}/out")
+    first = keyed.publish_once_for(ingest.events_stream(s, f"{d}/events.parquet*").select("user_id"), "user_id", 3_600_000)
+    keyed.run_until_quiet(s, first, sink.write, f"{work}/checkpoint", empty=False)
+    return sink.read()
 
 
 def stream_enrich(s, d):
@@ -215,6 +231,7 @@ QUERIES = {
     "stream_upsert": stream_upsert,
     "stream_apply": stream_apply,
     "stream_retries": stream_retries,
+    "stream_publish_recent": stream_publish_recent,
     "stream_enrich": stream_enrich,
     "landed_filings": landed_filings,
     "stream_filings": stream_filings,
@@ -277,6 +294,7 @@ SELECT "window", event_type, round(CASE WHEN isinf(le) THEN low ELSE low + (le -
     "stream_upsert": f"WITH {facts_sql()} SELECT ticker, count(*) AS n, round(sum(value), 2) AS total FROM facts GROUP BY 1",
     "stream_apply": f"WITH {facts_sql()} SELECT ticker, count(*) AS n, round(sum(value), 2) AS total FROM facts GROUP BY 1",
     "stream_retries": "SELECT event_id, CASE WHEN k % 11 = 0 THEN 'dead_lettered' ELSE 'ok' END AS outcome, CASE WHEN k % 11 = 0 THEN 5 WHEN k % 7 = 0 THEN 3 ELSE 1 END AS attempts FROM (SELECT event_id, (props::JSON->>'$.k')::INT AS k FROM events)",
+    "stream_publish_recent": "SELECT DISTINCT user_id FROM events",
     "landed_filings": _FILED,
     "stream_filings": _FILED,
     "stream_enrich": f"WITH {facts_sql()} SELECT accession, ticker, metric, fiscal_year, value FROM facts",
