@@ -16,6 +16,11 @@ from marlstone.llm import bpe, common, decontam, line_dedup, minhash, quality
 BROADCAST_IDS = 1_000_000
 #: Entries of the encoder's caches: the stages before leave less memory than the encoder has alone.
 REMEMBERED = 150_000
+#: A line leaves a source if it stands on more than this share of its texts and on so many at least, near copies counted by classes:
+#: a group of near copies of any size then keeps its lines for the stage after, which keeps one of them.
+LINE_RATIO = 0.1
+LINE_LEAST = 10
+LINE_CLASSES = 3
 
 #: SQL has no compression, no MinHash and no BPE: the stages are tested one by one against plain Python instead.
 ORACLE_SQL = None
@@ -48,12 +53,13 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the boilerplate lines of their source; exact copies, which are still there, count as one page.
+    """All documents, without the boilerplate lines of their source; exact copies, which are still there, count as one page, and near
+    copies as few (LINE_CLASSES).
 
     Null texts stay null and empty ones empty; a text may become empty and stays; a null source is a source of its own; a line whose
     share ties with the limit stays; repeated rows and ids are copies; an empty table gives an empty one."""
     packed, back = _apart(docs, "doc_id", "text", "source")
-    return back(line_dedup.drop_lines(packed, once=True))
+    return back(line_dedup.drop_lines(packed, ratio=LINE_RATIO, least=LINE_LEAST, once=True, alike=LINE_CLASSES))
 
 
 def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,14 +1,14 @@
 """Quality classifier by compression: two zstandard dictionaries, built from good and from bad labelled text.
 
-A text is cut into pieces of PIECE bytes and each piece is compressed under either dictionary. The features are the
-difference of the two compressed sizes divided by their sum, and either size per byte of text; logistic regression on
-labelled texts that built no dictionary turns them into a probability of label 1.
+A text is cut into pieces of PIECE bytes and each piece is compressed under either dictionary. The difference of the two
+compressed sizes divided by their sum is all that a score knows of a text; a slope and an intercept, fitted by logistic
+regression on labelled texts that built no dictionary, turn it into a probability of label 1.
 
 What is learned from is a bounded sample: per label the `sample` documents with the smallest hashes of their ids, half for
 dictionaries (at most `n_pieces` pieces), half for calibration. Rows that are held out are never learned from. Where there are
 too few pieces for the dictionary builder, their own bytes are the (raw) dictionary.
 
-Defined results: null text is empty; empty texts get a score like any other (all features 0, their size 1). Rows whose
+Defined results: null text is empty; empty texts get a score like any other (difference 0). Rows whose
 doc_id is null are held out. Without texts of both labels every score is the share of label 1 (0.5 without any). Repeated
 rows get equal scores; an empty table gives an empty result. Columns of the input stay, but for `score`.
 """
@@ -37,9 +37,9 @@ THRESHOLD = 0.3
 class Model:
     good: bytes = b""
     bad: bytes = b""
-    mean: list[float] = field(default_factory=list)
-    scale: list[float] = field(default_factory=list)
-    weights: list[float] = field(default_factory=list)
+    mean: float = 0.0
+    scale: float = 1.0
+    line: list[float] = field(default_factory=list)  # intercept and slope of the standardised difference; empty: the prior
     prior: float = 0.5
 
 
@@ -51,18 +51,17 @@ def _compressor(data: bytes):
     return zstandard.ZstdCompressor(dict_data=d, level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
-def features(raw: bytes, good, bad) -> tuple[float, float, float]:
-    """Normalised size difference, and either size per byte."""
+def difference(raw: bytes, good, bad) -> float:
+    """The size under the good dictionary less that under the bad one, over their sum."""
     g = b = 0
     for i in range(0, len(raw), PIECE):
         g += len(good.compress(raw[i : i + PIECE]))
         b += len(bad.compress(raw[i : i + PIECE]))
-    n = len(raw) + 1
-    return (g - b) / max(g + b, 1), g / n, b / n
+    return (g - b) / max(g + b, 1)
 
 
-def _map_features(df: DataFrame, model: Model, text_col: str, finish, name: str, kind: T.DataType) -> DataFrame:
-    """df and a column that finish() makes of the features of each batch."""
+def _map_differences(df: DataFrame, model: Model, text_col: str, finish, name: str, kind: T.DataType) -> DataFrame:
+    """df and a column that finish() makes of the differences of each batch."""
     common.small_batches(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast((model.good, model.bad))
     kept = df.drop(name)
@@ -71,7 +70,7 @@ def _map_features(df: DataFrame, model: Model, text_col: str, finish, name: str,
     def run(batches):
         good, bad = map(_compressor, sent.value)
         for b in batches:
-            x = np.array([features((t or "").encode("utf-8"), good, bad) for t in b.column(at).to_pylist()], float).reshape(-1, 3)
+            x = np.array([difference((t or "").encode("utf-8"), good, bad) for t in b.column(at).to_pylist()], float)
             yield pa.RecordBatch.from_arrays([*b.columns, finish(x)], [*b.schema.names, name])
 
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(name, kind)]))
@@ -135,40 +134,39 @@ def _learn(sampled: DataFrame, true: dict[int, int], sample: int, n_pieces: int)
     if not (pieces[0] and pieces[1]):
         return model
     model.bad, model.good = _build(pieces[0]), _build(pieces[1])
-    to_arrays = lambda x: pa.array(list(x), pa.list_(pa.float64()))
     rest = _least(sampled.where("_half = 1"), sample, n, F.xxhash64("_id", "_text"), F.col("_text"))
-    got = _map_features(rest.select("_label", "_text"), model, "_text", to_arrays, "_x", T.ArrayType(T.DoubleType())).select("_label", "_x").collect()  # 2 * sample rows of three numbers at most
-    got = sorted((r["_label"], *r["_x"]) for r in got)
+    got = _map_differences(rest.select("_label", "_text"), model, "_text", lambda x: pa.array(x, pa.float64()), "_x", T.DoubleType()).select("_label", "_x").collect()  # 2 * sample rows of two numbers at most
+    got = sorted((r["_label"], r["_x"]) for r in got)
     if len({r[0] for r in got}) < 2:
         return Model(prior=model.prior)
-    y, x = np.array([r[0] for r in got], float), np.array([r[1:] for r in got])
+    y, x = np.array([r[0] for r in got], float), np.array([r[1] for r in got])
     share = model.prior * (1 - model.prior)
     if share and sample:  # the halves hold as many rows of either label as there are, up to the bound: weigh them as the labels are
         weight = np.where(y == 1, true[1] / max((y == 1).sum(), 1), true[0] / max((y == 0).sum(), 1))
         weight *= len(y) / weight.sum()
     else:
         weight = np.ones(len(y))
-    mean, scale = x.mean(0), x.std(0) + 1e-9
+    mean, scale = float(x.mean()), float(x.std()) + 1e-9
     a = np.c_[np.ones(len(x)), (x - mean) / scale]
     w = np.zeros(a.shape[1])
     for _ in range(40):  # Newton's method
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
         h = (a * (weight * p * (1 - p))[:, None]).T @ a + 1e-2 * np.eye(a.shape[1])
         w += np.linalg.solve(h, a.T @ (weight * (y - p)) - 1e-2 * w)
-    model.mean, model.scale, model.weights = mean.tolist(), scale.tolist(), w.tolist()
+    model.mean, model.scale, model.line = mean, scale, w.tolist()
     return model
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with the column score: the probability of label 1."""
-    if not model.weights:
+    if not model.line:
         return docs.drop("score").withColumn("score", F.lit(model.prior))
-    mean, scale, w = np.array(model.mean), np.array(model.scale), np.array(model.weights)
+    (intercept, slope), mean, scale = model.line, model.mean, model.scale
 
     def finish(x):
-        return pa.array(1 / (1 + np.exp(-np.clip(w[0] + ((x - mean) / scale) @ w[1:], -30, 30))), pa.float64())
+        return pa.array(1 / (1 + np.exp(-np.clip(intercept + slope * (x - mean) / scale, -30, 30))), pa.float64())
 
-    return _map_features(docs, model, text_col, finish, "score", T.DoubleType())
+    return _map_differences(docs, model, text_col, finish, "score", T.DoubleType())
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

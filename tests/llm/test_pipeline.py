@@ -102,3 +102,30 @@ def test_working_tables_go(spark, odd, folder):
     corpus_pipeline.quality_filter(spark, odd, folder).count()
     assert tables() - before <= {"gone"}
     assert odd.where(F.col("doc_id") == 1).count() == 1
+
+
+def near_copies(n, group):
+    """n texts of twelve lines, alike but for a word in each of two lines."""
+    base = [words(900 + 20 * group + j, 12) for j in range(12)]
+    out = []
+    for i in range(n):
+        r, lines = random.Random(1000 * group + i), list(base)
+        for j in r.sample(range(12), 2):
+            w = lines[j].split()
+            w[r.randrange(12)] = f"x{group}y{i}"
+            lines[j] = " ".join(w)
+        out.append("\n".join(lines))
+    return out
+
+
+def test_near_copies_keep_their_lines_and_boilerplate_goes(spark, folder):
+    banner = "all rights reserved by the site and its owners"
+    own = ["\n".join([words(3000 + i, 40), *([banner] if i % 2 else []), words(5000 + i, 40)]) for i in range(120)]
+    copies = near_copies(90, 1) + near_copies(12, 2)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(copies + own)], "doc_id long, text string, lang string, source string, n_chars long")
+    after = corpus_pipeline.line_filter(spark, docs, folder)
+    text = {r["doc_id"]: r["text"] for r in after.collect()}
+    assert all(text[i] == t for i, t in enumerate(copies))
+    assert all(text[i + len(copies)] == t.replace(banner + "\n", "") for i, t in enumerate(own))
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicate_filter(spark, after, folder).collect()}
+    assert set(range(102, 222)) <= kept and 0 in kept and 90 in kept
