@@ -41,15 +41,48 @@ def rate_limit(events: DataFrame, key: str, limit: int, every: str) -> DataFrame
     return out.withColumns({"allowed": F.col("n") <= limit, "remaining": F.greatest(F.lit(0), limit - F.col("n")).cast("long"), "reset_s": F.greatest(F.lit(1), F.ceil(left / 1e6)).cast("long")}).drop("_w")
 
 
-def token_bucket(requests: DataFrame, key: str, rate: float, burst: int) -> DataFrame:
+def _slices(rows: DataFrame, seconds: int) -> DataFrame:
+    """rows and _slice: the number of the stretch of time that ts is in; rows without ts come before all others."""
+    at = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (seconds * 1e6))
+    return rows.withColumn("_slice", F.coalesce(at, F.lit(-(2**62))))
+
+
+def _carry(rows: DataFrame, totals: DataFrame, key: str) -> DataFrame:
+    """rows and what `totals` (key, _slice, ...) has for their slice; null keys meet."""
+    named = totals.withColumnsRenamed({key: "_key", "_slice": "_at"})
+    return rows.join(named, (F.col("_slice") == F.col("_at")) & F.col(key).eqNullSafe(F.col("_key"))).drop("_key", "_at", "_slice")
+
+
+def _before(key: str):
+    """All slices of the key that are earlier: a row per slice, however many rows a slice has."""
+    return Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def running_total(rows: DataFrame, key: str, value: str, slice_s: int = 86_400) -> DataFrame:
+    """rows (…, ts, event_id) and total: the sum of the key's values up to the row, in order of ts, event_id. Slices of a key's time are
+    summed apart, the slices' totals are carried over, then added: no task sees more than one slice of one key."""
+    cut = _slices(rows, slice_s)
+    local = F.sum(value).over(Window.partitionBy(key, "_slice").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    totals = cut.groupBy(key, "_slice").agg(F.sum(value).alias("_sum")).select(key, "_slice", F.sum("_sum").over(_before(key)).alias("_earlier"))
+    both = _carry(cut.withColumn("total", local), totals, key)
+    return both.withColumn("total", F.when(F.col("_earlier").isNull(), F.col("total")).otherwise(F.col("_earlier") + F.coalesce("total", F.lit(0)))).drop("_earlier")
+
+
+def token_bucket(requests: DataFrame, key: str, rate: float, burst: int, slice_s: int = 86_400) -> DataFrame:
     """requests (…, ts) and wait_s: how long each waits for a token of its key's bucket, which holds `burst`, gains `rate` a second and is
     full at first; requests are served in order of ts, event_id. The i-th leaves no sooner than j's arrival plus the time that the
-    tokens for j .. i take beyond a burst, for every j up to i: a running maximum, no loop."""
+    tokens for j .. i take beyond a burst, for every j up to i: a running maximum, no loop. Numbers and maxima are made within slices of
+    a key's time; a slice then takes the count and the maximum of those before it, so that no task sees more than one slice."""
     at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    w = Window.partitionBy(key).orderBy("ts", "event_id")
-    rows = requests.withColumn("_i", F.row_number().over(w)).withColumn("_base", at - F.col("_i") / rate)
-    soonest = F.max("_base").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + (F.col("_i") + 1 - burst) / rate
-    return rows.withColumn("wait_s", F.greatest(F.lit(0.0), soonest - at)).drop("_i", "_base")
+    w = Window.partitionBy(key, "_slice").orderBy("ts", "event_id")
+    cut = _slices(requests, slice_s).withColumn("_i", F.row_number().over(w).cast("long")).withColumn("_base", at - F.col("_i") / rate)
+    per = cut.groupBy(key, "_slice").agg(F.count(F.lit(1)).alias("_n"), F.max("_base").alias("_top"))
+    placed = per.withColumn("_off", F.coalesce(F.sum("_n").over(_before(key)), F.lit(0)))
+    totals = placed.select(key, "_slice", "_off", F.max(F.col("_top") - F.col("_off") / rate).over(_before(key)).alias("_earlier"))
+    local = F.max("_base").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    both = _carry(cut.withColumn("_local", local), totals, key)
+    soonest = F.greatest(F.col("_local") - F.col("_off") / rate, F.col("_earlier")) + (F.col("_off") + F.col("_i") + 1 - burst) / rate
+    return both.withColumn("wait_s", F.greatest(F.lit(0.0), soonest - at)).drop("_i", "_base", "_local", "_off", "_earlier")
 
 
 def nearest_rank(df: DataFrame, by: str, value: str, q: float) -> DataFrame:
@@ -67,14 +100,23 @@ def nearest_rank(df: DataFrame, by: str, value: str, q: float) -> DataFrame:
     return band.withColumn("u", upto).where((F.col("u") > place) & (F.col("u") - F.col("c") <= place)).select(by, F.col(value).alias("p"))
 
 
-def increase(samples: DataFrame, label: str, every: str) -> DataFrame:
+def increase(samples: DataFrame, label: str, every: str, slice_s: int = 86_400) -> DataFrame:
     """(window, label, increase, rate): growth of a counter (ts, label, value) within each window, and per second. A value below the one
-    before is a restart and counts whole; the first sample of a window grows from the one before it, if there is one."""
-    w = Window.partitionBy(label).orderBy("ts")
-    before = F.lag("value").over(w)
-    step = F.when(before.isNull(), 0.0).when(F.col("value") < before, F.col("value")).otherwise(F.col("value") - before)
+    before is a restart and counts whole; the first sample of a window grows from the one before it, if there is one. Samples that
+    follow one another within a slice of a label's time are compared there; the step into a slice is made of its first sample and the
+    last one of the slice before, so that no task sees more than one slice."""
+
+    def step(value, before):
+        return F.when(before.isNull(), 0.0).when(value < before, value).otherwise(value - before)
+
+    cut = _slices(samples.select("ts", label, "value"), slice_s)
+    within = cut.withColumn("_d", step(F.col("value"), F.lag("value").over(Window.partitionBy(label, "_slice").orderBy("ts", "value"))))
+    ends = cut.groupBy(label, "_slice").agg(F.min(F.struct("ts", "value")).alias("first"), F.max(F.struct("ts", "value")).alias("last"))
+    into = ends.withColumn("_before", F.lag("last.value").over(Window.partitionBy(label).orderBy("_slice")))
+    edges = into.select(F.col("first.ts").alias("ts"), label, step(F.col("first.value"), F.col("_before")).alias("_d"))
     win = F.window(F.col("ts").cast("timestamp"), every)
-    out = samples.withColumn("_d", step).groupBy(win.alias("w"), label).agg(F.sum("_d").alias("increase"))
+    sums = [part.groupBy(win.alias("w"), label).agg(F.sum("_d").alias("_d")) for part in (within.select("ts", label, "_d"), edges)]
+    out = sums[0].unionByName(sums[1]).groupBy("w", label).agg(F.sum("_d").alias("increase"))
     seconds = (F.unix_micros("w.end") - F.unix_micros("w.start")) / 1e6
     return out.select(F.col("w.start").cast("timestamp_ntz").alias("window"), label, "increase", (F.col("increase") / seconds).alias("rate"))
 

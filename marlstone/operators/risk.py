@@ -193,6 +193,39 @@ def sector_exposure(positions: DataFrame) -> DataFrame:
     return positions.groupBy("portfolio_id", "sector").agg(F.round(F.sum(F.abs("weight")), 12).alias("exposure"))
 
 
+#: Bounds of a request, fixed values.
+PATHS, HORIZON, POSITIONS, TICKER_CHARS, GROSS = (1_000, 2_000_000), (1, 60), 20, 10, 1.0
+
+
+def require_request(paths: int, horizon: int) -> None:
+    """ValueError unless the number of paths and the horizon in days are within their bounds."""
+    for name, got, (low, high) in (("paths", paths, PATHS), ("horizon", horizon, HORIZON)):
+        if isinstance(got, bool) or not isinstance(got, int) or not low <= got <= high:
+            raise ValueError(f"{name} must be a whole number between {low} and {high}, not {got!r}")
+
+
+def bad_positions(weights: DataFrame) -> DataFrame:
+    """(portfolio_id, reason): what is wrong with requests (portfolio_id, ticker, weight), a row for each portfolio and reason. Tickers
+    have 1 to 10 characters, weights are in [-1, 1] (so neither null nor NaN), a portfolio has 20 positions at most."""
+    ticker, weight = F.coalesce(F.char_length("ticker"), F.lit(0)), F.col("weight")
+    wrong = {
+        f"more than {POSITIONS} positions": F.count(F.lit(1)) > POSITIONS,
+        "ticker": F.coalesce(F.bool_or(~ticker.between(1, TICKER_CHARS)), F.lit(False)),
+        "weight": F.bool_or(F.coalesce(F.isnan(weight) | (F.abs(weight) > GROSS), F.lit(True))),
+    }
+    reasons = F.array(*[F.when(test, F.lit(reason)) for reason, test in wrong.items()])
+    return weights.groupBy("portfolio_id").agg(F.array_compact(reasons).alias("_r")).select("portfolio_id", F.explode("_r").alias("reason"))
+
+
+def checked_positions(weights: DataFrame) -> DataFrame:
+    """weights with tickers as prices have them (without blanks around, upper case); a job that reads a row whose ticker or weight is
+    out of bounds fails and names the portfolio."""
+    clean = weights.withColumn("ticker", F.upper(F.trim("ticker")))
+    fine = F.char_length("ticker").between(1, TICKER_CHARS) & ~F.isnan("weight") & (F.abs("weight") <= GROSS)
+    said = F.concat(F.lit("position out of bounds in portfolio "), F.coalesce(F.col("portfolio_id").cast("string"), F.lit("null")))
+    return clean.withColumn("weight", F.when(F.coalesce(fine, F.lit(False)), F.col("weight")).otherwise(F.raise_error(said).cast("double")))
+
+
 def portfolio_risk(returns: DataFrame, weights: DataFrame, window: int = 500, back: int = 250, confidence: float = 0.99, horizon: int = 10, paths: int = 100_000, seed: int = 7) -> DataFrame:
     """A row per portfolio: risk_id, as_of, historical, parametric and simulated VaR and ES, the backtest with its p-value, and
     positions (ticker, weight, vol, share). The returns of the last window + back dates are read; give a table, not a plan. Returns
@@ -224,6 +257,14 @@ def portfolio_risk(returns: DataFrame, weights: DataFrame, window: int = 500, ba
     return out.withColumns({"as_of": F.lit(str(until)[:10]), "window": F.lit(window), "horizon": F.lit(horizon), "confidence": F.lit(confidence), "calibrated": F.col("p_value") >= SIGNIFICANCE})
 
 
+def requested_risk(returns: DataFrame, weights: DataFrame, paths: int = 100_000, horizon: int = 10, **rest) -> DataFrame:
+    """portfolio_risk of a request from outside: ValueError if it is out of bounds, before anything is simulated."""
+    require_request(paths, horizon)
+    if wrong := bad_positions(weights).limit(1).collect():
+        raise ValueError(f"portfolio {wrong[0]['portfolio_id']}: {wrong[0]['reason']}")
+    return portfolio_risk(returns, checked_positions(weights), paths=paths, horizon=horizon, **rest)
+
+
 def estimate(returns: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(tickers, mean vector, covariance matrix) of the returns, for simulations: as many numbers as the matrix has cells."""
     mean = {r["ticker"]: r["mean"] for r in moments(returns).collect()}

@@ -94,7 +94,16 @@ def _restricted(s, d):
     return table(s, d, "supplier").where("s_acctbal < -900").select(F.col("s_suppkey").alias("name"))
 
 
+def rejected_requests(s, d):
+    """Customers as requests: what they bought of a supplier, in units of 100,000, is the supplier's weight."""
+    line = table(s, d, "lineitem").select("l_orderkey", "l_suppkey", "l_extendedprice")
+    bought = line.join(table(s, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    per = bought.groupBy(F.col("o_custkey").alias("portfolio_id"), F.col("l_suppkey").cast("string").alias("ticker"))
+    return risk.bad_positions(per.agg(F.round(F.sum("l_extendedprice") / 100_000, 6).cast("double").alias("weight")))
+
+
 QUERIES = {
+    "rejected_requests": rejected_requests,
     "log_returns": lambda s, d: _rounded(_returns(s, d), "ret"),
     "portfolio_pnl": lambda s, d: _rounded(_pnl(s, d), "pnl"),
     "historical_var_es": lambda s, d: _rounded(risk.historical_var(_pnl(s, d)), "var", "es"),
@@ -120,6 +129,9 @@ _Z = NormalDist().inv_cdf(1 - CONF)
 _PHI = NormalDist().pdf(_Z)
 _HIST = f"r AS (SELECT portfolio_id, pnl, row_number() OVER (PARTITION BY portfolio_id ORDER BY pnl, date) AS rn, count(*) OVER (PARTITION BY portfolio_id) AS n FROM pnl)"
 SQL = {
+    "rejected_requests": """WITH w AS (SELECT o_custkey AS portfolio_id, l_suppkey AS ticker, round(sum(l_extendedprice) / 100000, 6) AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)
+SELECT portfolio_id, 'more than 20 positions' AS reason FROM w GROUP BY 1 HAVING count(*) > 20
+UNION ALL SELECT portfolio_id, 'weight' FROM w GROUP BY 1 HAVING bool_or(abs(weight) > 1)""",
     "log_returns": f"WITH {_RET} SELECT date, ticker, round(ret, 6) AS ret FROM ret",
     "portfolio_pnl": f"WITH {_PNL} SELECT portfolio_id, date, round(pnl, 6) AS pnl FROM pnl",
     "historical_var_es": f"WITH {_PNL}, {_HIST} SELECT portfolio_id, max(n) AS n, round(-max(pnl), 6) AS var, round(-avg(pnl), 6) AS es FROM r WHERE rn <= {_K} GROUP BY 1",

@@ -173,9 +173,8 @@ def ingest_lag(s, d):
 
 def counters(s, d):
     """Running totals by event type with a restart at a million, as counters are scraped."""
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    total = F.sum(F.col("user_id")).over(w) % 1_000_000
-    return _events(s, d).select("ts", "event_type", "event_id", total.cast("double").alias("value"))
+    rows = metrics.running_total(_events(s, d).select("ts", "event_type", "event_id", "user_id"), "event_type", "user_id")
+    return rows.select("ts", "event_type", "event_id", (F.col("total") % 1_000_000).cast("double").alias("value"))
 
 
 def eval_rates(s, d):

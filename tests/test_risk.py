@@ -125,3 +125,25 @@ def test_var_limit_rows_and_findings(spark):
     said = {r["portfolio_id"]: r["findings"] for r in risk.limit_findings(rows, risk.limit_checks(positions, var, banned), names).collect()}
     assert said[1] == ["Pre-trade decision: APPROVE.", "All 6 limits pass, including 1-day 99% VaR of 1.00% against 4.00% [limit:summary] [limit:1-day_99%_historical_VaR]."]
     assert said[2][0] == "Pre-trade decision: REJECT." and said[2][1] == "Breach: 1-day 99% historical VaR is 5.0% against a limit of 4.0% [limit:1-day_99%_historical_VaR]." and said[2][-1] == "Restricted list: C." and len(said[2]) == 6
+
+
+def test_requests_out_of_bounds(spark):
+    for paths, horizon in ((999, 10), (2_000_001, 10), (True, 10), (1000.0, 10), (1000, 0), (1000, 61)):
+        with pytest.raises(ValueError):
+            risk.require_request(paths, horizon)
+    risk.require_request(1000, 1), risk.require_request(2_000_000, 60)
+    many = [(9, f"T{i}", 0.01) for i in range(21)]
+    rows = [(1, "A", 1.0), (1, "B", -1.0), (2, "A", 1.01), (3, "", 0.1), (4, None, 0.1), (5, "A", None), (6, "A", math.nan), (7, "A" * 11, -2.0), *many, *[(8, t, w) for _, t, w in many[:20]]]
+    df = spark.createDataFrame(rows, "portfolio_id int, ticker string, weight double")
+    got = sorted((x["portfolio_id"], x["reason"]) for x in risk.bad_positions(df).collect())
+    assert got == [(2, "weight"), (3, "ticker"), (4, "ticker"), (5, "weight"), (6, "weight"), (7, "ticker"), (7, "weight"), (9, "more than 20 positions")]
+    assert risk.bad_positions(df.where("false")).count() == 0
+    good = spark.createDataFrame([(1, " aapl ", 0.5)], df.schema)
+    assert [tuple(x) for x in risk.checked_positions(good).collect()] == [(1, "AAPL", 0.5)]
+    for p in (2, 3, 4, 5, 6, 7):
+        with pytest.raises(Exception, match=f"out of bounds in portfolio {p}"):
+            risk.checked_positions(df.where(F.col("portfolio_id") == p)).collect()
+    with pytest.raises(ValueError, match="portfolio"):
+        risk.requested_risk(None, df)
+    with pytest.raises(ValueError, match="horizon"):
+        risk.requested_risk(None, good, horizon=90)

@@ -140,3 +140,32 @@ def test_digest_of_evidence(spark):
 
     df = spark.createDataFrame([("a", "Revenue, FY 2020", "USD", {"value": 1234567.891}, None), ("b", "Passage", None, {}, "x" * 400)], "id string, label string, unit string, values map<string, double>, excerpt string")
     assert [r["line"] for r in evidence.digest(df).collect()] == ["- [a] Revenue, FY 2020 (USD) value=1.23457e+06", f'- [b] Passage () {" "}excerpt="{"x" * 300}"'.replace("()  ", "()  ")]
+
+
+def test_scans_by_slices_equal_scans_at_once(spark):
+    """Any width of slices gives the rows of one scan per key; one key has almost all rows, keys may be null and slices empty."""
+    import random
+
+    from pyspark.sql import Window
+
+    from marlstone.operators import metrics
+
+    r = random.Random(9)
+    rows = [(i, r.choice(["hot"] * 8 + ["b", None]), r.uniform(0, 3000) + 9000 * r.randrange(2), r.randrange(50)) for i in range(600)]
+    df = spark.createDataFrame(rows, "event_id int, k string, t double, v long").withColumn("ts", F.timestamp_micros((F.col("t") * 1e6).cast("long"))).cache()
+    w = Window.partitionBy("k").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    want = {x["event_id"]: x["s"] for x in df.select("event_id", F.sum("v").over(w).alias("s")).collect()}
+    counters = df.select("ts", F.coalesce("k", F.lit("none")).alias("k"), (F.col("v") * 1.0).alias("value"))
+    once = {n: None for n in ("wait", "grown")}
+    for width in (10**6, 700, 37, 1):
+        got = {x["event_id"]: x["total"] for x in metrics.running_total(df, "k", "v", width).collect()}
+        assert got == want
+        wait = {x["event_id"]: x["wait_s"] for x in metrics.token_bucket(df, "k", 0.1, 3, width).collect()}
+        grown = {(x["window"], x["k"]): (x["increase"], x["rate"]) for x in metrics.increase(counters, "k", "10 minutes", width).collect()}
+        once = {"wait": once["wait"] or wait, "grown": once["grown"] or grown}
+        assert wait.keys() == want.keys() and max(abs(wait[i] - once["wait"][i]) for i in wait) < 1e-4 and max(wait.values()) > 1
+        assert grown == once["grown"]
+    assert metrics.running_total(df.where("false"), "k", "v").count() == metrics.token_bucket(df.where("false"), "k", 1.0, 1).count() == 0
+    nulls = df.withColumn("v", F.lit(None).cast("long"))
+    assert {x["total"] for x in metrics.running_total(nulls, "k", "v", 37).collect()} == {None}
+    df.unpersist()
