@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marlstone.operators import evidence, metrics, pit
