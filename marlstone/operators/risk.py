@@ -6,8 +6,6 @@ tail statistics sort each portfolio's P&L once.
 
 from __future__ import annotations
 
-import hashlib
-import json
 import math
 from statistics import NormalDist
 
@@ -17,7 +15,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marlstone.sources.tables import saved
+
 TRADING_DAYS = 252
+OCTAVE, SLICES, FEW = 32, 1024, 10_000  # ranges to a doubling, parts of a range, rows that may be broadcast
+BOOKS = 128  # portfolios that a task simulates at once
 
 
 def require_prices(prices: DataFrame, tickers: list[str]) -> None:
@@ -63,14 +65,43 @@ def tail_count(n: Column, confidence: float) -> Column:
     return F.greatest(F.lit(1), F.least(n, F.ceil(F.lit(1 - confidence) * n - F.lit(1e-9)))).cast("int")
 
 
+def _octave(x: Column) -> Column:
+    """A whole number that never falls as x grows: OCTAVE of them to a doubling, on either side of zero. Infinity and NaN come last."""
+    size = F.floor(F.least(F.log2(F.abs(x)), F.lit(1100.0)) * OCTAVE) + OCTAVE * 1100
+    return F.when(x == 0, F.lit(0).cast("long")).when(x > 0, size).otherwise(-size)
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """df worked out once and broadcast if it has FEW rows at most, else df as it is."""
+    rows = df.limit(FEW + 1).collect()
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if len(rows) <= FEW else df
+
+
+def _edge(counted: DataFrame, by: str) -> DataFrame:
+    """Of counts and sums (c, s) of ranges `by` per portfolio, after `below` outcomes of sum `less`: the range that has the k-th."""
+    before = Window.partitionBy("portfolio_id").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    cum = counted.withColumns({"below": F.col("below") + F.coalesce(F.sum("c").over(before), F.lit(0)), "less": F.col("less") + F.coalesce(F.sum("s").over(before), F.lit(0.0))})
+    return cum.where((F.col("below") < F.col("k")) & (F.col("k") <= F.col("below") + F.col("c")))
+
+
 def historical_var(pnl: DataFrame, confidence: float = 0.99) -> DataFrame:
-    """(portfolio_id, n, var, es): minus the k-th smallest outcome, minus the mean of the k smallest. Only outcomes up to an approximate
-    quantile are sorted: it lies at 2 (1 - confidence) + 0.001 with an error of 0.0001, so the tail is always among them."""
-    share = min(1.0, 2 * (1 - confidence) + 1e-3)
-    cut = pnl.groupBy("portfolio_id").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("pnl", F.lit(share), F.lit(10_000)).alias("top"))
-    low = pnl.join(cut, "portfolio_id").where(F.col("pnl") <= F.col("top"))
-    ranked = low.withColumn("rn", F.row_number().over(Window.partitionBy("portfolio_id").orderBy("pnl", "date")))
-    return ranked.where(F.col("rn") <= tail_count(F.col("n"), confidence)).groupBy("portfolio_id").agg(F.max("n").alias("n"), (-F.max("pnl")).alias("var"), (-F.avg("pnl")).alias("es"))
+    """(portfolio_id, n, var, es): minus the k-th smallest outcome, minus the mean of the k smallest; null outcomes don't count.
+
+    Exact selection in two steps. First, counts and sums over ranges of values (OCTAVE to a doubling) name the range with the k-th
+    outcome; ranges below it need no second look. Then only that range's outcomes are read, cut into SLICES equal parts, and the
+    different values of the part with the k-th are put in order. A portfolio with most of the rows sends counts, not rows."""
+    known = pnl.where(F.col("pnl").isNotNull()).select("portfolio_id", "pnl", _octave(F.col("pnl")).alias("range"))
+    counted = known.groupBy("portfolio_id", "range").agg(F.count(F.lit(1)).alias("c"), F.sum("pnl").alias("s"), F.min("pnl").alias("lo"), F.max("pnl").alias("hi"))
+    counted = counted.withColumn("n", F.sum("c").over(Window.partitionBy("portfolio_id"))).withColumns({"k": tail_count(F.col("n"), confidence), "below": F.lit(0).cast("long"), "less": F.lit(0.0)})
+    head = ["portfolio_id", "n", "k", "below", "less"]
+    part = F.coalesce(F.floor(F.try_divide(F.col("pnl") - F.col("lo"), F.col("hi") - F.col("lo")) * SLICES), F.lit(0))
+    inside = known.join(_few(_edge(counted, "range").select(*head, "range", "lo", "hi")), ["portfolio_id", "range"]).withColumn("part", part)
+    values = inside.groupBy(*head, "part", "pnl").agg(F.count(F.lit(1)).alias("c"))
+    parts = values.groupBy(*head, "part").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("pnl")).alias("s"))
+    last = values.select("portfolio_id", "part", "pnl", "c").join(_edge(parts, "part").select(*head, "part"), ["portfolio_id", "part"])
+    upto = F.col("below") + F.sum("c").over(Window.partitionBy("portfolio_id").orderBy("pnl"))
+    taken = last.withColumn("take", F.least("c", F.col("k") - (upto - F.col("c")))).where("take > 0")
+    return taken.groupBy("portfolio_id", "n", "k", "less").agg((-F.max("pnl")).alias("var"), F.sum(F.col("take") * F.col("pnl")).alias("_s")).select("portfolio_id", "n", "var", (-(F.col("less") + F.col("_s")) / F.col("k")).alias("es"))
 
 
 def parametric_var(pnl: DataFrame, confidence: float = 0.99) -> DataFrame:
@@ -236,20 +267,14 @@ def portfolio_risk(returns: DataFrame, weights: DataFrame, window: int = 500, ba
     if n < window + 30:
         raise ValueError(f"only {n} dates with all returns, {window + 30} are needed")
     recent = last_dates(returns, window + back)
-    pnl = portfolio_pnl(recent, weights)
+    pnl = saved(portfolio_pnl(recent, weights))
     newest = last_dates(recent, window)
-    own = portfolio_pnl(newest, weights)
+    own = pnl.join(F.broadcast(newest.select("date").distinct()), "date")  # window rows
     test = kupiec(rolling_var(pnl, back, confidence), confidence).select("portfolio_id", "observations", "exceptions", F.round(F.col("observations") * (1 - confidence), 1).alias("expected"), kupiec_p_udf("lr").alias("p_value"))
     order, mu, cov = estimate(newest)
-    book = {}
-    for r in weights.select("portfolio_id", "ticker", "weight").toLocalIterator():  # the request's positions
-        book.setdefault(r["portfolio_id"], {})[r["ticker"]] = r["weight"]
-    spark = returns.sparkSession
-    ids = sorted(book)
-    simulated = monte_carlo(spark, mu, cov, np.array([[book[p].get(t, 0.0) for t in order] for p in ids]), paths, horizon, 5.0, confidence, seed)
-    named = spark.createDataFrame([(i, p, "risk:" + hashlib.sha256(json.dumps([sorted(book[p].items()), str(until), window, back, confidence, horizon, paths, seed]).encode()).hexdigest()[:12]) for i, p in enumerate(ids)], ["row", "portfolio_id", "risk_id"])
-    kinds = (("hist", historical_var(own, confidence)), ("param", parametric_var(own, confidence)), ("mc", simulated.join(F.broadcast(named), "row")))
-    out = F.broadcast(named.drop("row"))
+    asked = F.struct(F.array_sort(F.collect_list(F.struct("ticker", "weight"))), *[F.lit(v) for v in (str(until), window, back, confidence, horizon, paths, seed)])  # a request's positions
+    out = weights.groupBy("portfolio_id").agg(F.concat(F.lit("risk:"), F.substring(F.sha2(F.to_json(asked), 256), 1, 12)).alias("risk_id"))
+    kinds = (("hist", historical_var(own, confidence)), ("param", parametric_var(own, confidence)), ("mc", monte_carlo_books(weights, order, mu, cov, paths, horizon, 5.0, confidence, seed)))
     for kind, got in kinds:
         out = out.join(got.select("portfolio_id", F.col("var").alias(f"{kind}_var"), F.col("es").alias(f"{kind}_es")), "portfolio_id", "left")
     places = euler_shares(newest, weights).join(annualized_vol(newest, weights), ["portfolio_id", "ticker"]).groupBy("portfolio_id").agg(F.array_sort(F.collect_list(F.struct("ticker", "weight", "vol", "share"))).alias("positions"))
@@ -323,31 +348,72 @@ def limit_findings(rows: DataFrame, decisions: DataFrame, names: DataFrame | Non
     return out.select("portfolio_id", "decision", F.concat(say("decision", "decision"), F.coalesce("b", none), banned, passed).alias("findings"))
 
 
-def monte_carlo(spark, mu: np.ndarray, cov: np.ndarray, weights: np.ndarray, paths: int = 100_000, horizon: int = 10, dof: float = 5.0, confidence: float = 0.99, seed: int = 0, block: int = 4096, n_partitions: int | None = None) -> DataFrame:
-    """(row, n, var, es) of simulated P&L for each row of weights (a portfolio; one vector is one row). Paths come in blocks with a
-    stream of random numbers each, so the result does not depend on partitions, and all portfolios see the same shocks; only the
-    outcomes that can be in the tail leave a block's task. dof 0 is the normal distribution."""
+def _simulated(books: DataFrame, n_books: int, mu: np.ndarray, cov: np.ndarray, paths: int, horizon: int, dof: float, confidence: float, seed: int, block: int, tasks: int | None) -> DataFrame:
+    """(portfolio_id, n, var, es) of books (portfolio_id, at, w: places and weights of their positions)."""
     if paths <= 0 or horizon <= 0 or not (dof == 0 or dof > 2):
         raise ValueError("paths and horizon must be positive, dof 0 or above 2")
-    chol, book = np.linalg.cholesky(cov), np.atleast_2d(np.asarray(weights, float))
-    blocks = -(-paths // block)
+    chol, blocks = np.linalg.cholesky(cov), -(-paths // block)
     k = max(1, min(paths, math.ceil((1 - confidence) * paths - 1e-9)))
+    groups = max(1, -(-n_books // BOOKS))
+    ranges = max(1, min(blocks, -(-(tasks or books.sparkSession.sparkContext.defaultParallelism) // groups)))
+
+    def outcomes(b: int, book: np.ndarray) -> np.ndarray:
+        rng = np.random.default_rng([seed, b])
+        n = min(block, paths - b * block)
+        total = np.zeros((n, len(mu)))
+        for _ in range(horizon):
+            z = rng.standard_normal((n, len(mu)))
+            if dof:
+                z *= np.sqrt((dof - 2) / rng.chisquare(dof, (n, 1)))
+            total += z
+        return np.expm1(horizon * mu + total @ chol.T) @ book.T
+
+    def lowest(parts: list) -> np.ndarray:
+        low = np.concatenate(parts)
+        return np.partition(low, k - 1, axis=0)[:k] if k < len(low) else low
 
     def run(batches):
         for pdf in batches:
-            for b in pdf["id"]:
-                rng = np.random.default_rng([seed, int(b)])
-                n = min(block, paths - int(b) * block)
-                total = np.zeros((n, len(mu)))
-                for _ in range(horizon):
-                    z = rng.standard_normal((n, len(mu)))
-                    if dof:
-                        z *= np.sqrt((dof - 2) / rng.chisquare(dof, (n, 1)))
-                    total += z
-                pnl = np.expm1(horizon * mu + total @ chol.T) @ book.T
-                low = np.partition(pnl, k - 1, axis=0)[:k] if k < n else pnl
-                yield pd.DataFrame({"row": np.tile(np.arange(len(book)), len(low)), "pnl": low.ravel()})
-
-    tail = spark.range(0, blocks, 1, n_partitions or min(blocks, 200)).mapInPandas(run, "row long, pnl double")
-    ranked = tail.withColumn("rn", F.row_number().over(Window.partitionBy("row").orderBy("pnl"))).where(F.col("rn") <= k)
-    return ranked.groupBy("row").agg(F.lit(paths).cast("long").alias("n"), (-F.max("pnl")).alias("var"), (-F.avg("pnl")).alias("es"))
+            for r, of_range in pdf.groupby("range"):
+                for i in range(0, len(of_range), BOOKS):
+                    some = of_range.iloc[i : i + BOOKS]
+                    book = np.zeros((len(some), len(mu)))
+                    for row, at, w in zip(book, some["at"], some["w"]):
+                        row[np.asarray(at, int)] = w
+                    kept, n = [], 0
+                    for b in range(int(r) * blocks // ranges, (int(r) + 1) * blocks // ranges):
+                        kept.append(outcomes(b, book))
+                        n += len(kept[-1])
+                        if n > k + 8 * block:
+                            kept = [lowest(kept)]
+                            n = len(kept[0])
+                    yield pd.DataFrame({"portfolio_id": some["portfolio_id"], "low": list(np.sort(lowest(kept), axis=0).T)})
+
+    schema = T.StructType([books.schema["portfolio_id"], T.StructField("low", T.ArrayType(T.DoubleType()))])
+    place = F.pmod(F.xxhash64("portfolio_id"), F.lit(groups)) * ranges + F.col("range")
+    dealt = books.withColumn("range", F.explode(F.sequence(F.lit(0), F.lit(ranges - 1)))).repartitionById(groups * ranges, place.cast("int"))
+    low = dealt.select("portfolio_id", "range", "at", "w").mapInPandas(run, schema)
+    if ranges > 1:  # a portfolio's tails of all ranges: paths at most
+        low = low.groupBy("portfolio_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("low"))), 1, k).alias("low"))
+    return low.select("portfolio_id", F.lit(paths).cast("long").alias("n"), (-F.element_at("low", -1)).alias("var"), (-F.aggregate("low", F.lit(0.0), lambda a, x: a + x) / k).alias("es"))
+
+
+def monte_carlo(spark, mu: np.ndarray, cov: np.ndarray, weights: np.ndarray, paths: int = 100_000, horizon: int = 10, dof: float = 5.0, confidence: float = 0.99, seed: int = 0, block: int = 4096, n_partitions: int | None = None) -> DataFrame:
+    """(row, n, var, es) of simulated P&L for each row of weights (a portfolio; one vector is one row). Paths come in blocks with a
+    stream of random numbers each, so the result does not depend on partitions, and all portfolios see the same shocks. Tasks take
+    blocks of portfolios times ranges of paths; a task gives the k lowest outcomes of each of its portfolios at most. dof 0 is the
+    normal distribution."""
+    book = np.atleast_2d(np.asarray(weights, float))
+    rows = [(i, [int(j) for j in np.flatnonzero(w)], w[np.flatnonzero(w)].tolist()) for i, w in enumerate(book)]
+    books = spark.createDataFrame(rows, "portfolio_id long, at array<int>, w array<double>")
+    return _simulated(books, len(rows), mu, cov, paths, horizon, dof, confidence, seed, block, n_partitions).withColumnRenamed("portfolio_id", "row")
+
+
+def monte_carlo_books(weights: DataFrame, order: list[str], mu: np.ndarray, cov: np.ndarray, paths: int = 100_000, horizon: int = 10, dof: float = 5.0, confidence: float = 0.99, seed: int = 0, block: int = 4096, n_partitions: int | None = None) -> DataFrame:
+    """monte_carlo for a table of any number of portfolios (portfolio_id, ticker, weight), which never pass through the driver; order
+    names the tickers of mu and cov. Weights of a repeated ticker add up, a ticker that is not in order moves nothing."""
+    at = (F.array_position(F.array(*[F.lit(t) for t in order]), F.col("ticker")) - 1).cast("int")
+    summed = weights.groupBy("portfolio_id", "ticker").agg(F.sum("weight").alias("weight"))
+    placed = summed.groupBy("portfolio_id").agg(F.array_sort(F.collect_list(F.when(at >= 0, F.struct(at.alias("at"), "weight")))).alias("_v"))  # as many as order has
+    books = placed.select("portfolio_id", F.col("_v.at").alias("at"), F.coalesce("_v.weight", F.array()).cast("array<double>").alias("w"))
+    return _simulated(books, weights.select("portfolio_id").distinct().count(), mu, cov, paths, horizon, dof, confidence, seed, block, n_partitions)

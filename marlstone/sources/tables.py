@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +35,14 @@ def stored(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataF
     return spark.read.parquet(path)
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """df written to a new table of the shared folder and read again, so that what reads it several times doesn't plan it anew."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/stored/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -147,3 +147,39 @@ def test_requests_out_of_bounds(spark):
         risk.requested_risk(None, df)
     with pytest.raises(ValueError, match="horizon"):
         risk.requested_risk(None, good, horizon=90)
+
+
+@pytest.mark.parametrize("kind", ["normal", "ties", "shifted", "signs", "tiny"])
+def test_two_step_selection_equals_a_sort(spark, kind):
+    """One portfolio has most rows; ties, values of one range only, both signs, zeros, infinities and nulls."""
+    r = np.random.default_rng(5)
+    x = {"normal": r.standard_normal(9000) * 0.01, "ties": r.integers(-3, 4, 9000) / 4, "shifted": 1000 + r.random(9000), "signs": np.concatenate([[-np.inf, np.inf, 0.0, -0.0], r.standard_cauchy(8996)]), "tiny": r.standard_normal(9000) * 1e-308}[kind]
+    owner = np.where(np.arange(9000) % 9 < 7, 1, 2 + np.arange(9000) % 3)
+    rows = [(int(o), i, float(v)) for i, (o, v) in enumerate(zip(owner, x))] + [(1, -1, None), (99, -2, None)]
+    df = spark.createDataFrame(rows, "portfolio_id int, date long, pnl double").repartition(5)
+    for confidence in (0.99, 0.7, 0.5001):
+        got = {v["portfolio_id"]: v for v in risk.historical_var(df, confidence).collect()}
+        assert set(got) == set(owner.tolist())
+        for o, v in got.items():
+            low = np.sort(x[owner == o])
+            k = max(1, math.ceil((1 - confidence) * len(low) - 1e-9))
+            assert v["n"] == len(low) and v["var"] == -low[k - 1] and v["es"] == pytest.approx(-low[:k].mean(), rel=1e-9)
+    assert risk.historical_var(df.where("false")).count() == 0
+
+
+def test_portfolios_from_a_table_equal_those_of_a_matrix(spark, monkeypatch):
+    """Any cut into blocks of portfolios and ranges of paths; k above a block; repeated, unknown and missing tickers."""
+    mu, cov = np.array([1e-4, 0.0, 2e-4]), np.array([[1e-4, 2e-5, 0], [2e-5, 2e-4, 0], [0, 0, 5e-5]])
+    book = np.random.default_rng(2).normal(0, 0.3, (41, 3))
+    book[7] = 0
+    rows = [(i, t, float(v)) for i, w in enumerate(book) for t, v in zip("ABC", w) if i != 7] + [(7, "unknown", 1.0)]
+    rows += [(3, "A", 0.25), (3, "A", -0.25)]
+    weights = spark.createDataFrame(rows, "portfolio_id long, ticker string, weight double")
+    want = {v["row"]: v for v in risk.monte_carlo(spark, mu, cov, book, 20_000, 2, confidence=0.9, block=512, n_partitions=1).collect()}
+    assert len(want) == 41 and want[7]["var"] == 0
+    for books, tasks in ((128, 1), (10, 1), (10, 16), (128, 50)):
+        monkeypatch.setattr(risk, "BOOKS", books)
+        got = {v["portfolio_id"]: v for v in risk.monte_carlo_books(weights, list("ABC"), mu, cov, 20_000, 2, confidence=0.9, block=512, n_partitions=tasks).collect()}
+        assert got.keys() == want.keys()
+        for i in got:
+            assert (got[i]["n"], got[i]["var"], got[i]["es"]) == pytest.approx((20_000, want[i]["var"], want[i]["es"]), rel=1e-9)
