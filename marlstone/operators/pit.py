@@ -22,6 +22,9 @@ RATIOS = {
     "debt_to_equity": ("long_term_debt", "stockholders_equity"),
 }
 
+#: What names a fact.
+FACT_KEY = ["ticker", "metric", "fiscal_year", "fiscal_period", "accession"]
+
 
 def fact_id(c: str = ""):
     """ticker:metric:period:accession, the id that citations use."""
@@ -126,7 +129,7 @@ def implied_q4(facts: DataFrame, as_of: str | None = None) -> DataFrame:
 def upsert(existing: DataFrame | None, batch: DataFrame) -> DataFrame:
     """existing with batch written over it by (ticker, metric, fiscal_year, fiscal_period, accession). Within a batch the row with
     the smallest `ord` wins (a column the batch brings along), as the first row written does."""
-    key = ["ticker", "metric", "fiscal_year", "fiscal_period", "accession"]
+    key = FACT_KEY
     rest = [c for c in batch.columns if c not in key and c != "ord"]
     new = batch.groupBy(*key).agg(F.min_by(F.struct(*rest), "ord").alias("_v")).select(*key, "_v.*")
     if existing is None:

@@ -11,7 +11,7 @@ from marlstone.operators import evidence, metrics, pit
 from marlstone.plans.facts import _LATEST
 from marlstone.sources import filings, landed
 from marlstone.sources.tables import facts, facts_sql, shared_dir, table
-from marlstone.streaming import ingest, keyed
+from marlstone.streaming import ingest, keyed, monitor
 
 BOUNDS = [10.0, 25.0, 50.0, 75.0, 100.0, 150.0, 250.0]
 LIMIT = 3
@@ -157,6 +157,21 @@ def replica_health(s, d):
     return ingest.health(_events(s, d).select(F.col("event_type").alias("replica"), "ts"), "replica", F.lit("2024-01-30 23:50:00").cast("timestamp_ntz").cast("timestamp"), 300)
 
 
+def replica_progress(s, d):
+    """A replica that is stopped and started again between two halves of a log: what its monitor counted and its store's version."""
+    work, f, name = _work(s), facts(s, d), f"replica-{uuid.uuid4().hex[:8]}"
+    store, watch = ingest.Snapshots(s, f"{work}/store"), monitor.ReplicaMonitor()
+    s.streams.addListener(watch)
+    try:
+        for half in (0, 1):
+            ingest.messages(f.where(F.pmod(F.col("accession").cast("long"), F.lit(2)) == half)).write.mode("append").text(f"{work}/log")
+            monitor.follow(s, f"{work}/log", f.schema, store, f"{work}/checkpoint", name, "filed", None).awaitTermination()
+            seen = watch.wait(lambda v, half=half: v["batch"] == half and not v["running"], name)
+    finally:
+        s.streams.removeListener(watch)
+    return _totals(store.read()).agg(F.count(F.lit(1)).alias("tickers"), F.sum("n").alias("stored")).withColumns({"applied": F.lit(seen["rows"]).cast("long"), "newest": F.lit(seen["newest"]), "version": F.lit(store.state()["version"]), "failures": F.lit(seen["failures"])})
+
+
 def _hist(s, d):
     return metrics.histogram(_events(s, d), BOUNDS, "6 hours", "event_type")
 
@@ -235,6 +250,7 @@ QUERIES = {
     "stream_filings": stream_filings,
     "stream_retention": lambda s, d: ingest.retained(_events(s, d).select("event_id", "event_type"), 500, F.desc("event_id")),
     "replica_health": replica_health,
+    "replica_progress": replica_progress,
     "fundamentals": fundamentals,
     "evidence_urls": evidence_urls,
     "evidence_merge": lambda s, d: evidence.merge(_events(s, d).select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), "value", "event_type")),
@@ -299,6 +315,7 @@ SELECT "window", event_type, round(CASE WHEN isinf(le) THEN low ELSE low + (le -
     "evidence_merge": "SELECT user_id AS id, min(event_id) AS seq, arg_max(value, event_id) AS value, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1",
     "template_answers": "SELECT c_nationkey AS question, string_agg(c_name, ' ' ORDER BY c_custkey % 3, c_custkey) AS answer FROM customer GROUP BY 1",
     "stream_retention": "SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 500",
+    "replica_progress": f"WITH {facts_sql()} SELECT count(DISTINCT ticker) AS tickers, count(*) AS stored, count(*) AS applied, max(filed)::VARCHAR AS newest, 2 AS version, 0 AS failures FROM facts",
     "replica_health": "SELECT replica, lag_s, lag_s <= 300 AS healthy FROM (SELECT event_type AS replica, greatest(0.0, (epoch_us(TIMESTAMP '2024-01-30 23:50:00') - epoch_us(max(ts))) / 1e6) AS lag_s FROM events GROUP BY 1)",
     "question_digests": "SELECT conv_id, turn, sha256(text) AS digest FROM conversations",
     "evidence_urls": f"""WITH {facts_sql()},

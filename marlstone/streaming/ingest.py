@@ -8,8 +8,9 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,7 +18,8 @@ from marlstone.operators import pit
 
 EVENT = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 MAX_DELIVERIES = 5
-BUCKETS = 64
+MOST_RUNS = 8
+PART_BYTES = 128 << 20
 STALE_AFTER = 60
 
 
@@ -55,9 +57,16 @@ class Sink:
 
 
 class Snapshots:
-    """A table in BUCKETS parts by ticker. A batch rewrites the parts that it touches beside those that are read; a pointer file with a
-    larger number then names all current parts. The pointer with the largest number counts, so there is one at any time, also after
-    a crash between two steps. A batch id that was applied is not applied again."""
+    """A table of facts by key (pit.FACT_KEY) in runs, oldest first; a row of a newer run hides that of an older one.
+
+    A batch writes a run of its own rows, so what is written follows the batch, whatever the table's size and however many of its rows
+    one ticker has. compact() joins the newest runs into one as long as an older one is no larger than twice all that are newer, so
+    sizes grow geometrically and a row is rewritten as often as its run doubles. Joined runs are cut into files by ranges of the key
+    of about PART_BYTES each and sorted, so a hot ticker has many files and a reader of one ticker skips the others'.
+
+    A pointer file names the current runs; the one with the largest number counts, so there is one at any time, also after a crash
+    between two steps. A batch id that was applied is not applied again. Empty batches leave the version as it is. One writer at a
+    time; readers keep what they have opened until vacuum()."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -66,33 +75,75 @@ class Snapshots:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
+    def _names(self, folder: str) -> list[str]:
+        fs, p = self._fs(folder)
+        return sorted(f.getPath().getName() for f in fs.listStatus(p)) if fs.exists(p) else []
+
+    def _pointers(self) -> list[str]:
+        return [n for n in self._names("pointers") if n.endswith(".json") and not n.startswith((".", "_"))]
+
+    def _load(self, pointer: str) -> dict:
+        return json.loads(self.spark.read.text(f"{self.path}/pointers/{pointer}", wholetext=True).collect()[0][0])  # one small file
+
     def state(self) -> dict:
-        fs, p = self._fs("pointers")
-        names = sorted(f.getPath().getName() for f in fs.listStatus(p)) if fs.exists(p) else []
-        whole = [n for n in names if n.endswith(".json") and not n.startswith((".", "_"))]
-        if not whole:
-            return {"number": 0, "version": 0, "batch": -1, "parts": {}}
-        return json.loads(self.spark.read.text(f"{self.path}/pointers/{whole[-1]}", wholetext=True).collect()[0][0])  # one small file
-
-    def read(self, parts: list[int] | None = None) -> DataFrame | None:
-        """The table, or these parts of it."""
-        now = self.state()["parts"]
-        folders = [f for k, f in now.items() if parts is None or int(k) in parts]
-        return self.spark.read.parquet(*[f"{self.path}/{f}" for f in folders]) if folders else None
+        whole = self._pointers()
+        return self._load(whole[-1]) if whole else {"number": 0, "version": 0, "batch": -1, "runs": []}
+
+    def read(self, runs: list[dict] | None = None) -> DataFrame | None:
+        """The table, or what these runs in a row make of it. The oldest run is not shuffled while the others' keys are few."""
+        runs = self.state()["runs"] if runs is None else runs
+        if not runs:
+            return None
+        base, *newer = (self.spark.read.parquet(f"{self.path}/{r['folder']}") for r in runs)
+        if not newer:
+            return base
+        key, rest = pit.FACT_KEY, [c for c in base.columns if c not in pit.FACT_KEY]
+        rows = reduce(DataFrame.unionByName, (df.withColumn("_n", F.lit(i)) for i, df in enumerate(newer)))
+        rows = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), "_n").alias("_v")).select(*key, "_v.*")
+        hidden = rows.select(*[F.col(c).alias(f"_{c}") for c in key])
+        kept = base.join(hidden, reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key)), "left_anti")
+        return kept.unionByName(rows)
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
         """Upsert a batch; the version grows only if the batch has rows."""
         now = self.state()
         if batch_id <= now["batch"]:
             return
-        part = F.pmod(F.xxhash64("ticker"), F.lit(BUCKETS)).cast("int")
-        touched = [r[0] for r in batch.select(part).distinct().collect()]  # BUCKETS at most
         after = now | {"number": now["number"] + 1, "batch": batch_id}
-        if touched:
-            folder = f"data/{after['number']:012d}-{uuid.uuid4().hex[:8]}"
-            pit.upsert(self.read(touched), batch).withColumn("_part", part).repartition("_part").write.partitionBy("_part").parquet(f"{self.path}/{folder}")
-            after |= {"version": now["version"] + 1, "parts": now["parts"] | {str(k): f"{folder}/_part={k}" for k in touched}}
+        run = self._write(pit.upsert(None, batch), after["number"])
+        if not self.read([run]).isEmpty():
+            after |= {"version": now["version"] + 1, "runs": [*now["runs"], run]}
         self._point(after)
+        if len(after["runs"]) > MOST_RUNS:
+            self.compact()
+
+    def compact(self) -> None:
+        """Join the newest runs; the rows and the version stay."""
+        now = self.state()
+        runs, size = now["runs"], 0
+        first = len(runs)
+        while first and (len(runs) - first < 2 or runs[first - 1]["bytes"] <= 2 * size):
+            first -= 1
+            size += runs[first]["bytes"]
+        if len(runs) - first < 2:
+            return
+        rows = self.read(runs[first:]).repartitionByRange(-(-size // PART_BYTES), *pit.FACT_KEY).sortWithinPartitions(*pit.FACT_KEY)
+        number = now["number"] + 1
+        self._point(now | {"number": number, "runs": [*runs[:first], self._write(rows, number)]})
+
+    def vacuum(self, keep: int = 2) -> None:
+        """Delete the runs that none of the newest `keep` pointers names, and older pointers. For the writer, between batches."""
+        whole = self._pointers()
+        named = {r["folder"] for n in whole[-keep:] for r in self._load(n)["runs"]}
+        for name in [f"pointers/{n}" for n in whole[:-keep]] + [f for n in self._names("data") if (f := f"data/{n}") not in named]:
+            fs, p = self._fs(name)
+            fs.delete(p, True)
+
+    def _write(self, df: DataFrame, number: int) -> dict:
+        folder = f"data/{number:012d}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(f"{self.path}/{folder}")
+        fs, p = self._fs(folder)
+        return {"folder": folder, "bytes": fs.getContentSummary(p).getLength()}
 
     def _point(self, state: dict) -> None:
         fs, new = self._fs(f"pointers/.new-{uuid.uuid4().hex[:8]}")
@@ -111,29 +162,6 @@ def split(messages: DataFrame, good, error) -> tuple[DataFrame, DataFrame, DataF
     return rows.where("_ok").drop("_ok"), bad.where(F.col("attempts") < MAX_DELIVERIES).drop("_ok"), bad.where(F.col("attempts") >= MAX_DELIVERIES).drop("_ok")
 
 
-def deliver(stream: DataFrame, good, error, work: str) -> tuple[DataFrame, DataFrame]:
-    """(ok, dead) of a stream of messages: every delivery is a streaming query of its own, and what it can't handle is the source of the
-    next one, up to MAX_DELIVERIES."""
-    spark, schema = stream.sparkSession, stream.schema
-    ok, dead = Sink(spark, f"{work}/ok"), Sink(spark, f"{work}/dead")
-    for n in range(MAX_DELIVERIES):
-        again = Sink(spark, f"{work}/retry{n}")
-
-        def each(batch, i, n=n, again=again):
-            batch = batch.persist()
-            for got, to in zip(split(batch, good, error), (ok, again, dead)):
-                got = got.drop("error") if to is again else got
-                to.write(got, n * 1_000_000 + i)
-            batch.unpersist()
-
-        run(stream, each, f"{work}/checkpoint{n}")
-        fs = spark._jvm.org.apache.hadoop.fs.Path(again.path).getFileSystem(spark._jsc.hadoopConfiguration())
-        if not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(again.path)):
-            break
-        stream = spark.readStream.schema(schema).parquet(f"{again.path}/batch=*")
-    return ok.read(), dead.read()
-
-
 def enrich(events: DataFrame, facts: DataFrame) -> DataFrame:
     """Events with the facts of their accession: a static table beside a stream, or two tables."""
     return events.join(facts, "accession")

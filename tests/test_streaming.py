@@ -69,8 +69,11 @@ def test_a_crash_before_the_pointer_moves_loses_nothing(spark, tmp_path, monkeyp
     assert store.state()["version"] == 1 and sorted(r["value"] for r in store.read().collect()) == [0, 1, 2, 3, 4]
     store.apply(spark.createDataFrame([fact(1, 100)], FACTS), 1)
     assert store.state()["version"] == 2 and sorted(r["value"] for r in store.read().collect()) == [0, 2, 3, 4, 100]
-    parts = store.state()["parts"]
-    assert len(set(parts.values())) == len(parts) > 1 and sum("000000000002" in f for f in parts.values()) == 1  # only what was touched
+    runs = store.state()["runs"]
+    assert len(runs) == 2 and runs[1]["folder"].startswith("data/000000000002")  # only the batch was written
+    store.vacuum(keep=1)
+    assert {f"data/{f.name}" for f in (tmp_path / "facts/data").iterdir()} == {r["folder"] for r in runs}  # what the crash left is gone
+    assert sorted(r["value"] for r in store.read().collect()) == [0, 2, 3, 4, 100]
 
 
 def test_a_replayed_batch_is_written_once(spark, tmp_path):
@@ -169,3 +172,30 @@ def test_scans_by_slices_equal_scans_at_once(spark):
     nulls = df.withColumn("v", F.lit(None).cast("long"))
     assert {x["total"] for x in metrics.running_total(nulls, "k", "v", 37).collect()} == {None}
     df.unpersist()
+
+
+def test_a_hot_ticker_is_not_rewritten_by_small_batches(spark, tmp_path, monkeypatch):
+    """A ticker with nearly all rows: bytes written follow the batches, files are cut by size, nulls in the key are one value."""
+    monkeypatch.setattr(ingest, "MOST_RUNS", 3)
+    monkeypatch.setattr(ingest, "PART_BYTES", 200_000)
+    store = ingest.Snapshots(spark, str(tmp_path / "facts"))
+    cols = ["ticker", "metric", "fiscal_year", "fiscal_period", "accession", "value", "ord"]
+    hot = spark.range(120_000).select(F.lit("HOT").alias("ticker"), F.lit("revenue").alias("metric"), F.lit(2020).alias("fiscal_year"), F.lit("FY").alias("fiscal_period"), F.sha2(F.col("id").cast("string"), 256).alias("accession"), F.col("id").cast("double").alias("value"), F.lit(0).alias("ord"))
+    store.apply(hot, 0)
+    whole, want = store.state()["runs"][0]["bytes"], {}
+    for i in range(1, 13):
+        rows = [("HOT" if j % 3 else f"T{j}", "revenue", 2020, None if j == 4 else "FY", f"a{(i + j) % 9}", float(100 * i + j), j) for j in range(30)]
+        for r in reversed(rows):
+            want[r[:5]] = r[5]
+        store.apply(spark.createDataFrame(rows, "ticker string, metric string, fiscal_year int, fiscal_period string, accession string, value double, ord int").select(*cols), i)
+    runs = store.state()["runs"]
+    assert len(runs) <= 3 + 1 and store.state()["version"] == 13
+    written = sum(f.stat().st_size for f in (tmp_path / "facts/data").rglob("*.parquet"))
+    assert runs[0]["bytes"] == whole and written < 1.2 * whole  # the large run was never written again
+    got = {tuple(r[c] for c in cols[:5]): r["value"] for r in store.read().where(F.length("accession") < 64).collect()}
+    assert got == want and store.read().count() == 120_000 + len(want)
+    while len(store.state()["runs"]) > 1:
+        store.compact()
+    assert store.read().count() == 120_000 + len(want) and store.state()["version"] == 13
+    files = list((tmp_path / "facts" / store.state()["runs"][0]["folder"]).glob("*.parquet"))
+    assert len(files) > 10  # one ticker, many files
