@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -123,6 +125,23 @@ def merge(evidence: DataFrame, key: str = "id", order: str = "seq") -> DataFrame
     return evidence.groupBy(key).agg(F.min(order).alias(order), F.max_by(F.struct(*rest), order).alias("_v")).select(key, order, "_v.*")
 
 
+# What a row of evidence holds.
+EVIDENCE = {"id": "string", "label": "string", "unit": "string", "values": "map<string,double>", "excerpt": "string"}
+
+
+def appended(*tools: DataFrame) -> DataFrame:
+    """(tool_order, id, label, unit, values, excerpt): the evidence of tools one after the other. What a tool does not give is null; ids
+    are unique within a tool."""
+    parts = [df.select(F.lit(i).alias("tool_order"), *[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in EVIDENCE.items()]) for i, df in enumerate(tools)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def merged(evidence: DataFrame) -> DataFrame:
+    """appended() with one row per id: what the last tool says of it, at the place of the first (tool_order, then id)."""
+    out = merge(evidence.withColumn("seq", F.struct("tool_order", "id")).drop("tool_order"))
+    return out.select(F.col("seq")["tool_order"].alias("tool_order"), *EVIDENCE)
+
+
 @F.pandas_udf(T.StringType())
 def _six_digits(values: pd.Series) -> pd.Series:
     return values.map(lambda pairs: ", ".join(f"{k}={v:.6g}" for k, v in dict(pairs or {}).items()))

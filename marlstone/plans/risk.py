@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from marlstone.operators import risk
+from marlstone.operators import evidence, risk
 from marlstone.sources.tables import POSITIONS_SQL, PRICES_SQL, positions, prices, stored, table
 
 WINDOW, BACK, CONF = 300, 250, 0.99
@@ -75,6 +75,24 @@ def portfolio_risk(s, d):
     return got.select("portfolio_id", "as_of", "hist_var", "hist_es", "param_var", "param_es", "observations", "exceptions", "expected", "calibrated", top["ticker"].alias("top"), top["share"].alias("top_share"))
 
 
+def _plain_report(s, d):
+    """The report with ids that name the portfolio, and figures of six places."""
+    got = _rounded(_report(s, d), "hist_var", "hist_es").withColumn("risk_id", F.concat(F.lit("risk:"), F.col("portfolio_id").cast("string")))
+    return got.withColumn("positions", F.transform("positions", lambda p: p.withField("share", F.round(p["share"], 6) + 0.0)))
+
+
+def risk_sentences(s, d):
+    """The findings but for the simulated one."""
+    said = F.filter("findings", lambda x: ~F.contains(x, F.lit("Monte Carlo")))
+    return risk.risk_findings(_plain_report(s, d)).select("portfolio_id", F.posexplode(said).alias("place", "finding"))
+
+
+def risk_evidence(s, d):
+    """Evidence of the reports, a row per value."""
+    wide = _plain_report(s, d).select("risk_id", F.col("hist_var").alias("var"), F.col("hist_es").alias("es"), "observations", "exceptions", F.inline("positions"))
+    return evidence.risk_evidence(wide).select("id", "label", F.explode("values").alias("key", "value"))
+
+
 def _named(s, d):
     """The portfolios as positions; each ticker is a sector of its own."""
     return _weights(s, d).where("weight <> 0").select("portfolio_id", F.col("ticker").alias("name"), "weight", F.col("ticker").alias("sector"))
@@ -115,6 +133,8 @@ QUERIES = {
     "returns_as_of": lambda s, d: _rounded(risk.log_returns(prices(s, d), as_of=AS_OF), "ret"),
     "portfolio_risk": portfolio_risk,
     "risk_findings": lambda s, d: risk.risk_findings(_report(s, d)).select("portfolio_id", F.explode("findings").alias("finding")),
+    "risk_sentences": risk_sentences,
+    "risk_evidence": risk_evidence,
     "pretrade_rows": pretrade_rows,
     "pretrade_findings": pretrade_findings,
     "rolling_var_backtest": lambda s, d: _rounded(risk.rolling_var(_pnl(s, d, 0), BACK), "pnl", "var"),
@@ -174,3 +194,23 @@ h AS (SELECT portfolio_id, count(*) AS k FROM positions WHERE name IN (SELECT s_
 SELECT t.portfolio_id, n_checks, n_breaches, coalesce(k, 0)::BIGINT AS n_restricted, CASE WHEN n_breaches = 0 AND k IS NULL THEN 'APPROVE' ELSE 'REJECT' END AS decision FROM t LEFT JOIN h USING (portfolio_id)""",
     "order_value_var": f"WITH pnl AS (SELECT o_orderpriority AS portfolio_id, o_orderkey AS date, o_totalprice AS pnl FROM orders), {_HIST} SELECT portfolio_id, max(n) AS n, round(-max(pnl), 2) AS var, round(-avg(pnl), 2) AS es FROM r WHERE rn <= {_K} GROUP BY 1",
 }
+
+_LAST = "SELECT h.portfolio_id, (SELECT max(date)"
+_PARTS, _, _REPORT = SQL["portfolio_risk"].partition(_LAST)
+_PERCENT = lambda x, places=1: f"printf('%.{places}f%%', ({x}) * 100)"
+SQL["risk_evidence"] = f"""{_PARTS} SELECT 'risk:' || portfolio_id || ':var' AS id, 'Portfolio VaR' AS label, unnest(['var', 'es']) AS key, unnest([hist_var, hist_es]) AS value FROM h
+UNION ALL SELECT 'risk:' || portfolio_id || ':backtest', 'Historical VaR backtest (Kupiec POF)', unnest(['observations', 'exceptions']), unnest([n::DOUBLE, x::DOUBLE]) FROM k
+UNION ALL SELECT 'risk:' || portfolio_id || ':' || ticker, ticker || ' position risk', unnest(['weight', 'share']), unnest([weight, share]) FROM e JOIN weights USING (portfolio_id, ticker)"""
+SQL["risk_sentences"] = f"""{_PARTS.rstrip()},
+q AS ({_LAST}{_REPORT}),
+m AS (SELECT portfolio_id, ticker, share, weight, row_number() OVER (PARTITION BY portfolio_id ORDER BY share DESC, ticker) AS i FROM e JOIN weights USING (portfolio_id, ticker))
+SELECT q.portfolio_id, unnest([0, 1, 2]) AS place, unnest([
+  'As of ' || as_of || ', the portfolio''s 1-day {CONF * 100:.0f}% historical VaR is ' || {_PERCENT("hist_var", 2)} || ' of capital (expected shortfall ' || {_PERCENT("hist_es", 2)} || '), using {WINDOW} trading days [risk:' || q.portfolio_id || ':var].',
+  ticker || ' contributes ' || {_PERCENT("share")} || ' of portfolio VaR at a ' || {_PERCENT("weight")} || ' weight [risk:' || q.portfolio_id || ':' || ticker || '].',
+  'Backtest: ' || exceptions || ' VaR exceptions in ' || observations || ' days against ' || expected || ' expected, ' || CASE WHEN calibrated THEN 'consistent with' ELSE 'rejected by' END || ' the Kupiec test at the 5% level [risk:' || q.portfolio_id || ':backtest].']) AS finding
+FROM q JOIN m ON m.portfolio_id = q.portfolio_id AND i = 1"""
+SQL["pretrade_findings"] = f"""WITH c AS ({SQL["pretrade_rows"]}),
+d AS (SELECT portfolio_id, count(*) AS n, CASE WHEN bool_and(passed) THEN 'APPROVE' ELSE 'REJECT' END AS decision, max(observed) FILTER (WHERE name LIKE '%VaR') AS var,
+  string_agg('Breach: ' || name || ' is ' || {_PERCENT("observed")} || ' against a limit of ' || {_PERCENT('"limit"')} || ' [limit:' || replace(name, ' ', '_') || '].', ' ' ORDER BY name) FILTER (WHERE NOT passed) AS breaches FROM c GROUP BY 1)
+SELECT portfolio_id, decision, 'Pre-trade decision: ' || decision || '.' || coalesce(' ' || breaches, '') || CASE WHEN decision = 'APPROVE' THEN ' All ' || n || ' limits pass'
+  || coalesce(', including 1-day 99% VaR of ' || {_PERCENT("var", 2)} || ' against ' || {_PERCENT("0.04", 2)} || ' [limit:summary] [limit:1-day_99%_historical_VaR].', ' [limit:summary].') ELSE '' END AS findings FROM d"""

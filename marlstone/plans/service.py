@@ -217,6 +217,19 @@ def evidence_urls(s, d):
     return evidence.fact_evidence(facts(s, d), companies=companies).select("id", "url", "restated_from")
 
 
+def answer_evidence(s, d):
+    """Three tools answer: facts, documents as passages, and facts of revenue once more under another label."""
+    found = evidence.fact_evidence(facts(s, d))
+    passages = table(s, d, "documents").select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("id"), F.lit("Passage").alias("label"), F.col("text").alias("excerpt"))
+    again = found.where("metric = 'revenue'").select("id", F.lit("Revenue, checked").alias("label"), F.create_map(F.lit("value"), F.col("values")["value"]).alias("values"))
+    return evidence.merged(evidence.appended(found, passages, again))
+
+
+def answer_digest(s, d):
+    rows = answer_evidence(s, d)
+    return evidence.digest(rows).join(rows.select("id", "tool_order"), "id")
+
+
 _FILED = "SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 3 ELSE 1 END AS attempts, octet_length(encode(html))::BIGINT AS n_bytes, md5(html) AS digest FROM pages"
 _W6 = "time_bucket(INTERVAL '6 hours', ts)"
 _W1 = "time_bucket(INTERVAL '1 hour', ts)"
@@ -253,6 +266,7 @@ QUERIES = {
     "replica_progress": replica_progress,
     "fundamentals": fundamentals,
     "evidence_urls": evidence_urls,
+    "answer_digest": answer_digest,
     "evidence_merge": lambda s, d: evidence.merge(_events(s, d).select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), "value", "event_type")),
     "template_answers": lambda s, d: evidence.answer(table(s, d, "customer").select(F.col("c_nationkey").alias("question"), (F.col("c_custkey") % 3).alias("tool_order"), F.col("c_custkey").alias("position"), F.col("c_name").alias("text"))),
     "question_digests": lambda s, d: table(s, d, "conversations").select("conv_id", "turn", landed.question_digest(F.col("text")).alias("digest")),
@@ -335,3 +349,12 @@ FROM asked WHERE NOT EXISTS (SELECT 1 FROM facts f WHERE f.ticker = asked.ticker
 {_LATEST.format(where="")}
 SELECT i.id, a.ticker, a.fiscal_year, i.value, i.filed FROM ids a JOIN ids b ON a.ticker = b.ticker AND a.fiscal_year = b.fiscal_year AND a.metric = 'net_income' AND b.metric = 'revenue' JOIN ids i ON i.id = a.id OR i.id = b.id WHERE b.value <> 0""",
 }
+
+_MONEY = lambda v: f"(CASE WHEN {v} < 0 THEN '-' ELSE '' END || '$' || CASE WHEN abs({v}) >= 1e9 THEN format('{{:,.2f}}', abs({v}) / 1e9) || ' billion' WHEN abs({v}) >= 1e6 THEN format('{{:,.2f}}', abs({v}) / 1e6) || ' million' ELSE format('{{:,.2f}}', abs({v})) END)"
+_EVIDENCE = f"WITH e AS ({SQL['fact_evidence']})"
+_PAIRS = "'value=' || printf('%.6g', value) || coalesce(', originally_reported=' || printf('%.6g', originally_reported), '')"
+SQL["fact_findings"] = f"""{_EVIDENCE} SELECT id, ticker || ' ' || lower(split_part(label, ', FY', 1)) || ' for' || split_part(label, ',', 2) || ' was ' || {_MONEY("value")}
+  || coalesce(' (restated; originally reported as ' || {_MONEY("originally_reported")} || ')', '') || ' [' || id || '].' AS finding FROM e"""
+SQL["evidence_digest"] = f"{_EVIDENCE} SELECT id, '- [' || id || '] ' || label || ' (USD) ' || {_PAIRS} AS line FROM e"
+SQL["answer_digest"] = f"""{_EVIDENCE} SELECT id, 0 AS tool_order, '- [' || id || '] ' || CASE WHEN label LIKE 'Revenue,%' THEN 'Revenue, checked () value=' || printf('%.6g', value) ELSE label || ' (USD) ' || {_PAIRS} END AS line FROM e
+UNION ALL SELECT 'doc:' || doc_id, 1, '- [doc:' || doc_id || '] Passage () ' || CASE WHEN length(text) > 0 THEN ' excerpt="' || substring(text, 1, 300) || '"' ELSE '' END FROM documents"""

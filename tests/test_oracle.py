@@ -7,7 +7,7 @@ from marlstone.plans import registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SQL = registry.oracle_sql()
-LARGER = {"portfolio_risk", "risk_findings", "monte_carlo_var"}  # these need hundreds of hours in which every event type occurs
+LARGER = {"portfolio_risk", "risk_findings", "risk_sentences", "risk_evidence", "monte_carlo_var"}  # these need hundreds of hours in which every event type occurs
 
 
 def plain(v):

@@ -199,3 +199,17 @@ def test_a_hot_ticker_is_not_rewritten_by_small_batches(spark, tmp_path, monkeyp
     assert store.read().count() == 120_000 + len(want) and store.state()["version"] == 13
     files = list((tmp_path / "facts" / store.state()["runs"][0]["folder"]).glob("*.parquet"))
     assert len(files) > 10  # one ticker, many files
+
+
+def test_evidence_of_several_tools(spark):
+    """Appended in order; an id that comes again keeps its first place and its last words; tools without some columns, none at all."""
+    from marlstone.operators import evidence
+
+    a = spark.createDataFrame([("x", "X", "USD", {"value": 1.0}), ("y", "Y", None, None)], "id string, label string, unit string, values map<string, double>")
+    b = spark.createDataFrame([("p", "Passage", "word " * 100), ("q", "Passage", "")], "id string, label string, excerpt string")
+    c = spark.createDataFrame([("x", "X again", {"value": 2.5})], "id string, label string, values map<string, double>")
+    assert evidence.appended(a, b, c).count() == 5
+    got = {r["id"]: r for r in evidence.merged(evidence.appended(a, b, c, b.where("false"))).collect()}
+    assert {k: (r["tool_order"], r["label"], r["unit"], r["values"]) for k, r in got.items()} == {"x": (0, "X again", None, {"value": 2.5}), "y": (0, "Y", None, None), "p": (1, "Passage", None, None), "q": (1, "Passage", None, None)}
+    lines = {r["id"]: r["line"] for r in evidence.digest(evidence.merged(evidence.appended(a, b, c))).collect()}
+    assert lines["x"] == "- [x] X again () value=2.5" and lines["q"] == "- [q] Passage () " and lines["p"].count("word") == 60
