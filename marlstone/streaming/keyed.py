@@ -3,8 +3,10 @@
 Both are one streaming query each, over transformWithState. State lives in RocksDB (PROVIDER, set for the session), so it may be
 larger than memory, and in the checkpoint, so a query that starts again goes on with it.
 
-* attempts(): a message that can't be handled is kept with the number of its attempts and a timer; when the timer is due, it is tried
-  again, until it is handled or has failed MAX_DELIVERIES times. A message that is handled at once takes no state.
+* attempts(): a message that can't be handled is kept with the number of its attempts and the time of the next; when that is due, it is
+  tried again, until it is handled or has failed MAX_DELIVERIES times. A message that is handled at once takes no state. Messages are
+  grouped by a hash of their key, and a group's waiting messages are read and written at once: what Python asks of the state store
+  follows the number of groups, not that of messages.
 * publish_once_for(): the first event of a key passes and the key is remembered for `keep` of processing time, then forgotten, so
   that state is bounded by the keys of that time; a repeat that comes later passes again.
 """
@@ -15,6 +17,7 @@ import time
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -23,47 +26,68 @@ from marlstone.streaming.ingest import MAX_DELIVERIES
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 LONGEST_WAIT_MS = 30_000
 LONGEST_ERROR = 500
+#: Groups of messages that attempts() keeps together.
+GROUPS = 256
 _OUTCOME = [T.StructField("outcome", T.StringType()), T.StructField("attempts", T.IntegerType()), T.StructField("error", T.StringType())]
 
 
 class _Attempts(StatefulProcessor):
-    def __init__(self, schema: T.StructType, handle: Callable[[Row, int], str | None], most: int, wait_ms: int):
-        self.schema, self.handle_message, self.most, self.wait_ms = schema, handle, most, wait_ms
+    def __init__(self, schema: T.StructType, key: str, handle: Callable[[Row, int], str | None], most: int, wait_ms: int):
+        self.schema, self.at, self.handle_message, self.most, self.wait_ms = schema, schema.names.index(key), handle, most, wait_ms
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getValueState("waiting", T.StructType([*self.schema.fields, T.StructField("_attempts", T.IntegerType())]))
+        self.waiting = handle.getListState("waiting", T.StructType([*self.schema.fields, T.StructField("_attempts", T.IntegerType()), T.StructField("_due", T.LongType())]))
 
-    def _try(self, message: tuple, attempts: int, now: int, kept: bool) -> Iterator[Row]:
+    def _try(self, message: tuple, attempts: int, now: int, kept: list[tuple]) -> Iterator[Row]:
         error = self.handle_message(Row(*self.schema.names)(*message), attempts)
         if error is not None and attempts < self.most:
-            self.waiting.update((*message, attempts))
-            self.handle.registerTimer(now + min(LONGEST_WAIT_MS, self.wait_ms * 2 ** (attempts - 1)))
+            kept.append((*message, attempts, now + max(1, min(LONGEST_WAIT_MS, self.wait_ms * 2 ** (attempts - 1)))))
             return
-        if kept:
-            self.waiting.clear()
         yield Row(*self.schema.names, *(f.name for f in _OUTCOME))(*message, "ok" if error is None else "dead_lettered", attempts, error if error is None else error[:LONGEST_ERROR])
 
+    def _keep(self, kept: list[tuple], timers: list[int]) -> None:
+        """Store what waits; the earliest of it has a timer, if none is set that comes sooner."""
+        if not kept:
+            self.waiting.clear()
+            return
+        self.waiting.put(kept)
+        due = min(m[-1] for m in kept)
+        if not timers or min(timers) > due:
+            self.handle.registerTimer(due)
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        message = tuple(next(iter(rows)))  # repeats of a message are one
-        if not self.waiting.exists():  # one that waits is not tried by its repeat
-            yield from self._try(message, 1, timerValues.getCurrentProcessingTimeInMs(), False)
+        before = [tuple(m) for m in self.waiting.get()]
+        seen, new, now = {m[self.at] for m in before}, [], timerValues.getCurrentProcessingTimeInMs()
+        for row in rows:
+            message = tuple(row)[: len(self.schema)]
+            if message[self.at] not in seen:  # repeats of a message are one, and one that waits is not tried by its repeat
+                seen.add(message[self.at])
+                yield from self._try(message, 1, now, new)
+        if new:
+            self._keep(before + new, list(self.handle.listTimers()))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if self.waiting.exists():
-            *message, attempts = tuple(self.waiting.get())
-            yield from self._try(tuple(message), attempts + 1, timerValues.getCurrentProcessingTimeInMs(), True)
+        now, kept = timerValues.getCurrentProcessingTimeInMs(), []
+        for m in [tuple(m) for m in self.waiting.get()]:
+            if m[-1] <= now:
+                yield from self._try(m[:-2], m[-2] + 1, now, kept)
+            else:
+                kept.append(m)
+        self._keep(kept, [t for t in self.handle.listTimers() if t > expiredTimerInfo.getExpiryTimeInMs()])
 
     def close(self) -> None:
         pass
 
 
-def attempts(messages: DataFrame, key: str, handle: Callable[[Row, int], str | None], most: int = MAX_DELIVERIES, wait_ms: int = 1000) -> DataFrame:
+def attempts(messages: DataFrame, key: str, handle: Callable[[Row, int], str | None], most: int = MAX_DELIVERIES, wait_ms: int = 1000, groups: int = GROUPS) -> DataFrame:
     """messages with outcome (ok, dead_lettered), attempts and error. handle(row, attempt) gives None or what went wrong; the wait before
-    another attempt doubles from wait_ms. key names a message; its repeats in a batch or while it waits are one."""
+    another attempt doubles from wait_ms. key names a message; its repeats in a batch or while it waits are one. A task holds the keys that
+    one batch has in one of the groups, and what waits there; groups must stay the same for a checkpoint."""
     messages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     schema = T.StructType([*messages.schema.fields, *_OUTCOME])
-    return messages.groupBy(key).transformWithState(_Attempts(messages.schema, handle, most, wait_ms), schema, "Append", "ProcessingTime")
+    grouped = messages.withColumn("_group", F.pmod(F.xxhash64(key), F.lit(groups)).cast("int")).groupBy("_group")
+    return grouped.transformWithState(_Attempts(messages.schema, key, handle, most, wait_ms), schema, "Append", "ProcessingTime")
 
 
 class _Once(StatefulProcessor):

@@ -1,9 +1,12 @@
 """Keyed state: attempts by timers, keys that are forgotten, restarts."""
 
 import time
+from collections import Counter
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marlstone.streaming import ingest, keyed
 
@@ -49,6 +52,42 @@ def test_what_waits_goes_on_after_a_restart(spark, tmp_path):
     assert sorted((r["id"], r["outcome"], r["attempts"]) for r in sink.read().collect()) == [(1, "ok", 1), (2, "ok", 3), (3, "dead_lettered", 5), (4, "ok", 2)]
 
 
+def test_calls_of_the_state_store_follow_groups_not_messages():
+    """40,000 messages of one group, by hand: one read and one write of its state, one timer."""
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("payload", T.StringType())])
+    calls = Counter()
+
+    class Store:
+        def __init__(self):
+            self.rows, self.timers = [], []
+
+        def __getattr__(self, name):
+            def call(*args):
+                calls[name] += 1
+                if name == "put":
+                    self.rows = list(args[0])
+                elif name == "clear":
+                    self.rows = []
+                elif name == "registerTimer":
+                    self.timers.append(args[0])
+                return {"get": iter(self.rows), "listTimers": iter(self.timers), "getListState": self, "getValueState": self}.get(name)
+
+            return call
+
+    class Now:
+        def getCurrentProcessingTimeInMs(self):
+            return 1000
+
+        getExpiryTimeInMs = getCurrentProcessingTimeInMs
+
+    p, store = keyed._Attempts(schema, "id", handler(), 5, 10), Store()
+    p.init(store)
+    out = list(p.handleInputRows((0,), iter([Row("id", "payload")(i, str(i % 2)) for i in range(40_000)]), Now()))
+    assert len(out) == 20_000 and len(store.rows) == 20_000 and store.timers == [1010] and sum(calls.values()) < 8
+    store.rows = [(*m[:-1], 900) for m in store.rows]
+    assert {r["attempts"] for r in p.handleExpiredTimer((0,), Now(), Now())} == {2} and store.rows == [] and sum(calls.values()) < 16
+
+
 @pytest.mark.parametrize(("keep_ms", "wait", "times"), [(600_000, 0, 1), (400, 1.0, 2)])
 def test_keys_are_remembered_for_a_time(spark, tmp_path, keep_ms, wait, times):
     path, sink = str(tmp_path / "in"), ingest.Sink(spark, str(tmp_path / "out"))
