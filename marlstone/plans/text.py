@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import language, tables, text
 from marlstone.operators import retrieval
-from marlstone.sources.tables import passages, stored, table
+from marlstone.sources.tables import passages, spread, stored, table
 
 K = 5
 
@@ -205,7 +205,7 @@ def verify_claims(s, d):
     """Statements about each customer's balance, right and slightly wrong, against the balance itself."""
     money = text.format_value(F.col("c_acctbal") * 1e6, F.lit("USD"))
     wrong = text.format_value(F.col("c_acctbal") * 1.05e6, F.lit("USD"))
-    rows = table(s, d, "customer").select("c_custkey", F.explode(F.array(F.struct(F.lit(True).alias("right"), F.concat(F.lit("The balance was "), money, F.lit(" in FY2024.")).alias("answer")), F.struct(F.lit(False).alias("right"), F.concat(F.lit("The balance was "), wrong).alias("answer")))).alias("a"), F.array(F.col("c_acctbal") * 1e6).alias("values"))
+    rows = spread(table(s, d, "customer").select("c_custkey", "c_acctbal")).select("c_custkey", F.explode(F.array(F.struct(F.lit(True).alias("right"), F.concat(F.lit("The balance was "), money, F.lit(" in FY2024.")).alias("answer")), F.struct(F.lit(False).alias("right"), F.concat(F.lit("The balance was "), wrong).alias("answer")))).alias("a"), F.array(F.col("c_acctbal") * 1e6).alias("values"))
     out = rows.select("a.right", language.verify(language.claims(F.col("a.answer")), F.col("values")).alias("v"))
     return out.groupBy("right", F.col("v.status").alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -219,7 +219,7 @@ def pii_sentences(s, d):
     """A sentence about each customer with personal data of every kind, a card number with its right check digit and one with a wrong one."""
     k, digits = F.col("c_custkey"), F.concat((k_ := F.lpad((4000 + F.col("c_custkey") % 1000).cast("string"), 4, "0")), F.lpad((F.col("c_custkey") % 10_000).cast("string"), 4, "0"), F.lit("0000000"))
     total = F.aggregate(F.sequence(F.lit(0), F.lit(14)), F.lit(0), lambda acc, i: acc + (lambda x: F.when(i % 2 == 0, x * 2 - F.when(x > 4, 9).otherwise(0)).otherwise(x))(F.substring(digits, i + 1, F.lit(1)).cast("int")))
-    rows = table(s, d, "customer").select(k, k_.alias("a"), F.lpad((k % 10_000).cast("string"), 4, "0").alias("b"), ((10 - total % 10) % 10).alias("k"))
+    rows = spread(table(s, d, "customer").select("c_custkey")).select(k, k_.alias("a"), F.lpad((k % 10_000).cast("string"), 4, "0").alias("b"), ((10 - total % 10) % 10).alias("k"))
     n = lambda width: F.lpad((k % 10**width).cast("string"), width, "1")
     card = lambda last: F.concat("a", F.lit(" "), "b", F.lit(" 0000 000"), last.cast("string"))
     said = F.concat(
