@@ -115,7 +115,7 @@ def verifier_recall(s, d):
     """Per kind of error: how many wrong copies of a sentence about each order there are, how many of them the verifier rejects, and the right
     sentences it accepts. A copy that still matches the order's values as precisely as it is stated is no error and is left out."""
     cents = F.round(F.col("o_totalprice") * 100).cast("long")
-    rows = table(s, d, "orders").select("o_orderkey", cents.alias("c"))
+    rows = spread(table(s, d, "orders").select("o_orderkey", "o_totalprice")).select("o_orderkey", cents.alias("c"))
     money = F.concat(F.lit("$"), F.format_number(F.expr("c div 100"), 0), F.lit("."), F.lpad((F.col("c") % 100).cast("string"), 2, "0"))
     answers = rows.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("In FY2024 the order came to "), money, F.lit(" [order].")).alias("answer"), F.array(F.col("c") / 100.0).alias("values"))
     right = answers.select(F.lit("right").alias("change"), language.verify(language.claims(F.col("answer")), F.col("values"))["status"].alias("status"))
@@ -192,7 +192,7 @@ def extract_claims(s, d):
     """The numbers in a sentence about each order, between others that are no claims. Cut, not rounded, from whole cents."""
     cents = F.round(F.col("o_totalprice") * 100).cast("long")
     part = lambda n: F.expr(f"c div {n}").cast("string")
-    rows = table(s, d, "orders").select("o_orderkey", cents.alias("c"))
+    rows = spread(table(s, d, "orders").select("o_orderkey", "o_totalprice")).select("o_orderkey", cents.alias("c"))
     told = F.concat(
         F.lit("FY2024 order [o:1] of 1996-01-02 came to $"), F.regexp_replace(F.format_number(F.expr("c div 100"), 0), "$", "."), F.lpad((F.col("c") % 100).cast("string"), 2, "0"),
         F.lit(", -"), part(100_000), F.lit("."), (F.expr("c div 10000") % 10).cast("string"), F.lit("k or "), part(10_000), F.lit("% (Item 7, 10-K), 2.5x of Q3."),
