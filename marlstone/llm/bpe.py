@@ -5,6 +5,10 @@ possible; two levels of 256-bit words mark the buckets that are not empty, and f
 next rank. A merge changes two neighbouring pairs; their old entries stay in their buckets and are skipped as stale when
 they come up. A pre-token of n bytes takes O(n log n) steps at worst, so very long ones do not matter.
 
+The new short pre-tokens of an Arrow batch share one queue: the top word picks the lowest leaf (256 ranks) with entries, and
+there each pre-token merges its own lowest rank, all of them at once in numpy. Pre-tokens don't touch each other and no lower
+leaf has entries, so each one's merges come in the same order as alone.
+
 Defined results: null text is empty and gives no ids; rows are independent, so repeated rows give repeated results and an
 empty table an empty one. Other columns of the input are kept by encode() and decode() unless they have the names these add.
 """
@@ -17,6 +21,7 @@ from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +30,9 @@ from pyspark.sql import types as T
 from . import common
 
 #: Entries of each of a task's two large caches (about 200 bytes an entry), and characters of the longest key they hold.
-REMEMBERED, LONGEST = 300_000, 64
+REMEMBERED, LONGEST = 700_000, 64
+#: Bytes of the longest pre-token that shares a queue with others, and bytes of all that share one.
+SHORT, TOGETHER = 64, 1 << 22
 
 # Fixed value: the pattern whose matches never hold a blank but as their first character, unless they are blank altogether.
 BLANKS_FIRST = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -106,19 +113,100 @@ class RankQueue:
         return out
 
 
-class Blank(Exception):
-    """A stretch is empty, or begins or ends with white space."""
+class SharedQueue:
+    """RankQueue over many short pre-tokens at once: entries by leaf under the top word, and per pre-token the lowest rank in it."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        get = ranks.get
+        self.single = np.array([get(bytes([i]), -1) for i in range(256)], np.int64)
+        found = [(a << 32 | b, r) for k, r in ranks.items() for i in range(1, len(k)) if (a := get(k[:i])) is not None and (b := get(k[i:])) is not None]
+        keys, made = (np.array(x, np.int64) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        order = np.argsort(keys)
+        self.keys, self.made = np.append(keys[order], np.iinfo(np.int64).max), np.append(made[order], -1)
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of merging a with b, or -1."""
+        key = a << 32 | b
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.made[at], -1)
+
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each piece (none is empty), as little-endian unsigned 32-bit integers."""
+        size = np.array([len(p) for p in pieces], np.int64)
+        stop = np.cumsum(size)
+        ids = self.single[np.frombuffer(b"".join(pieces), np.uint8)]
+        if ids.min(initial=0) < 0:
+            raise KeyError("a byte has no rank")
+        n = len(ids)
+        owner = np.repeat(np.arange(len(pieces)), size)
+        start = stop - size
+        nxt, prv = np.arange(1, n + 2), np.arange(-1, n)
+        pair = np.append(self.rank(ids[:-1], ids[1:]), -1)
+        pair[stop - 1] = -1
+        alive = np.ones(n, bool)
+        leaves: dict[int, list[np.ndarray]] = {}
+        top = 0
+
+        def push(pos, leaf):
+            nonlocal top
+            order = np.argsort(leaf, kind="stable")
+            pos, leaf = pos[order], leaf[order]
+            cuts = [0, *(np.flatnonzero(leaf[1:] != leaf[:-1]) + 1).tolist(), len(pos)]
+            for t, x, y in zip(leaf[cuts[:-1]].tolist(), cuts, cuts[1:]):
+                if t in leaves:
+                    leaves[t].append(pos[x:y])
+                else:
+                    leaves[t] = [pos[x:y]]
+                    top |= 1 << t
+
+        at = np.flatnonzero(pair >= 0)
+        if len(at):
+            push(at, pair[at] >> 8)
+        while top:
+            t = (top & -top).bit_length() - 1
+            top &= top - 1
+            got = leaves.pop(t)
+            pos = np.concatenate(got) if len(got) > 1 else got[0]
+            rank = pair[pos]
+            live = rank >> 8 == t  # others are stale
+            pos, rank = pos[live], rank[live]
+            if not len(pos):
+                continue
+            key = np.sort((owner[pos] << 8 | rank & 255) << 32 | pos)
+            pos, whose = key & 0xFFFFFFFF, key >> 40
+            first = np.append(True, whose[1:] != whose[:-1])
+            if not first.all():
+                leaves[t] = [pos[~first]]
+                top |= 1 << t
+                pos, whose = pos[first], whose[first]
+            j = nxt[pos]
+            k = nxt[j]
+            ids[pos] = pair[pos]
+            nxt[pos], prv[k] = k, pos  # prv of a piece's first place is never read
+            pair[j], alive[j] = -1, False
+            on, back = k < stop[whose], pos > start[whose]
+            right = np.full(len(pos), -1)
+            right[on] = self.rank(ids[pos[on]], ids[k[on]])
+            pair[pos] = right
+            left = prv[pos[back]]
+            pair[left] = before = self.rank(ids[left], ids[pos[back]])
+            new, rank = np.concatenate([pos, left]), np.concatenate([right, before])
+            live = rank >= 0
+            if live.any():
+                push(new[live], rank[live] >> 8)
+        raw = ids[alive].astype("<u4").tobytes()
+        ends = (4 * np.cumsum(alive)[stop - 1]).tolist()
+        return [raw[x:y] for x, y in zip([0, *ends], ends)]
 
 
 class Model:
-    """Ranks, the queue and the caches of one task."""
+    """Ranks, the queues and the caches of one task."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = REMEMBERED):
-        self.ranks, self.queue = ranks, RankQueue(ranks)
+        self.ranks, self.queue, self.shared = ranks, RankQueue(ranks), SharedQueue(ranks)
         self.find = regex.compile(pattern).findall
         self.tokens = common.Cache(self._token, remembered, LONGEST)
-        self.opening = common.Cache(self._stretch, remembered // 8, LONGEST)
-        self.spaced = common.Cache(lambda w: self._stretch(w, " "), remembered, LONGEST)
+        self.spaced = common.Cache(self.by_pattern, remembered, LONGEST)  # stretches of several tokens
         self.by_stretch = pattern == BLANKS_FIRST
 
     def merge(self, piece: bytes) -> list[int]:
@@ -130,42 +218,93 @@ class Model:
         ids = self.merge(piece.encode("utf-8"))
         return _PACK[len(ids)](*ids) if len(ids) < 64 else np.array(ids, "<u4").tobytes()
 
-    def _stretch(self, w: str, before: str = "") -> bytes:
-        if not w or w[0].isspace() or w[-1].isspace():
-            raise Blank
-        return self.by_pattern(before + w)
-
     def by_pattern(self, text: str) -> bytes:
         return b"".join(map(self.tokens.__getitem__, self.find(text)))
 
+    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """Ids of the pre-tokens; new short ones go through one queue."""
+        known, ranks, out, new, size = self.tokens.known, self.ranks, {}, [], 0
+
+        def share():
+            for p, ids in zip(new, self.shared.merge([p.encode("utf-8") for p in new])):
+                out[p] = ids
+                self.tokens.put(p, ids)
+
+        for p in pieces:
+            if (ids := known(p)) is None:
+                raw = p.encode("utf-8")
+                if raw in ranks or not 0 < len(raw) <= SHORT:
+                    ids = self.tokens[p]
+                else:
+                    new.append(p)
+                    if (size := size + len(raw)) >= TOGETHER:
+                        share()
+                        new, size = [], 0
+                    continue
+            out[p] = ids
+        if new:
+            share()
+        return out
+
+    def _words(self, words: list[str]) -> list[bytes | None]:
+        """Ids of the stretches that encode_column() makes, None where one is empty or begins or ends with white space."""
+        token, spaced, out, new, pieces = self.tokens.known, self.spaced.known, [], [], set()
+        for i, w in enumerate(words):
+            ids = token(w) if w == "\n" or not w.isspace() else None  # white space is a token, but where it ends depends on what follows
+            if ids is None and (ids := spaced(w)) is None and (w == "\n" or (bare := w[1:] if w[:1] == " " else w) and not (bare[0].isspace() or bare[-1].isspace())):
+                found = self.find(w)
+                new.append((i, w, found))
+                pieces.update(found)
+            out.append(ids)
+        learnt = self._learn(pieces)
+        for i, w, found in new:
+            out[i] = ids = b"".join(map(learnt.__getitem__, found))
+            if len(found) > 1:
+                self.spaced.put(w, ids)
+        return out
+
+    def encode_column(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of the ids of all texts, and where each text's end. Where single spaces and line ends stand between other
+        characters, BLANKS_FIRST always begins a new match, so Arrow splits the texts there (a NUL before each space and around each
+        line end) and finds the different stretches, which go through caches; any other text or pattern goes whole."""
+        if self.by_stretch:
+            cut = pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n\0")
+            data, ends, bad = common.in_turn(pc.split_pattern(cut, "\0"), self._words)
+            whole = np.union1d(bad, np.flatnonzero(pc.match_substring(texts, "\0").to_numpy(zero_copy_only=False))).tolist()
+            if not whole:
+                return data, ends
+            out = common.binaries(data, ends).to_pylist()
+        else:
+            whole = range(len(texts))
+            out = [b""] * len(texts)
+        found = [self.find(texts[i].as_py()) for i in whole]
+        learnt = self._learn(set().union(*found))
+        for i, pieces in zip(whole, found):
+            out[i] = b"".join(map(learnt.__getitem__, pieces))
+        return _laid(out)
+
     def encode(self, text: str) -> bytes:
-        """Ids of a text. Where single spaces and line ends stand between other characters, BLANKS_FIRST always begins a new
-        match, so the stretches between them are encoded one by one through caches; any other text or pattern goes whole."""
-        if not self.by_stretch:
-            return self.by_pattern(text)
-        opening, spaced, line_end = self.opening, self.spaced.__getitem__, self.by_pattern("\n")
-        out: list[bytes] = []
-        try:
-            for line in text.split("\n"):
-                words = iter(line.split(" "))
-                out.append(opening[next(words)])
-                out.extend(map(spaced, words))
-                out.append(line_end)
-        except Blank:
-            return self.by_pattern(text)
-        out.pop()
-        return b"".join(out)
-
-
-def _parts(ranks: dict[bytes, int]) -> list[bytes]:
+        """Ids of a text."""
+        return self.encode_column(pa.array([text], pa.string()))[0].tobytes()
+
+
+def _laid(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Values after one another, and where each ends."""
+    return np.frombuffer(b"".join(values), np.uint8), np.cumsum([len(x) for x in values], dtype=np.int64)
+
+
+def _parts(ranks: dict[bytes, int]) -> pa.LargeBinaryArray:
     parts = [b""] * (max(ranks.values()) + 1)
     for k, v in ranks.items():
         parts[v] = k
-    return parts
+    return pa.array(parts, pa.large_binary())
 
 
-def _decoded(ids: list[bytes], parts: list[bytes]) -> list[bytes]:
-    return [b"".join(map(parts.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in ids]
+def _decoded(data: np.ndarray, ends: np.ndarray, parts: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the ids whose own bytes are `data`, and where those of each text end."""
+    got = parts.take(pa.array(np.frombuffer(data, "<u4")))
+    stops = np.frombuffer(got.buffers()[1], np.int64)[ends // 4] if len(got) else np.zeros(len(ends), np.int64)
+    return np.frombuffer(got.buffers()[2], np.uint8)[: stops[-1]] if len(got) else np.zeros(0, np.uint8), stops
 
 
 #: What encode() can add besides the ids: the bytes that decode() gives for them, or whether those are the text.
@@ -190,14 +329,15 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
             _models.clear()
             _models[key] = model
         for b in batches:
-            texts = b.column(at).to_pylist()
-            new = [[model.encode(t or "") for t in texts]]
-            if back == "decoded":
-                new.append(_decoded(new[0], parts))
-            elif back:
-                new.append([_decoded([x], parts)[0] == (t or "").encode("utf-8") for x, t in zip(new[0], texts)])
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x, kind) for x, (_, _, kind) in zip(new, added))], [*b.schema.names, *(name for name, _, _ in added)])
-            del b, texts, new
+            texts = pc.fill_null(b.column(at).cast(pa.string()), "")
+            data, ends = model.encode_column(texts)
+            new = [common.binaries(data, ends)]
+            if back:
+                new.append(common.binaries(*_decoded(data, ends, parts)))
+            if back == "round_trip":
+                new[1] = pc.equal(new[1], texts.cast(pa.binary()))
+            yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, *(name for name, _, _ in added)])
+            del b, texts, data, new
 
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *(T.StructField(name, kind) for name, kind, _ in added)]))
 
@@ -211,8 +351,8 @@ def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
     def run(batches):
         parts = None
         for b in batches:
-            parts = parts or _parts(sent.value)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_decoded(b.column(at).to_pylist(), parts), pa.binary())], [*b.schema.names, "decoded"])
+            parts = _parts(sent.value) if parts is None else parts
+            yield pa.RecordBatch.from_arrays([*b.columns, common.binaries(*_decoded(*_laid(b.column(at).to_pylist()), parts))], [*b.schema.names, "decoded"])
 
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("decoded", T.BinaryType())]))
 

@@ -107,6 +107,29 @@ def test_rank_queue_merges_in_order_and_ends_empty():
         assert q.merge(piece) == plain(piece) and not q.buckets and not any(q.leaf)
 
 
+def test_new_pieces_share_a_queue_and_merge_as_alone():
+    ranks, r = bpe.load_ranks(BYTE), random.Random(2)
+    alone, shared = bpe.RankQueue(ranks), bpe.SharedQueue(ranks)
+    pieces = [bytes(r.choice(b"abethe ning\xc3\xa9") for _ in range(r.randrange(1, 64))) for _ in range(2000)] + [b"a" * 64, b"x", b"ab" * 30, b"x"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in shared.merge(pieces)] == [alone.merge(p) for p in pieces]
+    odd = {bytes([i]): i + 600 for i in range(256)} | {b"bc": 3, b"ab": 2, b"abc": 900, b"cd": 1, b"bcd": 0, b"aa": 5, b"aaa": 4}  # merges that make lower ranks
+    alone, shared = bpe.RankQueue(odd), bpe.SharedQueue(odd)
+    pieces = [bytes(r.choice(b"abcd") for _ in range(r.randrange(1, 20))) for _ in range(500)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in shared.merge(pieces)] == [alone.merge(p) for p in pieces]
+
+
+def test_a_batch_asks_for_each_stretch_once_and_known_blanks_do_not_split():
+    import pyarrow as pa
+
+    model, asked = bpe.Model(bpe.load_ranks(BYTE), P.PATTERN), []
+    known = model._words
+    model._words = lambda words: (asked.append(sorted(words)), known(words))[1]
+    data, ends = model.encode_column(pa.array(["some word word.\nsome word", "some word"] * 50))
+    assert asked == [["\n", " word", " word.", "some"]] and len(ends) == 100
+    for text in ["  ", "\t", "a  b", "a \n b", "a\n\n b ", "a\n", " a", "", "a\0 b", "\0", "x \t y", "a\u3000 b", "a \u3000b"] * 2:  # the second time their blanks are known
+        assert model.encode(text) == model.by_pattern(text), text
+
+
 def test_another_pattern_goes_whole_and_caches_stay_small(spark):
     got = bpe.Model(bpe.load_ranks(BYTE), r"\s+|\S", 20)
     text = " ".join(words(i, 30) for i in range(20))
