@@ -19,6 +19,7 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,12 +31,11 @@ SPACING = 64
 BLOCK_TOKENS = 1 << 16
 PART_TOKENS = 1 << 22
 MAX_PARTS = 20_000
-CACHE_WORDS = 700_000
+CACHE_WORDS = 1_500_000
 
 _tokenizers: dict = {}
 # Fixed value: the pre-tokenizer's pattern for which words can be encoded one by one.
 LETTERS_APART = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_SPLIT_ONLY_BY_PYTHON = "\x1c\x1d\x1e\x1f"
 
 
 def _words_apart(spec: dict) -> bool:
@@ -65,7 +65,7 @@ def _tokenizer(json_text: str):
         ends = np.zeros(tok.get_vocab_size(), bool)
         ends[[i for t, i in tok.get_vocab().items() if t.endswith("</w>")]] = True
         special = [t.content for t in tok.get_added_tokens_decoder().values()]
-        _tokenizers[key] = (tok, ends, {}, [*special, *_SPLIT_ONLY_BY_PYTHON], _words_apart(json.loads(json_text)))
+        _tokenizers[key] = (tok, ends, {"": b""}, special, _words_apart(json.loads(json_text)))
     return _tokenizers[key]
 
 
@@ -73,7 +73,7 @@ def _whole(tok, word: str, dtype: str) -> bytes:
     return np.array(tok.encode_batch_fast([word], add_special_tokens=False)[0].ids, dtype).tobytes()
 
 
-def _learn(tok, ends: np.ndarray, cache: dict[str, bytes], new: set[str], dtype: str) -> None:
+def _learn(tok, ends: np.ndarray, cache: dict[str, bytes], new: list[str], dtype: str) -> None:
     """Put the ids of new words into the cache. The tokenizer ends a piece where letters and marks meet, so the letters of a
     word and the marks after it have ids of their own; runs of letters go to the library many at a time, with blanks between."""
     parts, letters = [], set()
@@ -104,26 +104,35 @@ def _learn(tok, ends: np.ndarray, cache: dict[str, bytes], new: set[str], dtype:
         cache[w] = cache[base] + cache[tail] if tail else cache[base]
 
 
-def encode_texts(texts: list[str], json_text: str, dtype: str, end: bytes) -> list[bytes]:
+def encode_column(texts: pa.StringArray, json_text: str, dtype: str, end: bytes) -> pa.BinaryArray:
     """Ids of each text as the library gives them. This vocabulary drops white space before its merges, so a text's ids are
-    those of its words in turn, and each distinct word goes to the library once per worker."""
-    tok, ends, cache, odd, by_words = _tokenizer(json_text)
+    those of its words in turn. Arrow splits the texts and finds the different words of a batch; each goes to the library once
+    per worker. Only ASCII's white space is split at: other kinds stay in a word that goes to the library as it is."""
+    tok, ends, cache, special, by_words = _tokenizer(json_text)
     if not by_words:
-        return [_whole(tok, t, dtype) + end for t in texts]
-    if len(cache) > CACHE_WORDS:
-        cache.clear()
-    words = [t.split() for t in texts]
-    if new := set().union(*words).difference(cache):
-        _learn(tok, ends, cache, new, dtype)
-    out = []
-    for text, ws in zip(texts, words):
-        if any(c in text for c in odd):  # a special string, or white space for str.split but not for the tokenizer
-            out.append(_whole(tok, text, dtype) + end)
-        else:
-            ws = list(map(cache.__getitem__, ws))
-            ws.append(end)
-            out.append(b"".join(ws))
-    return out
+        return pa.array([_whole(tok, t, dtype) + end for t in texts.to_pylist()], pa.binary())
+
+    def learn(words):
+        if len(cache) > CACHE_WORDS:
+            cache.clear()
+            cache[""] = b""
+        if new := [w for w in words if w not in cache]:
+            _learn(tok, ends, cache, new, dtype)
+        return map(cache.__getitem__, words)
+
+    data, stops, _ = common.in_turn(pc.ascii_split_whitespace(texts), learn, end)
+    out = common.binaries(data, stops)
+    odd = np.zeros(len(texts), bool)
+    for s in special:
+        odd |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+    if not odd.any():
+        return out
+    return pa.array([_whole(tok, t, dtype) + end if x else ids for t, ids, x in zip(texts.to_pylist(), out.to_pylist(), odd.tolist())], pa.binary())
+
+
+def encode_texts(texts: list[str], json_text: str, dtype: str, end: bytes) -> list[bytes]:
+    """The same for a list."""
+    return encode_column(pa.array(texts, pa.string()), json_text, dtype, end).to_pylist()
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -138,8 +147,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "d
 
     def run(batches):
         for b in batches:
-            ids = encode_texts(b.column(1).to_pylist(), sent.value, dtype, end)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), encode_column(b.column(1), sent.value, dtype, end)], ["doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), common.text_of(docs, text_col).alias("text")).mapInArrow(run, "doc_id long, ids binary")
 

@@ -130,6 +130,23 @@ def test_a_batch_asks_for_each_stretch_once_and_known_blanks_do_not_split():
         assert model.encode(text) == model.by_pattern(text), text
 
 
+def test_words_of_a_batch_are_learnt_once(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    with open(WORD) as f:
+        json_text = f.read()
+    tok, learn, asked = Tokenizer.from_file(WORD), token_ids._learn, []
+    monkeypatch.setattr(token_ids, "_learn", lambda tok, ends, cache, new, dtype: (asked.extend(new), learn(tok, ends, cache, new, dtype)))
+    token_ids._tokenizers.clear()
+    texts = ["Some words, some words", "", " \n", "words\x1cwords some\u3000words \x85", "<|endoftext|> words", "l'\u00e9te\u0301 1²3 it's"] * 30
+    got = token_ids.encode_column(pa.array(texts), json_text, "<u2", b"\1\0").to_pylist()
+    assert [np.frombuffer(x, "<u2").tolist() for x in got] == [[*tok.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert len(asked) == len(set(asked)) and "words" in asked
+    assert token_ids.encode_column(pa.array([], pa.string()), json_text, "<u2", b"\1\0").to_pylist() == []
+    token_ids._tokenizers.clear()
+
+
 def test_another_pattern_goes_whole_and_caches_stay_small(spark):
     got = bpe.Model(bpe.load_ranks(BYTE), r"\s+|\S", 20)
     text = " ".join(words(i, 30) for i in range(20))
