@@ -327,6 +327,27 @@ def brute_cut(raws, length):
     return out
 
 
+def test_only_starts_that_may_repeat_are_sorted(monkeypatch):
+    r, length = random.Random(5), 40
+    text = lambda n: bytes(r.choice(b"ab\0c") for _ in range(n))
+    same = text(60)
+    contexts = [text(90) for _ in range(200)] + [same + text(30), text(7) + same + text(23), same + text(1), text(25) * 4]
+    owned = [len(c) - length + 1 for c in contexts]
+    owned[0] = 3
+    seen: dict[bytes, int] = {}
+    for c, n in zip(contexts, owned):
+        for i in range(n):
+            seen[c[i : i + length]] = seen.get(c[i : i + length], 0) + 1
+    want = [[i for i in range(n) if seen[c[i : i + length]] > 1] for c, n in zip(contexts, owned)]
+    sizes, sort = [], induced.suffix_array
+    monkeypatch.setattr(induced, "suffix_array", lambda t, wanted=0: (sizes.append(len(t)), sort(t, wanted))[1])
+    assert [x.tolist() for x in suffix_dedup.repeats_in_shard(contexts, owned, length)] == want and any(want)
+    assert sizes and sizes[0] < 500  # of 18,000
+    assert [len(x) for x in suffix_dedup.repeats_in_shard(contexts[:5], owned[:5], length)] == [0] * 5 and len(sizes) == 1
+    monkeypatch.setattr(suffix_dedup, "_string_hashes", lambda t, at, length: np.zeros(len(at), np.uint64))  # all hashes clash
+    assert [x.tolist() for x in suffix_dedup.repeats_in_shard(contexts, owned, length)] == want
+
+
 @pytest.mark.parametrize("hot", [1 << 20, 100])
 def test_suffix_dedup(spark, hot):
     common_text = words(5, 200)
