@@ -269,7 +269,7 @@ class Model:
         line end) and finds the different stretches, which go through caches; any other text or pattern goes whole."""
         if self.by_stretch:
             cut = pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n\0")
-            data, ends, bad = common.in_turn(pc.split_pattern(cut, "\0"), self._words)
+            data, ends, bad = common.in_turn(pc.split_pattern(cut, "\0"), lambda words: pa.array(self._words(common.strings(words)), pa.large_binary()))
             whole = np.union1d(bad, np.flatnonzero(pc.match_substring(texts, "\0").to_numpy(zero_copy_only=False))).tolist()
             if not whole:
                 return data, ends

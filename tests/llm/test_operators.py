@@ -147,6 +147,29 @@ def test_words_of_a_batch_are_learnt_once(monkeypatch):
     token_ids._tokenizers.clear()
 
 
+def test_case_and_marks_are_parted_before_words_are_learnt(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    with open(WORD) as f:
+        json_text = f.read()
+    tok, learn, asked = Tokenizer.from_file(WORD), token_ids._learn, []
+    monkeypatch.setattr(token_ids, "_learn", lambda tok, ends, cache, new, dtype: (asked.extend(new), learn(tok, ends, cache, new, dtype)))
+    token_ids._tokenizers.clear()
+
+    def ids(texts):
+        return [np.frombuffer(x, "<u2").tolist() for x in token_ids.encode_column(pa.array(texts), json_text, "<u2", b"").to_pylist()]
+
+    texts = ["Words words, WORDS!! words", "\u00c9t\u00e9, \u00e9t\u00e9 \u00c9T\u00c9!! , !!"]
+    assert ids(texts) == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sorted(asked) == ["!!", ",", "words", "\u00e9t\u00e9"]
+    rng = random.Random(7)  # h and U+0331 compose only in lower case; U+0130 has two letters in it; U+00AA and U+00B5 are lower-case letters without an upper one in ISO 8859-1
+    signs = ["a", "H", "h\u0331", "H\u0331", "s", "S", "t", "I\u0307", "\u0130", "\u03a3", "\u03c3", "\u00df", "\u00ff", "\u0178", "\u00c0", "A\u0300", "\u0301", "\u00aa", "\u00ba", "\u00b5", "\u00d7", "\u00f7", "\u00ad", "\u212a", "\ufb01", "1", "\u00b2", "'", "'S", ",", ".", "-", "\0", "\u00a0", "\u4e2d", "\U0001f600"]
+    texts = [" ".join("".join(rng.choices(signs, k=rng.randint(1, 5))) for _ in range(6)) for _ in range(3000)]
+    assert ids(texts) == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    token_ids._tokenizers.clear()
+
+
 def test_another_pattern_goes_whole_and_caches_stay_small(spark):
     got = bpe.Model(bpe.load_ranks(BYTE), r"\s+|\S", 20)
     text = " ".join(words(i, 30) for i in range(20))
