@@ -115,12 +115,13 @@ def verifier_recall(s, d):
     """Per kind of error: how many wrong copies of a sentence about each order there are, how many of them the verifier rejects, and the right
     sentences it accepts. A copy that still matches the order's values as precisely as it is stated is no error and is left out."""
     cents = F.round(F.col("o_totalprice") * 100).cast("long")
-    rows = spread(table(s, d, "orders").select("o_orderkey", "o_totalprice")).select("o_orderkey", cents.alias("c"))
+    rows = spread(table(s, d, "orders").groupBy(cents.alias("c")).agg(F.count(F.lit(1)).alias("n")))  # orders of one amount have one sentence
     money = F.concat(F.lit("$"), F.format_number(F.expr("c div 100"), 0), F.lit("."), F.lpad((F.col("c") % 100).cast("string"), 2, "0"))
-    answers = rows.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("In FY2024 the order came to "), money, F.lit(" [order].")).alias("answer"), F.array(F.col("c") / 100.0).alias("values"))
-    right = answers.select(F.lit("right").alias("change"), language.verify(language.claims(F.col("answer")), F.col("values"))["status"].alias("status"))
-    wrong = language.perturbed(answers).select("change", language.verify(language.claims(F.col("answer")), F.col("values"))["status"].alias("status"))
-    return right.unionByName(wrong).groupBy("change").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "failed").alias("rejected"), F.count_if(F.col("status") == "verified").alias("accepted"))
+    answers = rows.select(F.struct("c", "n").alias("id"), F.concat(F.lit("In FY2024 the order came to "), money, F.lit(" [order].")).alias("answer"), F.array(F.col("c") / 100.0).alias("values"))
+    right = language.judged(answers).select(F.lit("right").alias("change"), "id.n", "status")
+    wrong = language.judged(language.perturbed(answers)).select("change", "id.n", "status")
+    times = lambda status: F.sum(F.when(F.col("status") == status, F.col("n")).otherwise(0))
+    return right.unionByName(wrong).groupBy("change").agg(F.sum("n").alias("n"), times("failed").alias("rejected"), times("verified").alias("accepted"))
 
 
 _SCORED = _ASKED[_ASKED.index("(SELECT DISTINCT query") :]
